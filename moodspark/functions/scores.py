@@ -34,9 +34,12 @@ def weighted_sum(score_cols: list, weights: list[float] | None = None) -> Column
     w = [1.0] * n if not weights else [float(x) for x in weights]
     total = sum(w)
     w = [x / total for x in w]
+    def add(wi):
+        return lambda a, b: a + b * F.lit(wi)
+
     acc = F.transform(_col(score_cols[0]), lambda v: v * F.lit(w[0]))
     for c, wi in zip(score_cols[1:], w[1:]):
-        acc = F.zip_with(acc, _col(c), lambda a, b, wi=wi: a + b * F.lit(wi))
+        acc = F.zip_with(acc, _col(c), add(wi))
     return acc
 
 

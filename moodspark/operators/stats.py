@@ -36,7 +36,7 @@ def class_share(df: DataFrame, col: str) -> DataFrame:
 
 def dataset_profile(df: DataFrame, source: str, label: str) -> DataFrame:
     """AGG4: per source, tweets and % negative / neutral / positive (absent -> 0)."""
-    piv = (df.groupBy(source).pivot(label, LABEL_NAMES).agg(F.count("*"))
+    piv = (df.groupBy(source).pivot(label, LABEL_NAMES).agg(F.count(F.lit(1)))
            .na.fill(0, LABEL_NAMES))
     tweets = sum(F.col(n) for n in LABEL_NAMES)
     out = piv.select(source, tweets.cast("long").alias("tweets"),

@@ -4,6 +4,8 @@ Each query is ``fn(spark, sf_dir) -> DataFrame`` over the driver tables (or data
 Spark derives from them) and runs on whole tables and whole texts.  The twin
 in :data:`ORACLE` is DuckDB SQL over the same tables; queries whose result is a
 fitted model's output have no twin and are checked by properties in the tests.
+
+Doubles are rounded to 6 decimals on both sides before comparison.
 """
 
 from __future__ import annotations
@@ -13,8 +15,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodspark.functions import labels as L
+from moodspark.functions import scores as SC
 from moodspark.functions import text as T
-from moodspark.operators import stats
+from moodspark.functions.stopwords import english_stop_words
+from moodspark.operators import ensemble, evaluate, features, lexicon, prep, sampling, stats
 from moodspark.plans import sql_twins as S
 from moodspark.sources import tables
 
@@ -31,6 +36,41 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def r6(c):
+    return F.round(c, 6)
+
+
+# Shared derived views --------------------------------------------------------
+
+def _tweets(spark, sf):
+    return tables.decorated_tweets(spark, sf)
+
+
+def _labelled_tokens(spark, sf):
+    d = tables.labelled_documents(spark, sf)
+    return d.select("doc_id", "source", "label", T.tokenize("text").alias("tokens"))
+
+
+def _scores(spark, sf):
+    """Deterministic per-class score vectors of two pseudo-models (``s``
+    primary, ``f`` fallback) for each labelled document, from md5 digits."""
+    d = tables.labelled_documents(spark, sf).select("doc_id", "source", "label")
+
+    def arr(salt):
+        m = F.md5(F.concat(F.lit(f"{salt}|"), F.col("doc_id").cast("string")))
+        return F.array(*[SC.hex_unit(m, s) for s in (1, 5, 9)])
+
+    return d.select("doc_id", "source", "label", arr("s").alias("s"), arr("f").alias("f"))
+
+
+def _predictions(spark, sf):
+    return _scores(spark, sf).withColumn("prediction", SC.argmax("s"))
+
+
+TOKS_SQL = f"toks AS (SELECT doc_id, source, label, {S.tokens('text')} AS tokens FROM labelled)"
+PRED_SQL = f"pred AS (SELECT doc_id, source, label, s, f, {S.argmax('s')} AS prediction FROM scores)"
+
+
 # ---------------------------------------------------------------------------
 # Text functions (TXT)
 # ---------------------------------------------------------------------------
@@ -40,7 +80,7 @@ WITH {S.TWEETS}
 SELECT doc_id, {S.clean('tweet')} AS tweet_clean FROM tweets
 """)
 def q_clean_text(spark, sf):
-    t = tables.decorated_tweets(spark, sf)
+    t = _tweets(spark, sf)
     return t.select("doc_id", T.clean_text("tweet").alias("tweet_clean"))
 
 
@@ -49,10 +89,60 @@ WITH {S.TWEETS}
 SELECT doc_id, {S.token_string('tweet')} AS tweet_tokens FROM tweets
 """)
 def q_tokenize_filter(spark, sf):
-    t = tables.decorated_tweets(spark, sf)
+    t = _tweets(spark, sf)
     return t.select("doc_id", T.clean_and_tokenize("tweet").alias("tweet_tokens"))
 
 
+@query("hashtag_mention_strip", f"""
+WITH {S.TWEETS}
+SELECT doc_id, regexp_replace(regexp_replace(tweet, {S.q(T.MENTION_RE)}, '', 'g'),
+       {S.q(T.HASHTAG_RE)}, '\\1', 'g') AS stripped FROM tweets
+""")
+def q_hashtag_mention_strip(spark, sf):
+    t = _tweets(spark, sf)
+    return t.select("doc_id", T.unwrap_hashtags(T.strip_mentions("tweet")).alias("stripped"))
+
+
+_LEXICAL_STOP = list(english_stop_words())
+
+
+@query("tokenize_lexical", f"""
+WITH {S.TWEETS},
+c AS (SELECT doc_id, {S.clean('tweet')} AS x FROM tweets),
+k AS (SELECT doc_id,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x,
+   '\\b(can)(not)\\b', '\\1 \\2', 'g'), '\\b(gim)(me)\\b', '\\1 \\2', 'g'), '\\b(gon)(na)\\b', '\\1 \\2', 'g'),
+   '\\b(got)(ta)\\b', '\\1 \\2', 'g'), '\\b(lem)(me)\\b', '\\1 \\2', 'g'), '\\bwanna ', 'wan na ', 'g') AS x FROM c)
+SELECT doc_id, array_to_string(list_filter(list_filter(string_split(x, ' '), lambda t: length(t) > 0),
+  lambda t: NOT list_contains({S.sql_list(T.stop_word_list(_LEXICAL_STOP))}, t) AND length(t) >= 3), ' ') AS tweet_tokens
+FROM k
+""")
+def q_tokenize_lexical(spark, sf):
+    """Lexical mode: the public English stop list minus the domain words, with
+    word-tokenizer contraction splits."""
+    t = _tweets(spark, sf)
+    return t.select("doc_id", T.clean_and_tokenize("tweet", stop_words=_LEXICAL_STOP,
+                                                    lexical=True).alias("tweet_tokens"))
+
+
+@query("stopword_difference", f"""
+WITH {S.TWEETS},
+stop AS (SELECT unnest({S.sql_list(_LEXICAL_STOP)}) AS word),
+keep AS (SELECT unnest({S.sql_list(T.DOMAIN_WORDS)}) AS word),
+diff AS (SELECT word FROM stop EXCEPT SELECT word FROM keep),
+w AS (SELECT unnest(list_filter(string_split({S.clean('tweet')}, ' '), lambda t: length(t) > 0)) AS word FROM tweets)
+SELECT word, count(*) AS n FROM w WHERE word IN (SELECT word FROM diff) GROUP BY word
+""")
+def q_stopword_difference(spark, sf):
+    """SET2 on tables: (stop list minus domain words) occurring in the corpus."""
+    stop = spark.createDataFrame([(w,) for w in _LEXICAL_STOP], "word string")
+    keep = spark.createDataFrame([(w,) for w in T.DOMAIN_WORDS], "word string")
+    diff = prep.set_difference(stop, keep)
+    words = _tweets(spark, sf).select(F.explode(T.split_words(T.clean_text("tweet"))).alias("word"))
+    counts = words.join(F.broadcast(diff), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    return counts
+
+
 @query("word_top120", f"""
 WITH {S.TWEETS},
 w AS (SELECT unnest({S.tokens('tweet')}) AS word FROM tweets),
@@ -60,10 +150,856 @@ c AS (SELECT word, count(*) AS n FROM w GROUP BY word ORDER BY n DESC, word LIMI
 SELECT word, n, round(n / max(n) OVER (), 6) AS rel_freq FROM c
 """)
 def q_word_top120(spark, sf):
-    t = tables.decorated_tweets(spark, sf)
+    t = _tweets(spark, sf)
     toks = t.select(T.tokenize("tweet").alias("tokens"))
     return stats.word_frequencies(toks, "tokens", 120)
 
 
+# ---------------------------------------------------------------------------
+# Sources, projections, label maps (SRC, PRJ)
+# ---------------------------------------------------------------------------
+
+TEXT_CANDIDATES = ["tweet_tokens", "tweet_clean", "clean_text", "tweet", "text", "content"]
+LABEL_CANDIDATES = ["sentiment", "label", "target", "class", "sentiment_label"]
+
+
+def resolve(columns, candidates):
+    from moodspark.sources.columns import resolve_column
+    return resolve_column(columns, candidates)
+
+
+@query("resolve_columns", f"""
+WITH {S.RAW}
+SELECT content AS text, class AS label FROM raw WHERE content IS NOT NULL AND class IS NOT NULL
+""")
+def q_resolve_columns(spark, sf):
+    from moodspark.sources.columns import resolve_text_label
+    raw = tables.raw_labelled(spark, sf)
+    return resolve_text_label(raw, TEXT_CANDIDATES, LABEL_CANDIDATES).dropna()
+
+
+@query("project_rename", f"""
+WITH {S.RAW}
+SELECT content AS text, class AS label FROM raw
+""")
+def q_project_rename(spark, sf):
+    from moodspark.sources.columns import resolve_text_label
+    return resolve_text_label(tables.raw_labelled(spark, sf), TEXT_CANDIDATES, LABEL_CANDIDATES)
+
+
+@query("resolve_columns_reporting", f"""
+WITH {S.TWEETS},
+c AS (SELECT doc_id, {S.token_string('tweet')} AS tweet_tokens, {S.clean('tweet')} AS tweet_clean, tweet FROM tweets)
+SELECT doc_id, tweet_tokens AS text FROM c WHERE tweet_tokens IS NOT NULL ORDER BY doc_id LIMIT 1500
+""")
+def q_resolve_columns_reporting(spark, sf):
+    from moodspark.sources.columns import reporting_text
+    c = prep.derived_columns(_tweets(spark, sf), "tweet", F.col("source"))
+    return reporting_text(c, "doc_id", ["tweet_tokens", "tweet_clean", "tweet"], 1500)
+
+
+@query("label_normalise", f"""
+WITH {S.RAW}
+SELECT doc_id, class AS raw_label, {S.label_normalise('class')} AS label FROM raw WHERE class IS NOT NULL
+""")
+def q_label_normalise(spark, sf):
+    raw = tables.raw_labelled(spark, sf).where(F.col("class").isNotNull())
+    return raw.select("doc_id", F.col("class").alias("raw_label"),
+                      L.normalise_label("class").alias("label"))
+
+
+@query("label_map_strict", f"""
+WITH {S.RAW}
+SELECT doc_id, class AS raw_label,
+  (CASE class WHEN 'positive' THEN 2 WHEN 'neutral' THEN 1 WHEN 'negative' THEN 0 END)::INTEGER AS label
+FROM raw WHERE class IN ('positive', 'neutral', 'negative')
+""")
+def q_label_map_strict(spark, sf):
+    raw = tables.raw_labelled(spark, sf)
+    out = raw.select("doc_id", F.col("class").alias("raw_label"), L.strict_label("class").alias("label"))
+    return out.dropna(subset=["label"])
+
+
+@query("label_names", f"""
+WITH {S.LABELLED}
+SELECT doc_id, label, {S.label_name('label')} AS label_name FROM labelled
+""")
+def q_label_names(spark, sf):
+    d = tables.labelled_documents(spark, sf)
+    return d.select("doc_id", "label", L.label_name("label").alias("label_name"))
+
+
+@query("expected_label", f"""
+WITH {S.RAW}
+SELECT doc_id, class AS raw_label, {S.expected_label('class')} AS expected FROM raw WHERE class IS NOT NULL
+""")
+def q_expected_label(spark, sf):
+    raw = tables.raw_labelled(spark, sf).where(F.col("class").isNotNull())
+    return raw.select("doc_id", F.col("class").alias("raw_label"), L.expected_label("class").alias("expected"))
+
+
+@query("text_preview", f"""
+WITH {S.TWEETS},
+c AS (SELECT doc_id, tweet, {S.token_string('tweet')} AS tokens FROM tweets)
+SELECT doc_id,
+  CASE WHEN length(tweet) > 90 THEN substr(tweet, 1, 90) || '...' ELSE tweet END AS text_preview,
+  substr(tokens, 1, 80) || '...' AS tokens_preview
+FROM c
+""")
+def q_text_preview(spark, sf):
+    t = _tweets(spark, sf)
+    return t.select("doc_id", L.text_preview("tweet").alias("text_preview"),
+                    L.tokens_preview(T.clean_and_tokenize("tweet")).alias("tokens_preview"))
+
+
+@query("round_scores", f"""
+WITH {S.LABELLED}, {S.SCORES}
+SELECT doc_id, round(s[1], 3) AS s0_3dp, round(s[2], 4) AS s1_4dp, round(s[3] * 100, 2) AS s2_2dp FROM scores
+""")
+def q_round_scores(spark, sf):
+    s = _scores(spark, sf)
+    return s.select("doc_id", F.round(F.col("s")[0], 3).alias("s0_3dp"),
+                    F.round(F.col("s")[1], 4).alias("s1_4dp"),
+                    F.round(F.col("s")[2] * 100, 2).alias("s2_2dp"))
+
+
+@query("capitalise_label", f"""
+WITH {S.LABELLED}
+SELECT doc_id, upper(substr({S.label_name('label')}, 1, 1)) || lower(substr({S.label_name('label')}, 2)) AS label_cap
+FROM labelled
+""")
+def q_capitalise_label(spark, sf):
+    d = tables.labelled_documents(spark, sf)
+    return d.select("doc_id", L.capitalise(L.label_name("label")).alias("label_cap"))
+
+
+@query("correct_flag", f"""
+WITH {S.LABELLED}, {S.SCORES}, {PRED_SQL}
+SELECT doc_id, {S.label_name('label')} AS expected, {S.label_name('prediction')} AS predicted,
+  CASE WHEN label = prediction THEN 'Oui' ELSE 'Non' END AS correct FROM pred
+""")
+def q_correct_flag(spark, sf):
+    p = _predictions(spark, sf)
+    e, q_ = L.label_name("label"), L.label_name("prediction")
+    return p.select("doc_id", e.alias("expected"), q_.alias("predicted"),
+                    L.correct_flag(e, q_).alias("correct"))
+
+
+def _titles(spark, sf):
+    """Demo-style titles ``<Positif|Negatif|Neutre> - <source> <doc_id>``."""
+    p = _predictions(spark, sf)
+    fr = F.element_at(F.array(F.lit("Negatif"), F.lit("Neutre"), F.lit("Positif")), F.col("label") + 1)
+    title = F.concat(fr, F.lit(" - "), F.col("source"), F.lit(" "), F.col("doc_id").cast("string"))
+    return p.select("doc_id", title.alias("title"), "prediction", "s")
+
+
+TITLES_SQL = (f"titles AS (SELECT doc_id, ['Negatif', 'Neutre', 'Positif'][label + 1] || ' - ' || source || ' ' "
+              f"|| CAST(doc_id AS VARCHAR) AS title, prediction, s FROM pred)")
+
+
+@query("title_groups", f"""
+WITH {S.LABELLED}, {S.SCORES}, {PRED_SQL}, {TITLES_SQL}
+SELECT doc_id, split_part(title, ' - ', 1) AS grp, split_part(title, ' - ', 2) AS name,
+  {S.expected_label("split_part(title, ' - ', 1)")} AS expected FROM titles
+""")
+def q_title_groups(spark, sf):
+    t = _titles(spark, sf)
+    return t.select("doc_id", L.title_group("title").alias("grp"), L.title_name("title").alias("name"),
+                    L.expected_label(L.title_group("title")).alias("expected"))
+
+
+@query("derived_columns", f"""
+WITH {S.TWEETS}
+SELECT doc_id, tweet, {S.clean('tweet')} AS tweet_clean, {S.token_string('tweet')} AS tweet_tokens,
+  length({S.clean('tweet')})::INTEGER AS tweet_length, source AS source_dataset
+FROM tweets
+""")
+def q_derived_columns(spark, sf):
+    c = prep.derived_columns(_tweets(spark, sf), "tweet", F.col("source"))
+    return c.select("doc_id", "tweet", "tweet_clean", "tweet_tokens", "tweet_length", "source_dataset")
+
+
+# ---------------------------------------------------------------------------
+# Filters (FLT)
+# ---------------------------------------------------------------------------
+
+@query("drop_nulls", f"""
+WITH {S.RAW}
+SELECT doc_id, class FROM raw WHERE content IS NOT NULL AND class IS NOT NULL
+""")
+def q_drop_nulls(spark, sf):
+    raw = tables.raw_labelled(spark, sf)
+    return prep.drop_nulls(raw, ["content", "class"]).select("doc_id", "class")
+
+
+@query("non_empty_text", f"""
+WITH {S.TWEETS},
+c AS (SELECT doc_id, {S.token_string('tweet')} AS tweet_tokens FROM tweets)
+SELECT doc_id, tweet_tokens FROM c WHERE {S.unicode_trim('tweet_tokens')} <> ''
+""")
+def q_non_empty_text(spark, sf):
+    c = _tweets(spark, sf).select("doc_id", T.clean_and_tokenize("tweet").alias("tweet_tokens"))
+    return prep.non_empty(c, "tweet_tokens")
+
+
+@query("min_tokens", f"""
+WITH {S.TWEETS},
+c AS (SELECT doc_id, {S.token_string('tweet')} AS tweet_tokens FROM tweets)
+SELECT doc_id FROM c WHERE tweet_tokens IS NOT NULL AND {S.unicode_trim('tweet_tokens')} <> ''
+  AND {S.token_count('tweet_tokens')} >= 3
+""")
+def q_min_tokens(spark, sf):
+    c = _tweets(spark, sf).select("doc_id", T.clean_and_tokenize("tweet").alias("tweet_tokens"))
+    c = prep.non_empty(prep.drop_nulls(c, ["tweet_tokens"]), "tweet_tokens")
+    return prep.min_tokens(c, "tweet_tokens", 3).select("doc_id")
+
+
+@query("short_text_filter", f"""
+WITH {S.TWEETS},
+c AS (SELECT doc_id, {S.clean('tweet')} AS tweet_clean FROM tweets)
+SELECT doc_id, {S.token_count('tweet_clean')} AS n_words FROM c WHERE {S.token_count('tweet_clean')} >= 3
+""")
+def q_short_text_filter(spark, sf):
+    c = _tweets(spark, sf).select("doc_id", T.clean_text("tweet").alias("tweet_clean"))
+    return prep.min_tokens(c, "tweet_clean", 3).select("doc_id", T.token_count("tweet_clean").alias("n_words"))
+
+
+@query("drop_retweets", f"""
+WITH {S.TWEETS}
+SELECT doc_id FROM tweets WHERE NOT coalesce(regexp_matches(tweet, {S.q(T.LEADING_RT_WORD_RE)}), false)
+""")
+def q_drop_retweets(spark, sf):
+    t = _tweets(spark, sf)
+    return prep.drop_retweets(t, "tweet").select("doc_id")
+
+
+@query("split_lines", f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
+                  unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no FROM documents)
+SELECT doc_id, line_no::BIGINT AS line_no, {S.unicode_trim('raw')} AS line FROM l
+WHERE length({S.unicode_trim('raw')}) > 0
+""")
+def q_split_lines(spark, sf):
+    d = tables.documents(spark, sf, "doc_id", "text")
+    return prep.split_lines(d, "text", "line", keep=["doc_id"])
+
+
+@query("reject_invalid", """
+SELECT conv_id, turn, CASE WHEN text IS NULL THEN 'missing text' WHEN length(text) < 1 THEN 'text too short'
+  ELSE 'valid' END AS status FROM conversations
+""")
+def q_reject_invalid(spark, sf):
+    c = tables.conversation_turns(spark, sf)
+    return c.select("conv_id", "turn", prep.request_status("text").alias("status"))
+
+
+# ---------------------------------------------------------------------------
+# Sets, de-duplication, lexicon labels (SET, DED, LAB)
+# ---------------------------------------------------------------------------
+
+def _union(spark, sf):
+    docs = tables.documents(spark, sf, "doc_id", "text")
+    conv = tables.conversation_turns(spark, sf).select("conv_id", "turn", "role", "text")
+    bench = tables.benchmark_items(spark, sf)
+    return prep.union_sources([("documents", docs), ("conversations", conv), ("benchmark", bench)])
+
+
+UNION_SQL = """u AS (
+  SELECT doc_id, text, NULL::BIGINT AS conv_id, NULL::BIGINT AS turn, NULL::VARCHAR AS role,
+         NULL::BIGINT AS item_id, 'documents' AS source_dataset FROM documents
+  UNION ALL SELECT NULL, text, conv_id, turn, role, NULL, 'conversations' FROM conversations
+  UNION ALL SELECT NULL, text, NULL, NULL, NULL, item_id, 'benchmark' FROM benchmark)"""
+
+
+@query("union_sources", f"""
+WITH {UNION_SQL}
+SELECT doc_id, conv_id, turn, role, item_id, source_dataset, length(text)::INTEGER AS text_chars FROM u
+""")
+def q_union_sources(spark, sf):
+    u = _union(spark, sf)
+    return u.select("doc_id", "conv_id", "turn", "role", "item_id", "source_dataset",
+                    F.length("text").alias("text_chars"))
+
+
+@query("source_counts", f"""
+WITH {UNION_SQL}
+SELECT source_dataset, count(*) AS n FROM u GROUP BY source_dataset
+""")
+def q_source_counts(spark, sf):
+    return _union(spark, sf).groupBy("source_dataset").agg(F.count("*").alias("n"))
+
+
+@query("cap_rows_per_source", """
+SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r
+FROM documents) WHERE r <= 1500
+""")
+def q_cap_rows_per_source(spark, sf):
+    from moodspark.sources.files import cap_rows_per_group
+    d = tables.documents(spark, sf, "doc_id", "source")
+    return cap_rows_per_group(d, "source", "doc_id", 1500)
+
+
+@query("dedupe_text", """
+SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY text ORDER BY source, doc_id) AS r
+FROM documents) WHERE r = 1
+""")
+def q_dedupe_text(spark, sf):
+    d = tables.documents(spark, sf, "doc_id", "source", "text")
+    return prep.dedupe(d, "text", ["source", "doc_id"]).select("doc_id", "source")
+
+
+def _lexicon_sql() -> str:
+    vals = ", ".join(f"({S.q(w)}, {v!r})" for w, v in lexicon.MINI_LEXICON)
+    neg = S.sql_list(lexicon.NEGATORS)
+    up = S.sql_list(lexicon.INTENSIFIERS)
+    down = S.sql_list(lexicon.DAMPENERS)
+
+    def boost(p, k):
+        return (f"(CASE WHEN list_contains({up}, {p}) THEN {lexicon.BOOST} WHEN list_contains({down}, {p}) "
+                f"THEN -{lexicon.BOOST} ELSE 0.0 END) * {lexicon.DECAY[k]}")
+
+    def isneg(p):
+        return f"(CASE WHEN list_contains({neg}, {p}) THEN 1 ELSE 0 END)"
+
+    return f"""
+lex(word, valence) AS (VALUES {vals}),
+w AS (SELECT doc_id, list_filter(string_split({S.clean('tweet')}, ' '), lambda t: length(t) > 0) AS words FROM tweets),
+u AS (SELECT doc_id, unnest(words) AS tok, unnest(generate_series(1, len(words))) AS i FROM w),
+ctx AS (SELECT doc_id, tok, lag(tok, 1) OVER d AS p1, lag(tok, 2) OVER d AS p2, lag(tok, 3) OVER d AS p3
+        FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+hits AS (SELECT doc_id, (valence + (CASE WHEN valence < 0 THEN -1.0 ELSE 1.0 END) *
+           ({boost('p1', 0)} + {boost('p2', 1)} + {boost('p3', 2)}))
+           * pow({lexicon.NEGATION_SCALAR}, {isneg('p1')} + {isneg('p2')} + {isneg('p3')}) AS v
+         FROM ctx JOIN lex ON ctx.tok = lex.word),
+s AS (SELECT t.doc_id, coalesce(sum(h.v), 0.0) AS s FROM tweets t LEFT JOIN hits h ON t.doc_id = h.doc_id
+      GROUP BY t.doc_id),
+sc AS (SELECT doc_id, s / sqrt(s * s + {lexicon.ALPHA}) AS sentiment_score FROM s)"""
+
+
+LEX_SQL = _lexicon_sql()
+
+
+def _lexicon_scores(spark, sf):
+    t = _tweets(spark, sf).select("doc_id", T.split_words(T.clean_text("tweet")).alias("words"))
+    return lexicon.lexicon_score(t, "doc_id", "words", lexicon.lexicon_table(spark))
+
+
+@query("lexicon_score", f"""
+WITH {S.TWEETS}, {LEX_SQL}
+SELECT doc_id, round(sentiment_score, 6) AS sentiment_score FROM sc
+""")
+def q_lexicon_score(spark, sf):
+    s = _lexicon_scores(spark, sf)
+    return s.select("doc_id", r6(F.col("sentiment_score")).alias("sentiment_score"))
+
+
+@query("lexicon_label", f"""
+WITH {S.TWEETS}, {LEX_SQL}
+SELECT CASE WHEN sentiment_score >= 0.05 THEN 'positive' WHEN sentiment_score <= -0.05 THEN 'negative'
+  ELSE 'neutral' END AS sentiment_label, count(*) AS n FROM sc GROUP BY 1
+""")
+def q_lexicon_label(spark, sf):
+    s = _lexicon_scores(spark, sf)
+    return s.groupBy(lexicon.score_label().alias("sentiment_label")).agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# Features (FEA)
+# ---------------------------------------------------------------------------
+
+def _terms_sql(src: str = "toks", where: str = "TRUE") -> str:
+    """Long-form 1- and 2-grams of the filtered tokens of ``src``."""
+    return f"""
+u AS (SELECT doc_id, unnest(tokens) AS tok, unnest(generate_series(1, len(tokens))) AS i FROM {src} WHERE {where}),
+f AS (SELECT doc_id, tok, i FROM u WHERE length(tok) >= 2),
+bi AS (SELECT doc_id, tok || ' ' || lead(tok) OVER (PARTITION BY doc_id ORDER BY i) AS term FROM f),
+terms AS (SELECT doc_id, tok AS term FROM f UNION ALL SELECT doc_id, term FROM bi WHERE term IS NOT NULL)"""
+
+
+def _vocab_sql(min_df, max_df, max_features, ndocs_from: str = "toks", where: str = "TRUE") -> str:
+    lo = f"{min_df} * n.n" if isinstance(min_df, float) else str(min_df)
+    hi = f"{max_df} * n.n" if isinstance(max_df, float) else str(max_df)
+    return f"""
+n AS (SELECT count(*) AS n FROM {ndocs_from} WHERE {where}),
+st AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS ctf FROM terms GROUP BY term),
+vocab AS (SELECT term, df, ctf, ln((1 + n.n) / (1 + df)) + 1 AS idf FROM st, n
+          WHERE df >= {lo} AND df <= {hi} ORDER BY ctf DESC, term LIMIT {max_features})"""
+
+
+def _tfidf_sql(sublinear: bool, terms: str = "terms") -> str:
+    tfw = "(1 + ln(tf))" if sublinear else "tf"
+    return f"""
+tf AS (SELECT doc_id, term, count(*) AS tf FROM {terms} JOIN vocab USING (term) GROUP BY doc_id, term),
+w AS (SELECT doc_id, term, {tfw} * idf AS w FROM tf JOIN vocab USING (term))
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w"""
+
+
+def _terms(spark, sf):
+    t = _labelled_tokens(spark, sf)
+    return t.select("doc_id", "label", features.ngrams("tokens", 2).alias("terms"))
+
+
+@query("ngrams", f"""
+WITH {S.LABELLED}, {TOKS_SQL}, {_terms_sql()}
+SELECT doc_id, term, count(*) AS n FROM terms GROUP BY doc_id, term
+""")
+def q_ngrams(spark, sf):
+    t = _terms(spark, sf)
+    return (t.select("doc_id", F.explode("terms").alias("term"))
+            .groupBy("doc_id", "term").agg(F.count("*").alias("n")))
+
+
+NB = features.NOTEBOOK_CONFIG
+CLI = features.CLI_CONFIG
+
+
+@query("vocabulary_topk", f"""
+WITH {S.LABELLED}, {TOKS_SQL}, {_terms_sql()}, {_vocab_sql(NB['min_df'], NB['max_df'], NB['max_features'])}
+SELECT term, df, ctf, round(idf, 6) AS idf, (row_number() OVER (ORDER BY term) - 1)::INTEGER AS idx FROM vocab
+""")
+def q_vocabulary_topk(spark, sf):
+    v, _ = features.fit_vocabulary(_terms(spark, sf), "terms", NB["min_df"], NB["max_df"], NB["max_features"])
+    return v.select("term", "df", "ctf", r6(F.col("idf")).alias("idf"), "idx")
+
+
+@query("tfidf_sublinear", f"""
+WITH {S.LABELLED}, {TOKS_SQL}, {_terms_sql()}, {_vocab_sql(NB['min_df'], NB['max_df'], NB['max_features'])},
+{_tfidf_sql(True)}
+""")
+def q_tfidf_sublinear(spark, sf):
+    t = _terms(spark, sf)
+    v, _ = features.fit_vocabulary(t, "terms", NB["min_df"], NB["max_df"], NB["max_features"])
+    w = features.tfidf_long(t, "doc_id", "terms", v, sublinear=True)
+    return w.select("doc_id", "term", r6(F.col("weight")).alias("weight"))
+
+
+@query("tfidf_plain", f"""
+WITH {S.LABELLED}, {TOKS_SQL}, {_terms_sql()}, {_vocab_sql(CLI['min_df'], CLI['max_df'], CLI['max_features'])},
+{_tfidf_sql(False)}
+""")
+def q_tfidf_plain(spark, sf):
+    t = _terms(spark, sf)
+    v, _ = features.fit_vocabulary(t, "terms", CLI["min_df"], CLI["max_df"], CLI["max_features"])
+    w = features.tfidf_long(t, "doc_id", "terms", v, sublinear=False)
+    return w.select("doc_id", "term", r6(F.col("weight")).alias("weight"))
+
+
+SPLIT_SQL = (f"{S.class_rank_cte('toks', 'ranked')}, "
+             f"split AS (SELECT doc_id, label, tokens, {S.SPLIT_EXPR} AS split FROM ranked)")
+
+
+@query("frozen_vocab_transform", f"""
+WITH {S.LABELLED}, {TOKS_SQL}, {SPLIT_SQL}, {_terms_sql('split')},
+train_terms AS (SELECT * FROM terms WHERE doc_id IN (SELECT doc_id FROM split WHERE split = 'train')),
+{_vocab_sql(NB['min_df'], NB['max_df'], NB['max_features'], 'split', "split = 'train'").replace('FROM terms GROUP', 'FROM train_terms GROUP')},
+held AS (SELECT * FROM terms WHERE doc_id IN (SELECT doc_id FROM split WHERE split <> 'train')),
+{_tfidf_sql(True, 'held')}
+""")
+def q_frozen_vocab_transform(spark, sf):
+    t = _terms(spark, sf)
+    s = sampling.stratified_split(t, "label", "doc_id")
+    train = s.where(F.col("split") == "train")
+    v, _ = features.fit_vocabulary(train, "terms", NB["min_df"], NB["max_df"], NB["max_features"])
+    held = s.where(F.col("split") != "train")
+    w = features.tfidf_long(held, "doc_id", "terms", v, sublinear=True)
+    return w.select("doc_id", "term", r6(F.col("weight")).alias("weight"))
+
+
+# ---------------------------------------------------------------------------
+# Sampling (SMP) and class weights (MOD6)
+# ---------------------------------------------------------------------------
+
+CAP_PER_CLASS = 100
+
+
+@query("stratified_cap", f"""
+WITH {S.LABELLED}, {S.class_rank_cte('labelled')}
+SELECT doc_id, label FROM ranked WHERE rnk <= {CAP_PER_CLASS}
+""")
+def q_stratified_cap(spark, sf):
+    d = tables.labelled_documents(spark, sf).select("doc_id", "label")
+    return sampling.stratified_cap(d, "label", "doc_id", CAP_PER_CLASS)
+
+
+@query("stratified_split", f"""
+WITH {S.LABELLED}, {S.class_rank_cte('labelled')}
+SELECT doc_id, label, {S.SPLIT_EXPR} AS split FROM ranked
+""")
+def q_stratified_split(spark, sf):
+    d = tables.labelled_documents(spark, sf).select("doc_id", "label")
+    return sampling.stratified_split(d, "label", "doc_id")
+
+
+@query("stratified_folds", f"""
+WITH {S.LABELLED}, {S.class_rank_cte('labelled')}
+SELECT doc_id, label, ((rnk - 1) % 5)::INTEGER AS fold FROM ranked
+""")
+def q_stratified_folds(spark, sf):
+    d = tables.labelled_documents(spark, sf).select("doc_id", "label")
+    return sampling.stratified_folds(d, "label", "doc_id", 5)
+
+
+@query("shuffle_order", """
+SELECT doc_id, md5('42|' || CAST(doc_id AS VARCHAR)) AS shuffle_key FROM labels
+""")
+def q_shuffle_order(spark, sf):
+    d = tables.read_table(spark, sf, "labels").select("doc_id")
+    return sampling.shuffled(d, "doc_id").withColumn("shuffle_key", sampling.hash_key("doc_id"))
+
+
+@query("class_weights", f"""
+WITH {S.LABELLED},
+c AS (SELECT label, count(*) AS n_c FROM labelled GROUP BY label),
+k AS (SELECT count(*) AS k, sum(n_c) AS n FROM c)
+SELECT l.doc_id, l.label, round(k.n / (k.k * c.n_c), 6) AS weight FROM labelled l JOIN c USING (label), k
+""")
+def q_class_weights(spark, sf):
+    from moodspark.plans.training import balanced_weights
+    d = tables.labelled_documents(spark, sf).select("doc_id", "label")
+    return balanced_weights(d, "label").select("doc_id", "label", r6(F.col("weight")).alias("weight"))
+
+
+@query("nb_closed_form", f"""
+WITH {S.LABELLED}, {TOKS_SQL}, {_terms_sql()}, {_vocab_sql(NB['min_df'], NB['max_df'], NB['max_features'])},
+tf AS (SELECT doc_id, term, count(*) AS tf FROM terms JOIN vocab USING (term) GROUP BY doc_id, term),
+w0 AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN vocab USING (term)),
+w AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w0),
+cw AS (SELECT t.label, w.term, sum(w.w) AS s FROM w JOIN toks t USING (doc_id) GROUP BY t.label, w.term),
+cls AS (SELECT DISTINCT label FROM toks),
+grid AS (SELECT cls.label, vocab.term FROM cls, vocab),
+full_ AS (SELECT g.label, g.term, coalesce(cw.s, 0.0) AS s FROM grid g LEFT JOIN cw USING (label, term)),
+tot AS (SELECT label, sum(s) AS total FROM full_ GROUP BY label),
+v AS (SELECT count(*) AS v FROM vocab)
+SELECT f.label, f.term, round(ln((f.s + 0.1) / (tot.total + 0.1 * v.v)), 6) AS log_theta
+FROM full_ f JOIN tot USING (label), v
+""")
+def q_nb_closed_form(spark, sf):
+    from moodspark.plans.training import naive_bayes_long
+    t = _terms(spark, sf)
+    v, _ = features.fit_vocabulary(t, "terms", NB["min_df"], NB["max_df"], NB["max_features"])
+    w = features.tfidf_long(t, "doc_id", "terms", v, sublinear=True)
+    theta = naive_bayes_long(w, t.select("doc_id", "label"), v, "doc_id", "label", smoothing=0.1)
+    return theta.select("label", "term", r6(F.col("log_theta")).alias("log_theta"))
+
+
+# ---------------------------------------------------------------------------
+# Ensembles and routing on score tables (MOD7, MOD8, MOD10, MOD11)
+# ---------------------------------------------------------------------------
+
+@query("weighted_ensemble", f"""
+WITH {S.LABELLED}, {S.SCORES},
+c AS (SELECT doc_id, [s[1] * 0.65 + f[1] * 0.35, s[2] * 0.65 + f[2] * 0.35, s[3] * 0.65 + f[3] * 0.35] AS c FROM scores)
+SELECT doc_id, round(c[1], 6) AS c0, round(c[2], 6) AS c1, round(c[3], 6) AS c2, {S.argmax('c')} AS prediction FROM c
+""")
+def q_weighted_ensemble(spark, sf):
+    e = ensemble.weighted_ensemble(_scores(spark, sf), ["s", "f"], [0.65, 0.35])
+    return e.select("doc_id", *[r6(F.col("scores")[i]).alias(f"c{i}") for i in range(3)], "prediction")
+
+
+ROUTE_SQL = f"""rt AS (SELECT doc_id, list_sort(s, 'DESC')[1] - list_sort(s, 'DESC')[2] AS margin, s, f FROM scores),
+routed AS (SELECT doc_id, margin, margin < 0.35 AS use_fallback,
+  CASE WHEN margin < 0.35 THEN {S.argmax('f')} ELSE {S.argmax('s')} END AS prediction FROM rt)"""
+
+
+@query("confidence_route", f"""
+WITH {S.LABELLED}, {S.SCORES}, {ROUTE_SQL}
+SELECT doc_id, round(margin, 6) AS margin, use_fallback, prediction FROM routed
+""")
+def q_confidence_route(spark, sf):
+    r = ensemble.confidence_route(_scores(spark, sf), "s", "f", 0.35)
+    return r.select("doc_id", r6(F.col("margin")).alias("margin"), "use_fallback", "prediction")
+
+
+@query("fallback_rate", f"""
+WITH {S.LABELLED}, {S.SCORES}, {ROUTE_SQL}
+SELECT round(avg(CASE WHEN use_fallback THEN 1.0 ELSE 0.0 END), 6) AS fallback_rate, count(*) AS n FROM routed
+""")
+def q_fallback_rate(spark, sf):
+    r = ensemble.confidence_route(_scores(spark, sf), "s", "f", 0.35)
+    return ensemble.fallback_rate(r).select(r6(F.col("fallback_rate")).alias("fallback_rate"), "n")
+
+
+def _report_sql(src: str, group: str | None = None) -> str:
+    """Per-class precision/recall/F1/support from a (label, prediction) table."""
+    g = f"{group}, " if group else ""
+    gb = f"GROUP BY {group}, cls" if group else "GROUP BY cls"
+    return f"""
+cm AS (SELECT {g}label, prediction, count(*) AS n FROM {src} GROUP BY {g}label, prediction),
+e AS (SELECT {g}label AS cls, n AS support, 0 AS predicted, CASE WHEN label = prediction THEN n ELSE 0 END AS tp FROM cm
+      UNION ALL SELECT {g}prediction, 0, n, 0 FROM cm),
+per AS (SELECT {g}cls, sum(support) AS support, sum(predicted) AS predicted, sum(tp) AS tp FROM e {gb}),
+pr AS (SELECT {g}cls, support, coalesce(tp / nullif(predicted, 0), 0.0) AS precision,
+       coalesce(tp / nullif(support, 0), 0.0) AS recall FROM per),
+rep AS (SELECT {g}cls, support, precision, recall,
+        coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM pr)"""
+
+
+def _fold_f1(spark, sf):
+    p = _predictions(spark, sf).select("doc_id", "label", "prediction")
+    folds = sampling.stratified_folds(p, "label", "doc_id", 5)
+    from moodspark.plans.training import per_group_summary
+    return per_group_summary(folds, "fold")
+
+
+@query("cv_summary", f"""
+WITH {S.LABELLED}, {S.SCORES}, {PRED_SQL}, {S.class_rank_cte('pred')},
+fp AS (SELECT ((rnk - 1) % 5)::INTEGER AS fold, label, prediction FROM ranked),
+{_report_sql('fp', 'fold')},
+ff AS (SELECT fold, sum(f1 * support) / sum(support) AS f1w FROM rep GROUP BY fold)
+SELECT round(avg(f1w), 6) AS cv_f1_mean, round(stddev_pop(f1w), 6) AS cv_f1_std, count(*) AS folds FROM ff
+""")
+def q_cv_summary(spark, sf):
+    f = _fold_f1(spark, sf)
+    return f.agg(r6(F.avg("f1_weighted")).alias("cv_f1_mean"),
+                 r6(F.stddev_pop("f1_weighted")).alias("cv_f1_std"),
+                 F.count("*").alias("folds"))
+
+
+MODEL_SALTS = ["m1", "m2", "m3", "m4"]
+
+
+def _pseudo_model_predictions(spark, sf):
+    """Predictions of four pseudo-models (md5 salts) on the stratified split."""
+    d = tables.labelled_documents(spark, sf).select("doc_id", "label")
+    s = sampling.stratified_split(d, "label", "doc_id")
+    rows = []
+    for order, salt in enumerate(MODEL_SALTS):
+        m = F.md5(F.concat(F.lit(f"{salt}|"), F.col("doc_id").cast("string")))
+        arr = F.array(*[SC.hex_unit(m, k) for k in (1, 5, 9)])
+        rows.append(s.select(F.lit(salt).alias("model"), F.lit(order).alias("run_order"), "doc_id",
+                             "label", "split", SC.argmax(arr).alias("prediction")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def _pseudo_sql() -> str:
+    parts = []
+    for order, salt in enumerate(MODEL_SALTS):
+        arr = S.score_array(salt)
+        parts.append(f"SELECT '{salt}' AS model, {order} AS run_order, doc_id, label, split, "
+                     f"{S.argmax(arr)} AS prediction FROM sp")
+    return (f"{S.class_rank_cte('labelled')}, sp AS (SELECT doc_id, label, {S.SPLIT_EXPR} AS split FROM ranked), "
+            f"mp AS ({' UNION ALL '.join(parts)})")
+
+
+COMPARISON_SQL = f"""{_pseudo_sql()},
+mps AS (SELECT model || '|' || split AS grp, label, prediction FROM mp WHERE split <> 'train'),
+{_report_sql('mps', 'grp')},
+g AS (SELECT grp, sum(f1 * support) / sum(support) AS f1w, sum(recall * support) / sum(support) AS acc FROM rep GROUP BY grp),
+cmp AS (SELECT split_part(grp, '|', 1) AS model,
+  max(CASE WHEN split_part(grp, '|', 2) = 'val' THEN acc END) AS accuracy_val,
+  max(CASE WHEN split_part(grp, '|', 2) = 'val' THEN f1w END) AS f1_val,
+  max(CASE WHEN split_part(grp, '|', 2) = 'test' THEN acc END) AS accuracy_test,
+  max(CASE WHEN split_part(grp, '|', 2) = 'test' THEN f1w END) AS f1_test
+  FROM g GROUP BY 1)"""
+
+
+def _comparison(spark, sf):
+    from moodspark.plans.training import comparison_from_predictions
+    return comparison_from_predictions(_pseudo_model_predictions(spark, sf))
+
+
+@query("best_model", f"""
+WITH {S.LABELLED}, {COMPARISON_SQL},
+ro AS (SELECT model, f1_test, list_position({S.sql_list(MODEL_SALTS)}, model) AS run_order FROM cmp)
+SELECT model, round(f1_test, 6) AS f1_test FROM ro ORDER BY f1_test DESC, run_order LIMIT 1
+""")
+def q_best_model(spark, sf):
+    from moodspark.plans.training import best_model
+    c = _comparison(spark, sf)
+    return best_model(c).select("model", r6(F.col("f1_test")).alias("f1_test"))
+
+
+@query("metric_extremes", f"""
+WITH {S.LABELLED}, {COMPARISON_SQL}
+SELECT model, round(f1_test, 6) AS f1_test, round(accuracy_val, 6) AS accuracy_val,
+  f1_test = max(f1_test) OVER () AS best_f1_test, accuracy_val = max(accuracy_val) OVER () AS best_accuracy_val,
+  f1_val = min(f1_val) OVER () AS lowest_f1_val
+FROM cmp
+""")
+def q_metric_extremes(spark, sf):
+    c = _comparison(spark, sf)
+    e = evaluate.metric_extremes(c, ["f1_test", "accuracy_val"], ["f1_val"])
+    return e.select("model", r6(F.col("f1_test")).alias("f1_test"), r6(F.col("accuracy_val")).alias("accuracy_val"),
+                    "best_f1_test", "best_accuracy_val", F.col("best_f1_val").alias("lowest_f1_val"))
+
+
+# ---------------------------------------------------------------------------
+# Scoring rules on score tables (SCO2, SCO3)
+# ---------------------------------------------------------------------------
+
+@query("softmax_confidence", f"""
+WITH {S.LABELLED}, {S.SCORES}, {PRED_SQL}
+SELECT doc_id, prediction,
+  round(exp(s[prediction + 1] - list_max(s)) / list_sum(list_transform(s, lambda v: exp(v - list_max(s)))), 6) AS score,
+  round(1 / (1 + exp(-abs(s[1]))), 6) AS binary_score
+FROM pred
+""")
+def q_softmax_confidence(spark, sf):
+    p = _predictions(spark, sf)
+    return p.select("doc_id", "prediction", r6(SC.confidence("s", "prediction")).alias("score"),
+                    r6(SC.confidence(F.array(F.col("s")[0]), F.lit(0))).alias("binary_score"))
+
+
+@query("empty_text_rule", f"""
+WITH {S.TWEETS}, {S.LABELLED}, {S.SCORES}, {PRED_SQL},
+tk AS (SELECT doc_id, {S.token_string('text')} AS tokens FROM tweets)
+SELECT tk.doc_id,
+  CASE WHEN tk.tokens = '' OR p.doc_id IS NULL THEN 'neutral' ELSE {S.label_name('p.prediction')} END AS label,
+  CASE WHEN tk.tokens = '' OR p.doc_id IS NULL THEN 0.0 ELSE
+    round(exp(p.s[p.prediction + 1] - list_max(p.s)) / list_sum(list_transform(p.s, lambda v: exp(v - list_max(p.s)))), 6)
+  END AS score,
+  tk.tokens AS tokens
+FROM tk LEFT JOIN pred p ON tk.doc_id = p.doc_id
+""")
+def q_empty_text_rule(spark, sf):
+    from moodspark.plans.scoring import apply_empty_rule
+    t = _tweets(spark, sf).select("doc_id", T.clean_and_tokenize("text").alias("tokens"))
+    p = _predictions(spark, sf).select("doc_id", "prediction",
+                                       SC.confidence("s", "prediction").alias("p_score"))
+    j = t.join(p, "doc_id", "left")
+    out = apply_empty_rule(j, "tokens", L.label_name("prediction"), F.coalesce(F.col("p_score"), F.lit(0.0)),
+                           extra_empty=F.col("prediction").isNull())
+    return out.select("doc_id", "label", r6(F.col("score")).alias("score"), "tokens")
+
+
+# ---------------------------------------------------------------------------
+# Statistics (AGG) and evaluation (EVA)
+# ---------------------------------------------------------------------------
+
+@query("value_counts", f"""
+WITH {S.LABELLED}
+SELECT {S.label_name('label')} AS sentiment_label, count(*) AS n FROM labelled GROUP BY 1
+""")
+def q_value_counts(spark, sf):
+    d = tables.labelled_documents(spark, sf).select(L.label_name("label").alias("sentiment_label"))
+    return stats.value_counts(d, "sentiment_label")
+
+
+@query("class_counts", f"""
+WITH {S.LABELLED}
+SELECT label, count(*) AS n FROM labelled GROUP BY label
+""")
+def q_class_counts(spark, sf):
+    return stats.class_counts(tables.labelled_documents(spark, sf), "label")
+
+
+@query("class_share", f"""
+WITH {S.LABELLED},
+c AS (SELECT {S.label_name('label')} AS sentiment_label, count(*) AS n FROM labelled GROUP BY 1)
+SELECT sentiment_label, n, round(n * 100.0 / sum(n) OVER (), 6) AS pct FROM c
+""")
+def q_class_share(spark, sf):
+    d = tables.labelled_documents(spark, sf).select(L.label_name("label").alias("sentiment_label"))
+    return stats.class_share(d, "sentiment_label")
+
+
+@query("dataset_profile", f"""
+WITH {S.LABELLED},
+c AS (SELECT source AS source_dataset, count(*) AS tweets,
+  count(*) FILTER (WHERE label = 0) AS n_negative, count(*) FILTER (WHERE label = 1) AS n_neutral,
+  count(*) FILTER (WHERE label = 2) AS n_positive FROM labelled GROUP BY source)
+SELECT source_dataset, tweets, n_negative, n_neutral, n_positive,
+  round(n_negative * 100.0 / tweets, 6) AS pct_negative, round(n_neutral * 100.0 / tweets, 6) AS pct_neutral,
+  round(n_positive * 100.0 / tweets, 6) AS pct_positive FROM c WHERE tweets > 0
+""")
+def q_dataset_profile(spark, sf):
+    d = tables.labelled_documents(spark, sf).select(F.col("source").alias("source_dataset"),
+                                                    L.label_name("label").alias("sentiment_label"))
+    return stats.dataset_profile(d, "source_dataset", "sentiment_label")
+
+
+@query("dataset_share", f"""
+WITH {UNION_SQL},
+c AS (SELECT source_dataset, count(*) AS tweets FROM u GROUP BY source_dataset)
+SELECT source_dataset, tweets, sum(tweets) OVER ()::BIGINT AS total, round(tweets * 100.0 / sum(tweets) OVER (), 1) AS share_pct
+FROM c
+""")
+def q_dataset_share(spark, sf):
+    return stats.dataset_share(_union(spark, sf), "source_dataset")
+
+
+@query("funnel_counts", f"""
+WITH {S.TWEETS},
+k AS (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY source, doc_id) = 1 AS keep FROM tweets),
+f AS (SELECT t.doc_id, k.keep, NOT coalesce(regexp_matches(t.tweet, {S.q(T.LEADING_RT_WORD_RE)}), false) AS not_rt,
+        {S.token_count(S.token_string('t.tweet'))} >= 3 AS long_enough FROM tweets t JOIN k USING (doc_id))
+SELECT count(*) AS n_input,
+  sum(CASE WHEN keep THEN 1 ELSE 0 END)::BIGINT AS n_deduplicated,
+  sum(CASE WHEN keep AND not_rt THEN 1 ELSE 0 END)::BIGINT AS n_no_retweet,
+  sum(CASE WHEN keep AND not_rt AND long_enough THEN 1 ELSE 0 END)::BIGINT AS n_min_words
+FROM f
+""")
+def q_funnel_counts(spark, sf):
+    t = _tweets(spark, sf)
+    keepers = prep.dedupe(t.select("doc_id", "source", "text"), "text", ["source", "doc_id"])
+    flagged = t.join(keepers.select("doc_id", F.lit(True).alias("keep")), "doc_id", "left")
+    stages = [("deduplicated", F.coalesce(F.col("keep"), F.lit(False))),
+              ("no_retweet", ~prep.is_retweet(t, "tweet")),
+              ("min_words", T.token_count(T.clean_and_tokenize("tweet")) >= 3)]
+    return stats.funnel_counts(flagged, stages)
+
+
+@query("accuracy", f"""
+WITH {S.LABELLED}, {S.SCORES}, {PRED_SQL}
+SELECT round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pred
+""")
+def q_accuracy(spark, sf):
+    return evaluate.accuracy(_predictions(spark, sf)).select(r6(F.col("accuracy")).alias("accuracy"))
+
+
+@query("f1_weighted", f"""
+WITH {S.LABELLED}, {S.SCORES}, {PRED_SQL}, {_report_sql('pred')}
+SELECT round(sum(f1 * support) / sum(support), 6) AS f1_weighted FROM rep
+""")
+def q_f1_weighted(spark, sf):
+    s = evaluate.summary(_predictions(spark, sf))
+    return s.select(r6(F.col("f1_weighted")).alias("f1_weighted"))
+
+
+@query("f1_macro", f"""
+WITH {S.LABELLED}, {S.SCORES}, {PRED_SQL}, {_report_sql('pred')}
+SELECT round(avg(f1), 6) AS f1_macro FROM rep
+""")
+def q_f1_macro(spark, sf):
+    s = evaluate.summary(_predictions(spark, sf))
+    return s.select(r6(F.col("f1_macro")).alias("f1_macro"))
+
+
+@query("class_report", f"""
+WITH {S.LABELLED}, {S.SCORES}, {PRED_SQL}, {_report_sql('pred')}
+SELECT cls::INTEGER AS class, support::BIGINT AS support, round(precision, 6) AS precision,
+  round(recall, 6) AS recall, round(f1, 6) AS f1 FROM rep
+""")
+def q_class_report(spark, sf):
+    r = evaluate.class_report(_predictions(spark, sf))
+    return r.select("class", "support", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("confusion_matrix", f"""
+WITH {S.LABELLED}, {S.SCORES}, {PRED_SQL}
+SELECT label, count(*) FILTER (WHERE prediction = 0) AS pred_0, count(*) FILTER (WHERE prediction = 1) AS pred_1,
+  count(*) FILTER (WHERE prediction = 2) AS pred_2 FROM pred GROUP BY label
+""")
+def q_confusion_matrix(spark, sf):
+    return evaluate.confusion_matrix(_predictions(spark, sf))
+
+
+@query("demo_accuracy", f"""
+WITH {S.LABELLED}, {S.SCORES}, {PRED_SQL}, {TITLES_SQL},
+c AS (SELECT CASE WHEN {S.expected_label("split_part(title, ' - ', 1)")} = {S.label_name('prediction')}
+        THEN 'Oui' ELSE 'Non' END AS correct FROM titles)
+SELECT sum(CASE WHEN correct = 'Oui' THEN 1 ELSE 0 END)::BIGINT AS correct, count(*) AS total,
+  round(sum(CASE WHEN correct = 'Oui' THEN 1 ELSE 0 END) * 100.0 / count(*), 6) AS pct FROM c
+""")
+def q_demo_accuracy(spark, sf):
+    t = _titles(spark, sf)
+    flag = L.correct_flag(L.expected_label(L.title_group("title")), L.label_name("prediction"))
+    a = evaluate.demo_accuracy(t.select(flag.alias("correct")))
+    return a.select("correct", "total", r6(F.col("pct")).alias("pct"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_word_top120(spark, sf_dir)

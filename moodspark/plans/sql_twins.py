@@ -81,3 +81,50 @@ LABELLED = (
     "(CASE WHEN l.toxic = 1 THEN 0 WHEN l.quality = 1 THEN 2 ELSE 1 END)::INTEGER AS label "
     "FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
 )
+
+
+def _raw_label_sql() -> str:
+    from moodspark.sources.tables import RAW_LABEL_SPELLINGS
+    whens = " ".join(f"WHEN {c} THEN {sql_list(w)}[(d.doc_id % 5) + 1]" for c, w in RAW_LABEL_SPELLINGS.items())
+    return (
+        "raw AS (SELECT d.doc_id, d.source, d.text AS content, "
+        f"(CASE (CASE WHEN l.toxic = 1 THEN 0 WHEN l.quality = 1 THEN 2 WHEN l.doc_id IS NOT NULL THEN 1 END) "
+        f"{whens} ELSE NULL END) AS class "
+        "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
+    )
+
+
+RAW = _raw_label_sql()
+
+
+def hex_unit(m: str, start: int) -> str:
+    return f"(('0x' || substr({m}, {start}, 4))::INTEGER / 65535.0 * 2 - 1)"
+
+
+def score_array(salt: str, id_col: str = "doc_id") -> str:
+    m = f"md5('{salt}|' || CAST({id_col} AS VARCHAR))"
+    return "[" + ", ".join(hex_unit(m, s) for s in (1, 5, 9)) + "]"
+
+
+# Deterministic score table: three scores per labelled document per model salt.
+SCORES = (
+    "scores AS (SELECT doc_id, source, label, "
+    f"{score_array('s')} AS s, {score_array('f')} AS f FROM labelled)"
+)
+
+
+def argmax(s: str) -> str:
+    return f"(list_position({s}, list_max({s})) - 1)::INTEGER"
+
+
+def class_rank_cte(src: str, name: str = "ranked", seed: int = 42) -> str:
+    """Exact per-class hash rank (the Spark side computes it by buckets)."""
+    return (
+        f"{name} AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY "
+        f"md5('{seed}|' || CAST(doc_id AS VARCHAR)), doc_id) AS rnk, "
+        f"count(*) OVER (PARTITION BY label) AS class_n FROM {src})"
+    )
+
+
+SPLIT_EXPR = ("(CASE WHEN rnk * 10 <= class_n * 7 THEN 'train' "
+              "WHEN rnk * 20 <= class_n * 17 THEN 'val' ELSE 'test' END)")

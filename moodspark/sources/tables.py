@@ -67,3 +67,26 @@ def benchmark_items(spark, sf_dir) -> DataFrame:
 
 def pages(spark, sf_dir) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+
+
+# Spellings of each class in the raw-label view, chosen by doc_id mod 5 (fixed
+# values written for this repository; three of them are deliberately unmapped).
+RAW_LABEL_SPELLINGS = {
+    0: ["negative", " Negative", "negatif", "0", "NEG"],
+    1: ["neutral", "NEUTRE", "1", " neutre ", "1.0"],
+    2: ["positive", "Positif", "2", "POSITIVE ", "pos"],
+}
+
+
+def raw_labelled(spark, sf_dir) -> DataFrame:
+    """Every document with a free-form label column, as a foreign CSV would
+    carry it: ``(doc_id, source, content, class)``; unlabelled documents have a
+    null ``class``."""
+    d = documents(spark, sf_dir, "doc_id", "source", "text")
+    lab = read_table(spark, sf_dir, "labels").select("doc_id", three_class_label().alias("c"))
+    j = d.join(lab, "doc_id", "left")
+    pick = (F.col("doc_id") % 5 + 1).cast("int")
+    raw = F.lit(None).cast("string")
+    for c, words in RAW_LABEL_SPELLINGS.items():
+        raw = F.when(F.col("c") == c, F.element_at(F.array(*[F.lit(w) for w in words]), pick)).otherwise(raw)
+    return j.select("doc_id", "source", F.col("text").alias("content"), raw.alias("class"))
