@@ -16,12 +16,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer,
                                 SQLTransformer)
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -125,15 +124,22 @@ def tfidf_long(df: DataFrame, id_col: str, terms_col: str, vocab: DataFrame,
 # Vector form
 # ---------------------------------------------------------------------------
 
-def _sublinear(v):
-    if v is None:
-        return None
-    sv = v if isinstance(v, SparseVector) else v.toSparse()
-    vals = np.asarray(sv.values, dtype=float)
-    return Vectors.sparse(sv.size, sv.indices, np.where(vals > 0, 1.0 + np.log(np.maximum(vals, 1e-300)), vals))
+def _sublinear_udf():
+    """Build the UDF from a closure so it is shipped to executors by value
+    (workers do not need this package installed)."""
+    import numpy as _np
+    from pyspark.ml.linalg import SparseVector as _SV
+    from pyspark.ml.linalg import Vectors as _V
 
+    def sublinear(v):
+        if v is None:
+            return None
+        sv = v if isinstance(v, _SV) else v.toSparse()
+        vals = _np.asarray(sv.values, dtype=float)
+        out = _np.where(vals > 0, 1.0 + _np.log(_np.maximum(vals, 1e-300)), vals)
+        return _V.sparse(sv.size, sv.indices, out)
 
-_sublinear_udf = F.udf(_sublinear, VectorUDT())
+    return F.udf(sublinear, VectorUDT())
 
 
 class SublinearTF(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -149,7 +155,7 @@ class SublinearTF(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset):
-        return dataset.withColumn(self.getOutputCol(), _sublinear_udf(F.col(self.getInputCol())))
+        return dataset.withColumn(self.getOutputCol(), _sublinear_udf()(F.col(self.getInputCol())))
 
 
 class DropColumns(Transformer, DefaultParamsReadable, DefaultParamsWritable):

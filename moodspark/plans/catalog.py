@@ -1001,5 +1001,169 @@ def q_demo_accuracy(spark, sf):
     return a.select("correct", "total", r6(F.col("pct")).alias("pct"))
 
 
+# ---------------------------------------------------------------------------
+# Loaders and file sources (SRC1, SRC3, SRC4 + PRJ2 + TXT14 + FLT2)
+# ---------------------------------------------------------------------------
+
+@query("load_labelled", f"""
+WITH {S.RAW},
+r AS (SELECT content, {S.label_normalise('class')} AS label FROM raw WHERE content IS NOT NULL AND class IS NOT NULL),
+t AS (SELECT {S.token_string('content')} AS text, label FROM r WHERE label IS NOT NULL)
+SELECT text, label FROM t WHERE length(text) > 0
+""")
+def q_load_labelled(spark, sf):
+    from moodspark.sources.columns import load_labelled
+    return load_labelled(tables.raw_labelled(spark, sf))
+
+
+@query("csv_roundtrip", f"""
+WITH {S.LABELLED}
+SELECT doc_id, label, source, text FROM labelled
+""")
+def q_csv_roundtrip(spark, sf):
+    """SRC1: the labelled corpus written as CSV (texts hold newlines and
+    quotes) and read back with an explicit schema equals the input."""
+    from moodspark.session import scratch_path
+    from moodspark.sources.files import read_csv, write_csv
+    path = scratch_path(spark, "labelled-csv")
+    write_csv(tables.labelled_documents(spark, sf).select("doc_id", "label", "source", "text"), path)
+    return read_csv(spark, path, "doc_id long, label int, source string, text string", na_to_null=False)
+
+
+@query("glob_capped_scan", """
+SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r
+FROM documents) WHERE r <= 15
+""")
+def q_glob_capped_scan(spark, sf):
+    """SRC3: one ``<source>_clean.csv`` folder per source, read by glob with at
+    most N rows per file ordered by doc_id (N = 15 so the cap bites at sf0.01;
+    the reference's value is 1500)."""
+    from moodspark.session import scratch_path
+    from moodspark.sources.files import read_glob_capped
+    root = scratch_path(spark, "clean-csv")
+    d = tables.documents(spark, sf, "doc_id", "source", "text")
+    # one file per source: partition by source, one output file per partition
+    (d.repartition("source").write.mode("overwrite").option("header", "true")
+     .option("multiLine", "true").option("escape", '"').partitionBy("source").csv(root))
+    df = read_glob_capped(spark, root, "*.csv", 15, order="doc_id",
+                          schema="doc_id long, text string, source string")
+    return df.select("doc_id", "source")
+
+
+# ---------------------------------------------------------------------------
+# Model jobs (rows-only checks; properties in tests/)
+# ---------------------------------------------------------------------------
+
+def _train(name):
+    def run(spark, sf):
+        from moodspark.plans.training import train_and_predict
+        return train_and_predict(spark, sf, name)
+    return run
+
+
+for _name, _model in [("train_logreg", "logreg"), ("train_nb", "naive_bayes"), ("train_svm", "svm"),
+                      ("train_forest", "forest"), ("train_gbt", "boosting")]:
+    query(_name)(_train(_model))
+
+
+@query("model_comparison")
+def q_model_comparison(spark, sf):
+    """MOD1-MOD5 + MOD10: one row per model with val/test metrics, 5-fold CV
+    mean/std and training seconds."""
+    from moodspark.plans.training import compare_models
+    return compare_models(spark, sf)
+
+
+@query("grid_search")
+def q_grid_search(spark, sf):
+    """MOD9: best (C, n-gram) by 3-fold macro F1; refit scored on val/test."""
+    from moodspark.plans import training
+    corpus = training.prepare_corpus(spark, sf)
+    model, params = training.grid_search(corpus.where(F.col("split") == "train"))
+    m = training.metrics(model, corpus)
+    row = [(float(params["best_C"]), int(params["best_ngram_max"]), float(params["cv_f1_macro"]),
+            m.get("f1_macro_val"), m.get("f1_macro_test"))]
+    return spark.createDataFrame(row, "best_C double, best_ngram_max int, cv_f1_macro double, "
+                                      "f1_macro_val double, f1_macro_test double")
+
+
+@query("variant_compare")
+def q_variant_compare(spark, sf):
+    """MOD12 (+ MOD7, MOD8 estimators, SNK4 run log)."""
+    from moodspark.plans.training import variant_compare
+    from moodspark.session import scratch_path
+    return variant_compare(spark, sf, skip_tuning=False, runs_path=scratch_path(spark, "runs"))
+
+
+def _fit_best(spark, sf, name="svm"):
+    from moodspark.plans import training
+    corpus = training.prepare_corpus(spark, sf)
+    train = corpus.where(F.col("split") == "train")
+    model, _ = training.fit_classifier(name, training.fit_features(train), train)
+    return model
+
+
+def _requests(spark, sf):
+    """Scoring requests: every conversation turn, ordinal = (conv_id, turn)."""
+    c = tables.conversation_turns(spark, sf)
+    return c.select("conv_id", "turn", "text")
+
+
+@query("score_batch")
+def q_score_batch(spark, sf):
+    """SCO1-SCO4: every conversation turn scored by the SVM trained on the
+    labelled documents; label, confidence, tokens; input order kept."""
+    from moodspark.plans.scoring import score
+    return score(_fit_best(spark, sf), _requests(spark, sf), "text", keep=["conv_id", "turn"]).orderBy(
+        "conv_id", "turn")
+
+
+@query("score_stream")
+def q_score_stream(spark, sf):
+    """SCO5: the same scoring as a Structured Streaming query over the
+    conversation files (available-now trigger), read back from its sink."""
+    from moodspark.streaming.scoring import score_stream
+    model = _fit_best(spark, sf)
+    schema = tables.read_table(spark, sf, "conversations").schema
+    q, sink = score_stream(spark, model, sf, schema, "text", ["conv_id", "turn"],
+                           glob="conversations.parquet")
+    q.awaitTermination()
+    return spark.read.parquet(sink).drop("batch_id")
+
+
+@query("model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    """SNK2 + SRC6: save the fitted pipeline, load it, score with the loaded copy."""
+    from moodspark.plans.scoring import score
+    from moodspark.plans.training import load_model, save_model
+    from moodspark.session import scratch_path
+    path = save_model(_fit_best(spark, sf, "logreg"), scratch_path(spark, "model"))
+    return score(load_model(path), _requests(spark, sf), "text", keep=["conv_id", "turn"])
+
+
+@query("registry_version")
+def q_registry_version(spark, sf):
+    """SNK5: register the best pseudo-model twice; versions 1 and 2."""
+    from moodspark.plans.training import REGISTRY_SCHEMA, best_model, register
+    from moodspark.session import scratch_path
+    reg = scratch_path(spark, "registry")
+    b = best_model(_comparison(spark, sf)).first()
+    for _ in range(2):
+        register(spark, reg, "sentiment-best", f"pseudo://{b['model']}", {"f1_test": b["f1_test"]})
+    return spark.read.schema(REGISTRY_SCHEMA).parquet(reg).select("name", "version", "path")
+
+
+@query("runs_table")
+def q_runs_table(spark, sf):
+    """SNK4: one run row per pseudo-model of the comparison table."""
+    from moodspark.plans.training import RUN_SCHEMA, log_run
+    from moodspark.session import scratch_path
+    path = scratch_path(spark, "runs")
+    for r in _comparison(spark, sf).collect():  # one row per model (bounded)
+        log_run(spark, path, r["model"], {"run_order": r["run_order"]},
+                {k: r[k] for k in ("accuracy_val", "f1_val", "accuracy_test", "f1_test")})
+    return spark.read.schema(RUN_SCHEMA).parquet(path).select("run", "params", "metrics")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_word_top120(spark, sf_dir)

@@ -36,7 +36,9 @@ from moodspark.session import scratch_path, shared_dir
 from moodspark.sources import tables
 
 SEED = 42
-# Reference model configurations (fixed values).
+# Reference model configurations (fixed values).  The linear models' stopping
+# tolerance is the reference library's default.
+TOL = 1e-4
 LOGREG = dict(C=1.0, max_iter=1000)
 NAIVE_BAYES = dict(alpha=0.1)
 SVM = dict(C=1.0, max_iter=2000)
@@ -155,12 +157,12 @@ def classifier(name: str, n_train: int, C: float | None = None):
     if name == "logreg":
         c = C or LOGREG["C"]
         return LogisticRegression(family="multinomial", regParam=1.0 / (c * n_train), elasticNetParam=0.0,
-                                  standardization=False, maxIter=LOGREG["max_iter"])
+                                  standardization=False, maxIter=LOGREG["max_iter"], tol=TOL)
     if name == "naive_bayes":
         return NaiveBayes(modelType="multinomial", smoothing=NAIVE_BAYES["alpha"])
     if name == "svm":
         c = C or SVM["C"]
-        svc = LinearSVC(regParam=1.0 / (c * n_train), maxIter=SVM["max_iter"], standardization=False)
+        svc = LinearSVC(regParam=1.0 / (c * n_train), maxIter=SVM["max_iter"], standardization=False, tol=TOL)
         return OneVsRest(classifier=svc, parallelism=3)
     if name == "forest":
         return RandomForestClassifier(numTrees=FOREST["n_trees"], maxDepth=FOREST["max_depth"],
@@ -179,14 +181,30 @@ def fit_features(train: DataFrame, config=features.NOTEBOOK_CONFIG) -> PipelineM
     return features.fit_tfidf(train, "tokens", **config)
 
 
+# Rows per partition of a cached training set.  Iterative optimisers run one
+# job per iteration; partitions much smaller than this make every iteration
+# scheduling-bound, larger ones limit parallelism.
+ROWS_PER_PARTITION = 20_000
+
+
+def cache_for_fit(x: DataFrame, n: int | None = None) -> tuple[DataFrame, int]:
+    """Repartition a training set to ``ceil(n / ROWS_PER_PARTITION)`` partitions
+    (at most 4x the default parallelism) and cache it; returns (df, rows)."""
+    n = x.count() if n is None else n
+    par = x.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(-(-n // ROWS_PER_PARTITION), 4 * par))
+    y = x.repartition(parts).persist()
+    y.count()
+    return y, n
+
+
 def fit_classifier(name: str, feats: PipelineModel, train: DataFrame) -> tuple[PipelineModel, float]:
     """Fit one classifier on cached features; returns the full scoring
     pipeline (features + classifier) and the fit seconds."""
     x = feats.transform(train)
     if name == "forest":
         x = balanced_weights(x, "label")
-    x = x.withColumn("label", F.col("label").cast("double")).persist()
-    n = x.count()
+    x, n = cache_for_fit(x.withColumn("label", F.col("label").cast("double")))
     try:
         t0 = time.perf_counter()
         m = classifier(name, n).fit(x)
@@ -263,9 +281,8 @@ def cross_validate(name: str, corpus: DataFrame, k: int = CV_FOLDS) -> tuple[flo
     x = feats.transform(sampling.stratified_folds(train, "label", "doc_id", k))
     if name == "forest":
         x = balanced_weights(x, "label")
-    x = x.withColumn("label", F.col("label").cast("double")).persist()
+    x, n = cache_for_fit(x.withColumn("label", F.col("label").cast("double")))
     try:
-        n = x.count()
         est = classifier(name, int(n * (k - 1) / k))
         cv = CrossValidator(estimator=est, estimatorParamMaps=[{}], evaluator=WeightedF1Evaluator(),
                             foldCol="fold", numFolds=k, parallelism=1, seed=SEED)
@@ -305,13 +322,12 @@ def grid_search(train: DataFrame, folds: int = GRID_FOLDS, Cs=GRID_C, ngrams=GRI
                 parallelism: int = 4):
     """MOD9: C x n-gram grid, macro F1, k-fold (hash-ranked per class), the
     vectoriser refitted inside every fold; refit of the best on all train rows."""
-    x = sampling.stratified_folds(train, "label", "doc_id", folds).withColumn(
-        "label", F.col("label").cast("double")).persist()
+    x, n = cache_for_fit(sampling.stratified_folds(train, "label", "doc_id", folds).withColumn(
+        "label", F.col("label").cast("double")))
     try:
-        n = x.count()
         n_fold = int(n * (folds - 1) / folds)
         tf = tfidf_estimator(features.CLI_CONFIG)
-        svc = LinearSVC(standardization=False, maxIter=1000)
+        svc = LinearSVC(standardization=False, maxIter=1000, tol=TOL)
         ovr = OneVsRest(classifier=svc, parallelism=3)
         pipe = Pipeline(stages=[tf, ovr])
         grid = (ParamGridBuilder().addGrid(tf.ngramMax, list(ngrams))
@@ -324,7 +340,7 @@ def grid_search(train: DataFrame, folds: int = GRID_FOLDS, Cs=GRID_C, ngrams=GRI
         best_c = Cs[best % len(Cs)]
         refit = Pipeline(stages=[tfidf_estimator({**features.CLI_CONFIG, "ngram_max": best_ngram}),
                                  OneVsRest(classifier=LinearSVC(regParam=1.0 / (best_c * n), standardization=False,
-                                                                maxIter=1000), parallelism=3)]).fit(x)
+                                                                maxIter=1000, tol=TOL), parallelism=3)]).fit(x)
         params = {"best_C": best_c, "best_ngram_max": best_ngram, "cv_f1_macro": cvm.avgMetrics[best]}
         return _flatten(refit), params
     finally:
@@ -341,12 +357,12 @@ def _flatten(pm: PipelineModel) -> PipelineModel:
 def cli_variants(skip_tuning: bool = False) -> dict:
     """MOD12: the CLI's variants as estimators over CLI features."""
     def svc(n):
-        return OneVsRest(classifier=LinearSVC(regParam=1.0 / (SVM["C"] * n), standardization=False, maxIter=1000),
-                         parallelism=3)
+        return OneVsRest(classifier=LinearSVC(regParam=1.0 / (SVM["C"] * n), standardization=False, maxIter=1000,
+                                              tol=TOL), parallelism=3)
 
     def lr(n):
         return LogisticRegression(family="multinomial", regParam=1.0 / (LOGREG["C"] * n), standardization=False,
-                                  maxIter=LOGREG["max_iter"])
+                                  maxIter=LOGREG["max_iter"], tol=TOL)
 
     v = {
         "linearsvc_baseline": lambda n: svc(n),
@@ -375,9 +391,9 @@ def variant_compare(spark: SparkSession, sf_dir: str, skip_tuning: bool = False,
                 params.update({k: str(v) for k, v in extra.items()})
             else:
                 feats = features.fit_tfidf(train, "tokens", **features.CLI_CONFIG)
-                x = feats.transform(train).withColumn("label", F.col("label").cast("double")).persist()
+                x, nx = cache_for_fit(feats.transform(train).withColumn("label", F.col("label").cast("double")))
                 try:
-                    m = make(x.count()).fit(x)
+                    m = make(nx).fit(x)
                 finally:
                     x.unpersist()
                 model = PipelineModel(stages=list(feats.stages) + [m])
