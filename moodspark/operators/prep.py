@@ -95,17 +95,19 @@ def set_difference(words: DataFrame, remove: DataFrame, col: str = "word") -> Da
     return words.select(col).distinct().join(remove.select(col), col, "left_anti")
 
 
-def dedupe(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+def dedupe(df: DataFrame, key: str, order: list[str], id_col: str | None = None) -> DataFrame:
     """DED1: keep one row per ``key`` - the first by ``order``.
 
     A hot key (one text copied a billion times) is reduced map-side: the
     ``groupBy`` keeps only ``min(struct(order))`` per key in each task before the
-    shuffle, so no task ever holds all copies.  The keepers are then matched
-    back with a semi-join on the (unique) order columns.
+    shuffle, so no task ever holds all copies.  The keepers are matched back
+    with a semi-join on the unique ``id_col`` (default: the last order column),
+    which is null-safe for the other order columns.
     """
+    id_col = id_col or order[-1]
     keeper = F.min(F.struct(*[F.col(c) for c in order])).alias("_k")
-    keepers = df.groupBy(key).agg(keeper).select(*[F.col(f"_k.{c}").alias(c) for c in order])
-    return df.join(keepers, order, "left_semi")
+    keepers = df.groupBy(key).agg(keeper).select(F.col(f"_k.{id_col}").alias(id_col))
+    return df.join(keepers, id_col, "left_semi")
 
 
 def derived_columns(df: DataFrame, tweet_col: str, source: str | Column, created_col: str | None = None) -> DataFrame:

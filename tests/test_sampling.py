@@ -32,9 +32,11 @@ def test_split_proportions_and_partition_invariance(spark, sf_small):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "1")
-        one = sorted(tuple(r) for r in sampling.stratified_split(d, "label", "doc_id").collect())
+        one = sorted((r["doc_id"], r["label"], r["split"])
+                     for r in sampling.stratified_split(d, "label", "doc_id").collect())
         spark.conf.set("spark.sql.shuffle.partitions", "8")
-        eight = sorted(tuple(r) for r in sampling.stratified_split(d, "label", "doc_id").collect())
+        eight = sorted((r["doc_id"], r["label"], r["split"])
+                       for r in sampling.stratified_split(d, "label", "doc_id").collect())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert one == eight
