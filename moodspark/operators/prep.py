@@ -127,3 +127,36 @@ def derived_columns(df: DataFrame, tweet_col: str, source: str | Column, created
         src.alias("source_dataset"),
         created.alias("created_at"),
     )
+
+
+def lemmatize(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame,
+              out_col: str | None = None) -> DataFrame:
+    """TXT12: replace each token by its lemma from a ``(word, lemma)`` table.
+
+    Tokens are expanded with their position, left-joined to the lemma table
+    (broadcast behind a size check; WordNet-sized tables fit), and regrouped
+    per document in position order.  A document is one group, bounded by its
+    own length; the regrouped tokens are joined back on the unique id.
+    Unknown tokens are kept; a lemma may be shorter than the original token.
+    """
+    from moodspark.operators.joins import broadcast_if_small
+
+    out_col = out_col or tokens_col
+    t = F.col(tokens_col)
+    ex = df.select(id_col, F.inline(F.transform(t, lambda x, i: F.struct(i.alias("_p"), x.alias("_w")))))
+    lem = broadcast_if_small(lemmas.select(F.col("word").alias("_w"), F.col("lemma").alias("_l")))
+    j = ex.join(lem, "_w", "left").select(id_col, "_p", F.coalesce("_l", "_w").alias("_x"))
+    regrouped = j.groupBy(id_col).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_p", "_x"))), lambda s: s["_x"]).alias("_lem"))
+    base = df.join(regrouped, id_col, "left")
+    keep = [c for c in df.columns if c != out_col]
+    return base.select(*keep, F.coalesce(F.col("_lem"), F.array().cast("array<string>")).alias(out_col))
+
+
+def plural_lemmas(tokens: DataFrame, tokens_col: str) -> DataFrame:
+    """A lemma table derived from the corpus itself: ``<w>s -> <w>`` when both
+    forms occur (a self-join of the distinct vocabulary, no cross join)."""
+    words = tokens.select(F.explode(tokens_col).alias("word")).distinct()
+    plural = words.where(F.col("word").endswith("s")).select(
+        "word", F.expr("substring(word, 1, length(word) - 1)").alias("lemma"))
+    return plural.join(words.select(F.col("word").alias("lemma")), "lemma").select("word", "lemma")

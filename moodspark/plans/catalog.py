@@ -1050,6 +1050,51 @@ def q_glob_capped_scan(spark, sf):
     return df.select("doc_id", "source")
 
 
+@query("lemmatize", f"""
+WITH {S.LABELLED}, {TOKS_SQL},
+words AS (SELECT DISTINCT unnest(tokens) AS word FROM toks),
+lem AS (SELECT w.word, substr(w.word, 1, length(w.word) - 1) AS lemma FROM words w
+        JOIN words s ON s.word = substr(w.word, 1, length(w.word) - 1) WHERE w.word LIKE '%s'),
+u AS (SELECT doc_id, unnest(tokens) AS tok, unnest(generate_series(1, len(tokens))) AS i FROM toks),
+m AS (SELECT u.doc_id, u.i, coalesce(lem.lemma, u.tok) AS x FROM u LEFT JOIN lem ON u.tok = lem.word),
+g AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS lemmas FROM m GROUP BY doc_id)
+SELECT t.doc_id, coalesce(g.lemmas, '') AS lemmas FROM toks t LEFT JOIN g USING (doc_id)
+""")
+def q_lemmatize(spark, sf):
+    """TXT12 with a lemma table Spark derives from the corpus (plural forms)."""
+    t = _labelled_tokens(spark, sf).select("doc_id", "tokens")
+    lem = prep.plural_lemmas(t, "tokens")
+    out = prep.lemmatize(t, "doc_id", "tokens", lem)
+    return out.select("doc_id", F.array_join("tokens", " ").alias("lemmas"))
+
+
+@query("corpus_sink", f"""
+WITH {S.TWEETS}, {LEX_SQL}
+SELECT t.doc_id, t.tweet, {S.clean('t.tweet')} AS tweet_clean, {S.token_string('t.tweet')} AS tweet_tokens,
+  length({S.clean('t.tweet')})::INTEGER AS tweet_length,
+  CASE WHEN sc.sentiment_score >= 0.05 THEN 'positive' WHEN sc.sentiment_score <= -0.05 THEN 'negative'
+    ELSE 'neutral' END AS sentiment_label,
+  round(sc.sentiment_score, 6) AS sentiment_score, t.source AS source_dataset
+FROM tweets t JOIN sc USING (doc_id)
+""")
+def q_corpus_sink(spark, sf):
+    """SNK6 + PRJ11 + LAB1/LAB2: the cleaned, lexicon-labelled corpus written as
+    Parquet partitioned by source and read back."""
+    from moodspark.session import scratch_path
+    from moodspark.sources.files import write_corpus
+    t = _tweets(spark, sf)
+    c = prep.derived_columns(t, "tweet", F.col("source")).select(
+        "doc_id", "tweet", "tweet_clean", "tweet_tokens", "tweet_length", "source_dataset")
+    s = _lexicon_scores(spark, sf)
+    corpus = c.join(s, "doc_id").select(
+        "doc_id", "tweet", "tweet_clean", "tweet_tokens", "tweet_length",
+        lexicon.score_label().alias("sentiment_label"),
+        r6(F.col("sentiment_score")).alias("sentiment_score"), "source_dataset")
+    path = write_corpus(corpus, scratch_path(spark, "corpus"))
+    return spark.read.parquet(path).select("doc_id", "tweet", "tweet_clean", "tweet_tokens", "tweet_length",
+                                           "sentiment_label", "sentiment_score", "source_dataset")
+
+
 # ---------------------------------------------------------------------------
 # Model jobs (rows-only checks; properties in tests/)
 # ---------------------------------------------------------------------------
