@@ -78,7 +78,9 @@ def term_stats(df: DataFrame, terms_col: str) -> DataFrame:
     marked = F.concat(F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(0).alias("first"))),
                       F.transform(F.array_distinct(t),
                                   lambda x: F.struct(x.alias("term"), F.lit(1).alias("first"))))
-    ex = df.select(F.explode(marked).alias("e"))
+    # explode_outer: see stats.word_frequencies (no inferred size filter that
+    # would re-evaluate the token expression)
+    ex = df.select(F.explode_outer(marked).alias("e")).where(F.col("e").isNotNull())
     return ex.groupBy(F.col("e.term").alias("term")).agg(
         F.sum("e.first").cast("long").alias("df"),
         F.sum(1 - F.col("e.first")).cast("long").alias("ctf"))
@@ -109,7 +111,7 @@ def tfidf_long(df: DataFrame, id_col: str, terms_col: str, vocab: DataFrame,
                sublinear: bool, normalise: bool = True) -> DataFrame:
     """FEA4-FEA7 long form: (id, term, weight).  Unseen terms are dropped; a row
     whose terms are all unseen has no output rows (a zero vector)."""
-    ex = df.select(id_col, F.explode(_col(terms_col)).alias("term"))
+    ex = df.select(id_col, F.explode_outer(_col(terms_col)).alias("term")).where(F.col("term").isNotNull())
     v = broadcast_if_small(vocab.select("term", "idf"))
     tf = ex.join(v, "term").groupBy(id_col, "term", "idf").agg(F.count("*").alias("tf"))
     tfw = (1.0 + F.log(F.col("tf"))) if sublinear else F.col("tf").cast("double")

@@ -68,7 +68,7 @@ def lexicon_score(df: DataFrame, id_col: str, tokens_col: str, lexicon: DataFram
         F.when(i >= 1, F.element_at(t, i)).alias("p1"),
         F.when(i >= 2, F.element_at(t, i - 1)).alias("p2"),
         F.when(i >= 3, F.element_at(t, i - 2)).alias("p3")))
-    ex = df.select(id_col, F.inline(ctx))
+    ex = df.select(id_col, F.inline_outer(ctx)).where(F.col("tok").isNotNull())
     lex = broadcast_if_small(lexicon.select("word", "valence"))
     hits = ex.join(lex, ex["tok"] == lex["word"])
     v = F.col("valence")

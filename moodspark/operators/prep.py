@@ -143,7 +143,8 @@ def lemmatize(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame,
 
     out_col = out_col or tokens_col
     t = F.col(tokens_col)
-    ex = df.select(id_col, F.inline(F.transform(t, lambda x, i: F.struct(i.alias("_p"), x.alias("_w")))))
+    ex = df.select(id_col, F.inline_outer(F.transform(t, lambda x, i: F.struct(i.alias("_p"), x.alias("_w"))))).where(
+        F.col("_w").isNotNull())
     lem = broadcast_if_small(lemmas.select(F.col("word").alias("_w"), F.col("lemma").alias("_l")))
     j = ex.join(lem, "_w", "left").select(id_col, "_p", F.coalesce("_l", "_w").alias("_x"))
     regrouped = j.groupBy(id_col).agg(
@@ -155,8 +156,15 @@ def lemmatize(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame,
 
 def plural_lemmas(tokens: DataFrame, tokens_col: str) -> DataFrame:
     """A lemma table derived from the corpus itself: ``<w>s -> <w>`` when both
-    forms occur (a self-join of the distinct vocabulary, no cross join)."""
-    words = tokens.select(F.explode(tokens_col).alias("word")).distinct()
-    plural = words.where(F.col("word").endswith("s")).select(
-        "word", F.expr("substring(word, 1, length(word) - 1)").alias("lemma"))
-    return plural.join(words.select(F.col("word").alias("lemma")), "lemma").select("word", "lemma")
+    forms occur.  One aggregation: every word emits itself and, when it ends in
+    ``s``, a claim on its stem; stems that exist as words keep their plural."""
+    w = F.col("w")
+    emit = F.array(
+        F.struct(w.alias("k"), F.lit(1).alias("is_word"), F.lit(None).cast("string").alias("plural")),
+        F.struct(F.expr("substring(w, 1, length(w) - 1)").alias("k"), F.lit(0).alias("is_word"),
+                 F.when(w.endswith("s"), w).alias("plural")))
+    words = tokens.select(F.explode_outer(tokens_col).alias("w")).where(w.isNotNull())
+    claims = words.select(F.inline(emit)).where((F.col("is_word") == 1) | F.col("plural").isNotNull())
+    g = claims.groupBy("k").agg(F.max("is_word").alias("is_word"), F.max("plural").alias("plural"))
+    return g.where((F.col("is_word") == 1) & F.col("plural").isNotNull()).select(
+        F.col("plural").alias("word"), F.col("k").alias("lemma"))

@@ -60,7 +60,10 @@ def word_frequencies(df: DataFrame, tokens_col: str, k: int = 120) -> DataFrame:
     explode -> partial count per task -> shuffle on word -> top-k
     (TakeOrderedAndProject keeps k rows per task) -> ratio to the top count.
     """
-    words = df.select(F.explode(F.col(tokens_col)).alias("word"))
+    # explode_outer + null filter: a plain explode makes the optimizer push a
+    # size(tokens) > 0 filter below the projection, evaluating the whole
+    # cleaning chain twice per document
+    words = df.select(F.explode_outer(F.col(tokens_col)).alias("word")).where(F.col("word").isNotNull())
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
     top = counts.orderBy(F.desc("n"), F.asc("word")).limit(k)
     return top.select("word", "n", F.round(F.col("n") / F.max("n").over(_all()), 6).alias("rel_freq"))

@@ -138,7 +138,8 @@ def q_stopword_difference(spark, sf):
     stop = spark.createDataFrame([(w,) for w in _LEXICAL_STOP], "word string")
     keep = spark.createDataFrame([(w,) for w in T.DOMAIN_WORDS], "word string")
     diff = prep.set_difference(stop, keep)
-    words = _tweets(spark, sf).select(F.explode(T.split_words(T.clean_text("tweet"))).alias("word"))
+    words = _tweets(spark, sf).select(F.explode_outer(T.split_words(T.clean_text("tweet"))).alias("word")).where(
+        F.col("word").isNotNull())
     counts = words.join(F.broadcast(diff), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
     return counts
 
@@ -545,7 +546,7 @@ SELECT doc_id, term, count(*) AS n FROM terms GROUP BY doc_id, term
 """)
 def q_ngrams(spark, sf):
     t = _terms(spark, sf)
-    return (t.select("doc_id", F.explode("terms").alias("term"))
+    return (t.select("doc_id", F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
             .groupBy("doc_id", "term").agg(F.count("*").alias("n")))
 
 
@@ -1095,6 +1096,33 @@ def q_corpus_sink(spark, sf):
                                            "sentiment_label", "sentiment_score", "source_dataset")
 
 
+@query("comparison_csv", f"""
+WITH {S.LABELLED}, {COMPARISON_SQL}
+SELECT model, round(accuracy_val, 6) AS accuracy_val, round(f1_val, 6) AS f1_val,
+  round(accuracy_test, 6) AS accuracy_test, round(f1_test, 6) AS f1_test FROM cmp
+""")
+def q_comparison_csv(spark, sf):
+    """SNK1: the comparison table written as one header CSV and read back."""
+    from moodspark.session import scratch_path
+    from moodspark.sources.files import read_csv, write_csv
+    cols = ["accuracy_val", "f1_val", "accuracy_test", "f1_test"]
+    c = _comparison(spark, sf).select("model", *[r6(F.col(x)).alias(x) for x in cols])
+    path = write_csv(c, scratch_path(spark, "comparison-csv"), single_file=True)
+    return read_csv(spark, path, "model string, " + ", ".join(f"{x} double" for x in cols))
+
+
+@query("report_text")
+def q_report_text(spark, sf):
+    """SNK3: per-class report lines (name, precision, recall, F1, support)
+    written as a text file and read back."""
+    from moodspark.session import scratch_path
+    from moodspark.sources.files import write_text_lines
+    rep = evaluate.named(evaluate.class_report(_predictions(spark, sf)))
+    line = F.format_string("%-10s %9.2f %9.2f %9.2f %9d", "name", "precision", "recall", "f1", "support")
+    path = write_text_lines(rep.orderBy("class").select(line.alias("line")), "line", scratch_path(spark, "report"))
+    return spark.read.text(path)
+
+
 # ---------------------------------------------------------------------------
 # Model jobs (rows-only checks; properties in tests/)
 # ---------------------------------------------------------------------------
