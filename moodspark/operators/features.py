@@ -27,7 +27,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moodspark.operators.joins import broadcast_if_small, collect_bounded
+from moodspark.operators.joins import BROADCAST_MAX_ROWS, broadcast_if_small, collect_bounded
 
 # Configurations (fixed values of the reference's two vectorisers).
 NOTEBOOK_CONFIG = dict(ngram_max=2, max_features=50_000, sublinear=True, min_df=3, max_df=0.95)
@@ -71,13 +71,19 @@ def ngram_sql(tokens_col: str, out_col: str, ngram_max: int) -> str:
     return f"SELECT *, {expr} AS {out_col} FROM __THIS__"
 
 
-def term_stats(df: DataFrame, terms_col: str) -> DataFrame:
+def term_stats(df: DataFrame, terms_col: str, count_docs: bool = False) -> DataFrame:
     """(term, df, ctf) in one pass: each doc emits every occurrence and each
-    distinct term once; map-side partial aggregation before the shuffle."""
+    distinct term once; map-side partial aggregation before the shuffle.
+
+    With ``count_docs`` every document also emits one row with a null term,
+    so the null-term row's ``df`` is the number of documents (no extra pass).
+    """
     t = _col(terms_col)
-    marked = F.concat(F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(0).alias("first"))),
-                      F.transform(F.array_distinct(t),
-                                  lambda x: F.struct(x.alias("term"), F.lit(1).alias("first"))))
+    parts = [F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(0).alias("first"))),
+             F.transform(F.array_distinct(t), lambda x: F.struct(x.alias("term"), F.lit(1).alias("first")))]
+    if count_docs:
+        parts.append(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("first"))))
+    marked = F.concat(*parts)
     # explode_outer: see stats.word_frequencies (no inferred size filter that
     # would re-evaluate the token expression)
     ex = df.select(F.explode_outer(marked).alias("e")).where(F.col("e").isNotNull())
@@ -92,10 +98,22 @@ def idf_value(df_col, n_docs: int) -> Column:
 
 
 def fit_vocabulary(df: DataFrame, terms_col: str, min_df=1, max_df=1.0,
-                   max_features: int | None = 50_000) -> tuple[DataFrame, int]:
-    """FEA2 + FEA3: (term, df, ctf, idf[, idx]) and the number of documents."""
-    n_docs = df.count()
-    st = term_stats(df, terms_col)
+                   max_features: int | None = 50_000, cache_stats: bool = False) -> tuple[DataFrame, int]:
+    """FEA2 + FEA3: (term, df, ctf, idf[, idx]) and the number of documents.
+
+    With ``cache_stats`` the term statistics (including the document count) are
+    computed once and cached - the caller unpersists via ``vocab.stats`` after
+    materialising the vocabulary; otherwise the count is a separate action.
+    """
+    if cache_stats:
+        st_all = term_stats(df, terms_col, count_docs=True).persist()
+        row = st_all.where(F.col("term").isNull()).select("df").first()
+        n_docs = int(row["df"]) if row else 0
+        st = st_all.where(F.col("term").isNotNull())
+    else:
+        st_all = None
+        n_docs = df.count()
+        st = term_stats(df, terms_col)
     # integers are document counts, floats are fractions of the documents
     lo = min_df * n_docs if isinstance(min_df, float) else min_df
     hi = max_df * n_docs if isinstance(max_df, float) else max_df
@@ -104,15 +122,22 @@ def fit_vocabulary(df: DataFrame, terms_col: str, min_df=1, max_df=1.0,
         kept = kept.orderBy(F.desc("ctf"), F.asc("term")).limit(max_features)
         # at most max_features rows: a single ordered window is bounded
         kept = kept.withColumn("idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
-    return kept.withColumn("idf", idf_value("df", n_docs)), n_docs
+    out = kept.withColumn("idf", idf_value("df", n_docs))
+    out.stats = st_all  # cached statistics to release (or None)
+    return out, n_docs
 
 
 def tfidf_long(df: DataFrame, id_col: str, terms_col: str, vocab: DataFrame,
-               sublinear: bool, normalise: bool = True) -> DataFrame:
+               sublinear: bool, normalise: bool = True, max_terms: int | None = 50_000) -> DataFrame:
     """FEA4-FEA7 long form: (id, term, weight).  Unseen terms are dropped; a row
-    whose terms are all unseen has no output rows (a zero vector)."""
+    whose terms are all unseen has no output rows (a zero vector).
+
+    A vocabulary bounded by ``max_terms`` (its ``max_features``) is broadcast
+    without measuring it; an unbounded one only behind a row-count check.
+    """
     ex = df.select(id_col, F.explode_outer(_col(terms_col)).alias("term")).where(F.col("term").isNotNull())
-    v = broadcast_if_small(vocab.select("term", "idf"))
+    vsel = vocab.select("term", "idf")
+    v = F.broadcast(vsel) if max_terms and max_terms <= BROADCAST_MAX_ROWS else broadcast_if_small(vsel)
     tf = ex.join(v, "term").groupBy(id_col, "term", "idf").agg(F.count("*").alias("tf"))
     tfw = (1.0 + F.log(F.col("tf"))) if sublinear else F.col("tf").cast("double")
     w = tf.select(id_col, "term", (tfw * F.col("idf")).alias("w"))
@@ -185,8 +210,11 @@ def fit_tfidf(df: DataFrame, tokens_col: str, ngram_max=2, max_features=50_000,
         raise ValueError("the vector form needs max_features (a bounded vocabulary)")
     ngr = SQLTransformer(statement=ngram_sql(tokens_col, "_terms", ngram_max))
     terms = ngr.transform(df.select(tokens_col))
-    vocab, n_docs = fit_vocabulary(terms, "_terms", min_df, max_df, max_features)
-    rows = collect_bounded(vocab.select("term", "idx", "df").orderBy("idx"), max_features, "vocabulary")
+    vocab, n_docs = fit_vocabulary(terms, "_terms", min_df, max_df, max_features, cache_stats=True)
+    try:
+        rows = collect_bounded(vocab.select("term", "idx", "df").orderBy("idx"), max_features, "vocabulary")
+    finally:
+        vocab.stats.unpersist()
     words = [r["term"] for r in rows]
     idf = [math.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0 for r in rows]
     stages = [ngr,
