@@ -109,12 +109,21 @@ def best_model(cmp: DataFrame, by: str = "f1_test") -> DataFrame:
 # Corpus and features
 # ---------------------------------------------------------------------------
 
-def prepare_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prepare_corpus(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
     """(doc_id, label, tokens, split): labelled documents, cleaned, non-empty,
-    split 70/15/15 per class by hash rank."""
+    split 70/15/15 per class by hash rank.
+
+    With ``materialize`` the result is written once to the shared checkpoint
+    folder (``checkpoint()``, lineage cut) so the fits, the vocabulary and the
+    evaluations read tokens instead of re-cleaning the text each time, and a
+    lost executor re-reads the checkpoint rather than recomputing the join,
+    the cleaning and the ranking.
+    """
+    from moodspark.session import reliable_checkpoint
     d = tables.labelled_documents(spark, sf_dir)
     t = d.select("doc_id", "label", T.tokenize("text").alias("tokens")).where(F.size("tokens") > 0)
-    return sampling.stratified_split(t, "label", "doc_id")
+    out = sampling.stratified_split(t, "label", "doc_id")
+    return reliable_checkpoint(out) if materialize else out
 
 
 class TfidfNgram(Estimator, DefaultParamsReadable, DefaultParamsWritable):
@@ -296,19 +305,16 @@ def compare_models(spark: SparkSession, sf_dir: str, models=None, folds: int = C
                    with_cv: bool = True) -> DataFrame:
     """MOD1-MOD5, MOD10, MOD11 inputs: one comparison row per model."""
     models = models or MODELS
-    corpus = prepare_corpus(spark, sf_dir).persist()
+    corpus = prepare_corpus(spark, sf_dir)
     rows = []
-    try:
-        train = corpus.where(F.col("split") == "train")
-        feats = fit_features(train)
-        for order, name in enumerate(models):
-            model, secs = fit_classifier(name, feats, train)
-            m = metrics(model, corpus)
-            cv_mean, cv_std = cross_validate(name, corpus, folds) if with_cv else (None, None)
-            rows.append((name, order, m.get("accuracy_val"), m.get("f1_val"), m.get("accuracy_test"),
-                         m.get("f1_test"), cv_mean, cv_std, secs))
-    finally:
-        corpus.unpersist()
+    train = corpus.where(F.col("split") == "train")
+    feats = fit_features(train)
+    for order, name in enumerate(models):
+        model, secs = fit_classifier(name, feats, train)
+        m = metrics(model, corpus)
+        cv_mean, cv_std = cross_validate(name, corpus, folds) if with_cv else (None, None)
+        rows.append((name, order, m.get("accuracy_val"), m.get("f1_val"), m.get("accuracy_test"),
+                     m.get("f1_test"), cv_mean, cv_std, secs))
     schema = ("model string, run_order int, accuracy_val double, f1_val double, accuracy_test double, "
               "f1_test double, cv_f1_mean double, cv_f1_std double, train_seconds double")
     return spark.createDataFrame(rows, schema)
@@ -401,43 +407,40 @@ def variant_compare(spark: SparkSession, sf_dir: str, skip_tuning: bool = False,
                     runs_path: str | None = None) -> DataFrame:
     """MOD12 + MOD11 + SNK4: fit each variant, macro F1 on val/test, train
     seconds, inference ms/row, fallback rate; every run is logged."""
-    corpus = prepare_corpus(spark, sf_dir).persist()
+    corpus = prepare_corpus(spark, sf_dir)
     rows = []
-    try:
-        train = corpus.where(F.col("split") == "train")
-        held = corpus.where(F.col("split") != "train")
-        for order, (name, make) in enumerate(cli_variants(skip_tuning).items()):
-            params = {"variant": name}
-            t0 = time.perf_counter()
-            if make is None:
-                model, extra = grid_search(train)
-                params.update({k: str(v) for k, v in extra.items()})
-            else:
-                feats = features.fit_tfidf(train, "tokens", **features.CLI_CONFIG)
-                x, nx = cache_for_fit(feats.transform(train).withColumn("label", F.col("label").cast("double")))
-                try:
-                    m = make(nx).fit(x)
-                finally:
-                    x.unpersist()
-                model = PipelineModel(stages=list(feats.stages) + [m])
-            secs = time.perf_counter() - t0
-            out = model.transform(held)
-            t1 = time.perf_counter()
-            s = evaluate.summary(out.select("split", "label", F.col("prediction").cast("int").alias("prediction")),
-                                 group=("split",)).collect()
-            ms = (time.perf_counter() - t1) * 1000.0 / max(sum(r["n"] for r in s), 1)
-            met = {f"f1_{r['split']}": float(r["f1_macro"]) for r in s}
-            fb = None
-            if "use_fallback" in out.columns:
-                fb = float(out.where(F.col("split") == "test").agg(
-                    F.avg(F.col("use_fallback").cast("double"))).first()[0] or 0.0)
-            rows.append((name, order, met.get("f1_val"), met.get("f1_test"), ms, secs, fb))
-            if runs_path:
-                log_run(spark, runs_path, name, params,
-                        {**met, "train_seconds": secs, "inference_ms": ms,
-                         **({"fallback_rate": fb} if fb is not None else {})})
-    finally:
-        corpus.unpersist()
+    train = corpus.where(F.col("split") == "train")
+    held = corpus.where(F.col("split") != "train")
+    for order, (name, make) in enumerate(cli_variants(skip_tuning).items()):
+        params = {"variant": name}
+        t0 = time.perf_counter()
+        if make is None:
+            model, extra = grid_search(train)
+            params.update({k: str(v) for k, v in extra.items()})
+        else:
+            feats = features.fit_tfidf(train, "tokens", **features.CLI_CONFIG)
+            x, nx = cache_for_fit(feats.transform(train).withColumn("label", F.col("label").cast("double")))
+            try:
+                m = make(nx).fit(x)
+            finally:
+                x.unpersist()
+            model = PipelineModel(stages=list(feats.stages) + [m])
+        secs = time.perf_counter() - t0
+        out = model.transform(held)
+        t1 = time.perf_counter()
+        s = evaluate.summary(out.select("split", "label", F.col("prediction").cast("int").alias("prediction")),
+                             group=("split",)).collect()
+        ms = (time.perf_counter() - t1) * 1000.0 / max(sum(r["n"] for r in s), 1)
+        met = {f"f1_{r['split']}": float(r["f1_macro"]) for r in s}
+        fb = None
+        if "use_fallback" in out.columns:
+            fb = float(out.where(F.col("split") == "test").agg(
+                F.avg(F.col("use_fallback").cast("double"))).first()[0] or 0.0)
+        rows.append((name, order, met.get("f1_val"), met.get("f1_test"), ms, secs, fb))
+        if runs_path:
+            log_run(spark, runs_path, name, params,
+                    {**met, "train_seconds": secs, "inference_ms": ms,
+                     **({"fallback_rate": fb} if fb is not None else {})})
     schema = ("variant string, run_order int, f1_val double, f1_test double, inference_ms double, "
               "train_seconds double, fallback_rate double")
     return spark.createDataFrame(rows, schema)

@@ -20,6 +20,10 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Broadcast only what is known to be small; everything else sort-merges.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Local runs: the driver is the executor; iterative ML creates one small
+    # broadcast per optimiser iteration, released by the context cleaner on GC.
+    "spark.driver.memory": "8g",
+    "spark.cleaner.periodicGC.interval": "2min",
 }
 
 
