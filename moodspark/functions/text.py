@@ -46,8 +46,12 @@ MENTION_RE = rf"@[{WORD}]+"
 HASHTAG_RE = rf"#([{WORD}]+)"
 LEADING_RT_RE = rf"^RT[{WS}]+"
 NON_ASCII_RE = r"[^\x00-\x7F]"
-NON_LETTER_RE = rf"[^a-zA-Z{ASCII_WS}]"
-ASCII_WS_RUN_RE = rf"[{ASCII_WS}]+"
+# Runs of non-letters become one space (the collapse below would merge the
+# spaces anyway; matching runs instead of single characters is much cheaper).
+NON_LETTER_RE = rf"[^a-zA-Z{ASCII_WS}]+"
+# Collapse white space: only runs of two or more, or a single non-space white
+# space character, need rewriting - a lone space already is the result.
+ASCII_WS_RUN_RE = rf"[{ASCII_WS}]{{2,}}|[\t-\r\x1c-\x1f]"
 UNICODE_TRIM_RE = rf"^[{WS}]+|[{WS}]+$"
 LEADING_RT_WORD_RE = rf"^RT[{WS}]"
 
@@ -92,9 +96,34 @@ def drop_non_ascii(c) -> Column:
     return F.regexp_replace(_col(c), NON_ASCII_RE, "")
 
 
+def _ascii_letter_map() -> tuple[str, str]:
+    """(from, to) for ``translate`` on ASCII text: upper -> lower case, every
+    character that is neither a letter nor white space -> space."""
+    src, dst = [], []
+    for code in range(128):
+        ch = chr(code)
+        if "A" <= ch <= "Z":
+            src.append(ch)
+            dst.append(ch.lower())
+        elif not ("a" <= ch <= "z") and not (9 <= code <= 13 or 28 <= code <= 32):
+            src.append(ch)
+            dst.append(" ")
+    return "".join(src), "".join(dst)
+
+
+_ASCII_FROM, _ASCII_TO = _ascii_letter_map()
+
+
 def letters_only(c) -> Column:
-    """TXT7 + TXT8: non-letters -> space, lower case, collapse runs, trim."""
-    x = F.lower(F.regexp_replace(_col(c), NON_LETTER_RE, " "))
+    """TXT7 + TXT8 on ASCII text (after TXT6): non-letters -> space, lower
+    case, collapse runs, trim.
+
+    The first two are a fixed character mapping once the text is ASCII, so one
+    ``translate`` does both in a single pass (several times cheaper than a
+    regex replacement plus ``lower``); equivalent to replacing
+    :data:`NON_LETTER_RE` with a space and lower-casing.
+    """
+    x = F.translate(_col(c), _ASCII_FROM, _ASCII_TO)
     return F.trim(F.regexp_replace(x, ASCII_WS_RUN_RE, " "))
 
 

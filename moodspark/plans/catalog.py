@@ -164,11 +164,6 @@ TEXT_CANDIDATES = ["tweet_tokens", "tweet_clean", "clean_text", "tweet", "text",
 LABEL_CANDIDATES = ["sentiment", "label", "target", "class", "sentiment_label"]
 
 
-def resolve(columns, candidates):
-    from moodspark.sources.columns import resolve_column
-    return resolve_column(columns, candidates)
-
-
 @query("resolve_columns", f"""
 WITH {S.RAW}
 SELECT content AS text, class AS label FROM raw WHERE content IS NOT NULL AND class IS NOT NULL

@@ -19,9 +19,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy text work the session's parallelism.
+
+    A scan that yields fewer splits than ``defaultParallelism`` (a small file
+    with one row group) is round-robin repartitioned to that parallelism; a
+    large input already has at least that many splits and is returned as is,
+    so at scale this adds no shuffle.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 def documents(spark, sf_dir, *cols) -> DataFrame:
     df = read_table(spark, sf_dir, "documents")
-    return df.select(*cols) if cols else df
+    df = df.select(*cols) if cols else df
+    return spread(df) if "text" in df.columns else df
 
 
 def decorated_tweets(spark, sf_dir) -> DataFrame:
@@ -58,7 +71,7 @@ def labelled_documents(spark, sf_dir) -> DataFrame:
 
 
 def conversation_turns(spark, sf_dir) -> DataFrame:
-    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return spread(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
 def benchmark_items(spark, sf_dir) -> DataFrame:
