@@ -199,6 +199,26 @@ class DropColumns(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         return dataset.drop(*self.getOrDefault(self.cols))
 
 
+def frozen_count_vectorizer(words: list[str], input_col: str, output_col: str) -> CountVectorizerModel:
+    """``CountVectorizerModel`` over a fixed vocabulary.
+
+    Equivalent to ``CountVectorizerModel.from_vocabulary`` but the Java string
+    array is built inside the JVM from one joined string (terms never contain
+    a newline), instead of one gateway call per term - for a 50,000-term
+    vocabulary that is seconds of driver time saved per fit.
+    """
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    jvocab = sc._jvm.java.util.regex.Pattern.compile("\n").split("\n".join(words))
+    model = CountVectorizerModel._create_from_java_class(
+        "org.apache.spark.ml.feature.CountVectorizerModel", jvocab)
+    model.setInputCol(input_col)
+    model.setOutputCol(output_col)
+    model._set(vocabSize=len(words))
+    return model
+
+
 def fit_tfidf(df: DataFrame, tokens_col: str, ngram_max=2, max_features=50_000, sublinear=False,
               min_df=1, max_df=1.0, features_col: str = "features") -> PipelineModel:
     """Fit the vocabulary/IDF on ``df`` and return the stateless vector pipeline.
@@ -218,7 +238,7 @@ def fit_tfidf(df: DataFrame, tokens_col: str, ngram_max=2, max_features=50_000,
     words = [r["term"] for r in rows]
     idf = [math.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0 for r in rows]
     stages = [ngr,
-              CountVectorizerModel.from_vocabulary(words, inputCol="_terms", outputCol="_tf"),
+              frozen_count_vectorizer(words, "_terms", "_tf"),
               ]
     tf_col = "_tf"
     if sublinear:

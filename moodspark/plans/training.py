@@ -113,17 +113,19 @@ def prepare_corpus(spark: SparkSession, sf_dir: str, materialize: bool = True) -
     """(doc_id, label, tokens, split): labelled documents, cleaned, non-empty,
     split 70/15/15 per class by hash rank.
 
-    With ``materialize`` the result is written once to the shared checkpoint
-    folder (``checkpoint()``, lineage cut) so the fits, the vocabulary and the
-    evaluations read tokens instead of re-cleaning the text each time, and a
-    lost executor re-reads the checkpoint rather than recomputing the join,
-    the cleaning and the ranking.
+    With ``materialize`` the cleaned, non-empty token table is written to the
+    shared checkpoint folder (``checkpoint()``, lineage cut) before the split -
+    so the regex chain runs once although the split's histogram and ranking
+    both read it - and the split result is checkpointed too: fits, vocabulary
+    and evaluations read materialised tokens, and a lost executor re-reads a
+    checkpoint instead of recomputing join, cleaning and ranking.
     """
     from moodspark.session import reliable_checkpoint
     d = tables.labelled_documents(spark, sf_dir)
     t = d.select("doc_id", "label", T.tokenize("text").alias("tokens")).where(F.size("tokens") > 0)
-    out = sampling.stratified_split(t, "label", "doc_id")
-    return reliable_checkpoint(out) if materialize else out
+    if not materialize:
+        return sampling.stratified_split(t, "label", "doc_id")
+    return reliable_checkpoint(sampling.stratified_split(reliable_checkpoint(t), "label", "doc_id"))
 
 
 class TfidfNgram(Estimator, DefaultParamsReadable, DefaultParamsWritable):
