@@ -210,6 +210,8 @@ def frozen_count_vectorizer(words: list[str], input_col: str, output_col: str) -
     from pyspark import SparkContext
 
     sc = SparkContext._active_spark_context
+    if sc is None or getattr(sc, "_jvm", None) is None:
+        return CountVectorizerModel.from_vocabulary(words, inputCol=input_col, outputCol=output_col)
     jvocab = sc._jvm.java.util.regex.Pattern.compile("\n").split("\n".join(words))
     model = CountVectorizerModel._create_from_java_class(
         "org.apache.spark.ml.feature.CountVectorizerModel", jvocab)

@@ -27,8 +27,12 @@ def spread(df: DataFrame) -> DataFrame:
     large input already has at least that many splits and is returned as is,
     so at scale this adds no shuffle.
     """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session)
+        return df
+    return df.repartition(par) if n < par else df
 
 
 def documents(spark, sf_dir, *cols) -> DataFrame:
