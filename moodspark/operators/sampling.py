@@ -67,9 +67,16 @@ def split_column(rank="rank", n="class_n") -> Column:
             .otherwise(F.lit("test")))
 
 
-def stratified_split(df: DataFrame, label: str, id_col: str, seed: int = DEFAULT_SEED) -> DataFrame:
-    """SMP3: add ``split`` in {train, val, test}, exact 70 / 15 / 15 per class."""
+def stratified_split(df: DataFrame, label: str, id_col: str, seed: int = DEFAULT_SEED,
+                     cap: int | None = None) -> DataFrame:
+    """SMP3: add ``split`` in {train, val, test}, exact 70 / 15 / 15 per class.
+
+    With ``cap`` (SMP1 first) only the ``cap`` lowest-ranked rows of each class
+    are kept; they keep their ranks, so cap and split share one ranking pass.
+    """
     r = class_rank(df, label, id_col, seed)
+    if cap:
+        r = r.where(F.col("rank") <= cap).withColumn("class_n", F.least(F.col("class_n"), F.lit(cap)))
     return r.withColumn("split", split_column()).drop("_key", "rank", "class_n")
 
 

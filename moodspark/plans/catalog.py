@@ -1028,12 +1028,11 @@ def q_csv_roundtrip(spark, sf):
 
 @query("glob_capped_scan", """
 SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r
-FROM documents) WHERE r <= 15
+FROM documents) WHERE r <= 1500
 """)
 def q_glob_capped_scan(spark, sf):
-    """SRC3: one ``<source>_clean.csv`` folder per source, read by glob with at
-    most N rows per file ordered by doc_id (N = 15 so the cap bites at sf0.01;
-    the reference's value is 1500)."""
+    """SRC3: one CSV folder per source, read by glob with at most 1500 rows per
+    file ordered by doc_id."""
     from moodspark.session import scratch_path
     from moodspark.sources.files import read_glob_capped
     root = scratch_path(spark, "clean-csv")
@@ -1041,7 +1040,7 @@ def q_glob_capped_scan(spark, sf):
     # one file per source: partition by source, one output file per partition
     (d.repartition("source").write.mode("overwrite").option("header", "true")
      .option("multiLine", "true").option("escape", '"').partitionBy("source").csv(root))
-    df = read_glob_capped(spark, root, "*.csv", 15, order="doc_id",
+    df = read_glob_capped(spark, root, "*.csv", 1500, order="doc_id",
                           schema="doc_id long, text string, source string")
     return df.select("doc_id", "source")
 

@@ -36,6 +36,8 @@ from moodspark.session import scratch_path, shared_dir
 from moodspark.sources import tables
 
 SEED = 42
+# Rows kept per class before splitting (0/None: no cap).
+SAMPLE_PER_CLASS = 200_000
 # Reference model configurations (fixed values).  The linear models' stopping
 # tolerance is the reference library's default.
 TOL = 1e-4
@@ -109,9 +111,11 @@ def best_model(cmp: DataFrame, by: str = "f1_test") -> DataFrame:
 # Corpus and features
 # ---------------------------------------------------------------------------
 
-def prepare_corpus(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+def prepare_corpus(spark: SparkSession, sf_dir: str, materialize: bool = True,
+                   sample_per_class: int | None = SAMPLE_PER_CLASS) -> DataFrame:
     """(doc_id, label, tokens, split): labelled documents, cleaned, non-empty,
-    split 70/15/15 per class by hash rank.
+    capped at ``sample_per_class`` rows per class and split 70/15/15 per class
+    by hash rank.
 
     With ``materialize`` the cleaned, non-empty token table is written to the
     shared checkpoint folder (``checkpoint()``, lineage cut) before the split -
@@ -124,8 +128,9 @@ def prepare_corpus(spark: SparkSession, sf_dir: str, materialize: bool = True) -
     d = tables.labelled_documents(spark, sf_dir)
     t = d.select("doc_id", "label", T.tokenize("text").alias("tokens")).where(F.size("tokens") > 0)
     if not materialize:
-        return sampling.stratified_split(t, "label", "doc_id")
-    return reliable_checkpoint(sampling.stratified_split(reliable_checkpoint(t), "label", "doc_id"))
+        return sampling.stratified_split(t, "label", "doc_id", cap=sample_per_class)
+    return reliable_checkpoint(sampling.stratified_split(reliable_checkpoint(t), "label", "doc_id",
+                                                         cap=sample_per_class))
 
 
 class TfidfNgram(Estimator, DefaultParamsReadable, DefaultParamsWritable):

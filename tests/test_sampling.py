@@ -64,3 +64,11 @@ def test_cap_and_folds(spark, sf_small):
         by_label.setdefault(r["label"], []).append(r["count"])
     for v in by_label.values():
         assert max(v) - min(v) <= 1
+
+
+def test_cap_then_split_equals_split_of_capped(spark, sf_small):
+    d = _labelled(spark, sf_small)
+    fused = sorted((r["doc_id"], r["split"]) for r in sampling.stratified_split(d, "label", "doc_id", cap=9).collect())
+    capped = sampling.stratified_cap(d, "label", "doc_id", 9)
+    twostep = sorted((r["doc_id"], r["split"]) for r in sampling.stratified_split(capped, "label", "doc_id").collect())
+    assert fused == twostep
