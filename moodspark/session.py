@@ -47,17 +47,22 @@ def shared_dir(spark: SparkSession) -> str:
     """Return the cluster-wide folder named by ``spark.checkpoint.dir``.
 
     The setting is read from the session.  Only when it is unset (local tests) a
-    fresh folder is created and registered, so a cluster run never falls back to a
-    machine-local path chosen by this library.
+    fresh folder is created once per context and registered as the checkpoint
+    directory, so a cluster run never falls back to a machine-local path chosen
+    by this library.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not d:
+        d = getattr(sc, "_moodspark_shared_dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="moodspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    try:
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # pragma: no cover - already set / not allowed in Connect
-        pass
+        sc._moodspark_shared_dir = d
+    if sc.getCheckpointDir() is None:
+        try:
+            sc.setCheckpointDir(d)
+        except Exception:  # pragma: no cover - not allowed in some deployments
+            pass
     return d
 
 
