@@ -33,6 +33,11 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if master:
         builder = builder.master(master)
     conf = dict(_DEFAULTS)
+    if master and master.startswith("local"):
+        # one executor: there is no locality to wait for, and iterative ML runs
+        # concurrent one-task jobs that would otherwise idle in the scheduler.
+        # Clusters keep the default so cached blocks are read where they live.
+        conf["spark.locality.wait"] = "0"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
