@@ -24,6 +24,8 @@ _DEFAULTS = {
     # broadcast per optimiser iteration, released by the context cleaner on GC.
     "spark.driver.memory": "8g",
     "spark.cleaner.periodicGC.interval": "2min",
+    # checkpoint files of RDDs that went out of scope are deleted
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
