@@ -131,12 +131,15 @@ def derived_columns(df: DataFrame, tweet_col: str, source: str | Column, created
 
 def lemmatize(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame,
               out_col: str | None = None) -> DataFrame:
-    """TXT12: replace each token by its lemma from a ``(word, lemma)`` table.
+    """TXT12: ``(id, lemmatised tokens)``, each token replaced by its lemma
+    from a ``(word, lemma)`` table.
 
     Tokens are expanded with their position, left-joined to the lemma table
     (broadcast behind a size check; WordNet-sized tables fit), and regrouped
-    per document in position order.  A document is one group, bounded by its
-    own length; the regrouped tokens are joined back on the unique id.
+    per document in position order.  Every document also contributes one null
+    entry (skipped by ``collect_list``), so documents without tokens come out
+    with an empty list and no join back to the input is needed: one shuffle,
+    keyed by the unique id, each group bounded by one document's length.
     Unknown tokens are kept; a lemma may be shorter than the original token.
     """
     from moodspark.operators.joins import broadcast_if_small
@@ -146,12 +149,10 @@ def lemmatize(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame,
     ex = df.select(id_col, F.inline_outer(F.transform(t, lambda x, i: F.struct(i.alias("_p"), x.alias("_w"))))).where(
         F.col("_w").isNotNull())
     lem = broadcast_if_small(lemmas.select(F.col("word").alias("_w"), F.col("lemma").alias("_l")))
-    j = ex.join(lem, "_w", "left").select(id_col, "_p", F.coalesce("_l", "_w").alias("_x"))
-    regrouped = j.groupBy(id_col).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_p", "_x"))), lambda s: s["_x"]).alias("_lem"))
-    base = df.join(regrouped, id_col, "left")
-    keep = [c for c in df.columns if c != out_col]
-    return base.select(*keep, F.coalesce(F.col("_lem"), F.array().cast("array<string>")).alias(out_col))
+    hits = ex.join(lem, "_w", "left").select(id_col, F.struct("_p", F.coalesce("_l", "_w").alias("_x")).alias("_e"))
+    blanks = df.select(id_col, F.lit(None).cast("struct<_p:int,_x:string>").alias("_e"))
+    g = hits.unionByName(blanks).groupBy(id_col).agg(F.array_sort(F.collect_list("_e")).alias("_s"))
+    return g.select(id_col, F.transform("_s", lambda e: e["_x"]).alias(out_col))
 
 
 def plural_lemmas(tokens: DataFrame, tokens_col: str) -> DataFrame:
