@@ -138,7 +138,10 @@ def tfidf_long(df: DataFrame, id_col: str, terms_col: str, vocab: DataFrame,
     ex = df.select(id_col, F.explode_outer(_col(terms_col)).alias("term")).where(F.col("term").isNotNull())
     vsel = vocab.select("term", "idf")
     v = F.broadcast(vsel) if max_terms and max_terms <= BROADCAST_MAX_ROWS else broadcast_if_small(vsel)
-    tf = ex.join(v, "term").groupBy(id_col, "term", "idf").agg(F.count("*").alias("tf"))
+    # one shuffle: hash-partitioning the term occurrences by document satisfies
+    # both the (doc, term) count and the per-document norm window below
+    tf = (ex.join(v, "term").repartition(id_col)
+          .groupBy(id_col, "term", "idf").agg(F.count("*").alias("tf")))
     tfw = (1.0 + F.log(F.col("tf"))) if sublinear else F.col("tf").cast("double")
     w = tf.select(id_col, "term", (tfw * F.col("idf")).alias("w"))
     if normalise:
