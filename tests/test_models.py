@@ -101,3 +101,15 @@ def test_class_report_degenerate(spark):
     assert rep[0]["precision"] == 1.0 and rep[0]["recall"] == 0.5
     s = evaluate.summary(spark.createDataFrame([(0, 2)], "label int, prediction int")).first()
     assert s["f1_macro"] == 0.0 and s["accuracy"] == 0.0
+
+
+def test_stream_restart_is_idempotent(spark, sf_small, fitted):
+    from moodspark.streaming.scoring import score_stream
+    schema = tables.read_table(spark, sf_small, "conversations").schema
+    sink, ckpt = scratch_path(spark, "t-sink"), scratch_path(spark, "t-ckpt")
+    for _ in range(2):  # second start resumes from the checkpoint: nothing new to write
+        q, _ = score_stream(spark, fitted["logreg"], sf_small, schema, "text", ["conv_id", "turn"],
+                            sink_dir=sink, checkpoint_dir=ckpt, glob="conversations.parquet")
+        q.awaitTermination()
+    n = tables.read_table(spark, sf_small, "conversations").count()
+    assert spark.read.parquet(sink).count() == n
