@@ -23,12 +23,14 @@ from moodspark.session import scratch_path
 
 def score_stream(spark: SparkSession, model: PipelineModel, source_dir: str, schema: StructType,
                  text_col: str, keep: list[str], sink_dir: str | None = None,
-                 checkpoint_dir: str | None = None, max_files_per_trigger: int = 1,
+                 checkpoint_dir: str | None = None, max_files_per_trigger: int | None = None,
                  available_now: bool = True, glob: str | None = None):
     """Start the scoring query; returns (StreamingQuery, sink_dir)."""
     sink_dir = sink_dir or scratch_path(spark, "stream-sink")
     checkpoint_dir = checkpoint_dir or scratch_path(spark, "stream-ckpt")
-    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    r = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     if glob:
         r = r.option("pathGlobFilter", glob)
     src = r.parquet(source_dir)
