@@ -1,28 +1,18 @@
-"""Public English stop-word list for lexical mode (Spark ML's bundled list).
+"""Public English stop-word list for lexical mode.
 
-Read straight from the Spark ML jar so the Spark job and its SQL twin see the
-same words without starting a JVM.  Entries with an apostrophe can never match
-a cleaned token (apostrophes are gone after cleaning) and are dropped.
+``english_stop_words.txt`` beside this module holds Spark ML's public English
+list (``StopWordsRemover.loadDefaultStopWords("english")``) as it is, one word a
+line; a test holds the two against each other.  Entries with an apostrophe can
+never match a cleaned token (apostrophes are gone after cleaning) and are dropped.
 """
 
 from __future__ import annotations
 
 import functools
-import glob
-import os
-import zipfile
-
-_RESOURCE = "org/apache/spark/ml/feature/stopwords/english.txt"
+from importlib import resources
 
 
 @functools.lru_cache(maxsize=1)
 def english_stop_words() -> tuple[str, ...]:
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for j in jars:
-        with zipfile.ZipFile(j) as z:
-            if _RESOURCE in z.namelist():
-                words = z.read(_RESOURCE).decode("utf-8").split()
-                return tuple(w for w in words if w.isalpha())
-    raise FileNotFoundError("Spark ML English stop-word list not found")
+    text = resources.files(__package__).joinpath("english_stop_words.txt").read_text(encoding="utf-8")
+    return tuple(w for w in text.split() if w.isalpha())

@@ -24,18 +24,24 @@ from moodspark.plans import sql_twins as S
 from moodspark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+#: SQL text, or a function that makes it: what needs a package file is made
+#: only when asked for, so that importing this module reads no file.
+ORACLE: dict[str, str | Callable[[], str]] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | Callable[[], str] | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql.strip()
+            ORACLE[name] = sql
         return fn
     return deco
 
 
+def oracle_sql() -> dict[str, str]:
+    return {name: (sql() if callable(sql) else sql).strip() for name, sql in ORACLE.items()}
+
+
 def r6(c):
     return F.round(c, 6)
 
@@ -103,10 +109,11 @@ def q_hashtag_mention_strip(spark, sf):
     return t.select("doc_id", T.unwrap_hashtags(T.strip_mentions("tweet")).alias("stripped"))
 
 
-_LEXICAL_STOP = list(english_stop_words())
+def _lexical_stop() -> list[str]:
+    return list(english_stop_words())
 
 
-@query("tokenize_lexical", f"""
+@query("tokenize_lexical", lambda: f"""
 WITH {S.TWEETS},
 c AS (SELECT doc_id, {S.clean('tweet')} AS x FROM tweets),
 k AS (SELECT doc_id,
@@ -114,20 +121,20 @@ k AS (SELECT doc_id,
    '\\b(can)(not)\\b', '\\1 \\2', 'g'), '\\b(gim)(me)\\b', '\\1 \\2', 'g'), '\\b(gon)(na)\\b', '\\1 \\2', 'g'),
    '\\b(got)(ta)\\b', '\\1 \\2', 'g'), '\\b(lem)(me)\\b', '\\1 \\2', 'g'), '\\bwanna ', 'wan na ', 'g') AS x FROM c)
 SELECT doc_id, array_to_string(list_filter(list_filter(string_split(x, ' '), lambda t: length(t) > 0),
-  lambda t: NOT list_contains({S.sql_list(T.stop_word_list(_LEXICAL_STOP))}, t) AND length(t) >= 3), ' ') AS tweet_tokens
+  lambda t: NOT list_contains({S.sql_list(T.stop_word_list(_lexical_stop()))}, t) AND length(t) >= 3), ' ') AS tweet_tokens
 FROM k
 """)
 def q_tokenize_lexical(spark, sf):
     """Lexical mode: the public English stop list minus the domain words, with
     word-tokenizer contraction splits."""
     t = _tweets(spark, sf)
-    return t.select("doc_id", T.clean_and_tokenize("tweet", stop_words=_LEXICAL_STOP,
+    return t.select("doc_id", T.clean_and_tokenize("tweet", stop_words=_lexical_stop(),
                                                     lexical=True).alias("tweet_tokens"))
 
 
-@query("stopword_difference", f"""
+@query("stopword_difference", lambda: f"""
 WITH {S.TWEETS},
-stop AS (SELECT unnest({S.sql_list(_LEXICAL_STOP)}) AS word),
+stop AS (SELECT unnest({S.sql_list(_lexical_stop())}) AS word),
 keep AS (SELECT unnest({S.sql_list(T.DOMAIN_WORDS)}) AS word),
 diff AS (SELECT word FROM stop EXCEPT SELECT word FROM keep),
 w AS (SELECT unnest(list_filter(string_split({S.clean('tweet')}, ' '), lambda t: length(t) > 0)) AS word FROM tweets)
@@ -135,7 +142,7 @@ SELECT word, count(*) AS n FROM w WHERE word IN (SELECT word FROM diff) GROUP BY
 """)
 def q_stopword_difference(spark, sf):
     """SET2 on tables: (stop list minus domain words) occurring in the corpus."""
-    stop = spark.createDataFrame([(w,) for w in _LEXICAL_STOP], "word string")
+    stop = spark.createDataFrame([(w,) for w in _lexical_stop()], "word string")
     keep = spark.createDataFrame([(w,) for w in T.DOMAIN_WORDS], "word string")
     diff = prep.set_difference(stop, keep)
     words = _tweets(spark, sf).select(F.explode_outer(T.split_words(T.clean_text("tweet"))).alias("word")).where(
