@@ -94,5 +94,23 @@ def byte_codes(seed: int) -> np.ndarray:
     return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(seed))
 
 
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """``base`` to the powers 0 to n, modulo 2**64."""
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of true bytes; no run crosses rows."""
+    edge = np.zeros(len(inside) + 1, bool)
+    edge[offsets] = True
+    edge[len(inside)] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:-1]
+    last[:-1] &= ~inside[1:] | edge[1:-1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 def sha256_hex(c: Column) -> Column:
     return F.sha2(c, 256)

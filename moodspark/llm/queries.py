@@ -6,11 +6,23 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from moodspark.llm import packing, secret_scan, token_count
+from moodspark.llm import line_dedup, packing, pii, secret_scan, token_count, toxicity
 from moodspark.llm.common import table
 
 
+#: The query's key; a user gives their own.
+PII_KEY = "surrogate key of the registered query"
+
+
+def line_dedup_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source is its site."""
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return cleaned.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"),
+                          F.col("_kept").alias("text"))
+
+
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -23,11 +35,23 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": line_dedup_by_site,
     "op2_token_counts": token_counts,
     "op3_best_fit_packing": best_fit_packing,
     "op4_secret_scans": secret_scans,
+    "op9_toxicity": toxicity_scores,
+    "op10_pii_surrogates": pii_surrogates,
 }
 ORACLE: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE,
     "op4_secret_scans": secret_scan.ORACLE,
 }
