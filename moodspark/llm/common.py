@@ -27,6 +27,11 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def rows_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``texts`` with ``row``, which tells apart texts under one id (equal rows have one ``row``)."""
+    return texts(df, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, as ``--py-files`` would, once a session."""
     sc = spark.sparkContext

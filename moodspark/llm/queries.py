@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.llm import decontaminate, edit_fingerprint, line_dedup, packing, pii, secret_scan, token_count, toxicity
+from moodspark.llm import decontaminate, edit_fingerprint, line_dedup, packing, pii, secret_scan, substring_dedup, token_count, toxicity
 from moodspark.llm.common import table
 
 
@@ -39,6 +39,10 @@ def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs found; a document without a row is clean."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": token_counts,
     "op3_best_fit_packing": best_fit_packing,
     "op4_secret_scans": secret_scans,
+    "op5_suffix_array_dedup": suffix_array_dedup,
     "op6_benchmark_decontamination": benchmark_decontamination,
     "op7_document_fingerprints": document_fingerprints,
     "op9_toxicity": toxicity_scores,
