@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.llm import decontaminate, edit_fingerprint, line_dedup, packing, pii, secret_scan, substring_dedup, token_count, toxicity
+from moodspark.llm import decontaminate, edit_fingerprint, line_dedup, ngram_join, packing, pii, secret_scan, substring_dedup, token_count, toxicity
 from moodspark.llm.common import table
 
 
@@ -52,6 +52,10 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_ngrams(table(spark, sf_dir, "documents"))
+
+
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_array_dedup": suffix_array_dedup,
     "op6_benchmark_decontamination": benchmark_decontamination,
     "op7_document_fingerprints": document_fingerprints,
+    "op8_ngram_jaccard_join": ngram_jaccard_join,
     "op9_toxicity": toxicity_scores,
     "op10_pii_surrogates": pii_surrogates,
 }

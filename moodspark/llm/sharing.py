@@ -32,8 +32,9 @@ BATCH, SLICE = 24 << 20, 1 << 19
 REF = np.uint64((1 << 24) - 1)
 PER_PARTITION = 4
 
-#: From the bytes and offsets of some texts: their keys, and the number of each text's.
-Keys = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: From the bytes and offsets of some texts: their keys, the number of each text's,
+#: and a row of 64-bit numbers for each text that comes back with it (or None).
+Keys = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray | None]]
 
 
 def buckets(df: DataFrame) -> int:
@@ -82,13 +83,15 @@ def first_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def scatter_keys(batch: pa.RecordBatch, keys_of: Keys, n: int) -> list[tuple]:
     data, offsets = utf8(batch.column(1))
     ids = batch.column(0).to_numpy()
-    keys, counts = [], []
+    keys, counts, more = [], [], []
     for a, b in slices(offsets, SLICE):
-        k, c = keys_of(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+        k, c, m = keys_of(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
         keys.append(k)
         counts.append(c)
-    keys, counts = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-    layout = ids.tobytes() + batch.column(2).to_numpy().tobytes() + counts.astype("<u4").tobytes()
+        more.append(np.zeros((b - a, 0), np.uint64) if m is None else m)
+    keys, counts, more = np.concatenate(keys), np.concatenate(counts).astype(np.int64), np.concatenate(more)
+    layout = (len(ids).to_bytes(8, "little") + ids.tobytes() + batch.column(2).to_numpy().tobytes()
+              + counts.astype("<u4").tobytes() + more.astype("<u8").tobytes())
     batch_no = batch_id(layout)
     doc = np.repeat(np.arange(len(ids)), counts)
     # once for each key and document, then once for each key
@@ -132,22 +135,25 @@ def gather_keys(table: pa.Table) -> pa.Table:
     """A batch: for each document, the places of its keys that are shared."""
     kind, blob = table.column("kind").to_pylist(), table.column("blob").to_pylist()
     layout = next(b for k, b in zip(kind, blob, strict=True) if k == LAYOUT)
-    n = len(layout) // 20
-    ids, numbers = np.frombuffer(layout[:16 * n], "<i8").reshape(2, -1)
-    counts = np.frombuffer(layout[16 * n:], "<u4").astype(np.int64)
+    n = int.from_bytes(layout[:8], "little")
+    ids, numbers = np.frombuffer(layout, "<i8", 2 * n, 8).reshape(2, -1)
+    counts = np.frombuffer(layout, "<u4", n, 8 + 16 * n).astype(np.int64)
+    more = np.frombuffer(layout, "<i8", -1, 8 + 20 * n).reshape(n, -1) if n else np.zeros((0, 0), np.int64)
     refs = np.unique(np.concatenate([np.frombuffer(b, "<u4") for k, b in zip(kind, blob, strict=True) if k == FOUND]))
     before = np.concatenate([[0], np.cumsum(counts)])
     cuts = np.searchsorted(refs, before)
-    has = np.flatnonzero(np.diff(cuts))
+    has = np.arange(n) if more.shape[1] else np.flatnonzero(np.diff(cuts))
     return pa.table({
         "doc_id": pa.array(ids[has], pa.int64()),
         "row": pa.array(numbers[has], pa.int64()),
         "n_shared": pa.array(np.diff(cuts)[has], pa.int64()),
-        "refs": pa.array([(refs[cuts[i]:cuts[i + 1]] - before[i]).astype("<u4").tobytes() for i in has], pa.binary())})
+        "refs": pa.array([(refs[cuts[i]:cuts[i + 1]] - before[i]).astype("<u4").tobytes() for i in has], pa.binary()),
+        "more": pa.array([m.tolist() for m in more[has]], pa.list_(pa.int64()))})
 
 
 def shared_keys(docs: DataFrame, keys_of: Keys) -> DataFrame:
-    """``doc_id, row, n_shared, refs`` of the documents (``doc_id, text, row``) with shared keys.
+    """``doc_id, row, n_shared, refs, more`` of the documents (``doc_id, text, row``) with
+    shared keys; of all documents, if ``keys_of`` has numbers to send back with them.
 
     ``refs`` are the places (little-endian 32 bits) of shared keys in the
     document's own list, one for each different key.  A key may be called shared
@@ -163,5 +169,5 @@ def shared_keys(docs: DataFrame, keys_of: Keys) -> DataFrame:
 
     return (docs.mapInArrow(scatter, PACKED)
             .groupBy("bucket").applyInArrow(resolve_keys, PACKED)
-            .groupBy("batch").applyInArrow(gather_keys, "doc_id long, row long, n_shared long, refs binary")
+            .groupBy("batch").applyInArrow(gather_keys, "doc_id long, row long, n_shared long, refs binary, more array<long>")
             .dropDuplicates(["doc_id", "row"]))

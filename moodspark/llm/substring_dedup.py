@@ -99,9 +99,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def keys_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def keys_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, None]:
     at, _, _, key = anchors(data, offsets)
-    return key, np.diff(np.searchsorted(at, offsets))
+    return key, np.diff(np.searchsorted(at, offsets)), None
 
 
 def regions(data: np.ndarray, offsets: np.ndarray, refs: list[bytes]) -> dict[str, np.ndarray]:
