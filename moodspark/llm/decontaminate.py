@@ -120,6 +120,10 @@ class Items:
             owner = np.concatenate([np.full(len(k), i) for k, i in held])
             order = np.argsort(keys, kind="stable")
             self.holders[width] = keys[order], owner[order]
+        #: by width: whether a shingle's last 20 bits are any item's
+        self.probes = {width: np.zeros(1 << 20, bool) for width in by_width}
+        for width, (keys, _) in self.holders.items():
+            self.probes[width][keys & np.uint64((1 << 20) - 1)] = True
 
     def within(self, prints: np.ndarray, items: np.ndarray) -> np.ndarray:
         """The distance of each window to each item, where a block's table has the item; else 65."""
@@ -185,48 +189,73 @@ class Items:
         return np.append(0, cut), np.append(cut, len(item))
 
 
-def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text",
-            item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """A row for each pair of a document and an item that it holds; no shuffle."""
-    named = (texts(items, item_id_col, item_text_col).withColumnRenamed("doc_id", "item_id")
-             .where(F.length(F.trim("text")) > 0))
+def indexes(items: DataFrame, least: float = LEAST, id_col: str = "item_id", text_col: str = "text") -> list[Items]:
+    """Indexes of the items that have words, in blocks of bounded size."""
+    named = texts(items, id_col, text_col).withColumnRenamed("doc_id", "item_id")
     total = named.select(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, -(-total // ITEM_BYTES))
-    blocks = [_block(docs, rows, least, id_col, text_col) for rows in (
-        named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").toArrow() for b in range(n))]
-    out = blocks[0]
-    for block in blocks[1:]:
-        out = out.unionByName(block)
+    out = []
+    for block in range(n):
+        rows = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).orderBy("item_id", "text").toArrow()
+        words, before = word_hashes(*utf8(rows.column("text")))
+        held = [(i, words[a:b]) for i, a, b in zip(rows.column("item_id").to_pylist(), before, before[1:], strict=False) if b > a]
+        if held:
+            out.append(Items([i for i, _ in held], [w for _, w in held], least))
     return out
 
 
-def _block(docs: DataFrame, rows: pa.Table, least: float, id_col: str, text_col: str) -> DataFrame:
-    words, before = word_hashes(*utf8(rows.column("text")))
-    held = [(i, words[a:b]) for i, a, b in zip(rows.column("item_id").to_pylist(), before, before[1:], strict=False) if b > a]
-    index = Items([i for i, _ in held], [w for _, w in held], least)
+def search_texts(index: Items, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, list[tuple]]]:
+    """The texts (by place) that match an item, and ``Items.search`` of each."""
+    mask = np.uint64((1 << 20) - 1)
+    for a, b in slices(offsets, SLICE):
+        words, before = word_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+        # most texts hold no item's shingle: one look at all of a slice's tells which may
+        maybe: set[int] = set()
+        for width, probe in index.probes.items():
+            seen = np.flatnonzero(probe[shingles(words, width) & mask])
+            maybe |= set((np.searchsorted(before, seen, "right") - 1).tolist())
+        for d in sorted(maybe):
+            if found := index.search(words[before[d]:before[d + 1]]):
+                yield a + d, found
+
+
+def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text",
+            item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """A row for each pair of a document and an item that it holds; no shuffle."""
+    out = None
+    for index in indexes(items, least, item_id_col, item_text_col):
+        block = _block_matches(texts(docs, id_col, text_col), index)
+        out = block if out is None else out.unionByName(block)
+    return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
+
 
+def _block_matches(docs: DataFrame, index: Items) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # most documents hold no item's shingle: one look at all of a slice's tells which may
-        probes = {width: np.zeros(1 << 20, bool) for width in index.holders}
-        for width, (keys, _) in index.holders.items():
-            probes[width][keys & np.uint64((1 << 20) - 1)] = True
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            ids, found = batch.column(0).to_pylist(), []
-            for a, b in slices(offsets, SLICE):
-                words, before = word_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-                maybe: set[int] = set()
-                for width, probe in probes.items():
-                    s = shingles(words, width)
-                    seen = np.flatnonzero(probe[s & np.uint64((1 << 20) - 1)])
-                    maybe |= set((np.searchsorted(before, seen, "right") - 1).tolist())
-                for d in sorted(maybe):
-                    found += [(ids[a + d], int(index.ids[i]), *rest) for i, *rest in index.search(words[before[d]:before[d + 1]])]
+            ids = batch.column(0).to_pylist()
+            found = [(ids[d], int(index.ids[i]), *rest)
+                     for d, hits in search_texts(index, *utf8(batch.column(1))) for i, *rest in hits]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)],
                 ["doc_id", "item_id", "similarity", "first_word", "n_words", "distance"])
 
-    if not held:
-        return docs.sparkSession.createDataFrame([], SCHEMA)
-    return map_arrow(texts(docs, id_col, text_col), run, SCHEMA)
+    return map_arrow(docs, run, SCHEMA)
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, least: float = LEAST, text_col: str = "text") -> DataFrame:
+    """The rows, whole and as they are, that match no item; no shuffle."""
+    place = docs.columns.index(text_col)
+    for index in indexes(items, least):
+        docs = _block_clean(docs, index, place)
+    return docs
+
+
+def _block_clean(docs: DataFrame, index: Items, place: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(len(batch), bool)
+            clean[[d for d, _ in search_texts(index, *utf8(batch.column(place)))]] = False
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)

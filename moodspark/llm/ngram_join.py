@@ -367,6 +367,21 @@ def join_ngrams(df: DataFrame, percent: int = 85, width: int = 4, id_col: str =
         "doc_id", "n_shingles", "component_id").unionByName(_nameless(docs, width))
 
 
+def keep_one(docs: DataFrame, percent: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of the least id of each class, one for each id; rows without an id stay."""
+    classes = join_ngrams(docs, percent, width, id_col, text_col)
+    gone = reliable_checkpoint(classes.where(F.col("doc_id") != F.col("component_id"))
+                               .select(F.col("doc_id").alias(id_col)).distinct())
+    small = gone.count() * 16 <= BROADCAST_BYTES
+    left = docs.join(F.broadcast(gone) if small else gone, id_col, "left_anti").select(*docs.columns)
+    twice = reliable_checkpoint(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count()
+                                .where(F.col("count") > 1).select(id_col))
+    if twice.limit(1).count():
+        again = left.join(twice, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col])
+        left = left.join(twice, id_col, "left_anti").select(*docs.columns).unionByName(again)
+    return left
+
+
 def _nameless(docs: DataFrame, width: int) -> DataFrame:
     """Rows without an id: their sets' sizes and no class."""
 

@@ -211,32 +211,48 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return fit(data, offsets, toxic, weight)
 
 
+def document_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Score, start and end (code points) of the worst sentence, and its score, of each text."""
+    out = []
+    for a, b in slices(offsets, SLICE):
+        part, own = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
+        s = sentences(part, own)
+        z = model.sentence_margins(s)
+        p = -np.expm1(np.bincount(s.sentence_doc, -softplus(z), b - a))
+        order = np.lexsort((-s.start, z, s.sentence_doc))   # each document's last is its worst, the first of equals
+        last = order[np.append(np.flatnonzero(np.diff(s.sentence_doc[order])), len(order) - 1)]
+        points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
+        base = points[own[:-1]]
+        out.append((p, points[s.start[last]] - base, points[s.end[last]] - base, sigmoid(z[last])))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0),) * 4
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score`` and the sentence that offends most (code points, end exclusive) with its score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            out = []
-            for a, b in slices(offsets, SLICE):
-                part, own = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
-                s = sentences(part, own)
-                z = model.sentence_margins(s)
-                p = -np.expm1(np.bincount(s.sentence_doc, -softplus(z), b - a))
-                order = np.lexsort((-s.start, z, s.sentence_doc))   # each document's last is its worst, the first of equals
-                last = order[np.append(np.flatnonzero(np.diff(s.sentence_doc[order])), len(order) - 1)]
-                points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
-                base = points[own[:-1]]
-                out.append((p, points[s.start[last]] - base, points[s.end[last]] - base, sigmoid(z[last])))
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
+            p, start, end, worst = document_scores(model, *utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(columns[0], pa.float64()), pa.array(columns[1].astype(np.int64)),
-                 pa.array(columns[2].astype(np.int64)), pa.array(columns[3], pa.float64())],
+                [batch.column(0), pa.array(p, pa.float64()), pa.array(start.astype(np.int64)),
+                 pa.array(end.astype(np.int64)), pa.array(worst, pa.float64())],
                 ["doc_id", "score", "worst_start", "worst_end", "worst_score"])
 
     return map_arrow(texts(docs, id_col, text_col), run, SCHEMA)
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, whole and as they are, that score less than 0.5; no shuffle."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = document_scores(model, *utf8(batch.column(place)))[0]
+            yield batch.filter(pa.array(p < 0.5, pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` and the worst sentence of every document."""
     scored = score(docs, train(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col)
