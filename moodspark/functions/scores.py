@@ -67,3 +67,32 @@ def hex_unit(hexstr, start: int) -> Column:
     """Four hex digits of an md5 string scaled to [-1, 1] (deterministic fixtures)."""
     v = F.conv(F.substring(_col(hexstr), start, 4), 16, 10).cast("int")
     return v / F.lit(65535.0) * 2 - 1
+
+
+#: Splits a double into two halves of 26 bits (Veltkamp's constant, 2**27 + 1).
+_SPLITTER = 134217729.0
+
+
+def round_exact(c, places: int) -> Column:
+    """PRJ7: round the exact binary value, ties to even (2.675 is below its
+    decimal form and gives 2.67), as the reference's language does.
+
+    ``c * 10**places`` is formed with its rounding error (a product without
+    error from split factors), so a tie is told from what merely looks like one.
+    """
+    x = F.col(c) if isinstance(c, str) else c
+    scale = float(10 ** places)
+    p = x * F.lit(scale)
+    t = x * F.lit(_SPLITTER)
+    hi = t - (t - x)
+    lo = x - hi
+    ts = scale * _SPLITTER
+    s_hi = ts - (ts - scale)
+    s_lo = scale - s_hi
+    error = ((hi * F.lit(s_hi) - p) + hi * F.lit(s_lo) + lo * F.lit(s_hi)) + lo * F.lit(s_lo)
+    down = F.floor(p).cast("double")
+    part = p - down
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (F.pmod(down, F.lit(2.0)) == 1.0))))
+    # a product that was rounded up to a whole number belongs below it only by
+    # its error, which can't change the nearest whole number
+    return F.when(up, down + 1.0).otherwise(down) / F.lit(scale)

@@ -181,6 +181,11 @@ def filter_tokens(tokens, stop_words: list[str], min_len: int = MIN_TOKEN_LEN) -
     return F.filter(_col(tokens), lambda t: F.length(t) >= min_len)
 
 
+def tokens_of_clean(c, stop_words=None, keep=DOMAIN_WORDS) -> Column:
+    """Filtered token array of a text that is cleaned already."""
+    return filter_tokens(split_words(c), stop_word_list(stop_words, keep))
+
+
 def tokenize(c, stop_words=None, keep=DOMAIN_WORDS, lexical: bool = False) -> Column:
     """Cleaned text -> filtered token array (before lemmatising)."""
     x = clean_text(c)

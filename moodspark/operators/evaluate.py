@@ -100,3 +100,39 @@ def metric_extremes(df: DataFrame, higher_better: list[str], lower_better: list[
 def named(report: DataFrame) -> DataFrame:
     return report.withColumn("name", F.try_element_at(F.array(*[F.lit(n) for n in LABEL_NAMES]),
                                                       F.col("class") + 1))
+
+
+def fixed(c, places: int = 2):
+    """A non-negative number with a fixed number of decimals, as text (half up
+    on the product, so that no two engines' formatting rules can differ)."""
+    scale = 10 ** places
+    n = F.floor(c * F.lit(float(scale)) + F.lit(0.5)).cast("long")
+    return F.concat((F.floor(n / scale)).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), places, "0"))
+
+
+REPORT_WIDTH = 12
+
+
+def report_lines(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """SNK3: ``(line_no, line)`` of a classification report: a header, a line for
+    each class, accuracy, and macro and weighted averages; a handful of rows."""
+    rep = named(class_report(pred, label, prediction))
+    total = summary(pred, label, prediction)
+
+    def line(name, *cells):
+        return F.concat(F.rpad(name, REPORT_WIDTH, " "), *[F.lpad(c, REPORT_WIDTH, " ") for c in cells])
+
+    none = F.lit("")
+    per_class = rep.select((F.col("class") + 1).alias("line_no"), line(
+        F.coalesce("name", F.col("class").cast("string")), fixed(F.col("precision")), fixed(F.col("recall")),
+        fixed(F.col("f1")), F.col("support").cast("string")).alias("line"))
+    n = F.col("n").cast("string")
+    def row(number, *cells):
+        return F.struct(F.lit(number).alias("line_no"), line(*cells).alias("line"))
+
+    averages = [row(1002 + i, F.lit(f"{k} avg"), *[fixed(F.col(f"{m}_{k}")) for m in ("precision", "recall", "f1")], n)
+                for i, k in enumerate(("macro", "weighted"))]
+    rest = total.select(F.inline(F.array(
+        row(0, none, *map(F.lit, ("precision", "recall", "f1-score", "support"))),
+        row(1001, F.lit("accuracy"), none, none, fixed(F.col("accuracy")), n), *averages)))
+    return per_class.unionByName(rest)

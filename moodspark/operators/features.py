@@ -27,7 +27,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moodspark.operators.joins import BROADCAST_MAX_ROWS, broadcast_if_small, collect_bounded
+from moodspark.operators.joins import collect_bounded
+from moodspark.session import reliable_checkpoint
 
 # Configurations (fixed values of the reference's two vectorisers).
 NOTEBOOK_CONFIG = dict(ngram_max=2, max_features=50_000, sublinear=True, min_df=3, max_df=0.95)
@@ -98,55 +99,72 @@ def idf_value(df_col, n_docs: int) -> Column:
 
 
 def fit_vocabulary(df: DataFrame, terms_col: str, min_df=1, max_df=1.0,
-                   max_features: int | None = 50_000, cache_stats: bool = False) -> tuple[DataFrame, int]:
+                   max_features: int | None = 50_000) -> tuple[DataFrame, int]:
     """FEA2 + FEA3: (term, df, ctf, idf[, idx]) and the number of documents.
 
-    With ``cache_stats`` the term statistics (including the document count) are
-    computed once and cached - the caller unpersists via ``vocab.stats`` after
-    materialising the vocabulary; otherwise the count is a separate action.
+    One pass over the documents counts terms and documents; the counts are
+    checkpointed (one short row a term), because the choice of the top terms
+    reads them twice: a histogram of total counts gives the least count among the
+    ``max_features`` most frequent, and only terms from there on (the chosen ones
+    and ties) are ordered, so no task gathers more than that.
     """
-    if cache_stats:
-        st_all = term_stats(df, terms_col, count_docs=True).persist()
-        row = st_all.where(F.col("term").isNull()).select("df").first()
-        n_docs = int(row["df"]) if row else 0
-        st = st_all.where(F.col("term").isNotNull())
-    else:
-        st_all = None
-        n_docs = df.count()
-        st = term_stats(df, terms_col)
+    counted = reliable_checkpoint(term_stats(df, terms_col, count_docs=True))
+    row = counted.where(F.col("term").isNull()).select("df").first()
+    n_docs = int(row["df"]) if row else 0
     # integers are document counts, floats are fractions of the documents
     lo = min_df * n_docs if isinstance(min_df, float) else min_df
     hi = max_df * n_docs if isinstance(max_df, float) else max_df
-    kept = st.where((F.col("df") >= lo) & (F.col("df") <= hi))
+    kept = counted.where(F.col("term").isNotNull() & (F.col("df") >= lo) & (F.col("df") <= hi))
     if max_features:
-        kept = kept.orderBy(F.desc("ctf"), F.asc("term")).limit(max_features)
+        cut = least_count(kept, "ctf", max_features)
+        kept = kept.where(F.col("ctf") >= cut).orderBy(F.desc("ctf"), F.asc("term")).limit(max_features)
         # at most max_features rows: a single ordered window is bounded
         kept = kept.withColumn("idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
-    out = kept.withColumn("idf", idf_value("df", n_docs))
-    out.stats = st_all  # cached statistics to release (or None)
-    return out, n_docs
+    return kept.withColumn("idf", idf_value("df", n_docs)), n_docs
+
+
+def least_count(df: DataFrame, count_col: str, k: int) -> int:
+    """The greatest count that at least ``k`` rows reach (the least count if there are fewer rows).
+
+    Rows are counted by the power of two of their count, then by count within
+    the one power where the ``k``-th row lies, largest first and cut off where
+    ``k`` is reached: a few dozen rows and at most ``k`` come to the driver.
+    """
+    power = F.floor(F.log2(F.col(count_col).cast("double")))
+    by_power = sorted(((int(r["p"]), r["n"]) for r in df.groupBy(power.alias("p")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    above = 0
+    for p, n in by_power:
+        if above + n >= k:
+            inside = (df.where(power == p).groupBy(count_col).agg(F.count("*").alias("n"))
+                      .orderBy(F.desc(count_col)).limit(k).collect())
+            for r in inside:
+                above += r["n"]
+                if above >= k:
+                    return int(r[count_col])
+        above += n
+    return 0
 
 
 def tfidf_long(df: DataFrame, id_col: str, terms_col: str, vocab: DataFrame,
-               sublinear: bool, normalise: bool = True, max_terms: int | None = 50_000) -> DataFrame:
-    """FEA4-FEA7 long form: (id, term, weight).  Unseen terms are dropped; a row
-    whose terms are all unseen has no output rows (a zero vector).
+               sublinear: bool, normalise: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """FEA4-FEA7 long form: (id, *carry, term, weight).  Unseen terms are dropped; a
+    row whose terms are all unseen has no output rows (a zero vector).  ``carry``
+    names columns that depend on the id (a label, a split).
 
-    A vocabulary bounded by ``max_terms`` (its ``max_features``) is broadcast
-    without measuring it; an unbounded one only behind a row-count check.
+    Whether the vocabulary is broadcast is left to its size statistics (a limit
+    bounds them) and to adaptive execution.
     """
-    ex = df.select(id_col, F.explode_outer(_col(terms_col)).alias("term")).where(F.col("term").isNotNull())
-    vsel = vocab.select("term", "idf")
-    v = F.broadcast(vsel) if max_terms and max_terms <= BROADCAST_MAX_ROWS else broadcast_if_small(vsel)
+    ex = df.select(id_col, *carry, F.explode_outer(_col(terms_col)).alias("term")).where(F.col("term").isNotNull())
+    v = vocab.select("term", "idf")
     # one shuffle: hash-partitioning the term occurrences by document satisfies
     # both the (doc, term) count and the per-document norm window below
     tf = (ex.join(v, "term").repartition(id_col)
-          .groupBy(id_col, "term", "idf").agg(F.count("*").alias("tf")))
+          .groupBy(id_col, *carry, "term", "idf").agg(F.count("*").alias("tf")))
     tfw = (1.0 + F.log(F.col("tf"))) if sublinear else F.col("tf").cast("double")
-    w = tf.select(id_col, "term", (tfw * F.col("idf")).alias("w"))
+    w = tf.select(id_col, *carry, "term", (tfw * F.col("idf")).alias("w"))
     if normalise:
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-        w = w.select(id_col, "term", (F.col("w") / norm).alias("w"))
+        w = w.select(id_col, *carry, "term", (F.col("w") / norm).alias("w"))
     return w.withColumnRenamed("w", "weight")
 
 
@@ -156,27 +174,32 @@ def tfidf_long(df: DataFrame, id_col: str, terms_col: str, vocab: DataFrame,
 
 def _sublinear_udf():
     """Build the UDF from a closure so it is shipped to executors by value
-    (workers do not need this package installed)."""
-    import numpy as _np
-    from pyspark.ml.linalg import SparseVector as _SV
-    from pyspark.ml.linalg import Vectors as _V
+    (workers do not need this package installed).
+
+    A vector is a struct of its parts in Arrow, so a batch's non-zeros are one
+    array and take one vectorised logarithm.
+    """
+    import pyarrow as pa
+
+    def sublinear(vectors: pa.Array) -> pa.Array:
+        import numpy as np
 
-    def sublinear(v):
-        if v is None:
-            return None
-        sv = v if isinstance(v, _SV) else v.toSparse()
-        vals = _np.asarray(sv.values, dtype=float)
-        out = _np.where(vals > 0, 1.0 + _np.log(_np.maximum(vals, 1e-300)), vals)
-        return _V.sparse(sv.size, sv.indices, out)
+        kind, size, indices, values = (vectors.field(i) for i in range(4))
+        x = values.values.to_numpy(zero_copy_only=False)
+        y = np.where(x > 0, 1.0 + np.log(np.maximum(x, 1e-300)), x)
+        changed = pa.ListArray.from_arrays(values.offsets, pa.array(y), mask=values.is_null() if values.null_count else None)
+        return pa.StructArray.from_arrays([kind, size, indices, changed], fields=list(vectors.type),
+                                          mask=vectors.is_null() if vectors.null_count else None)
 
-    return F.udf(sublinear, VectorUDT())
+    sublinear.__annotations__ = {"vectors": pa.Array, "return": pa.Array}
+    return F.arrow_udf(sublinear, VectorUDT())
 
 
 class SublinearTF(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """FEA4 sublinear term frequency ``1 + ln(tf)`` on a sparse count vector.
 
     The one Python step of the feature chain (there is no JVM element-wise log
-    for ML vectors); it touches only the non-zeros of each row.
+    for ML vectors): a whole Arrow batch's non-zeros at a time, never a row.
     """
 
     @keyword_only
@@ -235,11 +258,8 @@ def fit_tfidf(df: DataFrame, tokens_col: str, ngram_max=2, max_features=50_000,
         raise ValueError("the vector form needs max_features (a bounded vocabulary)")
     ngr = SQLTransformer(statement=ngram_sql(tokens_col, "_terms", ngram_max))
     terms = ngr.transform(df.select(tokens_col))
-    vocab, n_docs = fit_vocabulary(terms, "_terms", min_df, max_df, max_features, cache_stats=True)
-    try:
-        rows = collect_bounded(vocab.select("term", "idx", "df").orderBy("idx"), max_features, "vocabulary")
-    finally:
-        vocab.stats.unpersist()
+    vocab, n_docs = fit_vocabulary(terms, "_terms", min_df, max_df, max_features)
+    rows = collect_bounded(vocab.select("term", "idx", "df").orderBy("idx"), max_features, "vocabulary")
     words = [r["term"] for r in rows]
     idf = [math.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0 for r in rows]
     stages = [ngr,

@@ -1,24 +1,8 @@
-"""Join helpers: broadcast only behind a measured size bound."""
+"""Helpers for tables that are small by construction."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Lookup tables (stop words, lemmas, lexicons, vocabularies) above this many
-# rows are joined with a shuffle instead of being broadcast.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Return ``broadcast(df)`` when its row count is within ``max_rows``.
-
-    The count is an action on the (small, usually cached) lookup table; when it
-    exceeds the bound the plain DataFrame is returned and Catalyst/AQE choose a
-    sort-merge or shuffled-hash join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
 
 
 def collect_bounded(df: DataFrame, max_rows: int, what: str) -> list:

@@ -19,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodspark.operators.joins import broadcast_if_small
 
 # ---------------------------------------------------------------------------
 # Fixed values (scoring constants of the published method)
@@ -38,19 +37,9 @@ INTENSIFIERS = ["very", "really", "extremely", "absolutely", "totally", "complet
                 "most", "more", "so", "too", "sehr", "tres", "muy"]
 DAMPENERS = ["barely", "hardly", "slightly", "somewhat", "less", "little", "partly"]
 
-# A small lexicon written for this repository: a few real sentiment words and
-# frequent words of the test corpora, so the scorer does work on them.
-MINI_LEXICON = [
-    ("good", 1.9), ("great", 3.1), ("love", 3.2), ("peace", 2.5), ("hope", 1.9),
-    ("bad", -2.5), ("hate", -2.7), ("war", -2.9), ("fear", -2.2), ("terrible", -2.1),
-    ("the", 0.4), ("and", 0.3), ("that", -0.3), ("for", 0.6), ("was", -0.8),
-    ("with", 1.1), ("this", -1.2), ("der", 0.7), ("die", -1.6), ("que", 0.9),
-    ("les", -0.5), ("des", 0.2), ("und", 1.4), ("tion", -0.9),
-]
-
-
-def lexicon_table(spark, entries=None) -> DataFrame:
-    return spark.createDataFrame(entries or MINI_LEXICON, "word string, valence double")
+def lexicon_table(spark, entries: list[tuple[str, float]]) -> DataFrame:
+    """A user's ``(word, valence)`` list as a table."""
+    return spark.createDataFrame(entries, "word string, valence double")
 
 
 def _in(c, words):
@@ -69,7 +58,7 @@ def lexicon_score(df: DataFrame, id_col: str, tokens_col: str, lexicon: DataFram
         F.when(i >= 2, F.element_at(t, i - 1)).alias("p2"),
         F.when(i >= 3, F.element_at(t, i - 2)).alias("p3")))
     ex = df.select(id_col, F.inline_outer(ctx)).where(F.col("tok").isNotNull())
-    lex = broadcast_if_small(lexicon.select("word", "valence"))
+    lex = lexicon.select("word", "valence")
     hits = ex.join(lex, ex["tok"] == lex["word"])
     v = F.col("valence")
     sign = F.when(v < 0, F.lit(-1.0)).otherwise(F.lit(1.0))

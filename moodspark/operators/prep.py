@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,9 +66,19 @@ def split_lines(df: DataFrame, col: str, out: str = "line", keep: list[str] | No
 
 def split_valid(df: DataFrame, col: str = "text") -> tuple[DataFrame, DataFrame]:
     """FLT7: requests with text length >= 1 are valid; others rejected with a reason."""
-    bad = F.col(col).isNull() | (F.length(F.col(col)) < 1)
-    reason = F.when(F.col(col).isNull(), F.lit("missing text")).otherwise(F.lit("text too short"))
-    return df.where(~bad), df.where(bad).withColumn("reason", reason)
+    status = request_status(col)
+    return df.where(status == "valid"), df.where(status != "valid").withColumn("reason", status)
+
+
+def batch_status(df: DataFrame, batch_col: str, col: str = "text") -> DataFrame:
+    """FLT7 for batches: how many items each has, and whether it is rejected: a
+    batch needs an item at least, and each item must be valid.  Rows without an
+    item (a null marker is no item) have ``col`` in ``df`` under ``is_item`` false."""
+    bad = F.count_if(F.col("is_item") & (request_status(col) != "valid"))
+    n = F.count_if("is_item")
+    return df.groupBy(batch_col).agg(n.alias("n_items"), bad.alias("n_rejected")).withColumn(
+        "status", F.when(F.col("n_items") < 1, F.lit("empty batch"))
+        .when(F.col("n_rejected") > 0, F.lit("invalid item")).otherwise(F.lit("valid")))
 
 
 def request_status(col: str = "text") -> Column:
@@ -90,6 +101,21 @@ def union_sources(frames: list[tuple[str, DataFrame]], source_col: str = "source
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
+def read_sources(spark, sources: list[tuple[str, str]], fmt: str = "parquet", **options):
+    """SRC2: ``(name, path)`` pairs that exist, as ``(name, DataFrame)`` pairs for
+    :func:`union_sources`, and the names of those that don't.  Only a missing
+    path is skipped; any other error is the caller's."""
+    found, missing = [], []
+    for name, path in sources:
+        try:
+            found.append((name, spark.read.format(fmt).options(**options).load(path)))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            missing.append(name)
+    return found, missing
+
+
 def set_difference(words: DataFrame, remove: DataFrame, col: str = "word") -> DataFrame:
     """SET2 on tables: distinct words of ``words`` absent from ``remove``."""
     return words.select(col).distinct().join(remove.select(col), col, "left_anti")
@@ -98,6 +124,9 @@ def set_difference(words: DataFrame, remove: DataFrame, col: str = "word") -> Da
 def dedupe(df: DataFrame, key: str, order: list[str], id_col: str | None = None) -> DataFrame:
     """DED1: keep one row per ``key`` - the first by ``order``.
 
+    Keys are grouped by their SHA-256 (equal texts, equal digests), so 32 bytes
+    of a text cross the shuffle and not the text.
+
     A hot key (one text copied a billion times) is reduced map-side: the
     ``groupBy`` keeps only ``min(struct(order))`` per key in each task before the
     shuffle, so no task ever holds all copies.  The keepers are matched back
@@ -106,7 +135,8 @@ def dedupe(df: DataFrame, key: str, order: list[str], id_col: str | None = None)
     """
     id_col = id_col or order[-1]
     keeper = F.min(F.struct(*[F.col(c) for c in order])).alias("_k")
-    keepers = df.groupBy(key).agg(keeper).select(F.col(f"_k.{id_col}").alias(id_col))
+    digest = F.unhex(F.sha2(F.col(key).cast("string"), 256))
+    keepers = df.groupBy(digest.alias("_d")).agg(keeper).select(F.col(f"_k.{id_col}").alias(id_col))
     return df.join(keepers, id_col, "left_semi")
 
 
@@ -118,15 +148,12 @@ def derived_columns(df: DataFrame, tweet_col: str, source: str | Column, created
     src = F.lit(source) if isinstance(source, str) else source
     created = (F.try_to_timestamp(F.col(created_col).cast("string")) if created_col
                else F.lit(None).cast("timestamp"))
-    clean = T.clean_text(F.col(tweet_col))
-    return df.select(
-        "*",
-        clean.alias("tweet_clean"),
-        T.clean_and_tokenize(F.col(tweet_col)).alias("tweet_tokens"),
-        F.length(clean).cast("int").alias("tweet_length"),
-        src.alias("source_dataset"),
-        created.alias("created_at"),
-    )
+    # the cleaning chain runs once; what follows is derived from its result
+    return df.select("*", T.clean_text(F.col(tweet_col)).alias("tweet_clean"), src.alias("source_dataset"),
+                     created.alias("created_at")).select(
+        *df.columns, "tweet_clean",
+        T.join_tokens(T.tokens_of_clean("tweet_clean")).alias("tweet_tokens"),
+        F.length("tweet_clean").cast("int").alias("tweet_length"), "source_dataset", "created_at")
 
 
 def lemmatize(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame,
@@ -135,20 +162,18 @@ def lemmatize(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame,
     from a ``(word, lemma)`` table.
 
     Tokens are expanded with their position, left-joined to the lemma table
-    (broadcast behind a size check; WordNet-sized tables fit), and regrouped
+    (broadcast if its size statistics allow it), and regrouped
     per document in position order.  Every document also contributes one null
     entry (skipped by ``collect_list``), so documents without tokens come out
     with an empty list and no join back to the input is needed: one shuffle,
     keyed by the unique id, each group bounded by one document's length.
     Unknown tokens are kept; a lemma may be shorter than the original token.
     """
-    from moodspark.operators.joins import broadcast_if_small
-
     out_col = out_col or tokens_col
     t = F.col(tokens_col)
     ex = df.select(id_col, F.inline_outer(F.transform(t, lambda x, i: F.struct(i.alias("_p"), x.alias("_w"))))).where(
         F.col("_w").isNotNull())
-    lem = broadcast_if_small(lemmas.select(F.col("word").alias("_w"), F.col("lemma").alias("_l")))
+    lem = lemmas.select(F.col("word").alias("_w"), F.col("lemma").alias("_l"))
     hits = ex.join(lem, "_w", "left").select(id_col, F.struct("_p", F.coalesce("_l", "_w").alias("_x")).alias("_e"))
     blanks = df.select(id_col, F.lit(None).cast("struct<_p:int,_x:string>").alias("_e"))
     g = hits.unionByName(blanks).groupBy(id_col).agg(F.array_sort(F.collect_list("_e")).alias("_s"))

@@ -68,16 +68,22 @@ def split_column(rank="rank", n="class_n") -> Column:
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str, seed: int = DEFAULT_SEED,
-                     cap: int | None = None) -> DataFrame:
+                     cap: int | None = None, sample_first: bool = False) -> DataFrame:
     """SMP3: add ``split`` in {train, val, test}, exact 70 / 15 / 15 per class.
 
-    With ``cap`` (SMP1 first) only the ``cap`` lowest-ranked rows of each class
-    are kept; they keep their ranks, so cap and split share one ranking pass.
+    ``cap`` bounds the rows to fit on: of each class's train rows those of the
+    lowest ranks are kept, and all val and test rows.  With ``sample_first``
+    (SMP1, then SMP3, the reference's order) the ``cap`` lowest-ranked rows of
+    each class are split and no others are kept.  Ranks are the same, so cap
+    and split share one ranking pass.
     """
     r = class_rank(df, label, id_col, seed)
-    if cap:
+    if cap and sample_first:
         r = r.where(F.col("rank") <= cap).withColumn("class_n", F.least(F.col("class_n"), F.lit(cap)))
-    return r.withColumn("split", split_column()).drop("_key", "rank", "class_n")
+    r = r.withColumn("split", split_column())
+    if cap and not sample_first:
+        r = r.where((F.col("split") != "train") | (F.col("rank") <= cap))
+    return r.drop("_key", "rank", "class_n")
 
 
 def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = 5,

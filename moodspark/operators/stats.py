@@ -31,7 +31,7 @@ def class_counts(df: DataFrame, col: str) -> DataFrame:
 def class_share(df: DataFrame, col: str) -> DataFrame:
     """AGG3: count and percentage of the total."""
     counts = df.groupBy(col).agg(F.count("*").alias("n"))
-    return counts.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(_all()), 6))
+    return counts.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(_all()))
 
 
 def dataset_profile(df: DataFrame, source: str, label: str) -> DataFrame:
@@ -42,8 +42,7 @@ def dataset_profile(df: DataFrame, source: str, label: str) -> DataFrame:
     out = piv.select(source, tweets.cast("long").alias("tweets"),
                      *[F.col(n).cast("long").alias(f"n_{n}") for n in LABEL_NAMES])
     out = out.where(F.col("tweets") > 0)
-    return out.select("*", *[F.round(F.col(f"n_{n}") * 100.0 / F.col("tweets"), 6).alias(f"pct_{n}")
-                             for n in LABEL_NAMES])
+    return out.select("*", *[(F.col(f"n_{n}") * 100.0 / F.col("tweets")).alias(f"pct_{n}") for n in LABEL_NAMES])
 
 
 def dataset_share(df: DataFrame, source: str) -> DataFrame:
@@ -66,7 +65,25 @@ def word_frequencies(df: DataFrame, tokens_col: str, k: int = 120) -> DataFrame:
     words = df.select(F.explode_outer(F.col(tokens_col)).alias("word")).where(F.col("word").isNotNull())
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
     top = counts.orderBy(F.desc("n"), F.asc("word")).limit(k)
-    return top.select("word", "n", F.round(F.col("n") / F.max("n").over(_all()), 6).alias("rel_freq"))
+    return top.select("word", "n", (F.col("n") / F.max("n").over(_all())).alias("rel_freq"))
+
+
+def deduplicated_funnel(df: DataFrame, key: str, order: list[str], stages: list[tuple[str, object]]) -> DataFrame:
+    """AGG7 with de-duplication first, in one shuffle of short rows.
+
+    Each row's predicates are evaluated where it is read; a task reduces the
+    rows of one text to the first of them by ``order`` with its flags, and only
+    the text's digest, the order and the flags cross the shuffle.
+    """
+    digest = F.unhex(F.sha2(F.col(key).cast("string"), 256))
+    flags = df.select(digest.alias("_d"), *order, *[p.alias(f"_f_{n}") for n, p in stages])
+    first = F.min(F.struct(*order, *[f"_f_{n}" for n, _ in stages])).alias("_k")
+    kept = flags.groupBy("_d").agg(F.count("*").alias("_n"), first)
+    aggs, acc = [F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_input"), F.count("*").alias("n_deduplicated")], F.lit(True)
+    for name, _ in stages:
+        acc = acc & F.coalesce(F.col(f"_k._f_{name}"), F.lit(False))
+        aggs.append(F.count_if(acc).alias(f"n_{name}"))
+    return kept.agg(*aggs)
 
 
 def funnel_counts(df: DataFrame, stages: list[tuple[str, object]]) -> DataFrame:

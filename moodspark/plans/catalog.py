@@ -20,7 +20,9 @@ from moodspark.functions import scores as SC
 from moodspark.functions import text as T
 from moodspark.functions.stopwords import english_stop_words
 from moodspark.operators import ensemble, evaluate, features, lexicon, prep, sampling, stats
+from moodspark.plans import naive_bayes
 from moodspark.plans import sql_twins as S
+from moodspark.session import reliable_checkpoint, scratch_path
 from moodspark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,16 +59,40 @@ def _labelled_tokens(spark, sf):
     return d.select("doc_id", "source", "label", T.tokenize("text").alias("tokens"))
 
 
-def _scores(spark, sf):
-    """Deterministic per-class score vectors of two pseudo-models (``s``
-    primary, ``f`` fallback) for each labelled document, from md5 digits."""
-    d = tables.labelled_documents(spark, sf).select("doc_id", "source", "label")
+#: Smoothing of the primary and of the fallback naive Bayes model.
+PRIMARY, FALLBACK = 0.1, 1.0
+CLASSES = [0, 1, 2]
+
+
+def _nb_corpus(spark, sf):
+    """The labelled corpus split 70/15/15 (``doc_id, source, label, split``), the
+    vocabulary of its train part and all documents' TF-IDF weights under it,
+    each document's label and split beside them."""
+    t = _labelled_tokens(spark, sf).select("doc_id", "source", "label", features.ngrams("tokens", 2).alias("terms"))
+    corpus = reliable_checkpoint(sampling.stratified_split(reliable_checkpoint(t), "label", "doc_id"))
+    vocab, _ = features.fit_vocabulary(corpus.where(F.col("split") == "train"), "terms", NB["min_df"], NB["max_df"],
+                                       NB["max_features"])
+    weights = reliable_checkpoint(features.tfidf_long(corpus, "doc_id", "terms", vocab, sublinear=True,
+                                                      carry=("label", "split")))
+    return corpus.drop("terms"), vocab, weights
 
-    def arr(salt):
-        m = F.md5(F.concat(F.lit(f"{salt}|"), F.col("doc_id").cast("string")))
-        return F.array(*[SC.hex_unit(m, s) for s in (1, 5, 9)])
 
-    return d.select("doc_id", "source", "label", arr("s").alias("s"), arr("f").alias("f"))
+def _nb_scores(spark, sf, alphas: dict[str, float]):
+    """Held-out documents with the joint log-probabilities of naive Bayes models
+    fitted on the train part, one array for each smoothing value."""
+    docs, vocab, weights = _nb_corpus(spark, sf)
+    train = weights.where(F.col("split") == "train")
+    sums = naive_bayes.over_vocabulary(naive_bayes.class_sums(train, CLASSES), vocab, CLASSES)
+    total, v = naive_bayes.totals(sums, CLASSES)
+    priors = naive_bayes.log_priors(docs.where(F.col("split") == "train"), CLASSES)
+    return naive_bayes.joint_scores(docs.where(F.col("split") != "train"), weights.where(F.col("split") != "train"),
+                                    sums, priors, total, v, alphas)
+
+
+def _scores(spark, sf):
+    """Held-out documents with per-class scores of two fitted models: ``s`` of the
+    primary and ``f`` of the fallback."""
+    return _nb_scores(spark, sf, {"s": PRIMARY, "f": FALLBACK}).drop("split")
 
 
 def _predictions(spark, sf):
@@ -74,9 +100,67 @@ def _predictions(spark, sf):
 
 
 TOKS_SQL = f"toks AS (SELECT doc_id, source, label, {S.tokens('text')} AS tokens FROM labelled)"
+NB = features.NOTEBOOK_CONFIG
+
+
+def _nb_weights_sql() -> str:
+    """CTEs: the split corpus, its train vocabulary, all documents' weights, and the
+    sums of weights by class over the vocabulary with their totals and priors."""
+    return f"""
+{TOKS_SQL}, {S.class_rank_cte('toks', 'nb_ranked')},
+nb_docs AS (SELECT doc_id, source, label, tokens, {S.SPLIT_EXPR} AS split FROM nb_ranked),
+nb_u AS (SELECT doc_id, unnest(tokens) AS tok, unnest(generate_series(1, len(tokens))) AS i FROM nb_docs),
+nb_f AS (SELECT doc_id, tok, i FROM nb_u WHERE length(tok) >= 2),
+nb_b AS (SELECT doc_id, tok || ' ' || lead(tok) OVER (PARTITION BY doc_id ORDER BY i) AS term FROM nb_f),
+nb_terms AS (SELECT doc_id, tok AS term FROM nb_f UNION ALL SELECT doc_id, term FROM nb_b WHERE term IS NOT NULL),
+nb_n AS (SELECT count(*) AS n FROM nb_docs WHERE split = 'train'),
+nb_st AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS ctf FROM nb_terms
+          JOIN nb_docs USING (doc_id) WHERE split = 'train' GROUP BY term),
+nb_vocab AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM nb_st, nb_n
+             WHERE df >= {NB['min_df']} AND df <= {NB['max_df']} * n ORDER BY ctf DESC, term LIMIT {NB['max_features']}),
+nb_tf AS (SELECT doc_id, term, (1 + ln(count(*))) * any_value(idf) AS w FROM nb_terms JOIN nb_vocab USING (term)
+          GROUP BY doc_id, term),
+nb_w AS (SELECT t.doc_id, d.label, d.split, t.term, t.w / sqrt(sum(t.w * t.w) OVER (PARTITION BY t.doc_id)) AS w
+         FROM nb_tf t JOIN nb_docs d USING (doc_id))"""
+
+
+def _nb_joint_sql(alphas: dict[str, float], name: str) -> str:
+    """CTE ``name``: held-out documents with one score array for each smoothing value."""
+    def joint(alpha: float) -> str:
+        return "[" + ", ".join(
+            f"any_value(p{c}) + coalesce(sum(w * ln((s{c} + {alpha}) / (t{c} + {alpha} * v))), 0.0)" for c in CLASSES) + "]"
+
+    return f"""{_nb_weights_sql()},
+nb_sums AS (SELECT v.term, {", ".join(f"coalesce(sum(w.w) FILTER (w.label = {c}), 0.0) AS s{c}" for c in CLASSES)}
+            FROM nb_vocab v LEFT JOIN (SELECT * FROM nb_w WHERE split = 'train') w USING (term) GROUP BY v.term),
+nb_tot AS (SELECT {", ".join(f"sum(s{c}) AS t{c}" for c in CLASSES)}, count(*) AS v FROM nb_sums),
+nb_pri AS (SELECT {", ".join(f"ln(count(*) FILTER (label = {c}) / count(*)) AS p{c}" for c in CLASSES)}
+           FROM nb_docs WHERE split = 'train'),
+nb_hit AS (SELECT w.doc_id, w.w, s.* FROM nb_w w JOIN nb_sums s USING (term)),
+{name} AS (SELECT d.doc_id, d.source, d.label, d.split, {", ".join(f"{joint(a)} AS {n}" for n, a in alphas.items())}
+           FROM (SELECT * FROM nb_docs WHERE split <> 'train') d LEFT JOIN nb_hit h ON h.doc_id = d.doc_id, nb_tot, nb_pri
+           GROUP BY d.doc_id, d.source, d.label, d.split)"""
+
+
+SCORES_SQL = _nb_joint_sql({"s": PRIMARY, "f": FALLBACK}, "scores")
 PRED_SQL = f"pred AS (SELECT doc_id, source, label, s, f, {S.argmax('s')} AS prediction FROM scores)"
 
 
+def _lines(spark, sf):
+    """Every non-blank line of every document, as a source of many short rows:
+    ``key`` (order of document and line), ``doc_id, lang, line``."""
+    d = tables.documents(spark, sf, "doc_id", "lang", "text")
+    lines = prep.split_lines(d, "text", "line", keep=["doc_id", "lang"])
+    return lines.select((F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("key"), "doc_id", "lang", "line")
+
+
+LINES_SQL = f"""
+raw_lines AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS raw,
+              unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no FROM documents),
+lines AS (SELECT (doc_id * 1000000 + line_no)::BIGINT AS key, doc_id, lang, {S.unicode_trim('raw')} AS line FROM raw_lines
+          WHERE length({S.unicode_trim('raw')}) > 0)"""
+
+
 # ---------------------------------------------------------------------------
 # Text functions (TXT)
 # ---------------------------------------------------------------------------
@@ -160,17 +244,13 @@ SELECT word, n, round(n / max(n) OVER (), 6) AS rel_freq FROM c
 def q_word_top120(spark, sf):
     t = _tweets(spark, sf)
     toks = t.select(T.tokenize("tweet").alias("tokens"))
-    return stats.word_frequencies(toks, "tokens", 120)
+    return stats.word_frequencies(toks, "tokens", 120).withColumn("rel_freq", r6(F.col("rel_freq")))
 
 
 # ---------------------------------------------------------------------------
 # Sources, projections, label maps (SRC, PRJ)
 # ---------------------------------------------------------------------------
 
-TEXT_CANDIDATES = ["tweet_tokens", "tweet_clean", "clean_text", "tweet", "text", "content"]
-LABEL_CANDIDATES = ["sentiment", "label", "target", "class", "sentiment_label"]
-
-
 @query("resolve_columns", f"""
 WITH {S.RAW}
 SELECT content AS text, class AS label FROM raw WHERE content IS NOT NULL AND class IS NOT NULL
@@ -178,7 +258,7 @@ SELECT content AS text, class AS label FROM raw WHERE content IS NOT NULL AND cl
 def q_resolve_columns(spark, sf):
     from moodspark.sources.columns import resolve_text_label
     raw = tables.raw_labelled(spark, sf)
-    return resolve_text_label(raw, TEXT_CANDIDATES, LABEL_CANDIDATES).dropna()
+    return resolve_text_label(raw).dropna()
 
 
 @query("project_rename", f"""
@@ -187,18 +267,19 @@ SELECT content AS text, class AS label FROM raw
 """)
 def q_project_rename(spark, sf):
     from moodspark.sources.columns import resolve_text_label
-    return resolve_text_label(tables.raw_labelled(spark, sf), TEXT_CANDIDATES, LABEL_CANDIDATES)
+    return resolve_text_label(tables.raw_labelled(spark, sf))
 
 
 @query("resolve_columns_reporting", f"""
-WITH {S.TWEETS},
-c AS (SELECT doc_id, {S.token_string('tweet')} AS tweet_tokens, {S.clean('tweet')} AS tweet_clean, tweet FROM tweets)
-SELECT doc_id, tweet_tokens AS text FROM c WHERE tweet_tokens IS NOT NULL ORDER BY doc_id LIMIT 1500
+WITH {LINES_SQL},
+c AS (SELECT key, {S.token_string('line')} AS tweet_tokens FROM lines)
+SELECT key, tweet_tokens AS text FROM c WHERE tweet_tokens IS NOT NULL ORDER BY key LIMIT 1500
 """)
 def q_resolve_columns_reporting(spark, sf):
+    """SRC5 over lines, of which there are more than the 1,500 that it keeps."""
     from moodspark.sources.columns import reporting_text
-    c = prep.derived_columns(_tweets(spark, sf), "tweet", F.col("source"))
-    return reporting_text(c, "doc_id", ["tweet_tokens", "tweet_clean", "tweet"], 1500)
+    c = prep.derived_columns(_lines(spark, sf), "line", F.col("lang"))
+    return reporting_text(c, "key", ["tweet_tokens", "tweet_clean", "tweet"], 1500)
 
 
 @query("label_normalise", f"""
@@ -255,15 +336,31 @@ def q_text_preview(spark, sf):
                     L.tokens_preview(T.clean_and_tokenize("tweet")).alias("tokens_preview"))
 
 
+def _round_exact_sql(x: str, places: int) -> str:
+    """The exact-value rounding rule (see scores.round_exact), in SQL."""
+    scale, split = float(10 ** places), 134217729.0
+    ts = scale * split
+    s_hi = ts - (ts - scale)
+    s_lo = scale - s_hi
+    hi = f"(({x}) * {split!r} - (({x}) * {split!r} - ({x})))"
+    p = f"(({x}) * {scale!r})"
+    err = f"((({hi} * {s_hi!r} - {p}) + {hi} * {s_lo!r} + (({x}) - {hi}) * {s_hi!r}) + (({x}) - {hi}) * {s_lo!r})"
+    up = f"({p} - floor({p}) > 0.5 OR ({p} - floor({p}) = 0.5 AND ({err} > 0 OR ({err} = 0 AND floor({p})::BIGINT % 2 <> 0))))"
+    return f"(CASE WHEN {up} THEN floor({p}) + 1 ELSE floor({p}) END / {scale!r})"
+
+
 @query("round_scores", f"""
-WITH {S.LABELLED}, {S.SCORES}
-SELECT doc_id, round(s[1], 3) AS s0_3dp, round(s[2], 4) AS s1_4dp, round(s[3] * 100, 2) AS s2_2dp FROM scores
+WITH {S.LABELLED}, {SCORES_SQL},
+x AS (SELECT doc_id, CAST(s[1] AS DOUBLE) AS a, CAST(s[2] AS DOUBLE) AS b, CAST(doc_id AS DOUBLE) / 8 AS t FROM scores)
+SELECT doc_id, {_round_exact_sql('round(a, 6)', 3)} AS s0_3dp, {_round_exact_sql('round(b, 6)', 4)} AS s1_4dp,
+  {_round_exact_sql('t', 2)} AS t_2dp, {_round_exact_sql('t', 0)} AS t_0dp FROM x
 """)
 def q_round_scores(spark, sf):
-    s = _scores(spark, sf)
-    return s.select("doc_id", F.round(F.col("s")[0], 3).alias("s0_3dp"),
-                    F.round(F.col("s")[1], 4).alias("s1_4dp"),
-                    F.round(F.col("s")[2] * 100, 2).alias("s2_2dp"))
+    """PRJ7 on scores, and on eighths of the id, which hold exact ties."""
+    s = _scores(spark, sf).withColumn("t", F.col("doc_id").cast("double") / 8)
+    return s.select("doc_id", SC.round_exact(r6(F.col("s")[0]), 3).alias("s0_3dp"),
+                    SC.round_exact(r6(F.col("s")[1]), 4).alias("s1_4dp"),
+                    SC.round_exact("t", 2).alias("t_2dp"), SC.round_exact("t", 0).alias("t_0dp"))
 
 
 @query("capitalise_label", f"""
@@ -277,7 +374,7 @@ def q_capitalise_label(spark, sf):
 
 
 @query("correct_flag", f"""
-WITH {S.LABELLED}, {S.SCORES}, {PRED_SQL}
+WITH {S.LABELLED}, {SCORES_SQL}, {PRED_SQL}
 SELECT doc_id, {S.label_name('label')} AS expected, {S.label_name('prediction')} AS predicted,
   CASE WHEN label = prediction THEN 'Oui' ELSE 'Non' END AS correct FROM pred
 """)
@@ -301,7 +398,7 @@ TITLES_SQL = (f"titles AS (SELECT doc_id, ['Negatif', 'Neutre', 'Positif'][label
 
 
 @query("title_groups", f"""
-WITH {S.LABELLED}, {S.SCORES}, {PRED_SQL}, {TITLES_SQL}
+WITH {S.LABELLED}, {SCORES_SQL}, {PRED_SQL}, {TITLES_SQL}
 SELECT doc_id, split_part(title, ' - ', 1) AS grp, split_part(title, ' - ', 2) AS name,
   {S.expected_label("split_part(title, ' - ', 1)")} AS expected FROM titles
 """)
@@ -370,9 +467,11 @@ def q_short_text_filter(spark, sf):
 @query("drop_retweets", f"""
 WITH {S.TWEETS}
 SELECT doc_id FROM tweets WHERE NOT coalesce(regexp_matches(tweet, {S.q(T.LEADING_RT_WORD_RE)}), false)
+  AND NOT (doc_id % 11 = 0)
 """)
 def q_drop_retweets(spark, sf):
-    t = _tweets(spark, sf)
+    """FLT4 with both rules: the text's prefix, and a flag column (here on every eleventh id)."""
+    t = _tweets(spark, sf).withColumn("is_retweet", F.col("doc_id") % 11 == 0)
     return prep.drop_retweets(t, "tweet").select("doc_id")
 
 
@@ -387,13 +486,41 @@ def q_split_lines(spark, sf):
     return prep.split_lines(d, "text", "line", keep=["doc_id"])
 
 
-@query("reject_invalid", """
+REQUESTS_SQL = """
+req AS (SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 5 = 0 THEN NULL WHEN (conv_id + turn) % 7 = 0 THEN ''
+        ELSE text END AS text FROM conversations)"""
+
+
+def _raw_requests(spark, sf):
+    """Conversation turns as requests, some without a text and some with an empty one."""
+    k = F.col("conv_id") + F.col("turn")
+    text = F.when(k % 5 == 0, F.lit(None)).when(k % 7 == 0, F.lit("")).otherwise(F.col("text"))
+    return tables.conversation_turns(spark, sf).withColumn("text", text)
+
+
+@query("reject_invalid", f"""
+WITH {REQUESTS_SQL}
 SELECT conv_id, turn, CASE WHEN text IS NULL THEN 'missing text' WHEN length(text) < 1 THEN 'text too short'
-  ELSE 'valid' END AS status FROM conversations
+  ELSE 'valid' END AS status FROM req
 """)
 def q_reject_invalid(spark, sf):
-    c = tables.conversation_turns(spark, sf)
-    return c.select("conv_id", "turn", prep.request_status("text").alias("status"))
+    """FLT7: the valid requests, and the rejected ones with their reason."""
+    valid, rejected = prep.split_valid(_raw_requests(spark, sf))
+    return valid.select("conv_id", "turn", F.lit("valid").alias("status")).unionByName(
+        rejected.select("conv_id", "turn", F.col("reason").alias("status")))
+
+
+@query("reject_batches", f"""
+WITH {REQUESTS_SQL},
+b AS (SELECT conv_id, count(*) FILTER (WHERE turn % 3 = 1) AS n_items,
+      count(*) FILTER (WHERE turn % 3 = 1 AND (text IS NULL OR length(text) < 1)) AS n_rejected FROM req GROUP BY conv_id)
+SELECT conv_id, n_items, n_rejected, CASE WHEN n_items < 1 THEN 'empty batch' WHEN n_rejected > 0 THEN 'invalid item'
+  ELSE 'valid' END AS status FROM b
+""")
+def q_reject_batches(spark, sf):
+    """FLT7 for batches: a conversation's every third turn is a batch; some have none."""
+    r = _raw_requests(spark, sf).withColumn("is_item", F.col("turn") % 3 == 1)
+    return prep.batch_status(r, "conv_id")
 
 
 # ---------------------------------------------------------------------------
@@ -403,8 +530,9 @@ def q_reject_invalid(spark, sf):
 def _union(spark, sf):
     docs = tables.documents(spark, sf, "doc_id", "text")
     conv = tables.conversation_turns(spark, sf).select("conv_id", "turn", "role", "text")
-    bench = tables.benchmark_items(spark, sf)
-    return prep.union_sources([("documents", docs), ("conversations", conv), ("benchmark", bench)])
+    # SRC2: of the sources named, one doesn't exist and is skipped
+    more, _ = prep.read_sources(spark, [(n, f"{sf}/{n}.parquet") for n in ("benchmark", "no_such_source")])
+    return prep.union_sources([("documents", docs), ("conversations", conv), *more])
 
 
 UNION_SQL = """u AS (
@@ -432,14 +560,14 @@ def q_source_counts(spark, sf):
     return _union(spark, sf).groupBy("source_dataset").agg(F.count("*").alias("n"))
 
 
-@query("cap_rows_per_source", """
-SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r
-FROM documents) WHERE r <= 1500
+@query("cap_rows_per_source", f"""
+WITH {LINES_SQL}
+SELECT key, lang FROM (SELECT key, lang, row_number() OVER (PARTITION BY lang ORDER BY key) AS r FROM lines) WHERE r <= 1500
 """)
 def q_cap_rows_per_source(spark, sf):
+    """SRC3's cap on lines by language, some of which have more than 1,500."""
     from moodspark.sources.files import cap_rows_per_group
-    d = tables.documents(spark, sf, "doc_id", "source")
-    return cap_rows_per_group(d, "source", "doc_id", 1500)
+    return cap_rows_per_group(_lines(spark, sf).select("key", "lang"), "lang", "key", 1500)
 
 
 @query("dedupe_text", """
@@ -451,8 +579,19 @@ def q_dedupe_text(spark, sf):
     return prep.dedupe(d, "text", ["source", "doc_id"]).select("doc_id", "source")
 
 
+# The lexicon that the registered queries bring along, as a user would: words that
+# the test corpora hold, with valences made up for them (the library has none).
+QUERY_LEXICON = [
+    ("good", 1.9), ("great", 3.1), ("love", 3.2), ("peace", 2.5), ("hope", 1.9),
+    ("bad", -2.5), ("hate", -2.7), ("war", -2.9), ("fear", -2.2), ("terrible", -2.1),
+    ("the", 0.4), ("and", 0.3), ("that", -0.3), ("for", 0.6), ("was", -0.8),
+    ("with", 1.1), ("this", -1.2), ("der", 0.7), ("die", -1.6), ("que", 0.9),
+    ("les", -0.5), ("des", 0.2), ("und", 1.4), ("tion", -0.9),
+]
+
+
 def _lexicon_sql() -> str:
-    vals = ", ".join(f"({S.q(w)}, {v!r})" for w, v in lexicon.MINI_LEXICON)
+    vals = ", ".join(f"({S.q(w)}, {v!r})" for w, v in QUERY_LEXICON)
     neg = S.sql_list(lexicon.NEGATORS)
     up = S.sql_list(lexicon.INTENSIFIERS)
     down = S.sql_list(lexicon.DAMPENERS)
@@ -484,7 +623,7 @@ LEX_SQL = _lexicon_sql()
 
 def _lexicon_scores(spark, sf):
     t = _tweets(spark, sf).select("doc_id", T.split_words(T.clean_text("tweet")).alias("words"))
-    return lexicon.lexicon_score(t, "doc_id", "words", lexicon.lexicon_table(spark))
+    return lexicon.lexicon_score(t, "doc_id", "words", lexicon.lexicon_table(spark, QUERY_LEXICON))
 
 
 @query("lexicon_score", f"""
@@ -552,7 +691,6 @@ def q_ngrams(spark, sf):
             .groupBy("doc_id", "term").agg(F.count("*").alias("n")))
 
 
-NB = features.NOTEBOOK_CONFIG
 CLI = features.CLI_CONFIG
 
 
@@ -570,7 +708,7 @@ WITH {S.LABELLED}, {TOKS_SQL}, {_terms_sql()}, {_vocab_sql(NB['min_df'], NB['max
 {_tfidf_sql(True)}
 """)
 def q_tfidf_sublinear(spark, sf):
-    t = _terms(spark, sf)
+    t = reliable_checkpoint(_terms(spark, sf))
     v, _ = features.fit_vocabulary(t, "terms", NB["min_df"], NB["max_df"], NB["max_features"])
     w = features.tfidf_long(t, "doc_id", "terms", v, sublinear=True)
     return w.select("doc_id", "term", r6(F.col("weight")).alias("weight"))
@@ -581,7 +719,7 @@ WITH {S.LABELLED}, {TOKS_SQL}, {_terms_sql()}, {_vocab_sql(CLI['min_df'], CLI['m
 {_tfidf_sql(False)}
 """)
 def q_tfidf_plain(spark, sf):
-    t = _terms(spark, sf)
+    t = reliable_checkpoint(_terms(spark, sf))
     v, _ = features.fit_vocabulary(t, "terms", CLI["min_df"], CLI["max_df"], CLI["max_features"])
     w = features.tfidf_long(t, "doc_id", "terms", v, sublinear=False)
     return w.select("doc_id", "term", r6(F.col("weight")).alias("weight"))
@@ -599,8 +737,7 @@ held AS (SELECT * FROM terms WHERE doc_id IN (SELECT doc_id FROM split WHERE spl
 {_tfidf_sql(True, 'held')}
 """)
 def q_frozen_vocab_transform(spark, sf):
-    t = _terms(spark, sf)
-    s = sampling.stratified_split(t, "label", "doc_id")
+    s = reliable_checkpoint(sampling.stratified_split(reliable_checkpoint(_terms(spark, sf)), "label", "doc_id"))
     train = s.where(F.col("split") == "train")
     v, _ = features.fit_vocabulary(train, "terms", NB["min_df"], NB["max_df"], NB["max_features"])
     held = s.where(F.col("split") != "train")
@@ -678,10 +815,10 @@ FROM full_ f JOIN tot USING (label), v
 """)
 def q_nb_closed_form(spark, sf):
     from moodspark.plans.training import naive_bayes_long
-    t = _terms(spark, sf)
+    t = reliable_checkpoint(_terms(spark, sf))
     v, _ = features.fit_vocabulary(t, "terms", NB["min_df"], NB["max_df"], NB["max_features"])
-    w = features.tfidf_long(t, "doc_id", "terms", v, sublinear=True)
-    theta = naive_bayes_long(w, t.select("doc_id", "label"), v, "doc_id", "label", smoothing=0.1)
+    w = reliable_checkpoint(features.tfidf_long(t, "doc_id", "terms", v, sublinear=True, carry=("label",)))
+    theta = naive_bayes_long(w, v, "label", smoothing=0.1)
     return theta.select("label", "term", r6(F.col("log_theta")).alias("log_theta"))
 
 
@@ -690,7 +827,7 @@ def q_nb_closed_form(spark, sf):
 # ---------------------------------------------------------------------------
 
 @query("weighted_ensemble", f"""
-WITH {S.LABELLED}, {S.SCORES},
+WITH {S.LABELLED}, {SCORES_SQL},
 c AS (SELECT doc_id, [s[1] * 0.65 + f[1] * 0.35, s[2] * 0.65 + f[2] * 0.35, s[3] * 0.65 + f[3] * 0.35] AS c FROM scores)
 SELECT doc_id, round(c[1], 6) AS c0, round(c[2], 6) AS c1, round(c[3], 6) AS c2, {S.argmax('c')} AS prediction FROM c
 """)
@@ -705,7 +842,7 @@ routed AS (SELECT doc_id, margin, margin < 0.35 AS use_fallback,
 
 
 @query("confidence_route", f"""
-WITH {S.LABELLED}, {S.SCORES}, {ROUTE_SQL}
+WITH {S.LABELLED}, {SCORES_SQL}, {ROUTE_SQL}
 SELECT doc_id, round(margin, 6) AS margin, use_fallback, prediction FROM routed
 """)
 def q_confidence_route(spark, sf):
@@ -714,7 +851,7 @@ def q_confidence_route(spark, sf):
 
 
 @query("fallback_rate", f"""
-WITH {S.LABELLED}, {S.SCORES}, {ROUTE_SQL}
+WITH {S.LABELLED}, {SCORES_SQL}, {ROUTE_SQL}
 SELECT round(avg(CASE WHEN use_fallback THEN 1.0 ELSE 0.0 END), 6) AS fallback_rate, count(*) AS n FROM routed
 """)
 def q_fallback_rate(spark, sf):
@@ -737,58 +874,60 @@ rep AS (SELECT {g}cls, support, precision, recall,
         coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM pr)"""
 
 
-def _fold_f1(spark, sf):
-    p = _predictions(spark, sf).select("doc_id", "label", "prediction")
-    folds = sampling.stratified_folds(p, "label", "doc_id", 5)
-    from moodspark.plans.training import per_group_summary
-    return per_group_summary(folds, "fold")
-
-
 @query("cv_summary", f"""
-WITH {S.LABELLED}, {S.SCORES}, {PRED_SQL}, {S.class_rank_cte('pred')},
-fp AS (SELECT ((rnk - 1) % 5)::INTEGER AS fold, label, prediction FROM ranked),
+WITH {S.LABELLED}, {_nb_weights_sql()},
+cv_ranked AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY
+              md5('42|' || CAST(doc_id AS VARCHAR)), doc_id) AS rnk FROM nb_docs WHERE split = 'train'),
+cv AS (SELECT doc_id, label, ((rnk - 1) % 5)::INTEGER AS fold FROM cv_ranked),
+cvw AS (SELECT w.doc_id, cv.fold, cv.label, w.term, w.w FROM nb_w w JOIN cv USING (doc_id)),
+folds AS (SELECT DISTINCT fold FROM cv),
+part AS (SELECT f.fold, v.term, {", ".join(f"coalesce(sum(c.w) FILTER (c.label = {k} AND c.fold <> f.fold), 0.0) AS s{k}" for k in CLASSES)}
+         FROM folds f CROSS JOIN nb_vocab v LEFT JOIN cvw c ON c.term = v.term GROUP BY f.fold, v.term),
+tot AS (SELECT fold, {", ".join(f"sum(s{k}) AS t{k}" for k in CLASSES)}, count(*) AS v FROM part GROUP BY fold),
+pri AS (SELECT f.fold, {", ".join(f"ln(count(*) FILTER (cv.label = {k}) / count(*)) AS p{k}" for k in CLASSES)}
+        FROM folds f JOIN cv ON cv.fold <> f.fold GROUP BY f.fold),
+joint AS (SELECT cv.doc_id, cv.fold, cv.label, [{", ".join(
+    f"any_value(p{k}) + coalesce(sum(c.w * ln((s{k} + {PRIMARY}) / (t{k} + {PRIMARY} * v))), 0.0)" for k in CLASSES)}] AS s
+  FROM cv JOIN tot USING (fold) JOIN pri USING (fold) LEFT JOIN cvw c ON c.doc_id = cv.doc_id
+  LEFT JOIN part p ON p.fold = cv.fold AND p.term = c.term GROUP BY cv.doc_id, cv.fold, cv.label),
+fp AS (SELECT fold, label, {S.argmax('s')} AS prediction FROM joint),
 {_report_sql('fp', 'fold')},
 ff AS (SELECT fold, sum(f1 * support) / sum(support) AS f1w FROM rep GROUP BY fold)
 SELECT round(avg(f1w), 6) AS cv_f1_mean, round(stddev_pop(f1w), 6) AS cv_f1_std, count(*) AS folds FROM ff
 """)
 def q_cv_summary(spark, sf):
-    f = _fold_f1(spark, sf)
-    return f.agg(r6(F.avg("f1_weighted")).alias("cv_f1_mean"),
-                 r6(F.stddev_pop("f1_weighted")).alias("cv_f1_std"),
+    """MOD10: five folds of the train part under its vocabulary; each fold is
+    predicted by naive Bayes fitted on the other four."""
+    return _cv_summary(_nb_corpus(spark, sf), PRIMARY)
+
+
+def _cv_summary(corpus, alpha):
+    from moodspark.plans.training import per_group_summary
+    docs, vocab, weights = corpus
+    folds = reliable_checkpoint(sampling.stratified_folds(docs.where(F.col("split") == "train").select("doc_id", "label"),
+                                                          "label", "doc_id", 5))
+    w = weights.drop("label").join(folds, "doc_id")
+    scored = naive_bayes.fold_scores(folds, w, vocab, CLASSES, alpha).withColumn("prediction", SC.argmax("scores"))
+    f = per_group_summary(scored, "fold")
+    return f.agg(r6(F.avg("f1_weighted")).alias("cv_f1_mean"), r6(F.stddev_pop("f1_weighted")).alias("cv_f1_std"),
                  F.count("*").alias("folds"))
 
 
-MODEL_SALTS = ["m1", "m2", "m3", "m4"]
+#: Models of the comparison: naive Bayes by its smoothing, in the order of the runs.
+MODEL_ALPHAS = {"nb_0_01": 0.01, "nb_0_1": 0.1, "nb_1": 1.0, "nb_10": 10.0}
 
 
-def _pseudo_model_predictions(spark, sf):
-    """Predictions of four pseudo-models (md5 salts) on the stratified split."""
-    d = tables.labelled_documents(spark, sf).select("doc_id", "label")
-    s = sampling.stratified_split(d, "label", "doc_id")
-    rows = []
-    for order, salt in enumerate(MODEL_SALTS):
-        m = F.md5(F.concat(F.lit(f"{salt}|"), F.col("doc_id").cast("string")))
-        arr = F.array(*[SC.hex_unit(m, k) for k in (1, 5, 9)])
-        rows.append(s.select(F.lit(salt).alias("model"), F.lit(order).alias("run_order"), "doc_id",
-                             "label", "split", SC.argmax(arr).alias("prediction")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
-
-
-def _pseudo_sql() -> str:
-    parts = []
-    for order, salt in enumerate(MODEL_SALTS):
-        arr = S.score_array(salt)
-        parts.append(f"SELECT '{salt}' AS model, {order} AS run_order, doc_id, label, split, "
-                     f"{S.argmax(arr)} AS prediction FROM sp")
-    return (f"{S.class_rank_cte('labelled')}, sp AS (SELECT doc_id, label, {S.SPLIT_EXPR} AS split FROM ranked), "
-            f"mp AS ({' UNION ALL '.join(parts)})")
-
-
-COMPARISON_SQL = f"""{_pseudo_sql()},
-mps AS (SELECT model || '|' || split AS grp, label, prediction FROM mp WHERE split <> 'train'),
+def _model_predictions(spark, sf):
+    """Predictions of the four models on the held-out documents."""
+    s = _nb_scores(spark, sf, MODEL_ALPHAS)
+    each = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(i).alias("run_order"), SC.argmax(m).alias("prediction"))
+                     for i, m in enumerate(MODEL_ALPHAS)])
+    return s.select("doc_id", "label", "split", F.inline(each))
+
+
+COMPARISON_SQL = f"""{_nb_joint_sql(MODEL_ALPHAS, 'scores')},
+mps AS ({" UNION ALL ".join(
+    f"SELECT '{m}|' || split AS grp, label, {S.argmax(m)} AS prediction FROM scores" for m in MODEL_ALPHAS)}),
 {_report_sql('mps', 'grp')},
 g AS (SELECT grp, sum(f1 * support) / sum(support) AS f1w, sum(recall * support) / sum(support) AS acc FROM rep GROUP BY grp),
 cmp AS (SELECT split_part(grp, '|', 1) AS model,
@@ -801,12 +940,12 @@ cmp AS (SELECT split_part(grp, '|', 1) AS model,
 
 def _comparison(spark, sf):
     from moodspark.plans.training import comparison_from_predictions
-    return comparison_from_predictions(_pseudo_model_predictions(spark, sf))
+    return comparison_from_predictions(_model_predictions(spark, sf))
 
 
 @query("best_model", f"""
 WITH {S.LABELLED}, {COMPARISON_SQL},
-ro AS (SELECT model, f1_test, list_position({S.sql_list(MODEL_SALTS)}, model) AS run_order FROM cmp)
+ro AS (SELECT model, f1_test, list_position({S.sql_list(list(MODEL_ALPHAS))}, model) AS run_order FROM cmp)
 SELECT model, round(f1_test, 6) AS f1_test FROM ro ORDER BY f1_test DESC, run_order LIMIT 1
 """)
 def q_best_model(spark, sf):
@@ -834,7 +973,7 @@ def q_metric_extremes(spark, sf):
 # ---------------------------------------------------------------------------
 
 @query("softmax_confidence", f"""
-WITH {S.LABELLED}, {S.SCORES}, {PRED_SQL}
+WITH {S.LABELLED}, {SCORES_SQL}, {PRED_SQL}
 SELECT doc_id, prediction,
   round(exp(s[prediction + 1] - list_max(s)) / list_sum(list_transform(s, lambda v: exp(v - list_max(s)))), 6) AS score,
   round(1 / (1 + exp(-abs(s[1]))), 6) AS binary_score
@@ -847,24 +986,23 @@ def q_softmax_confidence(spark, sf):
 
 
 @query("empty_text_rule", f"""
-WITH {S.TWEETS}, {S.LABELLED}, {S.SCORES}, {PRED_SQL},
-tk AS (SELECT doc_id, {S.token_string('text')} AS tokens FROM tweets)
-SELECT tk.doc_id,
-  CASE WHEN tk.tokens = '' OR p.doc_id IS NULL THEN 'neutral' ELSE {S.label_name('p.prediction')} END AS label,
-  CASE WHEN tk.tokens = '' OR p.doc_id IS NULL THEN 0.0 ELSE
+WITH {S.LABELLED}, {SCORES_SQL}, {PRED_SQL},
+tk AS (SELECT doc_id, {S.token_string("CASE WHEN doc_id % 7 = 0 THEN '@' || source || ' !!! 123' ELSE text END")} AS tokens
+       FROM documents)
+SELECT p.doc_id, CASE WHEN tk.tokens = '' THEN 'neutral' ELSE {S.label_name('p.prediction')} END AS label,
+  CASE WHEN tk.tokens = '' THEN 0.0 ELSE
     round(exp(p.s[p.prediction + 1] - list_max(p.s)) / list_sum(list_transform(p.s, lambda v: exp(v - list_max(p.s)))), 6)
-  END AS score,
-  tk.tokens AS tokens
-FROM tk LEFT JOIN pred p ON tk.doc_id = p.doc_id
+  END AS score, tk.tokens AS tokens
+FROM pred p JOIN tk ON tk.doc_id = p.doc_id
 """)
 def q_empty_text_rule(spark, sf):
+    """SCO2 on the scored documents; every seventh comes as a text that cleans to nothing."""
     from moodspark.plans.scoring import apply_empty_rule
-    t = _tweets(spark, sf).select("doc_id", T.clean_and_tokenize("text").alias("tokens"))
-    p = _predictions(spark, sf).select("doc_id", "prediction",
-                                       SC.confidence("s", "prediction").alias("p_score"))
-    j = t.join(p, "doc_id", "left")
-    out = apply_empty_rule(j, "tokens", L.label_name("prediction"), F.coalesce(F.col("p_score"), F.lit(0.0)),
-                           extra_empty=F.col("prediction").isNull())
+    noise = F.concat(F.lit("@"), F.col("source"), F.lit(" !!! 123"))
+    text = F.when(F.col("doc_id") % 7 == 0, noise).otherwise(F.col("text"))
+    t = tables.documents(spark, sf, "doc_id", "source", "text").select("doc_id", T.clean_and_tokenize(text).alias("tokens"))
+    p = _predictions(spark, sf).select("doc_id", "prediction", SC.confidence("s", "prediction").alias("p_score"))
+    out = apply_empty_rule(t.join(p, "doc_id"), "tokens", L.label_name("prediction"), F.col("p_score"))
     return out.select("doc_id", "label", r6(F.col("score")).alias("score"), "tokens")
 
 
@@ -896,7 +1034,7 @@ SELECT sentiment_label, n, round(n * 100.0 / sum(n) OVER (), 6) AS pct FROM c
 """)
 def q_class_share(spark, sf):
     d = tables.labelled_documents(spark, sf).select(L.label_name("label").alias("sentiment_label"))
-    return stats.class_share(d, "sentiment_label")
+    return stats.class_share(d, "sentiment_label").withColumn("pct", r6(F.col("pct")))
 
 
 @query("dataset_profile", f"""
@@ -911,7 +1049,8 @@ SELECT source_dataset, tweets, n_negative, n_neutral, n_positive,
 def q_dataset_profile(spark, sf):
     d = tables.labelled_documents(spark, sf).select(F.col("source").alias("source_dataset"),
                                                     L.label_name("label").alias("sentiment_label"))
-    return stats.dataset_profile(d, "source_dataset", "sentiment_label")
+    p = stats.dataset_profile(d, "source_dataset", "sentiment_label")
+    return p.withColumns({c: r6(F.col(c)) for c in p.columns if c.startswith("pct_")})
 
 
 @query("dataset_share", f"""
@@ -937,16 +1076,13 @@ FROM f
 """)
 def q_funnel_counts(spark, sf):
     t = _tweets(spark, sf)
-    keepers = prep.dedupe(t.select("doc_id", "source", "text"), "text", ["source", "doc_id"])
-    flagged = t.join(keepers.select("doc_id", F.lit(True).alias("keep")), "doc_id", "left")
-    stages = [("deduplicated", F.coalesce(F.col("keep"), F.lit(False))),
-              ("no_retweet", ~prep.is_retweet(t, "tweet")),
+    stages = [("no_retweet", ~prep.is_retweet(t, "tweet")),
               ("min_words", T.token_count(T.clean_and_tokenize("tweet")) >= 3)]
-    return stats.funnel_counts(flagged, stages)
+    return stats.deduplicated_funnel(t, "text", ["source", "doc_id"], stages)
 
 
 @query("accuracy", f"""
-WITH {S.LABELLED}, {S.SCORES}, {PRED_SQL}
+WITH {S.LABELLED}, {SCORES_SQL}, {PRED_SQL}
 SELECT round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pred
 """)
 def q_accuracy(spark, sf):
@@ -954,7 +1090,7 @@ def q_accuracy(spark, sf):
 
 
 @query("f1_weighted", f"""
-WITH {S.LABELLED}, {S.SCORES}, {PRED_SQL}, {_report_sql('pred')}
+WITH {S.LABELLED}, {SCORES_SQL}, {PRED_SQL}, {_report_sql('pred')}
 SELECT round(sum(f1 * support) / sum(support), 6) AS f1_weighted FROM rep
 """)
 def q_f1_weighted(spark, sf):
@@ -963,7 +1099,7 @@ def q_f1_weighted(spark, sf):
 
 
 @query("f1_macro", f"""
-WITH {S.LABELLED}, {S.SCORES}, {PRED_SQL}, {_report_sql('pred')}
+WITH {S.LABELLED}, {SCORES_SQL}, {PRED_SQL}, {_report_sql('pred')}
 SELECT round(avg(f1), 6) AS f1_macro FROM rep
 """)
 def q_f1_macro(spark, sf):
@@ -972,7 +1108,7 @@ def q_f1_macro(spark, sf):
 
 
 @query("class_report", f"""
-WITH {S.LABELLED}, {S.SCORES}, {PRED_SQL}, {_report_sql('pred')}
+WITH {S.LABELLED}, {SCORES_SQL}, {PRED_SQL}, {_report_sql('pred')}
 SELECT cls::INTEGER AS class, support::BIGINT AS support, round(precision, 6) AS precision,
   round(recall, 6) AS recall, round(f1, 6) AS f1 FROM rep
 """)
@@ -981,8 +1117,21 @@ def q_class_report(spark, sf):
     return r.select("class", "support", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query("report_averages", f"""
+WITH {S.LABELLED}, {SCORES_SQL}, {PRED_SQL}, {_report_sql('pred')}
+SELECT sum(support)::BIGINT AS n, round(avg(precision), 6) AS precision_macro, round(avg(recall), 6) AS recall_macro,
+  round(avg(f1), 6) AS f1_macro, round(sum(precision * support) / sum(support), 6) AS precision_weighted,
+  round(sum(recall * support) / sum(support), 6) AS recall_weighted, round(sum(f1 * support) / sum(support), 6) AS f1_weighted
+FROM rep
+""")
+def q_report_averages(spark, sf):
+    """EVA4: macro and weighted averages."""
+    s = evaluate.summary(_predictions(spark, sf))
+    return s.select("n", *[r6(F.col(f"{m}_{k}")).alias(f"{m}_{k}") for k in ("macro", "weighted") for m in ("precision", "recall", "f1")])
+
+
 @query("confusion_matrix", f"""
-WITH {S.LABELLED}, {S.SCORES}, {PRED_SQL}
+WITH {S.LABELLED}, {SCORES_SQL}, {PRED_SQL}
 SELECT label, count(*) FILTER (WHERE prediction = 0) AS pred_0, count(*) FILTER (WHERE prediction = 1) AS pred_1,
   count(*) FILTER (WHERE prediction = 2) AS pred_2 FROM pred GROUP BY label
 """)
@@ -991,7 +1140,7 @@ def q_confusion_matrix(spark, sf):
 
 
 @query("demo_accuracy", f"""
-WITH {S.LABELLED}, {S.SCORES}, {PRED_SQL}, {TITLES_SQL},
+WITH {S.LABELLED}, {SCORES_SQL}, {PRED_SQL}, {TITLES_SQL},
 c AS (SELECT CASE WHEN {S.expected_label("split_part(title, ' - ', 1)")} = {S.label_name('prediction')}
         THEN 'Oui' ELSE 'Non' END AS correct FROM titles)
 SELECT sum(CASE WHEN correct = 'Oui' THEN 1 ELSE 0 END)::BIGINT AS correct, count(*) AS total,
@@ -1026,30 +1175,28 @@ SELECT doc_id, label, source, text FROM labelled
 def q_csv_roundtrip(spark, sf):
     """SRC1: the labelled corpus written as CSV (texts hold newlines and
     quotes) and read back with an explicit schema equals the input."""
-    from moodspark.session import scratch_path
     from moodspark.sources.files import read_csv, write_csv
     path = scratch_path(spark, "labelled-csv")
     write_csv(tables.labelled_documents(spark, sf).select("doc_id", "label", "source", "text"), path)
     return read_csv(spark, path, "doc_id long, label int, source string, text string", na_to_null=False)
 
 
-@query("glob_capped_scan", """
-SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r
-FROM documents) WHERE r <= 1500
+@query("glob_capped_scan", f"""
+WITH {LINES_SQL}
+SELECT key, lang FROM (SELECT key, lang, row_number() OVER (PARTITION BY lang ORDER BY key) AS r FROM lines) WHERE r <= 1500
 """)
 def q_glob_capped_scan(spark, sf):
-    """SRC3: one CSV folder per source, read by glob with at most 1500 rows per
-    file ordered by doc_id."""
-    from moodspark.session import scratch_path
+    """SRC3: a CSV folder for each language's lines, read by glob with at most 1,500
+    rows of each, ordered by key.  A folder has a part file for each task that had
+    rows of it, so a language that most rows have is written and read in parallel."""
     from moodspark.sources.files import read_glob_capped
     root = scratch_path(spark, "clean-csv")
-    d = tables.documents(spark, sf, "doc_id", "source", "text")
-    # one file per source: partition by source, one output file per partition
-    (d.repartition("source").write.mode("overwrite").option("header", "true")
-     .option("multiLine", "true").option("escape", '"').partitionBy("source").csv(root))
-    df = read_glob_capped(spark, root, "*.csv", 1500, order="doc_id",
-                          schema="doc_id long, text string, source string")
-    return df.select("doc_id", "source")
+    (_lines(spark, sf).select("key", "line", "lang").write.mode("overwrite").option("header", "true")
+     .option("escape", '"').partitionBy("lang").csv(root))
+    # a line has no line break, so files can be split among tasks
+    df = read_glob_capped(spark, root, "*.csv", 1500, order="key", schema="key long, line string, lang string",
+                          per_folder=True, multiLine="false")
+    return df.select("key", "lang")
 
 
 @query("lemmatize", f"""
@@ -1064,8 +1211,8 @@ SELECT t.doc_id, coalesce(g.lemmas, '') AS lemmas FROM toks t LEFT JOIN g USING
 """)
 def q_lemmatize(spark, sf):
     """TXT12 with a lemma table Spark derives from the corpus (plural forms)."""
-    t = _labelled_tokens(spark, sf).select("doc_id", "tokens")
-    lem = prep.plural_lemmas(t, "tokens")
+    t = reliable_checkpoint(_labelled_tokens(spark, sf).select("doc_id", "tokens"))
+    lem = reliable_checkpoint(prep.plural_lemmas(t, "tokens"))
     out = prep.lemmatize(t, "doc_id", "tokens", lem)
     return out.select("doc_id", F.array_join("tokens", " ").alias("lemmas"))
 
@@ -1082,7 +1229,6 @@ FROM tweets t JOIN sc USING (doc_id)
 def q_corpus_sink(spark, sf):
     """SNK6 + PRJ11 + LAB1/LAB2: the cleaned, lexicon-labelled corpus written as
     Parquet partitioned by source and read back."""
-    from moodspark.session import scratch_path
     from moodspark.sources.files import write_corpus
     t = _tweets(spark, sf)
     c = prep.derived_columns(t, "tweet", F.col("source")).select(
@@ -1103,35 +1249,86 @@ SELECT model, round(accuracy_val, 6) AS accuracy_val, round(f1_val, 6) AS f1_val
   round(accuracy_test, 6) AS accuracy_test, round(f1_test, 6) AS f1_test FROM cmp
 """)
 def q_comparison_csv(spark, sf):
-    """SNK1: the comparison table written as one header CSV and read back."""
-    from moodspark.session import scratch_path
+    """SNK1: the comparison table, best first, written as one header CSV and read back."""
     from moodspark.sources.files import read_csv, write_csv
     cols = ["accuracy_val", "f1_val", "accuracy_test", "f1_test"]
-    c = _comparison(spark, sf).select("model", *[r6(F.col(x)).alias(x) for x in cols])
+    c = _comparison(spark, sf).orderBy(F.desc("f1_test"), "run_order").select("model", *[r6(F.col(x)).alias(x) for x in cols])
     path = write_csv(c, scratch_path(spark, "comparison-csv"), single_file=True)
     return read_csv(spark, path, "model string, " + ", ".join(f"{x} double" for x in cols))
 
 
-@query("report_text")
+def _report_lines_sql() -> str:
+    def fixed(x):
+        n = f"floor(({x}) * 100.0 + 0.5)::BIGINT"
+        return f"(({n}) // 100)::VARCHAR || '.' || lpad((({n}) % 100)::VARCHAR, 2, '0')"
+
+    def line(name, *cells):
+        return f"rpad({name}, 12, ' ')" + "".join(f" || lpad({c}, 12, ' ')" for c in cells)
+
+    n = "sum(support)::BIGINT::VARCHAR"
+    avg = {"macro avg": "avg({})", "weighted avg": "sum({} * support) / sum(support)"}
+    rows = [f"SELECT 0 AS line_no, {line(S.q(''), *map(S.q, ('precision', 'recall', 'f1-score', 'support')))} AS line",
+            f"SELECT cls::INTEGER + 1, {line(S.label_name('cls::INTEGER'), *[fixed(m) for m in ('precision', 'recall', 'f1')], 'support::BIGINT::VARCHAR')} FROM rep",
+            f"SELECT 1001, {line(S.q('accuracy'), S.q(''), S.q(''), fixed('sum(recall * support) / sum(support)'), n)} FROM rep"]
+    rows += [f"SELECT {1002 + i}, {line(S.q(name), *[fixed(f.format(m)) for m in ('precision', 'recall', 'f1')], n)} FROM rep"
+             for i, (name, f) in enumerate(avg.items())]
+    return " UNION ALL ".join(rows)
+
+
+@query("report_text", f"""
+WITH {S.LABELLED}, {SCORES_SQL}, {PRED_SQL}, {_report_sql('pred')}
+SELECT line FROM ({_report_lines_sql()})
+""")
 def q_report_text(spark, sf):
-    """SNK3: per-class report lines (name, precision, recall, F1, support)
-    written as a text file and read back."""
-    from moodspark.session import scratch_path
+    """SNK3: the classification report (header, classes, accuracy, averages) written
+    as a text file and read back."""
     from moodspark.sources.files import write_text_lines
-    rep = evaluate.named(evaluate.class_report(_predictions(spark, sf)))
-    line = F.format_string("%-10s %9.2f %9.2f %9.2f %9d", "name", "precision", "recall", "f1", "support")
-    path = write_text_lines(rep.orderBy("class").select(line.alias("line")), "line", scratch_path(spark, "report"))
-    return spark.read.text(path)
+    lines = evaluate.report_lines(_predictions(spark, sf)).orderBy("line_no")
+    path = write_text_lines(lines, "line", scratch_path(spark, "report"), single_file=True)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("modelling_report")
+def q_modelling_report(spark, sf):
+    """SNK3: the final report: sizes, the comparison table, the best model, and
+    every model's classification report; written as text and read back."""
+    from moodspark.plans.training import best_model, comparison_from_predictions
+    from moodspark.sources.files import write_text_lines
+    docs, vocab, _ = _nb_corpus(spark, sf)
+    pred = reliable_checkpoint(_model_predictions(spark, sf))
+    size = {r["split"]: r["n"] for r in docs.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    table = comparison_from_predictions(pred)
+    rows = table.orderBy(F.desc("f1_test"), "run_order").collect()    # one a model
+    best = best_model(table).first()
+    lines = ["MODELLING REPORT", "",
+             f"Documents: {sum(size.values()):,}",
+             f"Train/val/test: {size.get('train', 0):,} / {size.get('val', 0):,} / {size.get('test', 0):,}",
+             f"Vocabulary: {vocab.count():,} terms", "", "COMPARISON",
+             f"{'model':<12}" + "".join(f"{c:>16}" for c in ("accuracy_val", "f1_val", "accuracy_test", "f1_test"))]
+    lines += [f"{r['model']:<12}" + "".join(f"{r[c]:>16.4f}" for c in ("accuracy_val", "f1_val", "accuracy_test", "f1_test"))
+              for r in rows]
+    lines += ["", f"BEST MODEL: {best['model']}", f"F1 test: {best['f1_test']:.4f}", ""]
+    for m in MODEL_ALPHAS:
+        own = pred.where((F.col("model") == m) & (F.col("split") == "test"))
+        lines += [f"REPORT - {m}", *[r["line"] for r in evaluate.report_lines(own).orderBy("line_no").collect()], ""]
+    out = spark.createDataFrame(list(enumerate(lines)), "line_no int, line string").orderBy("line_no")
+    path = write_text_lines(out, "line", scratch_path(spark, "modelling-report"), single_file=True)
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 # ---------------------------------------------------------------------------
 # Model jobs (rows-only checks; properties in tests/)
 # ---------------------------------------------------------------------------
 
+def _corpus(spark, sf):
+    from moodspark.plans.training import prepare_corpus
+    return prepare_corpus(tables.labelled_documents(spark, sf))
+
+
 def _train(name):
     def run(spark, sf):
         from moodspark.plans.training import train_and_predict
-        return train_and_predict(spark, sf, name)
+        return train_and_predict(_corpus(spark, sf), name)
     return run
 
 
@@ -1140,19 +1337,32 @@ for _name, _model in [("train_logreg", "logreg"), ("train_nb", "naive_bayes"), (
     query(_name)(_train(_model))
 
 
+@query("train_any_table")
+def q_train_any_table(spark, sf):
+    """SRC4 to MOD1: a foreign table's columns and label spellings are resolved, and a
+    model is trained on what they give."""
+    from moodspark.plans.training import prepare_corpus, train_and_predict
+    from moodspark.sources.columns import load_labelled
+    loaded = load_labelled(tables.raw_labelled(spark, sf), keep=["doc_id"])
+    return train_and_predict(prepare_corpus(loaded, tokenised=True), "logreg")
+
+
 @query("model_comparison")
 def q_model_comparison(spark, sf):
-    """MOD1-MOD5 + MOD10: one row per model with val/test metrics, 5-fold CV
-    mean/std and training seconds."""
+    """MOD1-MOD5 + MOD10 + SNK1: one row per model with val/test metrics, 5-fold CV
+    mean/std and training seconds, best first, written as CSV and read back."""
     from moodspark.plans.training import compare_models
-    return compare_models(spark, sf)
+    from moodspark.sources.files import read_csv, write_csv
+    table = compare_models(_corpus(spark, sf)).orderBy(F.desc("f1_test"), "run_order")
+    path = write_csv(table, scratch_path(spark, "model-comparison"), single_file=True)
+    return read_csv(spark, path, table.schema)
 
 
 @query("grid_search")
 def q_grid_search(spark, sf):
     """MOD9: best (C, n-gram) by 3-fold macro F1; refit scored on val/test."""
     from moodspark.plans import training
-    corpus = training.prepare_corpus(spark, sf)
+    corpus = _corpus(spark, sf)
     model, params = training.grid_search(corpus.where(F.col("split") == "train"))
     m = training.metrics(model, corpus)
     row = [(float(params["best_C"]), int(params["best_ngram_max"]), float(params["cv_f1_macro"]),
@@ -1163,15 +1373,15 @@ def q_grid_search(spark, sf):
 
 @query("variant_compare")
 def q_variant_compare(spark, sf):
-    """MOD12 (+ MOD7, MOD8 estimators, SNK4 run log)."""
+    """MOD12 (+ MOD7, MOD8 estimators, SNK4 run log, SNK2 export of the best)."""
     from moodspark.plans.training import variant_compare
-    from moodspark.session import scratch_path
-    return variant_compare(spark, sf, skip_tuning=False, runs_path=scratch_path(spark, "runs"))
+    return variant_compare(_corpus(spark, sf), runs_path=scratch_path(spark, "runs"),
+                           export_path=scratch_path(spark, "best-variant"))
 
 
 def _fit_best(spark, sf, name="svm"):
     from moodspark.plans import training
-    corpus = training.prepare_corpus(spark, sf)
+    corpus = _corpus(spark, sf)
     train = corpus.where(F.col("split") == "train")
     model, _ = training.fit_classifier(name, training.fit_features(train), train)
     return model
@@ -1210,33 +1420,57 @@ def q_model_roundtrip(spark, sf):
     """SNK2 + SRC6: save the fitted pipeline, load it, score with the loaded copy."""
     from moodspark.plans.scoring import score
     from moodspark.plans.training import load_model, save_model
-    from moodspark.session import scratch_path
     path = save_model(_fit_best(spark, sf, "logreg"), scratch_path(spark, "model"))
     return score(load_model(path), _requests(spark, sf), "text", keep=["conv_id", "turn"])
 
 
+def _best_run(spark, sf):
+    """The best model of the comparison: its name, metrics, params and test report."""
+    from moodspark.plans import training
+    corpus = docs, vocab, _ = _nb_corpus(spark, sf)
+    pred = reliable_checkpoint(_model_predictions(spark, sf))
+    b = training.best_model(training.comparison_from_predictions(pred)).first()
+    own = pred.where((F.col("model") == b["model"]) & (F.col("split") == "test"))
+    cv = _cv_summary(corpus, MODEL_ALPHAS[b["model"]]).first()
+    size = {r["split"]: r["n"] for r in docs.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    params = {"model_name": b["model"], "tfidf_features": vocab.count(), "tfidf_ngram_range": "(1, 2)",
+              "train_size": size.get("train", 0), "val_size": size.get("val", 0), "test_size": size.get("test", 0),
+              "max_per_class": training.SAMPLE_PER_CLASS, "label_names": L.LABEL_NAMES}
+    metrics = {k: float(b[k]) for k in ("accuracy_val", "f1_val", "accuracy_test", "f1_test")}
+    metrics |= {"cv_f1_mean": float(cv["cv_f1_mean"]), "cv_f1_std": float(cv["cv_f1_std"])}
+    return b["model"], params, metrics | training.class_metrics(own), evaluate.report_lines(own)
+
+
 @query("registry_version")
 def q_registry_version(spark, sf):
-    """SNK5: register the best pseudo-model twice; versions 1 and 2."""
-    from moodspark.plans.training import REGISTRY_SCHEMA, best_model, register
-    from moodspark.session import scratch_path
-    reg = scratch_path(spark, "registry")
-    b = best_model(_comparison(spark, sf)).first()
+    """SNK5: the best model's sums are saved and registered twice, with its params,
+    metrics and report; versions 1 and 2."""
+    import time
+
+    from moodspark.plans.training import REGISTRY_SCHEMA, register
+    reg, path = scratch_path(spark, "registry"), scratch_path(spark, "nb-model")
+    began = time.perf_counter()
+    _, vocab, weights = _nb_corpus(spark, sf)
+    train = weights.where(F.col("split") == "train")
+    naive_bayes.over_vocabulary(naive_bayes.class_sums(train, CLASSES), vocab, CLASSES).write.parquet(path)
+    seconds = time.perf_counter() - began
+    _, params, metrics, report = _best_run(spark, sf)
     for _ in range(2):
-        register(spark, reg, "sentiment-best", f"pseudo://{b['model']}", {"f1_test": b["f1_test"]})
-    return spark.read.schema(REGISTRY_SCHEMA).parquet(reg).select("name", "version", "path")
+        register(spark, reg, "sentiment-best", path, {**metrics, "train_time_s": seconds}, params, report)
+    return spark.read.schema(REGISTRY_SCHEMA).parquet(reg).select("name", "version", "path", "params", "metrics", "report")
 
 
 @query("runs_table")
 def q_runs_table(spark, sf):
-    """SNK4: one run row per pseudo-model of the comparison table."""
-    from moodspark.plans.training import RUN_SCHEMA, log_run
-    from moodspark.session import scratch_path
+    """SNK4: one run row per model of the comparison table, with its test report."""
+    from moodspark.plans.training import RUN_SCHEMA, comparison_from_predictions, log_run
     path = scratch_path(spark, "runs")
-    for r in _comparison(spark, sf).collect():  # one row per model (bounded)
-        log_run(spark, path, r["model"], {"run_order": r["run_order"]},
-                {k: r[k] for k in ("accuracy_val", "f1_val", "accuracy_test", "f1_test")})
-    return spark.read.schema(RUN_SCHEMA).parquet(path).select("run", "params", "metrics")
+    pred = reliable_checkpoint(_model_predictions(spark, sf))
+    for r in comparison_from_predictions(pred).collect():  # one row per model (bounded)
+        own = pred.where((F.col("model") == r["model"]) & (F.col("split") == "test"))
+        log_run(spark, path, r["model"], {"run_order": r["run_order"], "alpha": MODEL_ALPHAS[r["model"]]},
+                {k: r[k] for k in ("accuracy_val", "f1_val", "accuracy_test", "f1_test")}, evaluate.report_lines(own))
+    return spark.read.schema(RUN_SCHEMA).parquet(path).select("run", "params", "metrics", "report")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

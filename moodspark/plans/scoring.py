@@ -21,12 +21,9 @@ EMPTY_LABEL = "neutral"
 EMPTY_SCORE = 0.0
 
 
-def apply_empty_rule(df: DataFrame, tokens_col: str, label: Column, score: Column,
-                     extra_empty: Column | None = None) -> DataFrame:
+def apply_empty_rule(df: DataFrame, tokens_col: str, label: Column, score: Column) -> DataFrame:
     """SCO2: no tokens -> ``neutral``, 0.0, ``""``; otherwise the model's answer."""
     empty = F.coalesce(F.col(tokens_col), F.lit("")) == ""
-    if extra_empty is not None:
-        empty = empty | extra_empty
     return df.select("*",
                      F.when(empty, F.lit(EMPTY_LABEL)).otherwise(label).alias("label"),
                      F.when(empty, F.lit(EMPTY_SCORE)).otherwise(score).alias("score"))

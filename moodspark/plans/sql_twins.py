@@ -97,22 +97,6 @@ def _raw_label_sql() -> str:
 RAW = _raw_label_sql()
 
 
-def hex_unit(m: str, start: int) -> str:
-    return f"(('0x' || substr({m}, {start}, 4))::INTEGER / 65535.0 * 2 - 1)"
-
-
-def score_array(salt: str, id_col: str = "doc_id") -> str:
-    m = f"md5('{salt}|' || CAST({id_col} AS VARCHAR))"
-    return "[" + ", ".join(hex_unit(m, s) for s in (1, 5, 9)) + "]"
-
-
-# Deterministic score table: three scores per labelled document per model salt.
-SCORES = (
-    "scores AS (SELECT doc_id, source, label, "
-    f"{score_array('s')} AS s, {score_array('f')} AS f FROM labelled)"
-)
-
-
 def argmax(s: str) -> str:
     return f"(list_position({s}, list_max({s})) - 1)::INTEGER"
 

@@ -17,6 +17,7 @@ import datetime as _dt
 import time
 
 from pyspark import keyword_only
+from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes,
                                        OneVsRest, RandomForestClassifier)
@@ -32,8 +33,8 @@ from moodspark.functions import text as T
 from moodspark.operators import evaluate, features, sampling
 from moodspark.operators.ensemble import ConfidenceRouter, WeightedEnsemble
 from moodspark.operators.joins import collect_bounded
-from moodspark.session import scratch_path, shared_dir
-from moodspark.sources import tables
+from moodspark.plans import naive_bayes
+from moodspark.session import reliable_checkpoint
 
 SEED = 42
 # Rows kept per class before splitting (0/None: no cap).
@@ -58,10 +59,14 @@ ROUTER_THRESHOLD = 0.35
 # Relational helpers used by the SQL-checked queries
 # ---------------------------------------------------------------------------
 
-def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
+#: Classes that a model may have; class counts and priors go through the driver.
+MAX_CLASSES = 10_000
+
+
+def balanced_weights(df: DataFrame, label: str, out: str = "weight", max_classes: int = MAX_CLASSES) -> DataFrame:
     """MOD6: ``n / (k * n_c)`` per row.  Class counts are a partial aggregate of
-    at most a few rows, turned into a literal map (no join, no window)."""
-    rows = collect_bounded(df.groupBy(label).agg(F.count("*").alias("n")), 10_000, "classes")
+    at most ``max_classes`` rows, turned into a literal map (no join, no window)."""
+    rows = collect_bounded(df.groupBy(label).agg(F.count("*").alias("n")), max_classes, "classes")
     n = sum(r["n"] for r in rows)
     k = len(rows)
     kv = []
@@ -71,20 +76,16 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     return df.withColumn(out, F.element_at(m, F.col(label)).cast("double"))
 
 
-def naive_bayes_long(weights: DataFrame, labels: DataFrame, vocab: DataFrame, id_col: str,
-                     label_col: str, smoothing: float = 0.1) -> DataFrame:
-    """MOD2 closed form on long-form features: per (class, term)
-    ``ln((sum_w + a) / (class_total + a * V))`` over the whole vocabulary."""
-    cw = (weights.join(labels.select(id_col, label_col), id_col)
-          .groupBy(label_col, "term").agg(F.sum("weight").alias("s")))
-    classes = [r[label_col] for r in collect_bounded(labels.select(label_col).distinct(), 10_000, "classes")]
-    grid = vocab.select("term", F.explode(F.array(*[F.lit(c) for c in classes])).alias(label_col))
-    full = grid.join(cw, [label_col, "term"], "left").select(label_col, "term", F.coalesce("s", F.lit(0.0)).alias("s"))
-    v = vocab.count()
-    tot = full.groupBy(label_col).agg(F.sum("s").alias("total"))
-    out = full.join(F.broadcast(tot), label_col)
-    return out.select(label_col, "term",
-                      F.log((F.col("s") + smoothing) / (F.col("total") + smoothing * v)).alias("log_theta"))
+def naive_bayes_long(weights: DataFrame, vocab: DataFrame, label_col: str, smoothing: float = 0.1,
+                     max_classes: int = MAX_CLASSES) -> DataFrame:
+    """MOD2 closed form on long-form features that carry their label: per (class,
+    term) ``ln((sum_w + a) / (class_total + a * V))`` over the whole vocabulary."""
+    classes = sorted(r[label_col] for r in collect_bounded(weights.select(label_col).distinct(), max_classes, "classes"))
+    sums = naive_bayes.over_vocabulary(naive_bayes.class_sums(weights, classes, label_col), vocab, classes)
+    total, v = naive_bayes.totals(sums, classes)
+    theta = F.array(*[F.struct(F.lit(c).alias(label_col), naive_bayes.log_theta(
+        F.col(f"s{i}"), F.lit(total[i]), v, smoothing).alias("log_theta")) for i, c in enumerate(classes)])
+    return sums.select("term", F.inline(theta)).select(label_col, "term", "log_theta")
 
 
 def per_group_summary(pred: DataFrame, group: str) -> DataFrame:
@@ -111,26 +112,28 @@ def best_model(cmp: DataFrame, by: str = "f1_test") -> DataFrame:
 # Corpus and features
 # ---------------------------------------------------------------------------
 
-def prepare_corpus(spark: SparkSession, sf_dir: str, materialize: bool = True,
-                   sample_per_class: int | None = SAMPLE_PER_CLASS) -> DataFrame:
-    """(doc_id, label, tokens, split): labelled documents, cleaned, non-empty,
-    capped at ``sample_per_class`` rows per class and split 70/15/15 per class
-    by hash rank.
+def prepare_corpus(df: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id",
+                   sample_per_class: int | None = SAMPLE_PER_CLASS, sample_first: bool = False,
+                   tokenised: bool = False, materialize: bool = True) -> DataFrame:
+    """(doc_id, label, tokens, split) of any labelled table: cleaned, non-empty,
+    split 70/15/15 per class by hash rank.  ``tokenised`` says that the text is
+    cleaned tokens already (joined by spaces, as ``load_labelled`` gives them).
+
+    ``sample_per_class`` bounds the rows to fit on; val and test rows are all
+    kept, unless ``sample_first`` asks for the sample to be drawn before the split.
 
     With ``materialize`` the cleaned, non-empty token table is written to the
     shared checkpoint folder (``checkpoint()``, lineage cut) before the split -
     so the regex chain runs once although the split's histogram and ranking
     both read it - and the split result is checkpointed too: fits, vocabulary
     and evaluations read materialised tokens, and a lost executor re-reads a
-    checkpoint instead of recomputing join, cleaning and ranking.
+    checkpoint instead of recomputing cleaning and ranking.
     """
-    from moodspark.session import reliable_checkpoint
-    d = tables.labelled_documents(spark, sf_dir)
-    t = d.select("doc_id", "label", T.tokenize("text").alias("tokens")).where(F.size("tokens") > 0)
-    if not materialize:
-        return sampling.stratified_split(t, "label", "doc_id", cap=sample_per_class)
-    return reliable_checkpoint(sampling.stratified_split(reliable_checkpoint(t), "label", "doc_id",
-                                                         cap=sample_per_class))
+    tokens = T.split_words(F.col(text_col)) if tokenised else T.tokenize(T.guard_text(df, text_col))
+    t = df.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"), tokens.alias("tokens")).where(
+        F.col("label").isNotNull() & (F.size("tokens") > 0))
+    keep = reliable_checkpoint if materialize else (lambda x: x)
+    return keep(sampling.stratified_split(keep(t), "label", "doc_id", cap=sample_per_class, sample_first=sample_first))
 
 
 class TfidfNgram(Estimator, DefaultParamsReadable, DefaultParamsWritable):
@@ -205,10 +208,9 @@ ROWS_PER_PARTITION = 20_000
 
 def cache_for_fit(x: DataFrame, n: int | None = None) -> tuple[DataFrame, int]:
     """Repartition a training set to ``ceil(n / ROWS_PER_PARTITION)`` partitions
-    (at most 4x the default parallelism) and cache it; returns (df, rows)."""
+    and cache it; returns (df, rows)."""
     n = x.count() if n is None else n
-    par = x.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, min(-(-n // ROWS_PER_PARTITION), 4 * par))
+    parts = max(1, -(-n // ROWS_PER_PARTITION))
     y = x.repartition(parts).persist()
     y.count()
     return y, n
@@ -235,9 +237,8 @@ def predict(model: PipelineModel, df: DataFrame, keep=("doc_id", "split", "label
     return out.select(*keep, F.col("prediction").cast("int").alias("prediction"))
 
 
-def train_and_predict(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Fit ``name`` on the train split; predictions for val and test rows."""
-    corpus = prepare_corpus(spark, sf_dir)
+def train_and_predict(corpus: DataFrame, name: str) -> DataFrame:
+    """Fit ``name`` on the train split of a prepared corpus; predictions for val and test rows."""
     train = corpus.where(F.col("split") == "train")
     feats = fit_features(train)
     model, _ = fit_classifier(name, feats, train)
@@ -288,12 +289,13 @@ def metrics(model: PipelineModel, corpus: DataFrame) -> dict:
     return out
 
 
-def cross_validate(name: str, corpus: DataFrame, k: int = CV_FOLDS) -> tuple[float, float]:
+def cross_validate(name: str, corpus: DataFrame, k: int = CV_FOLDS,
+                   feats: PipelineModel | None = None) -> tuple[float, float]:
     """MOD10: mean and population std of k weighted-F1 scores.  As in the
     reference, the features are fitted once on all train rows (the folds share
     vocabulary and IDF); folds are hash-ranked per class."""
     train = corpus.where(F.col("split") == "train")
-    feats = fit_features(train)
+    feats = feats or fit_features(train)
     x = feats.transform(sampling.stratified_folds(train, "label", "doc_id", k))
     if name == "forest":
         x = balanced_weights(x, "label")
@@ -308,23 +310,22 @@ def cross_validate(name: str, corpus: DataFrame, k: int = CV_FOLDS) -> tuple[flo
         x.unpersist()
 
 
-def compare_models(spark: SparkSession, sf_dir: str, models=None, folds: int = CV_FOLDS,
-                   with_cv: bool = True) -> DataFrame:
-    """MOD1-MOD5, MOD10, MOD11 inputs: one comparison row per model."""
+def compare_models(corpus: DataFrame, models=None, folds: int = CV_FOLDS, with_cv: bool = True) -> DataFrame:
+    """MOD1-MOD5, MOD10, MOD11 inputs: one comparison row per model.  The features
+    are fitted once and shared by all fits and cross-validations."""
     models = models or MODELS
-    corpus = prepare_corpus(spark, sf_dir)
     rows = []
     train = corpus.where(F.col("split") == "train")
     feats = fit_features(train)
     for order, name in enumerate(models):
         model, secs = fit_classifier(name, feats, train)
         m = metrics(model, corpus)
-        cv_mean, cv_std = cross_validate(name, corpus, folds) if with_cv else (None, None)
+        cv_mean, cv_std = cross_validate(name, corpus, folds, feats) if with_cv else (None, None)
         rows.append((name, order, m.get("accuracy_val"), m.get("f1_val"), m.get("accuracy_test"),
                      m.get("f1_test"), cv_mean, cv_std, secs))
     schema = ("model string, run_order int, accuracy_val double, f1_val double, accuracy_test double, "
               "f1_test double, cv_f1_mean double, cv_f1_std double, train_seconds double")
-    return spark.createDataFrame(rows, schema)
+    return corpus.sparkSession.createDataFrame(rows, schema)
 
 
 # ---------------------------------------------------------------------------
@@ -383,13 +384,6 @@ def grid_search(train: DataFrame, folds: int = GRID_FOLDS, Cs=GRID_C, ngrams=GRI
         x.unpersist()
 
 
-def _flatten(pm: PipelineModel) -> PipelineModel:
-    stages = []
-    for s in pm.stages:
-        stages.extend(s.stages if isinstance(s, PipelineModel) else [s])
-    return PipelineModel(stages=stages)
-
-
 def cli_variants(skip_tuning: bool = False) -> dict:
     """MOD12: the CLI's variants as estimators over CLI features."""
     def svc(n):
@@ -400,6 +394,7 @@ def cli_variants(skip_tuning: bool = False) -> dict:
         return LogisticRegression(family="multinomial", regParam=1.0 / (LOGREG["C"] * n), standardization=False,
                                   maxIter=LOGREG["max_iter"], tol=TOL)
 
+    # fixed values: the variants' names
     v = {
         "linearsvc_baseline": lambda n: svc(n),
         "ensemble_vote_pondere": lambda n: WeightedEnsemble(estimators=[svc(n), lr(n)], weights=ENSEMBLE_WEIGHTS),
@@ -410,29 +405,33 @@ def cli_variants(skip_tuning: bool = False) -> dict:
     return v
 
 
-def variant_compare(spark: SparkSession, sf_dir: str, skip_tuning: bool = False,
-                    runs_path: str | None = None) -> DataFrame:
-    """MOD12 + MOD11 + SNK4: fit each variant, macro F1 on val/test, train
-    seconds, inference ms/row, fallback rate; every run is logged."""
-    corpus = prepare_corpus(spark, sf_dir)
-    rows = []
+def variant_compare(corpus: DataFrame, skip_tuning: bool = False, runs_path: str | None = None,
+                    export_path: str | None = None) -> DataFrame:
+    """MOD12 + MOD11 + SNK4 (+ SNK2): fit each variant, macro F1 on val/test, train
+    seconds, inference ms/row, fallback rate; every run is logged with its report,
+    and the variant with the best test F1 (the first of equals) is saved."""
+    spark = corpus.sparkSession
+    rows, best = [], (-1.0, None)
     train = corpus.where(F.col("split") == "train")
     held = corpus.where(F.col("split") != "train")
+    t0 = time.perf_counter()
+    feats = features.fit_tfidf(train, "tokens", **features.CLI_CONFIG)
+    feature_seconds = time.perf_counter() - t0
     for order, (name, make) in enumerate(cli_variants(skip_tuning).items()):
         params = {"variant": name}
         t0 = time.perf_counter()
         if make is None:
             model, extra = grid_search(train)
             params.update({k: str(v) for k, v in extra.items()})
+            secs = time.perf_counter() - t0
         else:
-            feats = features.fit_tfidf(train, "tokens", **features.CLI_CONFIG)
             x, nx = cache_for_fit(feats.transform(train).withColumn("label", F.col("label").cast("double")))
             try:
                 m = make(nx).fit(x)
             finally:
                 x.unpersist()
             model = PipelineModel(stages=list(feats.stages) + [m])
-        secs = time.perf_counter() - t0
+            secs = time.perf_counter() - t0 + feature_seconds
         out = model.transform(held)
         t1 = time.perf_counter()
         s = evaluate.summary(out.select("split", "label", F.col("prediction").cast("int").alias("prediction")),
@@ -440,14 +439,19 @@ def variant_compare(spark: SparkSession, sf_dir: str, skip_tuning: bool = False,
         ms = (time.perf_counter() - t1) * 1000.0 / max(sum(r["n"] for r in s), 1)
         met = {f"f1_{r['split']}": float(r["f1_macro"]) for r in s}
         fb = None
+        test = out.where(F.col("split") == "test")
         if "use_fallback" in out.columns:
-            fb = float(out.where(F.col("split") == "test").agg(
-                F.avg(F.col("use_fallback").cast("double"))).first()[0] or 0.0)
+            fb = float(test.agg(F.avg(F.col("use_fallback").cast("double"))).first()[0] or 0.0)
         rows.append((name, order, met.get("f1_val"), met.get("f1_test"), ms, secs, fb))
+        if met.get("f1_test", 0.0) > best[0]:
+            best = (met["f1_test"], model)
         if runs_path:
+            report = evaluate.report_lines(test.select("label", F.col("prediction").cast("int").alias("prediction")))
             log_run(spark, runs_path, name, params,
                     {**met, "train_seconds": secs, "inference_ms": ms,
-                     **({"fallback_rate": fb} if fb is not None else {})})
+                     **({"fallback_rate": fb} if fb is not None else {})}, report)
+    if export_path and best[1] is not None:
+        save_model(best[1], export_path)
     schema = ("variant string, run_order int, f1_val double, f1_test double, inference_ms double, "
               "train_seconds double, fallback_rate double")
     return spark.createDataFrame(rows, schema)
@@ -461,16 +465,23 @@ RUN_SCHEMA = TY.StructType([
     TY.StructField("run", TY.StringType()),
     TY.StructField("params", TY.MapType(TY.StringType(), TY.StringType())),
     TY.StructField("metrics", TY.MapType(TY.StringType(), TY.DoubleType())),
+    TY.StructField("report", TY.ArrayType(TY.StringType())),
     TY.StructField("ts", TY.TimestampType()),
 ])
 
 
-def log_run(spark: SparkSession, path: str, run: str, params: dict, metrics_: dict) -> None:
-    """SNK4: append one run (string params, float metrics only) to a Parquet table."""
-    m = {k: float(v) for k, v in metrics_.items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
+def _now() -> _dt.datetime:
+    return _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+
+
+def log_run(spark: SparkSession, path: str, run: str, params: dict, metrics_: dict,
+            report: DataFrame | None = None) -> None:
+    """SNK4: append one run to a Parquet table: string params, float metrics only,
+    and the lines of its classification report."""
+    m = {k: v for k, v in metrics_.items() if isinstance(v, float)}
     p = {k: str(v) for k, v in params.items()}
-    row = [(run, p, m, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))]
-    spark.createDataFrame(row, RUN_SCHEMA).write.mode("append").parquet(path)
+    lines = [r["line"] for r in report.orderBy("line_no").collect()] if report is not None else None
+    spark.createDataFrame([(run, p, m, lines, _now())], RUN_SCHEMA).write.mode("append").parquet(path)
 
 
 def save_model(model: PipelineModel, path: str) -> str:
@@ -488,25 +499,38 @@ REGISTRY_SCHEMA = TY.StructType([
     TY.StructField("name", TY.StringType()),
     TY.StructField("version", TY.LongType()),
     TY.StructField("path", TY.StringType()),
+    TY.StructField("params", TY.MapType(TY.StringType(), TY.StringType())),
     TY.StructField("metrics", TY.MapType(TY.StringType(), TY.DoubleType())),
+    TY.StructField("report", TY.ArrayType(TY.StringType())),
     TY.StructField("ts", TY.TimestampType()),
 ])
 
 
-def register(spark: SparkSession, registry_path: str, name: str, model_path: str, metrics_: dict) -> int:
-    """SNK5: append ``name`` with version = previous max + 1."""
+def register(spark: SparkSession, registry_path: str, name: str, model_path: str, metrics_: dict,
+             params: dict | None = None, report: DataFrame | None = None) -> int:
+    """SNK5: append ``name`` with version = previous max + 1.
+
+    Only a registry that doesn't exist yet counts as empty; any other failure to
+    read it is raised, so versions never start anew.  Reading the last version
+    and appending the next are two steps: two writers at once need a lock of
+    their own.
+    """
     try:
         prev = (spark.read.schema(REGISTRY_SCHEMA).parquet(registry_path).where(F.col("name") == name)
                 .agg(F.max("version")).first()[0])
-    except Exception:  # noqa: BLE001 - empty registry
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         prev = None
     version = int(prev or 0) + 1
-    row = [(name, version, model_path, {k: float(v) for k, v in metrics_.items()},
-            _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))]
+    lines = [r["line"] for r in report.orderBy("line_no").collect()] if report is not None else None
+    row = [(name, version, model_path, {k: str(v) for k, v in (params or {}).items()},
+            {k: float(v) for k, v in metrics_.items()}, lines, _now())]
     spark.createDataFrame(row, REGISTRY_SCHEMA).write.mode("append").parquet(registry_path)
     return version
 
 
-def artefact_root(spark: SparkSession) -> str:
-    shared_dir(spark)
-    return scratch_path(spark, "artefacts")
+def class_metrics(pred: DataFrame) -> dict[str, float]:
+    """``precision_``, ``recall_`` and ``f1_`` of each named class (at most a few rows)."""
+    rows = evaluate.named(evaluate.class_report(pred)).collect()
+    return {f"{m}_{r['name']}": float(r[m]) for r in rows for m in ("precision", "recall", "f1")}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -53,28 +55,34 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def shared_dir(spark: SparkSession) -> str:
     """Return the cluster-wide folder named by ``spark.checkpoint.dir``.
 
-    The setting is read from the session.  Only when it is unset (local tests) a
-    fresh folder is created once per context and registered as the checkpoint
-    directory, so a cluster run never falls back to a machine-local path chosen
-    by this library.
+    The setting is read from the session.  Only a ``local`` master (driver and
+    executor are one process) may leave it unset: then a fresh folder is made
+    once per context and removed when the process ends.  On any other master a
+    machine-local folder would be lost with its machine, so this raises.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = getattr(sc, "_moodspark_shared_dir", None)
     if not d:
+        if not is_local(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="moodspark-ckpt-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
         sc._moodspark_shared_dir = d
     if sc.getCheckpointDir() is None:
-        try:
-            sc.setCheckpointDir(d)
-        except Exception:  # pragma: no cover - not allowed in some deployments
-            pass
+        sc.setCheckpointDir(d)
     return d
 
 
+def is_local(master: str) -> bool:
+    """Whether a master URL runs driver and tasks in one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared folder (never reused, never deleted)."""
+    """A fresh, unique path under the shared folder (never reused; on a cluster
+    the folder's owner removes what is in it)."""
     base = shared_dir(spark).rstrip("/")
     return f"{base}/moodspark/{name}-{uuid.uuid4().hex[:12]}"
 

@@ -44,7 +44,9 @@ def reporting_text(df: DataFrame, order_col: str, candidates=REPORTING_COLUMNS,
     if c is None:
         raise ValueError("no reporting text column among %s" % ", ".join(candidates))
     out = df.where(F.col(c).isNotNull()).select(order_col, F.col(c).alias("text"))
-    return out.orderBy(order_col).limit(n)
+    # the n ids are chosen first (short rows), so only their texts move
+    ids = out.select(order_col).orderBy(order_col).limit(n).distinct()
+    return out.join(ids, order_col, "left_semi").orderBy(order_col).limit(n)
 
 
 def load_labelled(df: DataFrame, text_candidates=TEXT_COLUMNS, label_candidates=LABEL_COLUMNS,
@@ -60,7 +62,8 @@ def load_labelled(df: DataFrame, text_candidates=TEXT_COLUMNS, label_candidates=
     if t is None or lab is None:
         raise ValueError("input needs a text and a label column")
     dtype = df.schema[lab].dataType
-    base = df.select(*keep, F.col(t).alias("text"), F.col(lab).alias("label_raw")).dropna(
+    # TXT1: text that isn't a string cleans to nothing, and its row drops out
+    base = df.where(F.col(t).isNotNull()).select(*keep, T.guard_text(df, t).alias("text"), F.col(lab).alias("label_raw")).dropna(
         subset=["text", "label_raw"])
     out = base.select(*keep, "text", L.normalise_label("label_raw", dtype).alias("label")).dropna(subset=["label"])
     if t != "tweet_tokens":

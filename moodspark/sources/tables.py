@@ -19,26 +19,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy text work the session's parallelism.
+#: A session setting by which the caller asks for text scans to be dealt out to
+#: so many partitions, for instance where a small table is one row group.
+PARTITIONS_CONF = "spark.moodspark.textPartitions"
 
-    A scan that yields fewer splits than ``defaultParallelism`` (a small file
-    with one row group) is round-robin repartitioned to that parallelism; a
-    large input already has at least that many splits and is returned as is,
-    so at scale this adds no shuffle.
-    """
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session)
-        return df
-    return df.repartition(par) if n < par else df
+
+def text_scan(df: DataFrame) -> DataFrame:
+    """A scan of texts, dealt out if the session asks for it (see above); otherwise
+    its splits are the file format's and ``spark.sql.files.maxPartitionBytes``'s."""
+    n = df.sparkSession.conf.get(PARTITIONS_CONF, None)
+    return df.repartition(int(n)) if n else df
 
 
 def documents(spark, sf_dir, *cols) -> DataFrame:
     df = read_table(spark, sf_dir, "documents")
     df = df.select(*cols) if cols else df
-    return spread(df) if "text" in df.columns else df
+    return text_scan(df) if "text" in df.columns else df
 
 
 def decorated_tweets(spark, sf_dir) -> DataFrame:
@@ -75,17 +71,13 @@ def labelled_documents(spark, sf_dir) -> DataFrame:
 
 
 def conversation_turns(spark, sf_dir) -> DataFrame:
-    return spread(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return text_scan(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
 def benchmark_items(spark, sf_dir) -> DataFrame:
     return read_table(spark, sf_dir, "benchmark").select("item_id", "text")
 
 
-def pages(spark, sf_dir) -> DataFrame:
-    return read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-
-
 # Spellings of each class in the raw-label view, chosen by doc_id mod 5 (fixed
 # values written for this repository; three of them are deliberately unmapped).
 RAW_LABEL_SPELLINGS = {
