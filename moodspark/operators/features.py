@@ -187,7 +187,8 @@ def _sublinear_udf():
         kind, size, indices, values = (vectors.field(i) for i in range(4))
         x = values.values.to_numpy(zero_copy_only=False)
         y = np.where(x > 0, 1.0 + np.log(np.maximum(x, 1e-300)), x)
-        changed = pa.ListArray.from_arrays(values.offsets, pa.array(y), mask=values.is_null() if values.null_count else None)
+        changed = pa.ListArray.from_arrays(values.offsets, pa.array(y), type=values.type,
+                                           mask=values.is_null() if values.null_count else None)
         return pa.StructArray.from_arrays([kind, size, indices, changed], fields=list(vectors.type),
                                           mask=vectors.is_null() if vectors.null_count else None)
 

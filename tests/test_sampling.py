@@ -68,7 +68,7 @@ def test_cap_and_folds(spark, sf_small):
 
 def test_cap_then_split_equals_split_of_capped(spark, sf_small):
     d = _labelled(spark, sf_small)
-    fused = sorted((r["doc_id"], r["split"]) for r in sampling.stratified_split(d, "label", "doc_id", cap=9).collect())
+    fused = sorted((r["doc_id"], r["split"]) for r in sampling.stratified_split(d, "label", "doc_id", cap=9, sample_first=True).collect())
     capped = sampling.stratified_cap(d, "label", "doc_id", 9)
     twostep = sorted((r["doc_id"], r["split"]) for r in sampling.stratified_split(capped, "label", "doc_id").collect())
     assert fused == twostep
