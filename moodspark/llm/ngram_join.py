@@ -266,28 +266,42 @@ def first_links(sets: DataFrame, m: Measure, n_buckets: int) -> DataFrame:
 
 
 def other_pairs(sets: DataFrame, classes: DataFrame, m: Measure, n_buckets: int) -> DataFrame:
-    """Pairs of sets of different classes that may link, under any shingle of their prefixes."""
+    """Pairs of sets of different classes that may link, under any shingle of their prefixes.
+
+    A pair counts under the first shingle that both have only, so it is made
+    once; from there on no more can be common than either set has left.
+    """
     named = (sets.select("node", "n", "bitmap", "prefix").join(classes, "node", "left")
              .withColumn("component", F.coalesce("component", "node")))
-    postings = named.select("node", "component", F.explode("prefix").alias("token"))
+    postings = named.select("node", "component", F.posexplode("prefix").alias("place", "token"))
     mixed = (postings.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y"))
              .where(F.col("x") != F.col("y")).select("token", F.ceil(F.col("c") / PART).cast("int").alias("parts")))
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     # part i meets part j in the cell of both, so all pairs of sets meet
     cell = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(mine, j) * F.col("parts") + F.greatest(mine, j))
-    dealt = (postings.join(mixed, "token").select("token", "node", "component", F.explode(cell).alias("cell"))
-             .join(named.select("node", "n", "bitmap"), "node")
+    dealt = (postings.join(mixed, "token").select("token", "place", "node", "component", F.explode(cell).alias("cell"))
+             .join(named.select("node", "n", "bitmap", "prefix"), "node")
+             .withColumn("earlier", F.slice("prefix", F.lit(1), F.col("place"))).drop("prefix")
              .withColumn("bucket", F.pmod(F.xxhash64("token", "cell"), F.lit(n_buckets)).cast("int")))
 
     def meet(table: pa.Table) -> pa.Table:
         node, label = table.column("node").to_numpy(), table.column("component").to_numpy()
         n, maps = table.column("n").to_numpy(), table.column("bitmap").to_pylist()
+        left = n - table.column("place").to_numpy()
+        earlier = table.column("earlier")
         found: set[tuple[int, int]] = set()
         for at in groups(table, ["token", "cell"]):
             _, classes = np.unique(label[at], return_inverse=True)
+            before: dict[int, set[int]] = {}
             for i, j in may_link(n[at], [maps[k] for k in at], classes, m):
-                a, b = node[at[i]], node[at[j]]
-                found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+                x, y = at[i], at[j]
+                enough = (100 + m.percent) * np.minimum(left[x], left[y]) >= m.percent * (n[x] + n[y])
+                for a, b in zip(x[enough].tolist(), y[enough].tolist(), strict=True):
+                    for k in (a, b):
+                        if k not in before:
+                            before[k] = set(earlier[k].as_py())
+                    if before[a].isdisjoint(before[b]):
+                        found.add((min(node[a], node[b]), max(node[a], node[b])))
         return _pairs_table(sorted(found))
 
     return dealt.groupBy("bucket").applyInArrow(meet, LINKS).distinct()
