@@ -6,6 +6,9 @@ keys of a batch of documents into one binary row for each bucket of the key
 space.  A bucket's task finds the keys that come from two batches, and sends
 each batch the places of its own (``ref``: the key's place in its batch).
 
+Within its bucket a key is 32 bits of its hash; the places of a batch's keys go as
+the steps between them, which are small.
+
 A batch sends a key once, however many of its documents hold it (then it is
 known to be shared already), so a key that a third of all documents hold costs
 its bucket one entry for each batch.  Buckets hold equal shares of the keys by
@@ -29,7 +32,7 @@ TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 DATA, LAYOUT, FOUND = 0, 1, 2
 #: Text of one batch, and of one step of vector work.
 BATCH, SLICE = 24 << 20, 1 << 19
-REF = np.uint64((1 << 24) - 1)
+REF = np.uint64((1 << 32) - 1)
 PER_PARTITION = 4
 
 #: From the bytes and offsets of some texts: their keys, the number of each text's,
@@ -102,32 +105,50 @@ def scatter_keys(batch: pa.RecordBatch, keys_of: Keys, n: int) -> list[tuple]:
     group = np.cumsum(start) - 1
     here = (np.bincount(group)[group] > 1) if len(k) else np.zeros(0, bool)
     rows = [(batch_no, batch_no % n, LAYOUT, layout),
-            (batch_no, batch_no % n, FOUND, order[here].astype("<u4").tobytes())]
-    once = order[start]
+            (batch_no, batch_no % n, FOUND, pack_steps(np.sort(order[here])))]
+    once = np.sort(order[start])
     spread = mix64(keys[once])
-    value = (spread & ~REF) | once.astype(np.uint64)
-    rows += [(batch_no, b, DATA, value[at].tobytes()) for b, at in split((spread & REF) % np.uint64(n), n)]
+    short = (spread >> np.uint64(32)).astype("<u4")
+    rows += [(batch_no, b, DATA, pack_keys(short[at], once[at])) for b, at in split((spread & REF) % np.uint64(n), n)]
     return rows
 
 
+def pack_steps(ascending: np.ndarray) -> bytes:
+    return zlib.compress(np.diff(ascending, prepend=0).astype("<u4").tobytes(), 1)
+
+
+def unpack_steps(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(blob), "<u4").astype(np.int64))
+
+
+def pack_keys(short: np.ndarray, refs: np.ndarray) -> bytes:
+    return len(short).to_bytes(4, "little") + short.tobytes() + pack_steps(refs)
+
+
+def unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:4], "little")
+    return np.frombuffer(blob, "<u4", n, 4), unpack_steps(blob[4 + 4 * n:])
+
+
 def resolve_keys(table: pa.Table) -> pa.Table:
     """A bucket: pass on what isn't keys, and give each batch its keys that another has too."""
     rows = list(zip(*(table.column(c).to_pylist() for c in NAMES), strict=True))
     out = [r for r in rows if r[2] != DATA]
     held = [r for r in rows if r[2] == DATA]
     if held:
-        value = np.concatenate([np.frombuffer(r[3], "<u8") for r in held])
-        of = np.repeat(np.arange(len(held)), [len(r[3]) // 8 for r in held])
-        order = np.argsort(value & ~REF, kind="stable")
-        key = value[order] >> np.uint64(24)
+        parts = [unpack_keys(r[3]) for r in held]
+        value, ref = (np.concatenate(c) for c in zip(*parts, strict=True))
+        of = np.repeat(np.arange(len(held)), [len(p[0]) for p in parts])
+        order = np.argsort(value, kind="stable")
+        key = value[order]
         same = key[1:] == key[:-1]
         shared = np.zeros(len(key), bool)
         shared[1:] |= same
         shared[:-1] |= same
         hit = np.sort(order[shared])
-        refs = (value[hit] & REF).astype("<u4")
+        refs = ref[hit]
         cuts = np.searchsorted(of[hit], np.arange(len(held) + 1))
-        out += [(r[0], r[1], FOUND, refs[a:b].tobytes()) for r, a, b in zip(held, cuts, cuts[1:], strict=False) if b > a]
+        out += [(r[0], r[1], FOUND, pack_steps(refs[a:b])) for r, a, b in zip(held, cuts, cuts[1:], strict=False) if b > a]
     return pa.Table.from_batches([packed(out)])
 
 
@@ -139,7 +160,7 @@ def gather_keys(table: pa.Table) -> pa.Table:
     ids, numbers = np.frombuffer(layout, "<i8", 2 * n, 8).reshape(2, -1)
     counts = np.frombuffer(layout, "<u4", n, 8 + 16 * n).astype(np.int64)
     more = np.frombuffer(layout, "<i8", -1, 8 + 20 * n).reshape(n, -1) if n else np.zeros((0, 0), np.int64)
-    refs = np.unique(np.concatenate([np.frombuffer(b, "<u4") for k, b in zip(kind, blob, strict=True) if k == FOUND]))
+    refs = np.unique(np.concatenate([unpack_steps(b) for k, b in zip(kind, blob, strict=True) if k == FOUND]))
     before = np.concatenate([[0], np.cumsum(counts)])
     cuts = np.searchsorted(refs, before)
     has = np.arange(n) if more.shape[1] else np.flatnonzero(np.diff(cuts))

@@ -45,6 +45,8 @@ CHOICES = LENGTH - ANCHOR + 1
 WIDTH = 80  # of a region, laid out around its anchor: 26 + 24 + 26, and room to the next word
 #: Window starts of a long text that are worked on at once.
 SEGMENT = 1 << 22
+#: Kinds of packed rows beside those of ``sharing``: where a batch's regions are, and their bits.
+WHERE, BITS = 3, 4
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 _CODES = byte_codes(5)
@@ -203,34 +205,44 @@ def repeated_windows(r: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
     return out
 
 
-FIELDS = (("key", "<u8"), ("id", "<i8"), ("ref", "<u4"), ("left", "u1"), ("count", "u1"))
+FIELDS = (("id", "<i8"), ("ref", "<u4"), ("left", "u1"), ("count", "u1"))
 
 
-def _pack(r: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> bytes:
+def _pack(r: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray, ref: np.ndarray) -> bytes:
+    """Regions for a bucket.  The anchor's hash is in its bytes; ids and places
+    go as the steps from one to the next."""
     size = r["count"][at] + LENGTH - 1
     inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     flat = r["matrix"].reshape(-1)[np.repeat(at * WIDTH + CHOICES - 1 - r["left"][at], size) + inside]
-    held = {"key": r["key"][at], "id": ids[at], "ref": at, "left": r["left"][at], "count": r["count"][at]}
+    held = {"id": np.diff(ids[at], prepend=0), "ref": np.diff(ref, prepend=0), "left": r["left"][at], "count": r["count"][at]}
     head = b"".join(held[name].astype(kind).tobytes() for name, kind in FIELDS)
     return len(at).to_bytes(4, "little") + zlib.compress(head + flat.tobytes(), 1)
 
 
-def _unpack(blob: bytes) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
     n, body, at, r = int.from_bytes(blob[:4], "little"), zlib.decompress(blob[4:]), 0, {}
     for name, kind in FIELDS:
         width = np.dtype(kind).itemsize
-        r[name] = np.frombuffer(body, kind, n, at).astype(np.uint64 if name == "key" else np.int64)
+        r[name] = np.frombuffer(body, kind, n, at).astype(np.int64)
         at += n * width
+    r["id"], r["ref"] = np.cumsum(r["id"]), np.cumsum(r["ref"])
     size = r["count"] + LENGTH - 1
     inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     matrix = np.zeros((n, WIDTH), np.uint8)
     matrix.reshape(-1)[np.repeat(np.arange(n) * WIDTH + CHOICES - 1 - r["left"], size) + inside] = np.frombuffer(body, np.uint8, -1, at)
     r["matrix"] = matrix
-    return r, r["id"], r["ref"]
+    anchor = np.ascontiguousarray(matrix[:, CHOICES - 1:CHOICES - 1 + ANCHOR])
+    r["key"] = anchor_hashes(anchor.reshape(-1))[::ANCHOR].copy() if n else np.zeros(0, np.uint64)
+    return r, r["ref"]
 
 
 def _found(doc: np.ndarray, start: np.ndarray, bits: np.ndarray) -> bytes:
-    return np.stack([doc.astype("<u4"), start.astype("<u4"), bits.astype("<u4")]).tobytes()
+    return zlib.compress(np.stack([np.diff(doc, prepend=0), np.diff(start, prepend=0), bits]).astype("<i4").tobytes(), 1)
+
+
+def _read_found(blob: bytes) -> np.ndarray:
+    doc, start, bits = np.frombuffer(zlib.decompress(blob), "<i4").reshape(3, -1).astype(np.int64)
+    return np.stack([np.cumsum(doc), np.cumsum(start), bits])
 
 
 def scatter(batch: pa.RecordBatch, n: int) -> list[tuple]:
@@ -252,10 +264,9 @@ def scatter(batch: pa.RecordBatch, n: int) -> list[tuple]:
     # one of each kind goes to its bucket; so do equals of the same id, whose bits are the first's
     send = np.flatnonzero(~later)
     for b, at in sharing.split(mix64(r["key"][send]) % np.uint64(n), n):
-        rows.append((batch_no, b, sharing.DATA, _pack(r, own, send[at])))
-    where = np.stack([r["doc"].astype("<u4"), r["start"].astype("<u4")])
-    # a region's document and first window stay with the batch, by its place
-    rows.append((batch_no, batch_no % n, 3, zlib.compress(where.tobytes(), 1)))
+        rows.append((batch_no, b, sharing.DATA, _pack(r, own, send[at], at)))
+    # a sent region's document and first window stay with the batch, by its place
+    rows.append((batch_no, batch_no % n, WHERE, _found(r["doc"][send], r["start"][send], np.zeros(len(send), np.int64))))
     return rows
 
 
@@ -268,12 +279,12 @@ def resolve(table: pa.Table) -> pa.Table:
         r = {name: np.concatenate([p[0][name] for p in parts]) for name in parts[0][0]}
         bits = repeated_windows(r, r["id"])
         at = 0
-        for row, (_, _, ref) in zip(held, parts, strict=True):
+        for row, (_, ref) in zip(held, parts, strict=True):
             own = bits[at:at + len(ref)]
             hit = own > 0
             at += len(ref)
             if hit.any():
-                out.append((row[0], row[1], 4, np.stack([ref[hit].astype("<u4"), own[hit].astype("<u4")]).tobytes()))
+                out.append((row[0], row[1], BITS, _found(ref[hit], np.zeros(int(hit.sum()), np.int64), own[hit])))
     return pa.Table.from_batches([sharing.packed(out)])
 
 
@@ -281,13 +292,13 @@ def gather(table: pa.Table) -> pa.Table:
     """A batch: the maximal removed spans of each of its documents."""
     rows = list(zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True))
     ids, numbers = np.frombuffer(next(b for k, b in rows if k == sharing.LAYOUT), "<i8").reshape(2, -1)
-    where = np.frombuffer(zlib.decompress(next(b for k, b in rows if k == 3)), "<u4").reshape(2, -1)
-    found = [np.frombuffer(b, "<u4").reshape(3, -1) for k, b in rows if k == sharing.FOUND]
+    where = _read_found(next(b for k, b in rows if k == WHERE))
+    found = [_read_found(b) for k, b in rows if k == sharing.FOUND]
     for k, b in rows:
-        if k == 4:
-            ref, bits = np.frombuffer(b, "<u4").reshape(2, -1)
+        if k == BITS:
+            ref, _, bits = _read_found(b)
             found.append(np.stack([where[0][ref], where[1][ref], bits]))
-    doc, start, bits = np.concatenate(found, axis=1).astype(np.int64)
+    doc, start, bits = np.concatenate(found, axis=1)
     held = (bits[:, None] >> np.arange(CHOICES)[None, :]) & 1
     region, window = np.nonzero(held)
     doc, start = doc[region], start[region] + window
@@ -308,15 +319,33 @@ def gather(table: pa.Table) -> pa.Table:
                      "spans": pa.array(out["spans"], pa.binary())})
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
+def pack_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, row, packed``: the texts compressed, which two joins then share one shuffle of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array([zlib.compress(t.encode(), 1) for t in batch.column(1).to_pylist()], pa.binary())],
+                ["doc_id", "row", "packed"])
+
+    return map_arrow(docs.select("doc_id", "text", "row"), run, "doc_id long, row long, packed binary")
+
+
+def unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with its second column, compressed texts, as texts again."""
+    text = pa.array([zlib.decompress(z) for z in batch.column(1).to_pylist()], pa.binary()).cast(pa.string())
+    return batch.set_column(1, "text", text)
+
+
+def removed_spans(docs: DataFrame, packed: DataFrame) -> DataFrame:
     """``doc_id, row, spans`` (pairs of 64-bit byte positions) of documents that lose something."""
     n = sharing.buckets(docs)
     shared = sharing.shared_keys(docs, keys_of).select("doc_id", "row", "refs")
-    held = docs.join(shared, ["doc_id", "row"]).select("doc_id", "text", "refs", "row")
+    held = packed.join(shared, ["doc_id", "row"]).select("doc_id", "packed", "refs", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sharing.parts_of(batch):
+            for part in sharing.parts_of(unpacked(batch)):
                 yield sharing.packed(scatter(part, n))
 
     return (held.mapInArrow(run, sharing.PACKED)
@@ -339,13 +368,14 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary) of every document."""
     docs = rows_of(df, id_col, text_col)
     named = docs.where(F.col("doc_id").isNotNull())
-    marked = (named.join(removed_spans(named), ["doc_id", "row"], "left").select("doc_id", "text", "spans")
-              .unionByName(docs.where(F.col("doc_id").isNull())
-                           .select("doc_id", "text", F.lit(None).cast("binary").alias("spans"))))
+    packed = pack_texts(named)
+    marked = (packed.join(removed_spans(named, packed), ["doc_id", "row"], "left").select("doc_id", "packed", "spans")
+              .unionByName(pack_texts(docs.where(F.col("doc_id").isNull()))
+                           .select("doc_id", "packed", F.lit(None).cast("binary").alias("spans"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [t.encode() for t in batch.column(1).to_pylist()]
+            text = [zlib.decompress(z) for z in batch.column(1).to_pylist()]
             spans = batch.column(2).to_pylist()
             kept = [without_spans(t, s) for t, s in zip(text, spans, strict=True)]
             yield pa.RecordBatch.from_arrays(
