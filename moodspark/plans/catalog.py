@@ -1230,10 +1230,11 @@ def q_corpus_sink(spark, sf):
     """SNK6 + PRJ11 + LAB1/LAB2: the cleaned, lexicon-labelled corpus written as
     Parquet partitioned by source and read back."""
     from moodspark.sources.files import write_corpus
-    t = _tweets(spark, sf)
-    c = prep.derived_columns(t, "tweet", F.col("source")).select(
-        "doc_id", "tweet", "tweet_clean", "tweet_tokens", "tweet_length", "source_dataset")
-    s = _lexicon_scores(spark, sf)
+    # cleaned once; the columns and the lexicon read the result
+    c = reliable_checkpoint(prep.derived_columns(_tweets(spark, sf), "tweet", F.col("source")).select(
+        "doc_id", "tweet", "tweet_clean", "tweet_tokens", "tweet_length", "source_dataset"))
+    words = c.select("doc_id", T.split_words("tweet_clean").alias("words"))
+    s = lexicon.lexicon_score(words, "doc_id", "words", lexicon.lexicon_table(spark, QUERY_LEXICON))
     corpus = c.join(s, "doc_id").select(
         "doc_id", "tweet", "tweet_clean", "tweet_tokens", "tweet_length",
         lexicon.score_label().alias("sentiment_label"),
@@ -1325,10 +1326,28 @@ def _corpus(spark, sf):
     return prepare_corpus(tables.labelled_documents(spark, sf))
 
 
+#: Saved models of this process by application, tables and name: queries that use
+#: the same fit load it instead of fitting anew.
+_SAVED: dict[tuple[str, str, str], str] = {}
+
+
+def _fitted(spark, sf, name, corpus=None):
+    from moodspark.plans import training
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _SAVED:
+        corpus = _corpus(spark, sf) if corpus is None else corpus
+        train = corpus.where(F.col("split") == "train")
+        model, _ = training.fit_classifier(name, training.fit_features(train), train)
+        _SAVED[key] = training.save_model(model, scratch_path(spark, f"model-{name}"))
+    return training.load_model(_SAVED[key])
+
+
 def _train(name):
+    """MOD1-MOD5: fit on the train part; predictions of all val and test rows."""
     def run(spark, sf):
-        from moodspark.plans.training import train_and_predict
-        return train_and_predict(_corpus(spark, sf), name)
+        from moodspark.plans.training import predict
+        corpus = _corpus(spark, sf)
+        return predict(_fitted(spark, sf, name, corpus), corpus.where(F.col("split") != "train"))
     return run
 
 
@@ -1379,14 +1398,6 @@ def q_variant_compare(spark, sf):
                            export_path=scratch_path(spark, "best-variant"))
 
 
-def _fit_best(spark, sf, name="svm"):
-    from moodspark.plans import training
-    corpus = _corpus(spark, sf)
-    train = corpus.where(F.col("split") == "train")
-    model, _ = training.fit_classifier(name, training.fit_features(train), train)
-    return model
-
-
 def _requests(spark, sf):
     """Scoring requests: every conversation turn, ordinal = (conv_id, turn)."""
     c = tables.conversation_turns(spark, sf)
@@ -1398,7 +1409,7 @@ def q_score_batch(spark, sf):
     """SCO1-SCO4: every conversation turn scored by the SVM trained on the
     labelled documents; label, confidence, tokens; input order kept."""
     from moodspark.plans.scoring import score
-    return score(_fit_best(spark, sf), _requests(spark, sf), "text", keep=["conv_id", "turn"]).orderBy(
+    return score(_fitted(spark, sf, "svm"), _requests(spark, sf), "text", keep=["conv_id", "turn"]).orderBy(
         "conv_id", "turn")
 
 
@@ -1407,7 +1418,7 @@ def q_score_stream(spark, sf):
     """SCO5: the same scoring as a Structured Streaming query over the
     conversation files (available-now trigger), read back from its sink."""
     from moodspark.streaming.scoring import score_stream
-    model = _fit_best(spark, sf)
+    model = _fitted(spark, sf, "svm")
     schema = tables.read_table(spark, sf, "conversations").schema
     q, sink = score_stream(spark, model, sf, schema, "text", ["conv_id", "turn"],
                            glob="conversations.parquet")
@@ -1420,7 +1431,7 @@ def q_model_roundtrip(spark, sf):
     """SNK2 + SRC6: save the fitted pipeline, load it, score with the loaded copy."""
     from moodspark.plans.scoring import score
     from moodspark.plans.training import load_model, save_model
-    path = save_model(_fit_best(spark, sf, "logreg"), scratch_path(spark, "model"))
+    path = save_model(_fitted(spark, sf, "logreg"), scratch_path(spark, "model"))
     return score(load_model(path), _requests(spark, sf), "text", keep=["conv_id", "turn"])
 
 
