@@ -322,9 +322,9 @@ def compare_models(corpus: DataFrame, models=None, folds: int = CV_FOLDS, with_c
         m = metrics(model, corpus)
         cv_mean, cv_std = cross_validate(name, corpus, folds, feats) if with_cv else (None, None)
         rows.append((name, order, m.get("accuracy_val"), m.get("f1_val"), m.get("accuracy_test"),
-                     m.get("f1_test"), cv_mean, cv_std, secs))
+                     m.get("f1_test"), m.get("f1_macro_test"), cv_mean, cv_std, secs))
     schema = ("model string, run_order int, accuracy_val double, f1_val double, accuracy_test double, "
-              "f1_test double, cv_f1_mean double, cv_f1_std double, train_seconds double")
+              "f1_test double, f1_macro_test double, cv_f1_mean double, cv_f1_std double, train_seconds double")
     return corpus.sparkSession.createDataFrame(rows, schema)
 
 
