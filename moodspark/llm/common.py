@@ -54,7 +54,24 @@ def ship(spark: SparkSession) -> None:
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: str | StructType) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()  # workers live on after a task
+
+    return df.mapInArrow(task, schema)
+
+
+#: Text of one record batch that an operator passes on.
+PASSED_BYTES = 4 << 20
+
+
+def kept_rows(batch: pa.RecordBatch, place: int, keep: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows marked in ``keep``, in batches of bounded size by the text at ``place``."""
+    _, offsets = utf8(batch.column(place))
+    for a, b in slices(offsets, PASSED_BYTES):
+        if keep[a:b].any():
+            yield batch.slice(a, b - a).filter(pa.array(keep[a:b], pa.bool_()))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

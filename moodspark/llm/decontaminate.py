@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import byte_codes, map_arrow, mix64, powers, slices, spans, texts, utf8
+from moodspark.llm.common import byte_codes, kept_rows, map_arrow, mix64, powers, slices, spans, texts, utf8
 
 WORDS, LEAST = 5, 0.8
 RADIUS, BLOCKS = 23, 8
 #: Bytes of items in one block.
 ITEM_BYTES = 8 << 20
-SLICE = 1 << 20
+SLICE = 1 << 18
 SCHEMA = "doc_id long, item_id long, similarity double, first_word long, n_words long, distance int"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -256,6 +256,6 @@ def _block_clean(docs: DataFrame, index: Items, place: int) -> DataFrame:
         for batch in batches:
             clean = np.ones(len(batch), bool)
             clean[[d for d, _ in search_texts(index, *utf8(batch.column(place)))]] = False
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            yield from kept_rows(batch, place, clean)
 
     return map_arrow(docs, run, docs.schema)

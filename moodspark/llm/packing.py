@@ -41,7 +41,7 @@ from moodspark.session import reliable_checkpoint
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length that one rank window may hold, on average.
-RANK_ROWS = 50_000
+RANK_ROWS = 5_000
 
 
 @lru_cache(maxsize=2)
@@ -55,12 +55,14 @@ def encoder(tokenizer_path: str):
     """
     import json
 
-    from tokenizers import Tokenizer
+    @lru_cache(maxsize=1)
+    def library():
+        from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(tokenizer_path)
+        return Tokenizer.from_file(tokenizer_path)
 
     def plainly(text: str) -> list[int]:
-        return library.encode(text, add_special_tokens=False).ids
+        return library().encode(text, add_special_tokens=False).ids
 
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = json.load(f)

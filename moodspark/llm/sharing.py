@@ -31,7 +31,7 @@ NAMES = ["batch", "bucket", "kind", "blob"]
 TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 DATA, LAYOUT, FOUND = 0, 1, 2
 #: Text of one batch, and of one step of vector work.
-BATCH, SLICE = 24 << 20, 1 << 19
+BATCH, SLICE = 8 << 20, 1 << 18
 REF = np.uint64((1 << 32) - 1)
 PER_PARTITION = 4
 

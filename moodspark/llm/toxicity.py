@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import byte_codes, map_arrow, mix64, powers, slices, spans, texts, utf8
+from moodspark.llm.common import byte_codes, kept_rows, map_arrow, mix64, powers, slices, spans, texts, utf8
 
 #: Labelled rows of each class that the model is fitted on, at most.
 SAMPLE = 3000
@@ -40,7 +40,7 @@ BITS = 19
 LEAST_DOCUMENTS, LEAST_ODDS = 5, 6.0
 ROUNDS, RATE, SHRINK = 100, 0.15, 1e-4
 #: Bytes of text that are worked on at once.
-SLICE = 1 << 19
+SLICE = 1 << 18
 PREFIXES, SUFFIX = (3, 4, 5, 6, 8), 4
 SCHEMA = "doc_id long, score double, worst_start long, worst_end long, worst_score double"
 
@@ -248,7 +248,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = document_scores(model, *utf8(batch.column(place)))[0]
-            yield batch.filter(pa.array(p < 0.5, pa.bool_()))
+            yield from kept_rows(batch, place, p < 0.5)
 
     return map_arrow(docs, run, docs.schema)
 
