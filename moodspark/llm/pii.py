@@ -11,7 +11,8 @@ code and top-level domain) and, for titled names, the gender of the title.
 
 Surrogates must be distinct from one another and from every entity found.
 Where two entities meet, or a surrogate is an entity, all but the first of them
-draw again under the next number, until none meets another.
+draw again under the next number, until none meets another; where a format has
+too little room, digits behind the surrogate make it.
 
 Defined results: a null or empty text has no entities and stays empty; repeated
 rows are rows each; overlapping candidates are taken leftmost, then in the order
@@ -63,7 +64,9 @@ ALPHABETS = {
     r"\p{Lu}": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     r"\p{L}": "abcdefghijklmnopqrstuvwxyz",
 }
-MOST_DRAWS = 64
+#: After so many draws that met others (a format with too little room) a surrogate
+#: gets digits behind it, one more with each draw.
+PLAIN_DRAWS, MOST_DRAWS = 16, 64
 
 
 def hits(text: Column) -> Column:
@@ -160,8 +163,11 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         if checked.where(again).limit(1).count() == 0:
             return checked.select("entity", "kind", "surrogate")
         next_draw = (F.col("draw") + 1).cast("int")
+        more = F.greatest(next_draw - F.lit(PLAIN_DRAWS), F.lit(0))
+        digits = F.translate(F.substring(keyed(key, F.lit("more"), F.col("entity"), next_draw.cast("string")), F.lit(1), more),
+                             "abcdef", "012345")
         drawn = checked.select("entity", "kind", F.when(again, next_draw).otherwise(F.col("draw")).alias("draw"),
-                               F.when(again, surrogate(F.col("kind"), F.col("entity"), next_draw, key))
+                               F.when(again, F.concat(surrogate(F.col("kind"), F.col("entity"), next_draw, key), digits))
                                .otherwise(F.col("surrogate")).alias("surrogate"))
     raise RuntimeError(f"surrogates still meet after {MOST_DRAWS} draws")
 

@@ -52,21 +52,18 @@ def test_key_decides(spark):
     assert a == b != c
 
 
-def test_distinct_where_room_is_short(spark):
-    """Two-digit endings collide at first draws; all surrogates end up distinct and new."""
+def test_distinct_where_room_is_short(spark, monkeypatch):
+    """First draws collide, also where there is no room at all: all end up distinct and new."""
     found = [f"{a}{b}1.5.{c}.1" for a in "12" for b in "01" for c in range(10)]
     entities_ = spark.createDataFrame([(e,) for e in found], "entity string")
-    tight = pii.surrogate
+    for room in (97, 7):
+        def narrow(kind, entity, draw, key, room=room):
+            return F.concat(F.lit("10.0.0."), (pii.number(pii.keyed(key, entity, draw.cast("string")), 1, room)).cast("string"))
 
-    def narrow(kind, entity, draw, key):
-        return F.concat(F.lit("10.0.0."), (pii.number(pii.keyed(key, entity, draw.cast("string")), 1, 97)).cast("string"))
-
-    pii.surrogate = narrow
-    try:
+        monkeypatch.setattr(pii, "surrogate", narrow)
+        monkeypatch.setattr(pii, "PLAIN_DRAWS", 3)
         got = pii.assign(entities_, "k").collect()
-    finally:
-        pii.surrogate = tight
-    assert len({r["surrogate"] for r in got}) == len(found) and not {r["surrogate"] for r in got} & set(found)
+        assert len({r["surrogate"] for r in got}) == len(found) and not {r["surrogate"] for r in got} & set(found)
 
 
 def test_query(spark, sf_small):
