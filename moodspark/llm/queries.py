@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.llm import decontaminate, edit_fingerprint, line_dedup, ngram_join, packing, pii, secret_scan, substring_dedup, token_count, toxicity
+from moodspark.llm import decontaminate, edit_fingerprint, line_dedup, ngram_join, packing, pii, secret_scan, substring_dedup, token_count, toxicity, twins
 from moodspark.llm.common import table
 
 
@@ -75,4 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op4_secret_scans": secret_scan.ORACLE,
+    "op5_suffix_array_dedup": twins.SUBSTRING_DEDUP,
+    "op8_ngram_jaccard_join": twins.NGRAM_JOIN,
 }
