@@ -299,17 +299,21 @@ def gather(table: pa.Table) -> pa.Table:
             ref, _, bits = _read_found(b)
             found.append(np.stack([where[0][ref], where[1][ref], bits]))
     doc, start, bits = np.concatenate(found, axis=1)
-    held = (bits[:, None] >> np.arange(CHOICES)[None, :]) & 1
-    region, window = np.nonzero(held)
-    doc, start = doc[region], start[region] + window
-    order, new = sharing.first_of(doc, start)
-    doc, start = doc[order[new]], start[order[new]]
+    # runs of windows that go; a window is of one region, so runs of a document don't overlap
+    window = np.zeros((len(bits), 34), np.int8)
+    window[:, 1:33] = np.unpackbits(bits.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    edge = np.diff(window, axis=1)
+    region, first_window = np.nonzero(edge == 1)
+    after_last = np.nonzero(edge == -1)[1]
+    doc, end, start = doc[region], start[region] + after_last - 1 + LENGTH, start[region] + first_window
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
     out: dict[str, list] = {"doc_id": [], "row": [], "spans": []}
     if len(doc):
-        head = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] - start[:-1] > LENGTH))
+        head = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > end[:-1]))
         first = np.flatnonzero(head)
         last = np.append(first[1:], len(doc)) - 1
-        spans = np.stack([start[first], start[last] + LENGTH], 1)
+        spans = np.stack([start[first], end[last]], 1)
         cuts = np.append(np.flatnonzero(np.append(True, np.diff(doc[first]) > 0)), len(first))
         for a, b in zip(cuts, cuts[1:], strict=False):
             out["doc_id"].append(int(ids[doc[first[a]]]))
