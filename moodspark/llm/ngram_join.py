@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodspark.llm import sharing
@@ -48,8 +48,12 @@ from moodspark.session import reliable_checkpoint, scratch_path
 CHUNK, PART = 512, 2048
 #: Ids of sets to read the texts of are broadcast up to this many bytes.
 BROADCAST_BYTES = 16 << 20
-FANOUT, PAIRS = 16, 1 << 15
-SLICE = 1 << 19
+FANOUT = 16
+#: Shingles of its prefix that a set carries along to tell where a pair met first.
+FIRST = 6
+#: Node pairs, and words of their bitmaps, that are compared at once.
+PAIRS, WORDS = 1 << 14, 1 << 18
+SLICE = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -71,13 +75,14 @@ class Measure:
     def prefix(self, n):
         return n - self.kept(n) + 1
 
-    def wide(self, n):
-        """A longer prefix, of which linked sets share more."""
-        return np.minimum(n, n - self.kept(n) + 1 + n // 10)
+    def wide(self, n, part: int = 10):
+        """A prefix longer by ``n // part``, of which linked sets share more."""
+        return np.minimum(n, n - self.kept(n) + 1 + n // part)
 
-    def needed(self, n):
-        """How many of its wide prefix a set must share to link with any."""
-        return 1 + self.kept(n) // 10
+    def needed(self, n, part: int = 10):
+        """How many of its wide prefix a set must share to link with any: a set that
+        it links with has ``kept(n)`` shingles at least."""
+        return 1 + self.kept(n) // part
 
     def links(self, both, a, b):
         return 100 * both >= self.percent * (a + b - both)
@@ -111,8 +116,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
 
 
 def bitmap_bits(n: int) -> int:
-    """Bits of a set's bitmap: a power of two, three times its size or more."""
-    return max(256, 1 << (3 * n - 1).bit_length())
+    """Bits of a set's bitmap: a power of two, twice its size or more."""
+    return max(256, 1 << (2 * n - 1).bit_length())
 
 
 def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -163,7 +168,7 @@ class Tree:
         yield from self._down(top, i, j, m)
 
     def _down(self, level: int, i: np.ndarray, j: np.ndarray, m: Measure) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        step = max(1, min(PAIRS, (1 << 22) // max(1, self.levels[level][0].shape[1])))
+        step = max(1, min(PAIRS, WORDS // self.levels[level][0].shape[1]))
         for at in range(0, len(i), step):
             a, b = i[at:at + step], j[at:at + step]
             may = self._may(level, a, b, m)
@@ -246,7 +251,7 @@ def _pairs_table(pairs) -> pa.Table:
 
 def first_links(sets: DataFrame, m: Measure, n_buckets: int) -> DataFrame:
     """Verified links among sets under their two least shingles."""
-    held = sets.select("node", "tokens", F.explode(F.slice("prefix", 1, 2)).alias("token"))
+    held = sets.select("node", F.explode(F.slice("prefix", 1, 2)).alias("token"))
     sizes = (held.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("least"), F.max("node").alias("greatest"))
              .where(F.col("c") > 1))
     chunks = F.ceil(F.col("c") / CHUNK).cast("int")
@@ -254,7 +259,9 @@ def first_links(sets: DataFrame, m: Measure, n_buckets: int) -> DataFrame:
     everywhere = (F.col("node") == F.col("least")) | (F.col("node") == F.col("greatest"))
     chunk = F.when(everywhere, F.sequence(F.lit(0), chunks - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("node"), chunks).cast("int")))
-    dealt = (held.join(sizes, "token").select("token", "node", "tokens", F.explode(chunk).alias("chunk"))
+    # the sets themselves join those that meet any
+    dealt = (held.join(sizes, "token").select("token", "node", F.explode(chunk).alias("chunk"))
+             .join(sets.select("node", "tokens"), "node")
              .withColumn("bucket", F.pmod(F.xxhash64("token", "chunk"), F.lit(n_buckets)).cast("int")))
 
     def link(table: pa.Table) -> pa.Table:
@@ -268,20 +275,25 @@ def first_links(sets: DataFrame, m: Measure, n_buckets: int) -> DataFrame:
 def other_pairs(sets: DataFrame, classes: DataFrame, m: Measure, n_buckets: int) -> DataFrame:
     """Pairs of sets of different classes that may link, under any shingle of their prefixes.
 
-    A pair counts under the first shingle that both have only, so it is made
-    once; from there on no more can be common than either set has left.
+    A set that links with one of another class shares shingles of its (longer)
+    prefix with other classes in number; the sets that don't are out.  Under the
+    first shingle that both have, no more can be common than either set has left
+    from there on.  A pair that has an earlier shingle in common, as far as the
+    sets' first ``FIRST`` tell, is made there and not here again.
     """
-    named = (sets.select("node", "n", "bitmap", "prefix").join(classes, "node", "left")
+    named = (sets.select("node", "prefix", "short", "needed").join(classes, "node", "left")
              .withColumn("component", F.coalesce("component", "node")))
-    postings = named.select("node", "component", F.posexplode("prefix").alias("place", "token"))
+    postings = named.select("node", "component", "short", "needed", F.posexplode("prefix").alias("place", "token"))
     mixed = (postings.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y"))
              .where(F.col("x") != F.col("y")).select("token", F.ceil(F.col("c") / PART).cast("int").alias("parts")))
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     # part i meets part j in the cell of both, so all pairs of sets meet
     cell = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(mine, j) * F.col("parts") + F.greatest(mine, j))
-    dealt = (postings.join(mixed, "token").select("token", "place", "node", "component", F.explode(cell).alias("cell"))
-             .join(named.select("node", "n", "bitmap", "prefix"), "node")
-             .withColumn("earlier", F.slice("prefix", F.lit(1), F.col("place"))).drop("prefix")
+    met = postings.join(mixed, "token").withColumn("met", F.count("*").over(Window.partitionBy("node")))
+    dealt = (met.where((F.col("met") >= F.col("needed")) & (F.col("place") < F.col("short")))
+             .select("token", "place", "node", "component", F.explode(cell).alias("cell"))
+             .join(sets.select("node", "n", "bitmap", "prefix"), "node")
+             .withColumn("earlier", F.slice("prefix", F.lit(1), F.least("place", F.lit(FIRST)))).drop("prefix")
              .withColumn("bucket", F.pmod(F.xxhash64("token", "cell"), F.lit(n_buckets)).cast("int")))
 
     def meet(table: pa.Table) -> pa.Table:
@@ -362,11 +374,13 @@ def join_ngrams(df: DataFrame, percent: int = 85, width: int = 4, id_col: str =
                     [pa.array(ids[a:b], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()),
                      pa.array([bitmap(s, bitmap_bits(len(s))).tobytes() for s in sets], pa.binary()),
-                     pa.array([s[:int(m.prefix(len(s)))].view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))],
-                    ["node", "n", "tokens", "bitmap", "prefix"])
+                     pa.array([s[:int(m.wide(len(s), 20))].view(np.int64).tolist() for s in sets], pa.list_(pa.int64())),
+                     pa.array([m.prefix(len(s)) for s in sets], pa.int64()),
+                     pa.array([m.needed(len(s), 20) for s in sets], pa.int64())],
+                    ["node", "n", "tokens", "bitmap", "prefix", "short", "needed"])
 
     path = scratch_path(spark, "shingle-sets")
-    map_arrow(texts_of, run, "node long, n long, tokens binary, bitmap binary, prefix array<long>").write.parquet(path)
+    map_arrow(texts_of, run, "node long, n long, tokens binary, bitmap binary, prefix array<long>, short long, needed long").write.parquet(path)
     sets = spark.read.parquet(path)
 
     found = reliable_checkpoint(first_links(sets, m, n_buckets))
