@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -39,13 +41,15 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_moodspark_shipped", None):
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    # the driver serves this file to executors; nobody else reads the folder
-    path = os.path.join(tempfile.mkdtemp(prefix="moodspark-code-"), "moodspark_code.zip")
+    # a file of the driver's own, which Spark serves to executors; it goes when the driver ends
+    folder = tempfile.mkdtemp(prefix="moodspark-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "moodspark_code.zip")
     with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(package):
+        for at, _, names in os.walk(package):
             for name in names:
                 if name.endswith(".py"):
-                    full = os.path.join(folder, name)
+                    full = os.path.join(at, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(package)))
     sc.addPyFile(path)
     sc._moodspark_shipped = path
