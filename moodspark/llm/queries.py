@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.llm import decontaminate, edit_fingerprint, line_dedup, ngram_join, packing, pii, secret_scan, substring_dedup, token_count, toxicity, twins
-from moodspark.llm.common import table
+from moodspark.llm import (decontaminate, edit_fingerprint, fill_middle, line_dedup, ngram_join, packing, pii, secret_scan,
+                           substring_dedup, token_count, toxicity, twins)
+from moodspark.llm.common import sha256_hex, table
 
 
 #: The query's key; a user gives their own.
@@ -60,6 +61,12 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def fill_middle_transformation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.transform(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha256_hex(F.col("output")).alias("output_sha256"),
+                      sha256_hex(fill_middle.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup_by_site,
     "op2_token_counts": token_counts,
@@ -71,10 +78,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": ngram_jaccard_join,
     "op9_toxicity": toxicity_scores,
     "op10_pii_surrogates": pii_surrogates,
+    "op11_fill_in_middle": fill_middle_transformation,
 }
 ORACLE: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op4_secret_scans": secret_scan.ORACLE,
     "op5_suffix_array_dedup": twins.SUBSTRING_DEDUP,
     "op8_ngram_jaccard_join": twins.NGRAM_JOIN,
+    "op11_fill_in_middle": fill_middle.ORACLE,
 }
