@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.llm import (decontaminate, edit_fingerprint, fill_middle, line_dedup, ngram_join, packing, pii, secret_scan,
+from moodspark.llm import (decontaminate, edit_fingerprint, fill_middle, line_dedup, mixing, ngram_join, packing, pii, secret_scan,
                            substring_dedup, token_count, toxicity, twins)
 from moodspark.llm.common import sha256_hex, table
 
@@ -67,6 +67,10 @@ def fill_middle_transformation(spark: SparkSession, sf_dir: str) -> DataFrame:
                       sha256_hex(fill_middle.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+def mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents")).drop("times")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup_by_site,
     "op2_token_counts": token_counts,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": toxicity_scores,
     "op10_pii_surrogates": pii_surrogates,
     "op11_fill_in_middle": fill_middle_transformation,
+    "op12_mixing_to_weights": mixing_to_weights,
 }
 ORACLE: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
@@ -86,4 +91,5 @@ ORACLE: dict[str, str] = {
     "op5_suffix_array_dedup": twins.SUBSTRING_DEDUP,
     "op8_ngram_jaccard_join": twins.NGRAM_JOIN,
     "op11_fill_in_middle": fill_middle.ORACLE,
+    "op12_mixing_to_weights": mixing.ORACLE,
 }
