@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark.llm import (decontaminate, edit_fingerprint, fill_middle, line_dedup, mixing, ngram_join, packing, pii, secret_scan,
+from moodspark.llm import (decontaminate, edit_fingerprint, fill_middle, line_dedup, mixing, ngram_join, packing, pii, prefix_trie, secret_scan,
                            substring_dedup, token_count, toxicity, twins)
 from moodspark.llm.common import sha256_hex, table
 
@@ -71,6 +71,10 @@ def mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents")).drop("times")
 
 
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup_by_site,
     "op2_token_counts": token_counts,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii_surrogates": pii_surrogates,
     "op11_fill_in_middle": fill_middle_transformation,
     "op12_mixing_to_weights": mixing_to_weights,
+    "op13_conversation_trie": conversation_trie,
 }
 ORACLE: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
