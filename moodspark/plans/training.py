@@ -2,9 +2,9 @@
 
 The corpus is prepared once (clean -> tokens -> hash-ranked split), the feature
 chain is fitted on the train split only, the transformed train set is cached
-for the fits and released afterwards.  Every model is a Spark ML estimator:
-the optimisers run as distributed ``treeAggregate`` passes, one-vs-rest
-binaries fit in parallel, trees are built from distributed histograms.
+for the fits and released afterwards.  Every model is a Spark ML estimator, three of
+Spark's and two of this library's (``linear_svm``, ``boosting``): passes over the
+training rows are jobs whose partial sums add up as a tree.
 
 Regularisation follows the reference's ``C``: a penalty ``C * sum(loss) +
 |w|^2 / 2`` equals Spark's ``mean(loss) + regParam * |w|^2 / 2`` with
@@ -19,8 +19,7 @@ import time
 from pyspark import keyword_only
 from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes,
-                                       OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.tuning import CrossValidator
@@ -31,8 +30,10 @@ from pyspark.sql import types as TY
 
 from moodspark.functions import text as T
 from moodspark.operators import evaluate, features, sampling
+from moodspark.operators.boosting import MultiClassBoosting
 from moodspark.operators.ensemble import ConfidenceRouter, WeightedEnsemble
 from moodspark.operators.joins import collect_bounded
+from moodspark.operators.linear_svm import SquaredHingeSVC
 from moodspark.plans import naive_bayes
 from moodspark.session import reliable_checkpoint
 
@@ -180,16 +181,13 @@ def classifier(name: str, n_train: int, C: float | None = None):
     if name == "naive_bayes":
         return NaiveBayes(modelType="multinomial", smoothing=NAIVE_BAYES["alpha"])
     if name == "svm":
-        c = C or SVM["C"]
-        svc = LinearSVC(regParam=1.0 / (c * n_train), maxIter=SVM["max_iter"], standardization=False, tol=TOL)
-        return OneVsRest(classifier=svc, parallelism=3)
+        return SquaredHingeSVC(C=C or SVM["C"], maxIter=SVM["max_iter"], tol=TOL)
     if name == "forest":
         return RandomForestClassifier(numTrees=FOREST["n_trees"], maxDepth=FOREST["max_depth"],
                                       weightCol="weight", seed=SEED, featureSubsetStrategy="sqrt")
     if name == "boosting":
-        gbt = GBTClassifier(maxIter=BOOSTING["n_trees"], maxDepth=BOOSTING["max_depth"],
-                            stepSize=BOOSTING["learning_rate"], seed=SEED)
-        return OneVsRest(classifier=gbt, parallelism=3)
+        return MultiClassBoosting(maxIter=BOOSTING["n_trees"], maxDepth=BOOSTING["max_depth"],
+                                  stepSize=BOOSTING["learning_rate"])
     raise ValueError(f"unknown model {name}")
 
 
@@ -339,7 +337,7 @@ def grid_search(train: DataFrame, folds: int = GRID_FOLDS, Cs=GRID_C, ngrams=GRI
 
     The vectoriser depends only on (n-gram, fold), so it is fitted once per
     pair and its output cached; the C values are then fitted concurrently on
-    that cached set (``regParam = 1 / (C * n_fold_train)``).  Ties go to the
+    that cached set.  Ties go to the
     first grid point (n-gram major, C minor).
     """
     from concurrent.futures import ThreadPoolExecutor
@@ -357,8 +355,7 @@ def grid_search(train: DataFrame, folds: int = GRID_FOLDS, Cs=GRID_C, ngrams=GRI
                 vav = feats.transform(x.where(F.col("fold") == f)).persist()
 
                 def run(c, trv=trv, vav=vav, n_tr=n_tr):
-                    m = OneVsRest(classifier=LinearSVC(regParam=1.0 / (c * n_tr), standardization=False,
-                                                       maxIter=1000, tol=TOL), parallelism=3).fit(trv)
+                    m = classifier("svm", n_tr, c).fit(trv)
                     return MacroF1Evaluator().evaluate(m.transform(vav))
 
                 try:
@@ -374,8 +371,7 @@ def grid_search(train: DataFrame, folds: int = GRID_FOLDS, Cs=GRID_C, ngrams=GRI
         feats = features.fit_tfidf(x, "tokens", **{**features.CLI_CONFIG, "ngram_max": best_ng})
         xv, nx = cache_for_fit(feats.transform(x))
         try:
-            m = OneVsRest(classifier=LinearSVC(regParam=1.0 / (best_c * nx), standardization=False,
-                                               maxIter=1000, tol=TOL), parallelism=3).fit(xv)
+            m = classifier("svm", nx, best_c).fit(xv)
         finally:
             xv.unpersist()
         params = {"best_C": best_c, "best_ngram_max": best_ng, "cv_f1_macro": mean[(best_ng, best_c)]}
@@ -387,8 +383,7 @@ def grid_search(train: DataFrame, folds: int = GRID_FOLDS, Cs=GRID_C, ngrams=GRI
 def cli_variants(skip_tuning: bool = False) -> dict:
     """MOD12: the CLI's variants as estimators over CLI features."""
     def svc(n):
-        return OneVsRest(classifier=LinearSVC(regParam=1.0 / (SVM["C"] * n), standardization=False, maxIter=1000,
-                                              tol=TOL), parallelism=3)
+        return classifier("svm", n)
 
     def lr(n):
         return LogisticRegression(family="multinomial", regParam=1.0 / (LOGREG["C"] * n), standardization=False,
