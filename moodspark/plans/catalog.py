@@ -19,7 +19,7 @@ from moodspark.functions import labels as L
 from moodspark.functions import scores as SC
 from moodspark.functions import text as T
 from moodspark.functions.stopwords import english_stop_words
-from moodspark.operators import ensemble, evaluate, features, lexicon, prep, sampling, stats
+from moodspark.operators import ensemble, evaluate, features, lexicon, prep, sampling, stats, valence
 from moodspark.plans import naive_bayes
 from moodspark.plans import sql_twins as S
 from moodspark.session import reliable_checkpoint, scratch_path
@@ -645,6 +645,81 @@ def q_lexicon_label(spark, sf):
     return s.groupBy(lexicon.score_label().alias("sentiment_label")).agg(F.count("*").alias("n"))
 
 
+# Idioms that the registered queries bring along, in words that the corpora hold.
+QUERY_IDIOMS = [("with this", 1.7), ("for that", -1.3), ("for that the", 0.9), ("this was", 2.1), ("und der", -0.6)]
+
+
+def _valence_sql() -> str:
+    """All valence rules, a word a row with the three before it."""
+    c = valence.Context()
+    lex = ", ".join(f"({S.q(w)}, {v!r})" for w, v in QUERY_LEXICON + [(w.replace(" ", valence.JOIN), v) for w, v in QUERY_IDIOMS])
+    known = S.sql_list([w for w, _ in QUERY_LEXICON] + [w.replace(" ", valence.JOIN) for w, _ in QUERY_IDIOMS])
+    boosts = ", ".join(f"({S.q(w)}, {b!r})" for w, b in c.boosters.items())
+    neg, never, stress = (S.sql_list(list(x)) for x in (c.negators, c.never, c.stress))
+    pattern, space = S.q("(?i)" + valence.idiom_pattern([w for w, _ in QUERY_IDIOMS])), S.q(f"{valence.SPACE}+")
+    steps, last = [], "v0"
+    for k in (1, 2, 3):
+        near = {1: "FALSE", 2: f"list_contains({stress}, lower(p1))", 3: f"(list_contains({stress}, lower(p1)) OR list_contains({stress}, lower(p2)))"}[k]
+        turn = f"CASE WHEN list_contains({neg}, lower(p{k})) THEN {lexicon.NEGATION_SCALAR} ELSE 1.0 END"
+        if k > 1:
+            turn = (f"CASE WHEN list_contains({never}, lower(p{k})) AND {near} THEN {valence.NEVER_NEAR if k == 2 else valence.NEVER_FAR} "
+                    f"ELSE {turn} END")
+        steps.append(f"""
+v{k} AS (SELECT *, CASE WHEN p{k} IS NULL OR list_contains({known}, lower(p{k})) THEN x{k - 1} ELSE
+  (x{k - 1} + CASE WHEN x{k - 1} < 0 THEN -1 ELSE 1 END * coalesce(b{k}, 0.0) * {lexicon.DECAY[k - 1]}
+   + CASE WHEN b{k} IS NOT NULL AND shouted AND upper(p{k}) = p{k} AND lower(p{k}) <> p{k}
+       THEN CASE WHEN x{k - 1} > 0 THEN {valence.CAPITALS} ELSE -{valence.CAPITALS} END * {lexicon.DECAY[k - 1]} ELSE 0 END) * {turn} END AS x{k} FROM {last})""")
+        last = f"v{k}"
+    return f"""
+vlex(word, valence) AS (VALUES {lex}), boost(word, b) AS (VALUES {boosts}),
+cut AS (SELECT doc_id, tweet, string_split_regex(tweet, {pattern}) AS parts, regexp_extract_all(tweet, {pattern}) AS found FROM tweets),
+vw AS (SELECT doc_id, tweet, flatten(list_transform(range(1, len(parts) + 1), lambda j: list_concat(
+   list_transform(list_filter(string_split_regex(parts[j], {space}), lambda x: x <> ''), lambda x:
+     CASE WHEN length(trim(x, {S.q(valence.PUNCTUATION)})) > 2 THEN trim(x, {S.q(valence.PUNCTUATION)}) ELSE x END),
+   CASE WHEN j <= len(found) THEN [regexp_replace(found[j], {space}, {S.q(valence.JOIN)}, 'g')] ELSE [] END))) AS w FROM cut),
+vs AS (SELECT doc_id, w, len(list_filter(w, lambda x: upper(x) = x AND lower(x) <> x)) AS loud,
+   list_position(list_transform(w, lambda x: lower(x)), 'but') AS but FROM vw),
+vu AS (SELECT doc_id, loud > 0 AND loud < len(w) AS shouted, but, unnest(w) AS x, unnest(generate_series(1, len(w))) AS i FROM vs),
+vc AS (SELECT *, lag(x, 1) OVER d AS p1, lag(x, 2) OVER d AS p2, lag(x, 3) OVER d AS p3 FROM vu WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+v0 AS (SELECT vc.*, b1.b AS b1, b2.b AS b2, b3.b AS b3, valence + CASE WHEN shouted AND upper(x) = x AND lower(x) <> x
+     THEN CASE WHEN valence > 0 THEN {valence.CAPITALS} ELSE -{valence.CAPITALS} END ELSE 0 END AS x0
+  FROM vc JOIN vlex ON lower(x) = vlex.word LEFT JOIN boost b1 ON lower(p1) = b1.word LEFT JOIN boost b2 ON lower(p2) = b2.word
+  LEFT JOIN boost b3 ON lower(p3) = b3.word WHERE lower(x) NOT IN (SELECT word FROM boost)),{','.join(steps)},
+vsum AS (SELECT doc_id, sum(x3 * CASE WHEN coalesce(but, 0) = 0 OR i = but THEN 1.0 WHEN i < but THEN {valence.BEFORE_BUT} ELSE {valence.AFTER_BUT} END) AS v
+  FROM v3 GROUP BY doc_id),
+vmark AS (SELECT doc_id, least(len(regexp_extract_all(tweet, '!')), {valence.MOST_EXCLAMATIONS}) * {valence.EXCLAMATION}
+  + CASE WHEN len(regexp_extract_all(tweet, '\\?')) <= 1 THEN 0 WHEN len(regexp_extract_all(tweet, '\\?')) <= {valence.MOST_QUESTIONS}
+    THEN len(regexp_extract_all(tweet, '\\?')) * {valence.QUESTION} ELSE {valence.MANY_QUESTIONS} END AS marks FROM tweets),
+vt AS (SELECT m.doc_id, coalesce(v, 0) + CASE WHEN v > 0 THEN marks WHEN v < 0 THEN -marks ELSE 0 END AS s FROM vmark m LEFT JOIN vsum USING (doc_id)),
+vscore AS (SELECT doc_id, s / sqrt(s * s + {lexicon.ALPHA}) AS sentiment_score FROM vt)"""
+
+
+VALENCE_SQL = _valence_sql()
+
+
+def _valence_scores(spark, sf):
+    idioms = spark.createDataFrame(QUERY_IDIOMS, "idiom string, valence double")
+    return valence.valence_score(_tweets(spark, sf), "doc_id", "tweet", lexicon.lexicon_table(spark, QUERY_LEXICON), idioms)
+
+
+@query("valence_score", f"""
+WITH {S.TWEETS}, {VALENCE_SQL}
+SELECT doc_id, round(sentiment_score, 6) AS sentiment_score FROM vscore
+""")
+def q_valence_score(spark, sf):
+    """LAB1 with all valence rules on raw tweets: case, boosters, negations, "but", idioms, marks."""
+    return _valence_scores(spark, sf).select("doc_id", r6(F.col("sentiment_score")).alias("sentiment_score"))
+
+
+@query("valence_label", f"""
+WITH {S.TWEETS}, {VALENCE_SQL}
+SELECT CASE WHEN sentiment_score >= 0.05 THEN 'positive' WHEN sentiment_score <= -0.05 THEN 'negative'
+  ELSE 'neutral' END AS sentiment_label, count(*) AS n FROM vscore GROUP BY 1
+""")
+def q_valence_label(spark, sf):
+    return _valence_scores(spark, sf).groupBy(lexicon.score_label().alias("sentiment_label")).agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------------------
 # Features (FEA)
 # ---------------------------------------------------------------------------
