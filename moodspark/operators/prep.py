@@ -180,17 +180,48 @@ def lemmatize(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame,
     return g.select(id_col, F.transform("_s", lambda e: e["_x"]).alias(out_col))
 
 
-def plural_lemmas(tokens: DataFrame, tokens_col: str) -> DataFrame:
-    """A lemma table derived from the corpus itself: ``<w>s -> <w>`` when both
-    forms occur.  One aggregation: every word emits itself and, when it ends in
-    ``s``, a claim on its stem; stems that exist as words keep their plural."""
-    w = F.col("w")
-    emit = F.array(
-        F.struct(w.alias("k"), F.lit(1).alias("is_word"), F.lit(None).cast("string").alias("plural")),
-        F.struct(F.expr("substring(w, 1, length(w) - 1)").alias("k"), F.lit(0).alias("is_word"),
-                 F.when(w.endswith("s"), w).alias("plural")))
-    words = tokens.select(F.explode_outer(tokens_col).alias("w")).where(w.isNotNull())
-    claims = words.select(F.inline(emit)).where((F.col("is_word") == 1) | F.col("plural").isNotNull())
-    g = claims.groupBy("k").agg(F.max("is_word").alias("is_word"), F.max("plural").alias("plural"))
-    return g.where((F.col("is_word") == 1) & F.col("plural").isNotNull()).select(
-        F.col("plural").alias("word"), F.col("k").alias("lemma"))
+# The published morphological rules for nouns, (ending, replacement) in order.
+NOUN_RULES = [("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"),
+              ("men", "man"), ("ies", "y")]
+#: How often rules are applied to a word whose shorter forms are unknown.
+RULE_ROUNDS = 3
+
+
+def _rule_forms(forms: Column) -> Column:
+    """What each rule makes of each form, in order."""
+    def of(w: Column) -> Column:
+        made = F.array(*[F.when(w.endswith(end), F.concat(F.left(w, F.length(w) - F.lit(len(end))), F.lit(new)))
+                         for end, new in NOUN_RULES])
+        return F.filter(made, lambda f: f.isNotNull())
+
+    return F.flatten(F.transform(forms, of))
+
+
+def noun_lemmas(tokens: DataFrame, tokens_col: str, words: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
+    """TXT12: ``(word, lemma)`` of the words of a corpus that have another lemma.
+
+    A word of the ``exceptions`` (``word, lemma``, several lemmas allowed) has itself and
+    its lemmas as forms; any other word has itself and what the ending rules make of it,
+    and what they make of that as long as no form is known.  The lemma is the shortest
+    form that the word set ``words`` (``word``) holds, the first of equals.
+
+    Work is by distinct words, not by occurrences: one aggregation of the vocabulary, and
+    one lookup of all forms at once.
+    """
+    vocabulary = tokens.select(F.explode(F.array_distinct(tokens_col)).alias("word")).where("word <> ''").distinct()
+    w = F.col("word")
+    if exceptions is not None:
+        listed = (exceptions.groupBy("word").agg(F.array_sort(F.collect_set("lemma")).alias("_own")))
+        vocabulary = vocabulary.join(listed, "word", "left")
+    else:
+        vocabulary = vocabulary.withColumn("_own", F.lit(None).cast("array<string>"))
+    rounds, last = [], F.array(w)
+    for i in range(RULE_ROUNDS):
+        last = _rule_forms(last)
+        rounds.append(F.concat(F.array(w), last) if i == 0 else last)
+    forms = F.when(F.col("_own").isNotNull(), F.array(F.concat(F.array(w), F.col("_own")))).otherwise(F.array(*rounds))
+    tried = (vocabulary.select("word", F.posexplode(forms).alias("_round", "_forms"))
+             .select("word", "_round", F.posexplode("_forms").alias("_place", "_form")).where("_form <> ''"))
+    held = tried.join(words.select(F.col("word").alias("_form")).distinct(), "_form")
+    best = held.groupBy("word").agg(F.min(F.struct("_round", F.length("_form").alias("_n"), "_place", "_form")).alias("_b"))
+    return best.select("word", F.col("_b._form").alias("lemma")).where("word <> lemma")
