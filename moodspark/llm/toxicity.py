@@ -7,8 +7,10 @@ labels: the gradient of the noisy-or hands each label down to the sentences
 that account for it, so the fitted model also tells which sentence offends.
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE`` of each
-class, by the order of a hash of their ids; rows of the larger class weigh what
-they stand for); every row is scored, by its whole text.
+class, by the order of a hash of their ids, and ``SAMPLE_BYTES`` of text in all,
+texts of more than a hundredth of it passed over; rows of the larger class weigh what
+they stand for); every row is scored, by its whole text.  One task fits: neither
+texts nor features of the sample come to the driver, only the model's weights.
 
 Features of a word: itself, its first 3 to 6 and 8 bytes, its last 4, in lower
 case (ASCII).  A sentence ends at ``.``, ``!``, ``?``, ``|`` or a line's end.
@@ -27,13 +29,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodspark.llm.common import byte_codes, kept_rows, map_arrow, mix64, powers, slices, spans, texts, utf8
 
 #: Labelled rows of each class that the model is fitted on, at most.
 SAMPLE = 3000
+#: Bytes of text that the model is fitted on, at most.
+SAMPLE_BYTES = 64 << 20
 #: Hashed features, as a power of two.
 BITS = 19
 #: Documents of the sample that must hold a feature, and the least odds (either way) it must have.
@@ -112,11 +116,22 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> Sentences:
 
 @dataclass
 class Model:
-    weights: np.ndarray
+    """The features that have a weight, in order, and their weights."""
+    feature: np.ndarray
+    weight: np.ndarray
     bias: float
 
+    def __post_init__(self) -> None:
+        self._all = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_all": None}
+
     def sentence_margins(self, s: Sentences) -> np.ndarray:
-        by_word = self.weights[s.features].sum(1) if len(s.features) else np.zeros(0)
+        if self._all is None:
+            self._all = np.zeros(1 << BITS, np.float32)
+            self._all[self.feature] = self.weight
+        by_word = self._all[s.features].sum(1) if len(s.features) else np.zeros(0)
         return self.bias + np.bincount(s.word_sentence, by_word, len(s.sentence_doc))
 
 
@@ -136,7 +151,7 @@ def fit(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, weight: np.nda
     n_sentences = sum(len(s.sentence_doc) for _, s in parts)
     # a sentence's margin at the prior: all of a document's sentences together give it
     start = float(np.log(prior / (1 - prior))) - float(np.log(max(n_sentences / max(docs, 1), 1.0)))
-    model = Model(np.zeros(1 << BITS, np.float32), start)
+    model = Model(np.zeros(0, np.int64), np.zeros(0), start)
     if not docs or not toxic.any() or toxic.all():
         return model
     # how many documents of each class hold a feature
@@ -179,9 +194,7 @@ def fit(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, weight: np.nda
         move = RATE * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-8)
         w -= move[:-1]
         bias -= move[-1]
-    model.weights[name] = w
-    model.bias = float(bias)
-    return model
+    return Model(name, w, float(bias))
 
 
 def held_out(id_col: Column) -> Column:
@@ -189,7 +202,7 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id",
-          text_col: str = "text", label_col: str = "toxic") -> Model:
+          text_col: str = "text", label_col: str = "toxic", sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit on at most ``sample`` labelled documents of each class that aren't held out."""
     named = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
              .where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -203,12 +216,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     # at most 2 * sample ids, so they may be broadcast
     rows = (texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
             .groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
-            .orderBy("doc_id").toArrow())
-    data, offsets = utf8(rows.column("text"))
-    toxic = np.asarray(rows.column("toxic").to_pylist(), dtype=bool)
-    got = {c: max(1, int((toxic == bool(c)).sum())) for c in (0, 1)}
-    weight = np.where(toxic, n.get(1, 0) / got[1], n.get(0, 0) / got[0])
-    return fit(data, offsets, toxic, weight)
+            .where(F.octet_length("text") <= sample_bytes // 100))
+    # of at most 2 * sample rows, those that fit
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_bytes", so_far).where(F.col("_bytes") <= sample_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        toxic = np.concatenate([np.zeros(0, bool)] + [np.asarray(b.column(1).to_pylist(), dtype=bool) for b in held])
+        parts = [utf8(b.column(2)) for b in held]
+        data = np.concatenate([np.zeros(0, np.uint8)] + [d for d, _ in parts])
+        offsets = np.cumsum(np.concatenate([[0]] + [np.diff(o) for _, o in parts]).astype(np.int64))
+        got = {c: max(1, int((toxic == bool(c)).sum())) for c in (0, 1)}
+        weight = np.where(toxic, n.get(1, 0) / got[1], n.get(0, 0) / got[0])
+        model = fit(data, offsets, toxic, weight)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.feature, model.weight)]
+                                         + [pa.array([model.bias])], ["feature", "weight", "bias"])
+
+    chosen_rows = rows.select("doc_id", "toxic", "text").repartition(1).sortWithinPartitions("doc_id")
+    found = map_arrow(chosen_rows, run, "feature binary, weight binary, bias double").first()
+    if found is None:
+        return fit(np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, bool), np.zeros(0))
+    return Model(np.frombuffer(found["feature"], np.int64), np.frombuffer(found["weight"]), found["bias"])
 
 
 def document_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:

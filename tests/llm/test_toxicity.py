@@ -43,7 +43,7 @@ def test_held_out_labels_are_not_used(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     flipped = [(d, 1 - t if zlib.crc32(str(d).encode()) % 5 == 0 else t) for d, t in labels]
     a, b = (toxicity.train(docs, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (labels, flipped))
-    assert (a.weights == b.weights).all() and a.bias == b.bias
+    assert (a.feature == b.feature).all() and (a.weight == b.weight).all() and a.bias == b.bias
 
 
 def test_noisy_or_gradient():
@@ -79,3 +79,24 @@ def test_edges(spark):
         out = toxicity.classify(df, labels).collect()
         assert len(out) == len(H.EDGES) and all(0 <= r["score"] <= 1 for r in out)
     assert toxicity.classify(H.empty_table(spark), odd).count() == 0
+
+
+def test_held_out_accuracy(spark):
+    """On rows whose labels no fit and no setting has seen."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in queries.QUERIES["op9_toxicity"](spark, sf).where("held_out").collect() if r.doc_id in labels]
+    toxic, clean = ([r.predicted for r in rows if labels[r.doc_id] == c] for c in (1, 0))
+    assert len(toxic) > 50 and sum(toxic) / len(toxic) > .8 and sum(clean) / len(clean) < .01
+
+
+def test_texts_beyond_the_sample_s_bytes_are_passed_over(spark):
+    rows, labels = corpus(60)
+    long = [(1000, "fine words here. " * 70_000), (1001, "x" * 2_000_000)]
+    lab = spark.createDataFrame(labels + [(1000, 0), (1001, 1)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows + long, "doc_id long, text string")
+    a, b = (toxicity.train(d, lab, sample_bytes=1 << 20) for d in (docs, docs.where("doc_id < 1000")))
+    assert (a.feature == b.feature).all() and a.bias != 0
+    few = toxicity.train(docs, lab, sample_bytes=1000)
+    assert len(few.feature) <= len(a.feature)
+    assert toxicity.classify(docs, lab).where("doc_id >= 1000").count() == 2
