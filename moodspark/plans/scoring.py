@@ -2,8 +2,9 @@
 
 A fitted :class:`~pyspark.ml.PipelineModel` (feature chain + classifier) is
 applied with one distributed ``transform``: every stage is row-local, so
-scoring never shuffles and the input order is carried by an ordinal column
-rather than by partition order.
+scoring itself never shuffles.  The input order is carried by an ordinal column,
+given or derived from the files, rather than by partition order; only a sort that the
+caller asks for by a given ordinal is a shuffle.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from moodspark.functions import labels as L
 from moodspark.functions import scores as SC
 from moodspark.functions import text as T
+from moodspark.operators.ordinals import number_input
 
 EMPTY_LABEL = "neutral"
 EMPTY_SCORE = 0.0
@@ -59,6 +61,26 @@ def score(model: PipelineModel, df: DataFrame, text_col: str = "text", keep: lis
 
 
 def score_batch(model: PipelineModel, df: DataFrame, text_col: str = "text",
-                ordinal_col: str = "ordinal") -> DataFrame:
-    """SCO4: same rows out as in, ordered by the input ordinal at the sink."""
-    return score(model, df, text_col, keep=[ordinal_col]).orderBy(ordinal_col)
+                ordinal_col: str | None = "ordinal") -> DataFrame:
+    """SCO4: same rows out as in, with the ordinal that tells their order.
+
+    A table with an ordinal is sorted by it.  With ``ordinal_col=None`` the table must be
+    a scan of files: rows are numbered in the order of the files from counts by split,
+    nothing is sorted, and ``write_in_order`` keeps the order on disk.
+    """
+    if ordinal_col is not None:
+        return score(model, df, text_col, keep=[ordinal_col]).orderBy(ordinal_col)
+    return score(model, number_input(df, "ordinal"), text_col, keep=["ordinal"])
+
+
+#: Rows of one file of an ordered output.
+FILE_ROWS = 1_000_000
+
+
+def write_in_order(df: DataFrame, path: str, ordinal_col: str = "ordinal", rows: int = FILE_ROWS) -> str:
+    """Writes folders ``part=0, 1, ...`` of ``rows`` ordinals each, rows in order within
+    each file.  Tasks sort what they hold and write it where it belongs; no row is
+    shuffled, so a folder has a file for each task that held some of it."""
+    (df.withColumn("part", F.floor(F.col(ordinal_col) / rows)).sortWithinPartitions("part", ordinal_col)
+     .write.partitionBy("part").parquet(path))
+    return path

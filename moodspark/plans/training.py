@@ -16,8 +16,9 @@ from __future__ import annotations
 import datetime as _dt
 import time
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import keyword_only
-from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
@@ -36,6 +37,7 @@ from moodspark.operators.joins import collect_bounded
 from moodspark.operators.linear_svm import SquaredHingeSVC
 from moodspark.plans import naive_bayes
 from moodspark.session import reliable_checkpoint
+from moodspark.sources.commit_log import CommitLog
 
 SEED = 42
 # Rows kept per class before splitting (0/None: no cap).
@@ -503,26 +505,24 @@ REGISTRY_SCHEMA = TY.StructType([
 
 def register(spark: SparkSession, registry_path: str, name: str, model_path: str, metrics_: dict,
              params: dict | None = None, report: DataFrame | None = None) -> int:
-    """SNK5: append ``name`` with version = previous max + 1.
-
-    Only a registry that doesn't exist yet counts as empty; any other failure to
-    read it is raised, so versions never start anew.  Reading the last version
-    and appending the next are two steps: two writers at once need a lock of
-    their own.
-    """
-    try:
-        prev = (spark.read.schema(REGISTRY_SCHEMA).parquet(registry_path).where(F.col("name") == name)
-                .agg(F.max("version")).first()[0])
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        prev = None
-    version = int(prev or 0) + 1
+    """SNK5: adds the next version of ``name``; any number of writers may do so at once
+    and each gets a number of its own.  The registry is a folder of one-row Parquet
+    files and is read as a table."""
     lines = [r["line"] for r in report.orderBy("line_no").collect()] if report is not None else None
-    row = [(name, version, model_path, {k: str(v) for k, v in (params or {}).items()},
-            {k: float(v) for k, v in metrics_.items()}, lines, _now())]
-    spark.createDataFrame(row, REGISTRY_SCHEMA).write.mode("append").parquet(registry_path)
-    return version
+    own = {k: str(v) for k, v in (params or {}).items()}, {k: float(v) for k, v in metrics_.items()}, lines, _now()
+    return CommitLog(spark, registry_path).append(
+        name, lambda version: _one_row((name, version, model_path, *own)))
+
+
+def _one_row(row: tuple) -> bytes:
+    """A Parquet file of one row of the registry, as bytes."""
+    text = pa.string()
+    arrow = pa.schema([("name", text), ("version", pa.int64()), ("path", text), ("params", pa.map_(text, text)),
+                       ("metrics", pa.map_(text, pa.float64())), ("report", pa.list_(text)), ("ts", pa.timestamp("us", tz="UTC"))])
+    values = [list(v.items()) if isinstance(v, dict) else v for v in row]
+    out = pa.BufferOutputStream()
+    pq.write_table(pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow)], schema=arrow), out)
+    return out.getvalue().to_pybytes()
 
 
 def class_metrics(pred: DataFrame) -> dict[str, float]:
