@@ -284,4 +284,4 @@ def vector_to_long(df: DataFrame, id_col: str, features_col: str, vocabulary: li
     from pyspark.ml.functions import vector_to_array
     arr = vector_to_array(F.col(features_col))
     ex = df.select(id_col, F.posexplode(arr).alias("idx", "weight")).where(F.col("weight") != 0)
-    return ex.join(F.broadcast(vocab), "idx").select(id_col, "term", "weight")
+    return ex.join(vocab, "idx").select(id_col, "term", "weight")

@@ -8,7 +8,7 @@ rows (one per label/source, or the k words kept).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from moodspark.functions.labels import LABEL_NAMES
@@ -53,18 +53,58 @@ def dataset_share(df: DataFrame, source: str) -> DataFrame:
                          F.round(F.col("tweets") * 100.0 / total, 1).alias("share_pct"))
 
 
-def word_frequencies(df: DataFrame, tokens_col: str, k: int = 120) -> DataFrame:
+#: Words a sketch follows; partial sketches are merged in so many groups first.
+TRACKED, SKETCH_GROUPS = 16_384, 256
+
+
+def frequent(words: DataFrame, col: str, k: int, tracked: int = TRACKED) -> tuple[DataFrame, bool]:
+    """``col, n`` of the ``k`` most frequent values, ties by value, and whether the sketch
+    sufficed; exact either way.
+
+    A frequent-items sketch of each task, merged in groups, names at most ``tracked``
+    candidates, and a second pass counts those alone: what is shuffled depends on tasks
+    and ``tracked``, not on how many values there are.  The sketch's error is at most
+    2.625 / tracked of all rows (3.5 over its map's size, which is a third larger), it
+    may leave out what counts up to twice that, and of those it holds only the first
+    ``tracked`` are asked for: a value that is no candidate counts at most
+    6.25 / tracked of all rows.  If the ``k``-th exact count is above that, the result is
+    proven; else all values are counted.
+    """
+    parts = (words.select(F.col(col).cast("string").alias("w"), F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"))
+             .where("w IS NOT NULL").groupBy("g").agg(F.expr(f"approx_top_k_accumulate(w, {tracked})").alias("s"), F.count("*").alias("n")))
+    merged = parts.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.sum("n").alias("n"))
+    found = merged.select("n", F.expr(f"CASE WHEN n > 0 THEN approx_top_k_estimate(s, {tracked}).item END").alias("w")).first()
+    if found is None or not found["n"]:
+        return words.select(F.col(col).cast("string").alias(col), F.lit(0).cast("long").alias("n")).limit(0), True
+    some = words.sparkSession.createDataFrame([(w,) for w in found["w"]], f"`{col}` string")  # at most ``tracked``
+    exact = words.join(F.broadcast(some), col, "left_semi").groupBy(col).agg(F.count("*").alias("n"))
+    top = exact.orderBy(F.desc("n"), F.asc(col)).limit(k).collect()  # k rows
+    if len(found["w"]) < tracked and len(top) == len(found["w"]) < k:
+        least = -1 if found["n"] == sum(r["n"] for r in top) else 0  # every value was counted
+    else:
+        least = top[-1]["n"] if len(top) == k else 0
+    if least == -1 or least > 6.25 * found["n"] / tracked:
+        return words.sparkSession.createDataFrame([(r[col], r["n"]) for r in top], f"`{col}` string, n long"), True
+    counts = words.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), F.asc(col)).limit(k), False
+
+
+def word_frequencies(df: DataFrame, tokens_col: str, k: int = 120, tracked: int | None = None) -> DataFrame:
     """AGG6: the ``k`` most frequent single words with relative frequency.
 
     explode -> partial count per task -> shuffle on word -> top-k
-    (TakeOrderedAndProject keeps k rows per task) -> ratio to the top count.
+    (TakeOrderedAndProject keeps k rows per task) -> ratio to the top count.  With
+    ``tracked`` the words come from :func:`frequent`, whose shuffle doesn't grow with the
+    vocabulary, for a second pass over the texts.
     """
     # explode_outer + null filter: a plain explode makes the optimizer push a
     # size(tokens) > 0 filter below the projection, evaluating the whole
     # cleaning chain twice per document
     words = df.select(F.explode_outer(F.col(tokens_col)).alias("word")).where(F.col("word").isNotNull())
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), F.asc("word")).limit(k)
+    if tracked:
+        top = frequent(words, "word", k, tracked)[0]
+    else:
+        top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc("word")).limit(k)
     return top.select("word", "n", (F.col("n") / F.max("n").over(_all())).alias("rel_freq"))
 
 
@@ -97,3 +137,19 @@ def funnel_counts(df: DataFrame, stages: list[tuple[str, object]]) -> DataFrame:
         acc = pred if acc is None else (acc & pred)
         aggs.append(F.sum(F.when(acc, 1).otherwise(0)).cast("long").alias(f"n_{name}"))
     return df.agg(*aggs)
+
+
+def write_with_funnel(df: DataFrame, key: str, order: list[str], stages: list[tuple[str, object]], write) -> dict[str, int]:
+    """AGG7 while the corpus is written: the rows that pass de-duplication and all stages
+    go to ``write(rows)``, and the counts of each step are observed in that same job.
+    (A task that runs twice may count twice; the rows written are right in any case.)"""
+    seen = {name: Observation(f"funnel-{name}") for name in ["input", "deduplicated", *[n for n, _ in stages]]}
+    digest = F.unhex(F.sha2(F.col(key).cast("string"), 256))
+    id_col = order[-1]
+    keepers = df.groupBy(digest.alias("_d")).agg(F.min(F.struct(*order)).alias("_k")).select(F.col(f"_k.{id_col}").alias(id_col))
+    rows = df.observe(seen["input"], F.count(F.lit(1)).alias("n")).join(keepers, id_col, "left_semi")
+    rows = rows.observe(seen["deduplicated"], F.count(F.lit(1)).alias("n"))
+    for name, predicate in stages:
+        rows = rows.where(predicate).observe(seen[name], F.count(F.lit(1)).alias("n"))
+    write(rows)
+    return {f"n_{name}": int(o.get["n"]) for name, o in seen.items()}

@@ -231,7 +231,7 @@ def q_stopword_difference(spark, sf):
     diff = prep.set_difference(stop, keep)
     words = _tweets(spark, sf).select(F.explode_outer(T.split_words(T.clean_text("tweet"))).alias("word")).where(
         F.col("word").isNotNull())
-    counts = words.join(F.broadcast(diff), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    counts = words.join(diff, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
     return counts
 
 
@@ -247,6 +247,21 @@ def q_word_top120(spark, sf):
     return stats.word_frequencies(toks, "tokens", 120).withColumn("rel_freq", r6(F.col("rel_freq")))
 
 
+@query("word_top120_sketched", lambda: ORACLE["word_top120"])
+def q_word_top120_sketched(spark, sf):
+    """AGG6 by candidates of a sketch and an exact recount of those."""
+    toks = _tweets(spark, sf).select(T.tokenize("tweet").alias("tokens"))
+    return stats.word_frequencies(toks, "tokens", 120, tracked=stats.TRACKED).withColumn("rel_freq", r6(F.col("rel_freq")))
+
+
+@query("input_order", "SELECT row_number() OVER () - 1 AS ordinal, conv_id, turn FROM conversations")
+def q_input_order(spark, sf):
+    """SCO4: every request numbered in the order of the input files."""
+    from moodspark.operators.ordinals import number_input
+    return number_input(tables.read_table(spark, sf, "conversations").select("conv_id", "turn", "_metadata")).select(
+        "ordinal", "conv_id", "turn")
+
+
 # ---------------------------------------------------------------------------
 # Sources, projections, label maps (SRC, PRJ)
 # ---------------------------------------------------------------------------
@@ -1156,6 +1171,18 @@ def q_funnel_counts(spark, sf):
     return stats.deduplicated_funnel(t, "text", ["source", "doc_id"], stages)
 
 
+@query("corpus_funnel", lambda: ORACLE["funnel_counts"])
+def q_corpus_funnel(spark, sf):
+    """AGG7 + SNK6: the steps' counts, observed while the corpus is written."""
+    from moodspark.sources.files import write_corpus
+    t = _tweets(spark, sf)
+    stages = [("no_retweet", ~prep.is_retweet(t, "tweet")),
+              ("min_words", T.token_count(T.clean_and_tokenize("tweet")) >= 3)]
+    path = scratch_path(spark, "funnel-corpus")
+    counts = stats.write_with_funnel(t, "text", ["source", "doc_id"], stages, lambda rows: write_corpus(rows, path, "source"))
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{n} long" for n in counts))
+
+
 @query("accuracy", f"""
 WITH {S.LABELLED}, {SCORES_SQL}, {PRED_SQL}
 SELECT round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pred
@@ -1427,20 +1454,13 @@ def _corpus(spark, sf):
     return prepare_corpus(tables.labelled_documents(spark, sf))
 
 
-#: Saved models of this process by application, tables and name: queries that use
-#: the same fit load it instead of fitting anew.
-_SAVED: dict[tuple[str, str, str], str] = {}
-
-
 def _fitted(spark, sf, name, corpus=None):
+    """A model fitted on the train part, saved and loaded."""
     from moodspark.plans import training
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _SAVED:
-        corpus = _corpus(spark, sf) if corpus is None else corpus
-        train = corpus.where(F.col("split") == "train")
-        model, _ = training.fit_classifier(name, training.fit_features(train), train)
-        _SAVED[key] = training.save_model(model, scratch_path(spark, f"model-{name}"))
-    return training.load_model(_SAVED[key])
+    corpus = _corpus(spark, sf) if corpus is None else corpus
+    train = corpus.where(F.col("split") == "train")
+    model, _ = training.fit_classifier(name, training.fit_features(train), train)
+    return training.load_model(training.save_model(model, scratch_path(spark, f"model-{name}")))
 
 
 def _train(name):
