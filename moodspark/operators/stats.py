@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from moodspark.session import reliable_checkpoint
+
 from moodspark.functions.labels import LABEL_NAMES
 
 
@@ -70,12 +72,12 @@ def frequent(words: DataFrame, col: str, k: int, tracked: int = TRACKED) -> tupl
     6.25 / tracked of all rows.  If the ``k``-th exact count is above that, the result is
     proven; else all values are counted.
     """
-    parts = (words.select(F.col(col).cast("string").alias("w"), F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"))
+    parts = reliable_checkpoint(words.select(F.col(col).cast("string").alias("w"), F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"))
              .where("w IS NOT NULL").groupBy("g").agg(F.expr(f"approx_top_k_accumulate(w, {tracked})").alias("s"), F.count("*").alias("n")))
-    merged = parts.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.sum("n").alias("n"))
-    found = merged.select("n", F.expr(f"CASE WHEN n > 0 THEN approx_top_k_estimate(s, {tracked}).item END").alias("w")).first()
-    if found is None or not found["n"]:
+    if parts.isEmpty():
         return words.select(F.col(col).cast("string").alias(col), F.lit(0).cast("long").alias("n")).limit(0), True
+    merged = parts.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.sum("n").alias("n"))
+    found = merged.select("n", F.expr(f"approx_top_k_estimate(s, {tracked}).item").alias("w")).first()
     some = words.sparkSession.createDataFrame([(w,) for w in found["w"]], f"`{col}` string")  # at most ``tracked``
     exact = words.join(F.broadcast(some), col, "left_semi").groupBy(col).agg(F.count("*").alias("n"))
     top = exact.orderBy(F.desc("n"), F.asc(col)).limit(k).collect()  # k rows
