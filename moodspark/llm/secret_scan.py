@@ -2,13 +2,15 @@
 
 Every text is searched for three base kinds and one wider kind of candidate.
 The hash of each candidate's value is counted over the corpus by distinct
-owners and repositories.  A value that few owners hold looks like a live
-credential; one that many hold is an example that has been copied around.  The
+owners and repositories.  A value that few owners hold in few repositories looks like
+a live credential; one that many hold, or that one owner has everywhere, is an example
+that has been copied around.  The
 wider kind (``opaque``: long strings of mixed letters and digits) adds spans
 only where ownership marks them live; base spans always stay.
 
-A pattern's positions come from the lengths of what lies between its matches,
-so one pass over ``split`` and ``regexp_extract_all`` gives code-point spans.
+A pattern's positions come from the lengths of what lies between its matches
+(``split`` and ``regexp_extract_all``), summed up over a text's matches, so a text
+takes time in proportion to its length and its matches.
 
 Defined results: a null or empty text has no spans; a null owner or repository
 counts as one of its own, named ''; repeated rows (also of one id) give a row
@@ -18,7 +20,7 @@ listed; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodspark.llm.common import sha256_hex
@@ -41,46 +43,53 @@ KINDS = {
     "opaque": ("[A-Za-z0-9_-]{24,}", 0, 24),
 }
 BASE = ("assign", "access", "hex")
-#: At most so many owners hold a live-looking value.
-LIVE_OWNERS = 2
-
-
-def spans(text: Column, kind: str) -> Column:
-    """``array<struct<start, kind_no, end, value>>`` of the matches of one kind."""
-    pattern, group, least = KINDS[kind]
-    no = list(KINDS).index(kind)
-    between = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-
-    def add(state, x):
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        value = F.regexp_extract(x["hit"], pattern, group) if group else x["hit"]
-        keep = x["hit"].isNotNull() & (F.length(value) >= least)
-        if kind == "opaque":
-            keep = keep & value.rlike("[A-Z]") & value.rlike("[a-z]") & value.rlike("[0-9]")
-        one = F.array(F.struct(start.alias("start"), F.lit(no).alias("kind_no"), end.alias("end"), value.alias("value")))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
+#: At most so many owners, and so many repositories of theirs, hold a live-looking value.
+LIVE_OWNERS, LIVE_REPOSITORIES = 2, 4
+#: Values in more rows than this are so few that their counts may be broadcast.
+HOT_ROWS = 1_000_000
+
 
-    none = F.lit(None).cast("array<struct<start:int,kind_no:int,end:int,value:string>>")
-    empty = F.coalesce(none, F.array().cast("array<struct<start:int,kind_no:int,end:int,value:string>>"))
-    return F.aggregate(
-        F.arrays_zip(between.alias("gap"), hits.alias("hit")),
-        F.struct(F.lit(0).alias("at"), empty.alias("found")), add, lambda s: s["found"])
+def matches(text: Column, kind: str) -> Column:
+    """``struct<kind_no, gaps, hits>``: lengths of what lies before each match, and the matches."""
+    pattern, *_ = KINDS[kind]
+    return F.struct(F.lit(list(KINDS).index(kind)).alias("kind_no"),
+                    F.transform(F.split(text, pattern, -1), F.length).alias("gaps"),
+                    F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
 
 
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                owner_col: str = "source", repository_col: str = "lang") -> DataFrame:
-    """A row for each input row: ``row, doc_id, owner, repository, found``."""
+    """A row for each input row: ``row, doc_id, owner, repository, parts`` (the kinds that match)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return (df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                       F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"),
                       F.coalesce(F.col(repository_col).cast("string"), F.lit("")).alias("repository"))
             .select("doc_id", "owner", "repository",
-                    F.sort_array(F.concat(*[spans(text, k) for k in KINDS])).alias("found"))
+                    F.filter(F.array(*[matches(text, k) for k in KINDS]), lambda p: F.size(p["hits"]) > 0).alias("parts"))
             .withColumn("row", F.monotonically_increasing_id()))
 
 
+def found_in(docs: DataFrame) -> DataFrame:
+    """``row, doc_id, owner, repository, start, kind_no, end, value_hash`` of each candidate."""
+    each = (docs.select("row", "doc_id", "owner", "repository", F.explode("parts").alias("p"))
+            .select("row", "doc_id", "owner", "repository", "p.kind_no",
+                    F.posexplode(F.arrays_zip(F.col("p.gaps").alias("gap"), F.col("p.hits").alias("hit"))).alias("i", "x"))
+            .where(F.col("x.hit").isNotNull()))
+    end = F.sum(F.col("x.gap") + F.length("x.hit")).over(Window.partitionBy("row", "kind_no").orderBy("i"))
+    hit = F.col("x.hit")
+    value, keep = F.lit(None).cast("string"), F.lit(False)
+    for no, (kind, (pattern, group, least)) in enumerate(KINDS.items()):
+        own = F.regexp_extract(hit, pattern, group) if group else hit
+        fits = F.length(own) >= least
+        if kind == "opaque":
+            fits = fits & own.rlike("[A-Z]") & own.rlike("[a-z]") & own.rlike("[0-9]")
+        value = F.when(F.col("kind_no") == no, own).otherwise(value)
+        keep = F.when(F.col("kind_no") == no, fits).otherwise(keep)
+    return (each.withColumn("end", end.cast("int")).where(keep)
+            .select("row", "doc_id", "owner", "repository", (F.col("end") - F.length(hit)).alias("start"), "kind_no", "end",
+                    sha256_hex(value).alias("value_hash")))
+
+
 def ownership(found: DataFrame) -> DataFrame:
     """``value_hash, n_rows, n_repositories, n_owners`` over the corpus.
 
@@ -94,26 +103,29 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan_secrets(df: DataFrame, live_owners: int = LIVE_OWNERS, id_col: str = "doc_id", text_col: str = "text",
-                 owner_col: str = "source", repository_col: str = "lang") -> DataFrame:
+                 owner_col: str = "source", repository_col: str = "lang",
+                 live_repositories: int = LIVE_REPOSITORIES) -> DataFrame:
     """A row for each input row with its spans; see the module's text."""
     # the texts are searched once: what was found is small and read twice
     docs = reliable_checkpoint(candidates(df, id_col, text_col, owner_col, repository_col))
-    found = (docs.select("row", "doc_id", "owner", "repository", F.explode("found").alias("f"))
-             .select("row", "doc_id", "owner", "repository", "f.start", "f.kind_no", "f.end",
-                     sha256_hex(F.col("f.value")).alias("value_hash")))
-    owners = ownership(found)
-    live = F.col("n_owners") <= live_owners
+    found = reliable_checkpoint(found_in(docs))
+    owners = reliable_checkpoint(ownership(found))
+    # a value in very many rows is one join key: such values are few, and broadcast
+    hot = F.broadcast(owners.where(F.col("n_rows") > HOT_ROWS))  # at most rows / HOT_ROWS
+    counted = found.join(hot, "value_hash").unionByName(
+        found.join(hot, "value_hash", "left_anti").join(owners.where(F.col("n_rows") <= HOT_ROWS), "value_hash"))
+    live = (F.col("n_owners") <= live_owners) & (F.col("n_repositories") <= live_repositories)
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind_no") + 1)
     base = F.col("kind_no") < len(BASE)
-    kept = (found.join(owners, "value_hash").where(base | live)
+    kept = (counted.where(base | live)
             .select("row", "doc_id", F.struct(
                 "start", "kind_no", "end", F.concat_ws(":", kind, "start", "end").alias("said"),
                 live.alias("live")).alias("s")))
     by_row = kept.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
-    without = (docs.where(F.size("found") == 0)
+    without = (docs.where(F.size("parts") == 0)
                .select("row", "doc_id", F.lit(None).cast(by_row.schema["s"].dataType).alias("s")))
-    # a row whose only candidates turned out to be copied examples of the wider kind
-    dropped = (docs.where(F.size("found") > 0).select("row", "doc_id")
+    # a row whose only matches are too short or copied examples of the wider kind
+    dropped = (docs.where(F.size("parts") > 0).select("row", "doc_id")
                .join(by_row.select("row"), "row", "left_anti")
                .withColumn("s", F.lit(None).cast(by_row.schema["s"].dataType)))
     rows = by_row.unionByName(without).unionByName(dropped).select(
@@ -156,9 +168,9 @@ SELECT doc_id, source, lang, {no} AS no, '{kind}' AS kind, upto - length(h) AS a
 WHERE length({value}) >= {least}{also}""")
     return f"""
 WITH found AS ({" UNION ALL ".join(parts)}),
-owners AS (SELECT v, count(DISTINCT coalesce(source, '')) AS n FROM found GROUP BY v),
-kept AS (SELECT f.*, o.n <= {LIVE_OWNERS} AS live FROM found f JOIN owners o ON f.v = o.v
-         WHERE no < {len(BASE)} OR o.n <= {LIVE_OWNERS}),
+owners AS (SELECT v, count(DISTINCT coalesce(source, '')) <= {LIVE_OWNERS}
+  AND count(DISTINCT (coalesce(source, ''), coalesce(lang, ''))) <= {LIVE_REPOSITORIES} AS live FROM found GROUP BY v),
+kept AS (SELECT f.*, o.live FROM found f JOIN owners o ON f.v = o.v WHERE no < {len(BASE)} OR o.live),
 by_doc AS (
  SELECT doc_id, {", ".join(f"count(*) FILTER (no = {i}) AS n_{k}" for i, k in enumerate(BASE))},
   string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, no) FILTER (no < {len(BASE)}) AS base,

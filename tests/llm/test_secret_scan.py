@@ -54,7 +54,31 @@ def test_ownership_tells_copies_from_live_values(spark):
     assert got[13]["n_hex"] == 1
 
 
+def test_repositories_alone_tell_a_copy(spark):
+    """One owner each; only the number of repositories differs."""
+    few, many = "Zz9-" * 8, "Yy8_" * 8
+    rows = [(i, f"x {few}", f"r{i % 4}", "one") for i in range(8)] + [(100 + i, f"x {many}", f"r{i % 5}", "two") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {r["doc_id"]: r["n_live"] for r in secret_scan.scan_secrets(df).collect()}
+    assert all(got[i] == 1 for i in range(8)) and all(got[100 + i] == 0 for i in range(8))
+    assert {r["n_live"] for r in secret_scan.scan_secrets(df, live_repositories=5).collect()} == {1}
+
+
+def test_many_spans_long_texts_and_hot_values(spark, monkeypatch):
+    hexes = " ".join(f"{i:024x}" for i in range(60_000))
+    rows = [(1, hexes, "en", "a"), (2, "token=" + "a" * 1_500_000, "en", "a"), (3, "token:" * 300_000, "en", "b"), (4, "deadbeef" * 4, "en", "c"),
+            (5, "deadbeef" * 4, "en", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    want = {d: base_spans(t) for d, t, *_ in rows}
+    for hot in (1_000_000, 1):
+        monkeypatch.setattr(secret_scan, "HOT_ROWS", hot)
+        for r in secret_scan.scan_secrets(df).collect():
+            base = want[r["doc_id"]]
+            assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+            assert r["n_hex"] == sum(s.startswith("hex") for s in base)
+
+
 def test_edges(spark):
-    out = secret_scan.scan_secrets(H.edge_rows(spark, "row", "owner", "found", "start")).collect()
+    out = secret_scan.scan_secrets(H.edge_rows(spark, "row", "owner", "found", "start", "parts")).collect()
     assert len(out) == len(H.EDGES)
     assert secret_scan.scan_secrets(H.empty_table(spark)).count() == 0
