@@ -4,13 +4,15 @@ Texts become words (runs of letters, digits and apostrophes, ASCII lower case)
 and shingles of five words (fewer where an item has fewer).  Each benchmark item
 slides over each document in a window of its own number of words.
 
-1. A window as similar as asked shares shingles with the item, so windows are
-   only taken around shingles that some item has.
-2. A window's 64-bit SimHash is compared with the items' by multi-index Hamming
+1. For each size that items have, windows are taken where enough shingles in a row of
+   that size are any item's (a window as similar as asked has so many); which items
+   they are isn't asked.
+2. A window's 64-bit SimHash finds the items of its size by multi-index Hamming
    search: fingerprints are cut into 8 blocks of 8 bits, and of two within the
    radius of 23 at least one block differs in 2 bits at most.  Each block's
-   table lists the items within 2 bits of each value, so the lookup misses
-   nothing within the radius; the whole distance is then compared.
+   table has a bucket of items for each value; the buckets of the values within 2
+   bits of the window's list every item within the radius, and the whole distance is
+   then compared.  An item that no bucket lists isn't found.
 3. The candidates are verified by weighted shingle similarity: the sum of the
    smaller over the sum of the larger counts of each shingle.
 
@@ -18,7 +20,9 @@ At a similarity of 0.8 the distance is 10 bits on average with a deviation
 under 3, so the radius leaves out a matching window with odds near 1 : 10**6.
 
 Items are a stated query set: they go to the tasks in blocks of bounded size,
-one pass over the documents for each block.
+one pass over the documents for each block.  A block's index takes about four times
+its items' bytes (shingles and counts, 8 table entries an item); it is broadcast, and
+the driver's Python holds one at a time.
 
 Defined results: a null or empty text or item matches nothing; of a document's
 windows the first of the most similar ones is given for each item; repeated rows
@@ -32,15 +36,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import byte_codes, kept_rows, map_arrow, mix64, powers, slices, spans, texts, utf8
+from moodspark.llm.common import byte_codes, kept_rows, map_arrow, mix64, powers, ship, slices, spans, texts, utf8
 
 WORDS, LEAST = 5, 0.8
 RADIUS, BLOCKS = 23, 8
 #: Bytes of items in one block.
 ITEM_BYTES = 8 << 20
+#: Windows that are looked up at once.
+WINDOWS = 4096
 SLICE = 1 << 18
 SCHEMA = "doc_id long, item_id long, similarity double, first_word long, n_words long, distance int"
 
@@ -89,7 +96,41 @@ def simhashes(sums: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(counts * 2 > size, axis=1, bitorder="little").view("<u8").ravel()
 
 
-_NEAR = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)[None, :]) <= RADIUS // BLOCKS
+#: What a block's value may be changed by within its share of the radius.
+_CHANGES = np.flatnonzero(np.bitwise_count(np.arange(256, dtype=np.uint8)) <= RADIUS // BLOCKS).astype(np.uint8)
+
+
+def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, and which range each is of."""
+    n = end - start
+    of = np.repeat(np.arange(len(n)), n)
+    return start[of] + np.arange(n.sum()) - (np.cumsum(n) - n)[of], of
+
+
+class SameSize:
+    """The items of one number of words: their fingerprints in a multi-index."""
+
+    def __init__(self, items: np.ndarray, prints: np.ndarray, width: int, size: int):
+        self.items, self.prints, self.width, self.size = items, prints, width, size
+        blocks = prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
+        #: for each block: items by its value, and where each value's bucket starts
+        self.order = np.argsort(blocks, axis=0, kind="stable").astype(np.int32)
+        self.bucket = np.stack([np.searchsorted(np.sort(blocks[:, b]), np.arange(257)) for b in range(BLOCKS)])
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows (by place), items (by place here) and distances within the radius,
+        of those that the buckets list."""
+        value = prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
+        listed = []
+        for b in range(BLOCKS):
+            asked = (value[:, b, None] ^ _CHANGES[None, :]).ravel()
+            at, of = ranges(self.bucket[b][asked], self.bucket[b][asked.astype(np.int64) + 1])
+            listed.append((of // len(_CHANGES)) * len(self.prints) + self.order[at, b])
+        pair = np.unique(np.concatenate(listed))
+        window, item = pair // len(self.prints), pair % len(self.prints)
+        distance = np.bitwise_count(prints[window] ^ self.prints[item]).astype(np.int64)
+        use = distance <= RADIUS
+        return window[use], item[use], distance[use]
 
 
 class Items:
@@ -98,42 +139,25 @@ class Items:
     def __init__(self, ids: list[int], words: list[np.ndarray], least: float):
         self.least = least
         self.ids = np.asarray(ids, np.int64)
-        self.n_words = np.asarray([len(w) for w in words])
-        self.width = np.minimum(self.n_words, WORDS)
-        self.known, self.count, prints = [], [], []
-        by_width: dict[int, list[tuple[np.ndarray, int]]] = {}
+        self.known, self.count = [], []
+        groups: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        by_width: dict[int, list[np.ndarray]] = {}
         for i, w in enumerate(words):
-            s = shingles(w, int(self.width[i]))
+            width = min(len(w), WORDS)
+            s = shingles(w, width)
             known, count = np.unique(s, return_counts=True)
             self.known.append(known)
-            self.count.append(count)
-            prints.append(simhashes(bit_sums(s), len(s))[0])
-            by_width.setdefault(int(self.width[i]), []).append((known, i))
-        self.prints = np.asarray(prints, np.uint64)
-        blocks = self.prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
-        #: for each block and value, the items within its share of the radius
-        self.tables = [_NEAR[:, blocks[:, b]] for b in range(BLOCKS)]
-        #: by width: the shingles in order, and which items hold each
-        self.holders = {}
-        for width, held in by_width.items():
-            keys = np.concatenate([k for k, _ in held])
-            owner = np.concatenate([np.full(len(k), i) for k, i in held])
-            order = np.argsort(keys, kind="stable")
-            self.holders[width] = keys[order], owner[order]
-        #: by width: whether a shingle's last 20 bits are any item's
+            self.count.append(count.astype(np.int32))
+            groups.setdefault((width, len(s)), []).append((i, simhashes(bit_sums(s), len(s))[0]))
+            by_width.setdefault(width, []).append(known)
+        self.sizes = [SameSize(np.array([i for i, _ in held]), np.array([p for _, p in held], np.uint64), width, size)
+                      for (width, size), held in sorted(groups.items())]
+        #: by width: every item's shingles, and whether a shingle's last 20 bits are any's
+        self.shingles = {width: np.unique(np.concatenate(held)) for width, held in by_width.items()}
         self.probes = {width: np.zeros(1 << 20, bool) for width in by_width}
-        for width, (keys, _) in self.holders.items():
+        for width, keys in self.shingles.items():
             self.probes[width][keys & np.uint64((1 << 20) - 1)] = True
 
-    def within(self, prints: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """The distance of each window to each item, where a block's table has the item; else 65."""
-        value = prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
-        listed = np.zeros((len(prints), len(items)), bool)
-        for b, near in enumerate(self.tables):
-            listed |= near[value[:, b]][:, items]
-        distance = np.bitwise_count(prints[:, None] ^ self.prints[items][None, :]).astype(np.int64)
-        return np.where(listed, distance, 65)
-
     def similarity(self, found: np.ndarray, item: int, size: int) -> np.ndarray:
         """Weighted similarity of the item with every window of ``size`` of the shingles ``found``."""
         known, count = self.known[item], self.count[item]
@@ -148,49 +172,45 @@ class Items:
     def search(self, words: np.ndarray) -> list[tuple[int, float, int, int, int]]:
         """``item, similarity, first word, words, distance`` of the best window of each item that matches."""
         best: dict[int, tuple[float, int, int, int]] = {}
-        for width, (keys, owner) in self.holders.items():
+        for width, keys in self.shingles.items():
             s = shingles(words, width)
             if not len(s):
                 continue
-            left = np.searchsorted(keys, s, "left")
-            hit = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == s)
-            if not len(hit):
+            any_item = keys[np.minimum(np.searchsorted(keys, s), len(keys) - 1)] == s
+            if not any_item.any():
                 continue
-            right = np.searchsorted(keys, s[hit], "right")
-            # which item is hit where
-            n = right - left[hit]
-            place = np.repeat(hit, n)
-            item = owner[np.repeat(left[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            order = np.lexsort((place, item))
-            place, item = place[order], item[order]
-            for a, b in zip(*self._clusters(item, place), strict=True):
-                i = int(item[a])
-                size = int(self.n_words[i]) - width + 1
-                # a window as similar as asked holds so many of the item's shingles at least
-                if b - a < np.ceil(self.least * size * 2 / (1 + self.least) - 1e-9) / 2:
-                    continue
-                size = min(size, len(s))
-                lo = max(0, int(place[a]) - size + 1)
-                hi = min(len(s), int(place[b - 1]) + size)
-                part = s[lo:hi]
-                distance = self.within(simhashes(bit_sums(part), size), np.array([i]))[:, 0]
-                near = distance <= RADIUS
-                if not near.any():
-                    continue
-                alike = np.where(near, self.similarity(part, i, size), -1.0)
-                k = int(alike.argmax())
-                if alike[k] >= self.least - 1e-12 and alike[k] > best.get(i, (-1.0,))[0]:
-                    best[i] = (float(alike[k]), lo + k, size + width - 1, int(distance[k]))
+            before = np.concatenate([[0], np.cumsum(any_item)])
+            for group in self.sizes:
+                if group.width == width:
+                    self._windows(group, s, before, best)
         return [(i, *best[i]) for i in sorted(best)]
 
-    def _clusters(self, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Runs of one item's hits with gaps shorter than the item."""
-        cut = np.flatnonzero((item[1:] != item[:-1]) | (place[1:] - place[:-1] > self.n_words[item[1:]])) + 1
-        return np.append(0, cut), np.append(cut, len(item))
-
-
-def indexes(items: DataFrame, least: float = LEAST, id_col: str = "item_id", text_col: str = "text") -> list[Items]:
-    """Indexes of the items that have words, in blocks of bounded size."""
+    def _windows(self, group: SameSize, s: np.ndarray, before: np.ndarray, best: dict) -> None:
+        size = min(group.size, len(s))
+        # what is as similar as asked shares so many shingles at least
+        least = np.ceil(self.least * (size + group.size) / (1 + self.least) - 1e-9)
+        starts = np.flatnonzero(before[size:] - before[:-size] >= least)
+        for run in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1):
+            for at in range(0, len(run), WINDOWS):
+                part = run[at:at + WINDOWS]
+                if not len(part):
+                    continue
+                lo = int(part[0])
+                held = s[lo:int(part[-1]) + size]
+                window, item, distance = group.near(simhashes(bit_sums(held), size)[part - lo])
+                for i in np.unique(item):
+                    own = window[item == i]
+                    first, last = int(part[own[0]]), int(part[own[-1]])
+                    alike = self.similarity(s[first:last + size], int(group.items[i]), size)[part[own] - first]
+                    k = int(alike.argmax())
+                    name = int(group.items[i])
+                    if alike[k] >= self.least - 1e-12 and alike[k] > best.get(name, (-1.0,))[0]:
+                        best[name] = (float(alike[k]), int(part[own[k]]), size + group.width - 1, int(distance[item == i][k]))
+
+
+def indexes(items: DataFrame, least: float = LEAST, id_col: str = "item_id", text_col: str = "text") -> list[Broadcast]:
+    """Broadcast indexes of the items that have words, in blocks of bounded size."""
+    ship(items.sparkSession)
     named = texts(items, id_col, text_col).withColumnRenamed("doc_id", "item_id")
     total = named.select(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, -(-total // ITEM_BYTES))
@@ -200,7 +220,8 @@ def indexes(items: DataFrame, least: float = LEAST, id_col: str = "item_id", tex
         words, before = word_hashes(*utf8(rows.column("text")))
         held = [(i, words[a:b]) for i, a, b in zip(rows.column("item_id").to_pylist(), before, before[1:], strict=False) if b > a]
         if held:
-            out.append(Items([i for i, _ in held], [w for _, w in held], least))
+            # the block's bytes are bounded, and so is its index
+            out.append(items.sparkSession.sparkContext.broadcast(Items([i for i, _ in held], [w for _, w in held], least)))
     return out
 
 
@@ -229,8 +250,9 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str
     return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 
 
-def _block_matches(docs: DataFrame, index: Items) -> DataFrame:
+def _block_matches(docs: DataFrame, shared: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
             found = [(ids[d], int(index.ids[i]), *rest)
@@ -251,8 +273,9 @@ def keep_clean(docs: DataFrame, items: DataFrame, least: float = LEAST, text_col
     return docs
 
 
-def _block_clean(docs: DataFrame, index: Items, place: int) -> DataFrame:
+def _block_clean(docs: DataFrame, shared: Broadcast, place: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
             clean = np.ones(len(batch), bool)
             clean[[d for d, _ in search_texts(index, *utf8(batch.column(place)))]] = False

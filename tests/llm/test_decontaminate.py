@@ -1,7 +1,9 @@
+import random
 import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from moodspark.llm import decontaminate, queries
@@ -84,13 +86,61 @@ def test_edges(spark):
     assert decontaminate.keep_clean(df, items.limit(0)).count() == len(H.EDGES)
 
 
-def test_blocks_find_all_within_the_radius():
-    import numpy as np
+def index_of(items):
+    held = [(i, decontaminate.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]) for i, t in items]
+    return decontaminate.Items([i for i, _ in held], [w for _, w in held], .8)
 
+
+def search(index, text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return [f for _, hits in decontaminate.search_texts(index, data, np.array([0, len(data)])) for f in hits]
+
+
+def test_buckets_list_all_within_the_radius():
     rng = np.random.default_rng(1)
-    index = decontaminate.Items([1], [decontaminate.word_hashes(np.frombuffer(ITEM.encode(), np.uint8), np.array([0, len(ITEM.encode())]))[0]], .8)
+    group = decontaminate.SameSize(np.arange(500), rng.integers(0, 2 ** 63, 500, dtype=np.uint64) * 2, 5, 9)
     prints = []
-    for n in range(decontaminate.RADIUS + 1):
-        flip = rng.choice(64, n, replace=False)
-        prints.append(int(index.prints[0]) ^ sum(1 << int(b) for b in flip))
-    assert (index.within(np.array(prints, np.uint64), np.array([0]))[:, 0] == np.arange(decontaminate.RADIUS + 1)).all()
+    for n in range(64):
+        flip = rng.choice(64, n % 30, replace=False)
+        prints.append(int(group.prints[n * 7]) ^ sum(1 << int(b) for b in flip))
+    window, item, distance = group.near(np.array(prints, np.uint64))
+    want = {(w, i) for w in range(64) for i in range(500) if (prints[w] ^ int(group.prints[i])).bit_count() <= decontaminate.RADIUS}
+    assert set(zip(window.tolist(), item.tolist())) == want
+    assert all((prints[w] ^ int(group.prints[i])).bit_count() == d for w, i, d in zip(window, item, distance))
+
+
+def test_an_item_that_the_tables_do_not_list_is_not_found():
+    other = " ".join(f"w{i}" for i in range(len(ITEM.split())))
+    index = index_of([(1, ITEM), (2, other)])
+    text = "before " + ITEM + " then " + other
+    assert [f[0] for f in search(index, text)] == [0, 1]
+    group = index.sizes[0]
+    # both items are of one size; the first one's entries are pointed at the second
+    group.order[group.order == 0] = 1
+    assert [f[0] for f in search(index, text)] == [1]
+
+
+def test_recall_at_the_radius():
+    """Windows edited to a similarity just over the least are within the radius."""
+    rnd = random.Random(5)
+    found = tried = 0
+    for k in range(300):
+        w = [f"x{rnd.randrange(10 ** 6)}" for _ in range(rnd.randrange(40, 160))]
+        index = index_of([(1, " ".join(w))])
+        v = list(w)
+        for at in rnd.sample(range(len(v)), max(1, len(v) // 50)):
+            v[at] = "new"
+        if brute([(1, " ".join(v))], [(1, " ".join(w))]):
+            tried += 1
+            found += bool(search(index, " ".join(v)))
+    assert tried > 150 and found == tried
+
+
+def test_very_long_texts_and_items(spark):
+    rnd = random.Random(2)
+    filler = " ".join(f"f{rnd.randrange(5000)}" for _ in range(250_000))
+    item = " ".join(f"i{rnd.randrange(10 ** 6)}" for _ in range(3000))
+    docs = spark.createDataFrame([(1, filler + " " + item + " " + filler), (2, filler), (3, ITEM * 3000)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (8, ITEM)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()} == {(1, 7), (3, 8)}
+    assert [r.doc_id for r in decontaminate.keep_clean(docs, items).collect()] == [2]
