@@ -6,15 +6,19 @@ character alone.  Strings at a small edit distance walk together again after
 each edit, so their embeddings are at a small Hamming distance.
 
 A text is cut into chunks where its content says so (a hash of the last
-8 characters; 64 characters at most), which keeps an edit's effect local, and
-all chunks walk at once.  Each of 4 bands samples fixed steps of a chunk's walk;
-the hash of what a band sampled is a feature of the text.  The fingerprint keeps
-the least feature in each of 64 bins (16 bits each, 0000: empty bin), so the
-share of equal bins estimates the share of common features.
-
-``near_links`` finds alike documents: groups of 4 bins are keys, documents that
-share a key with a group's first document are candidates, and the whole
-fingerprints verify them.
+8 characters; 32 characters at most), which keeps an edit's effect local, and
+all chunks walk at once; a walk that comes to its chunk's end goes on at its start.  A sampled step gives one random bit of the step and the
+character under it.  Each of 4 bands has 15 sampled steps and 16 bins; a chunk falls
+into one bin of each band by its last 8 characters, and of a bin's chunks the one
+whose characters hash least gives its 15 bits (an edit inside a chunk changes some of
+its bits, not the choice).  So the fingerprint is a sample of bits of the embedding,
+and the Hamming distance of two fingerprints measures that of the embeddings.
+
+Likeness is 1 - 2 * distance / bits (bits that are by chance alike are half), over the
+bins that either fills; a bin that only one fills counts as by chance.  Alike documents
+are found by bands of bits: groups of ``WIDTH`` bins are keys, documents that share a key are
+candidates, and the whole fingerprints verify them (``linked`` for pairs at hand,
+``near_links`` over a table).
 
 Defined results: a null or empty text has an empty fingerprint, alike (1.0) to
 another empty one and not (0.0) to any other; rows of one id follow one another
@@ -35,14 +39,15 @@ from pyspark.sql import functions as F
 
 from moodspark.llm.common import map_arrow, mix64, powers, shuffle_partitions, texts
 
-BINS, BANDS, MARK, CHUNK, LONGEST = 64, 4, 8, 16, 64
-#: Steps between looks at which walks have ended.
-ROUND = 8
+BINS, BANDS, MARK, CHUNK, LONGEST = 64, 4, 8, 16, 32
+#: Sampled steps of a band; bins of a key; the least likeness of a link.
+BITS, WIDTH, LEAST = 15, 2, 0.5
+SAMPLED = [[3 * i + band for i in range(BITS)] for band in range(BANDS)]
 #: Characters that are worked on at once.
 SLICE = 1 << 19
 NOTHING = np.int64(-(1 << 63))
 SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-          "near_edited double, near_next double")
+          "near_edited double, near_next double, bands_edited int, linked_edited boolean, linked_next boolean")
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = mix64(np.arange(1, 16 * LONGEST, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -74,60 +79,53 @@ def chunks(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def walk(points: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The 4 features of each chunk: what the bands sample of its walk.
-
-    Walks end after whole rounds of ``ROUND`` steps; past a chunk's end they
-    read an empty character.
-    """
-    n = len(start)
-    room = length + ROUND
-    base = np.cumsum(room) - room
-    padded = np.zeros(int(room.sum()), np.uint64)
-    inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    padded[np.repeat(base, length) + inside] = points[np.repeat(start, length) + inside] + np.uint64(1)
-    out = np.empty((BANDS, n), np.uint64)
-    running, at, end = np.arange(n), base.copy(), base + length
-    features = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None] * _STEP, n, axis=1)
-    for first in range(0, len(_STEPS), ROUND):
-        for step in _STEPS[first:first + ROUND]:
-            h = padded[at]
-            h += step
-            h *= _STEP
-            h ^= h >> np.uint64(29)
-            band = features[int(step >> np.uint64(33)) % BANDS]   # the one that samples this step
-            band ^= h
-            band *= np.uint64(0xD6E8FEB86659FD93)
-            h >>= np.uint64(17)
-            h &= np.uint64(1)
-            at += h.view(np.int64)
-        alive = at < end
-        out[:, running[~alive]] = features[:, ~alive]
-        if not alive.any():
-            break
-        running, at, end, features = running[alive], at[alive], end[alive], features[:, alive]
-    else:
-        out[:, running] = features
-    return mix64(out).T
+    """``chunks x BANDS``: the bits that the bands sample of each chunk's walk."""
+    out = np.zeros((BANDS, len(start)), np.uint64)
+    at, end = start.copy(), start + length
+    wanted: dict[int, list[tuple[int, np.uint64]]] = {}
+    for band, steps in enumerate(SAMPLED):
+        for i, step in enumerate(steps):
+            wanted.setdefault(step, []).append((band, np.uint64(i)))
+    for step in range(max(wanted) + 1):
+        h = points[at]
+        h += _STEPS[step]
+        h *= _STEP
+        h ^= h >> np.uint64(29)
+        for band, i in wanted.get(step, ()):
+            out[band] |= (h >> np.uint64(40) & np.uint64(1)) << i
+        h >>= np.uint64(17)
+        h &= np.uint64(1)
+        at += h.view(np.int64)
+        at = np.where(at == end, start, at)
+    return out.T
 
 
 def fingerprints(strings: list[str]) -> np.ndarray:
-    """``len(strings) x BINS`` of 16 bits."""
+    """``len(strings) x BINS`` of 16 bits: 0, or the highest bit and the 15 of the bin's chunk."""
     points, offsets = code_points(strings)
     bins = np.full(len(strings) * BINS, np.iinfo(np.uint64).max, np.uint64)
     if len(points):
         start, length, text = chunks(points, offsets)
-        # equal chunks walk alike, so one of them walks for all
         sums = np.zeros(len(points) + 1, np.uint64)
         power = powers(_STEP, len(points))
         np.cumsum((points + np.uint64(9)) * _STEPS[0] * power[:-1], out=sums[1:], dtype=np.uint64)
         back = powers(np.uint64(pow(int(_STEP), -1, 1 << 64)), len(points))
-        key = (sums[start + length] - sums[start]) * back[start] + length.astype(np.uint64)
-        _, first, same = np.unique(key, return_index=True, return_inverse=True)
-        found = walk(points, start[first], length[first])[same]
-        slot = text[:, None] * BINS + (found & np.uint64(BINS - 1)).astype(np.int64)
-        np.minimum.at(bins, slot.ravel(), found.ravel())
-    empty = bins == np.iinfo(np.uint64).max
-    return np.where(empty, 0, (bins >> np.uint64(8)) % np.uint64(65535) + np.uint64(1)).astype(">u2").reshape(-1, BINS)
+
+        def named(a: np.ndarray, n: np.ndarray) -> np.ndarray:
+            return mix64((sums[a + n] - sums[a]) * back[a] + n.astype(np.uint64))
+
+        # equal chunks walk alike, so one of them walks for all
+        _, first, same = np.unique(named(start, length), return_index=True, return_inverse=True)
+        bits = walk(points, start[first], length[first])[same] | np.uint64(1 << BITS)
+        mark = np.minimum(length, MARK)
+        mark = named(start + length - mark, mark)
+        per = BINS // BANDS
+        for band in range(BANDS):
+            order = mix64(mark + np.uint64((band + 1) * int(_STEP) % (1 << 64)))
+            slot = text * BINS + band * per + (order & np.uint64(per - 1)).astype(np.int64)
+            # least by the mark's hash, then by the bits
+            np.minimum.at(bins, slot, (order & ~np.uint64(0xFFFF)) | bits[:, band])
+    return np.where(bins == np.iinfo(np.uint64).max, 0, bins & np.uint64(0xFFFF)).astype(">u2").reshape(-1, BINS)
 
 
 def hexes(prints: np.ndarray) -> list[str]:
@@ -135,9 +133,24 @@ def hexes(prints: np.ndarray) -> list[str]:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The share of equal bins among those that either fills; 1.0 where neither fills any."""
-    filled = ((a > 0) | (b > 0)).sum(1)
-    return np.where(filled > 0, ((a == b) & (a > 0)).sum(1) / np.maximum(filled, 1), 1.0)
+    """1 - 2 * Hamming distance / bits, at least 0; 1.0 where neither fills a bin."""
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    either, both = (a > 0) | (b > 0), (a > 0) & (b > 0)
+    distance = np.where(both, np.bitwise_count(a ^ b), 0).sum(1) + (either & ~both).sum(1) * (BITS / 2)
+    filled = either.sum(1)
+    return np.where(filled > 0, np.maximum(0.0, 1 - 2 * distance / np.maximum(filled * BITS, 1)), 1.0)
+
+
+def shared_bands(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many keys (groups of ``WIDTH`` bins, not all empty) two fingerprints share."""
+    same = (a == b).reshape(len(a), -1, WIDTH).all(2)
+    return (same & (a.reshape(len(a), -1, WIDTH) > 0).any(2)).sum(1)
+
+
+def linked(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """Whether bands make a pair a candidate and the whole fingerprints verify it."""
+    empty = ~(a > 0).any(1) & ~(b > 0).any(1)
+    return (empty | (shared_bands(a, b) > 0)) & (likeness(a, b) >= least)
 
 
 def edited(text: str, following: str) -> str:
@@ -202,8 +215,9 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
             [pa.array([g[0] for g in group], pa.int64()), pa.array([len(g[1]) for g in group], pa.int64()),
              pa.array([hashlib.sha256(s.encode()).hexdigest() for s in changes], pa.string()),
              pa.array(hexes(own), pa.string()), pa.array(hexes(changed), pa.string()),
-             pa.array(likeness(own, changed), pa.float64()), pa.array(likeness(own, after), pa.float64())],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+             pa.array(likeness(own, changed), pa.float64()), pa.array(likeness(own, after), pa.float64()),
+             pa.array(shared_bands(own, changed), pa.int32()), pa.array(linked(own, changed)), pa.array(linked(own, after))],
+            [f.split()[0] for f in SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, group, size = None, [], 0   # held: the block, id and text that wait for the next
@@ -224,21 +238,24 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
     return map_arrow(with_next(docs, shuffle_partitions(df.sparkSession)), run, SCHEMA)
 
 
-def same_bins(a: Column, b: Column) -> Column:
+def alike(a: Column, b: Column) -> Column:
     """Likeness of two fingerprint strings."""
     def bins(c: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.substring(c, i * 4 + 1, F.lit(4)))
+        return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.conv(F.substring(c, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
 
-    pairs = F.filter(F.arrays_zip(bins(a).alias("a"), bins(b).alias("b")), lambda x: (x["a"] != "0000") | (x["b"] != "0000"))
-    equal = F.size(F.filter(pairs, lambda x: x["a"] == x["b"]))
-    return F.when(F.size(pairs) == 0, F.lit(1.0)).otherwise(equal / F.size(pairs))
+    pairs = F.filter(F.arrays_zip(bins(a).alias("a"), bins(b).alias("b")), lambda x: (x["a"] > 0) | (x["b"] > 0))
+    far = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + F.when((x["a"] > 0) & (x["b"] > 0), F.bit_count(
+        x["a"].bitwiseXOR(x["b"])).cast("double")).otherwise(BITS / 2))
+    return F.when(F.size(pairs) == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - 2 * far / (F.size(pairs) * BITS)))
 
 
-def near_links(prints: DataFrame, least: float = 0.5, width: int = 4) -> DataFrame:
+def near_links(prints: DataFrame, least: float = LEAST, width: int = WIDTH) -> DataFrame:
     """``doc_id, other, likeness``: documents linked to the first document of each
     group that shares a key of ``width`` bins with them, where the whole
     fingerprints are alike enough.  A key's first document is found by partial
-    sums, so a key that many share costs each of them one join row."""
+    sums, so a key that many share costs each of them one join row.  Pairs that share
+    a key but whose link to its first document fails are left out: tests measure how
+    many of all alike pairs are in one class of links."""
     keys = F.filter(F.transform(F.sequence(F.lit(0), F.lit(BINS // width - 1)), lambda i: F.struct(
         i.alias("i"), F.substring("fingerprint", i * (4 * width) + 1, F.lit(4 * width)).alias("bins"))),
         lambda k: k["bins"] != "0" * (4 * width))
@@ -247,5 +264,5 @@ def near_links(prints: DataFrame, least: float = 0.5, width: int = 4) -> DataFra
     pairs = (keyed.join(first, "key").where(F.col("doc_id") > F.col("first.doc_id"))
              .select("doc_id", "fingerprint", F.col("first.doc_id").alias("other"), F.col("first.fingerprint").alias("theirs"))
              .dropDuplicates(["doc_id", "other"]))
-    return (pairs.withColumn("likeness", same_bins(F.col("fingerprint"), F.col("theirs")))
+    return (pairs.withColumn("likeness", alike(F.col("fingerprint"), F.col("theirs")))
             .where(F.col("likeness") >= least).select("doc_id", "other", "likeness"))
