@@ -40,8 +40,8 @@ from moodspark.llm.common import map_arrow, texts
 from moodspark.session import reliable_checkpoint
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Pieces of one length that one rank window may hold, on average.
-RANK_ROWS = 5_000
+#: Pieces of one salt, of all lengths; a rank window holds those of one length.
+RANK_ROWS = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -269,7 +269,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 10
     buckets = max(1, -(-total // RANK_ROWS))
     salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets))
     salted = cut.withColumn("salt", salt)
-    # at most capacity x buckets rows, each for RANK_ROWS pieces on average
+    # at most capacity x buckets rows: one for RANK_ROWS / capacity pieces or more
     counted = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = counted.select("length", "salt", (F.sum("n").over(
@@ -280,10 +280,14 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 10
     runs = spark.createDataFrame(
         plan(counts, capacity),
         "length long, from_rank long, to_rank long, per long, first_sequence long, first_offset long")
-    i = F.col("rank") - F.col("from_rank")
-    # the plan's size depends on the capacity alone
-    return (ranked.join(F.broadcast(runs), "length")
-            .where((F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank")))
-            .select("doc_id", "piece", "start", "length", "ids_crc32",
-                    (F.col("first_sequence") + F.floor(i / F.col("per"))).cast("long").alias("sequence_id"),
-                    (F.col("first_offset") + F.pmod(i, F.col("per")) * F.col("length")).cast("long").alias("offset")))
+    # the plan's size depends on the capacity alone; a length is one row with its runs,
+    # so a piece meets one row, and its run is picked from there
+    by_length = runs.groupBy("length").agg(F.collect_list(F.struct(
+        "from_rank", "to_rank", "per", "first_sequence", "first_offset")).alias("runs"))
+    own = F.element_at(F.filter("runs", lambda r: (F.col("rank") >= r["from_rank"]) & (F.col("rank") < r["to_rank"])), 1)
+    placed = ranked.join(F.broadcast(by_length), "length").withColumn("run", own)
+    i = F.col("rank") - F.col("run.from_rank")
+    return placed.select(
+        "doc_id", "piece", "start", "length", "ids_crc32",
+        (F.col("run.first_sequence") + F.floor(i / F.col("run.per"))).cast("long").alias("sequence_id"),
+        (F.col("run.first_offset") + F.pmod(i, F.col("run.per")) * F.col("length")).cast("long").alias("offset"))
