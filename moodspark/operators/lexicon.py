@@ -2,7 +2,7 @@
 
 The lexicon is a table ``(word, valence)`` supplied by the user.  Scoring is
 relational: each token is expanded (``inline``) together with its three
-predecessors, built row-locally with ``transform``, joined to the lexicon (broadcast behind a size check), adjusted for
+predecessors, built row-locally with ``transform``, joined to the lexicon (broadcast where its statistics allow), adjusted for
 boosters and negators, and summed per document.  Documents without a lexicon
 hit contribute a zero row, so the per-document sum needs a single shuffle of
 small partial aggregates and no join back to the text.
@@ -46,7 +46,11 @@ def _in(c, words):
     return F.coalesce(c.isin(words), F.lit(False))
 
 
-def lexicon_score(df: DataFrame, id_col: str, tokens_col: str, lexicon: DataFrame) -> DataFrame:
+#: Words of a lexicon that go into the plan as a set; a longer one is met by the join alone.
+MAX_WORDS = 50_000
+
+
+def lexicon_score(df: DataFrame, id_col: str, tokens_col: str, lexicon: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     """LAB1: (id, sentiment_score) for every row of ``df``."""
     t = F.col(tokens_col)
     # one struct per token with its three predecessors, built row-locally
@@ -57,8 +61,12 @@ def lexicon_score(df: DataFrame, id_col: str, tokens_col: str, lexicon: DataFram
         F.when(i >= 1, F.element_at(t, i)).alias("p1"),
         F.when(i >= 2, F.element_at(t, i - 1)).alias("p2"),
         F.when(i >= 3, F.element_at(t, i - 2)).alias("p3")))
-    ex = df.select(id_col, F.inline_outer(ctx)).where(F.col("tok").isNotNull())
     lex = lexicon.select("word", "valence")
+    # only words that the lexicon holds leave the row, if they are few enough for a set in the plan
+    listed = [r[0] for r in lex.select("word").limit(max_words + 1).collect()]
+    if len(listed) <= max_words:
+        ctx = F.filter(ctx, lambda s: s["tok"].isin(listed) if listed else F.lit(False))
+    ex = df.select(id_col, F.inline_outer(ctx)).where(F.col("tok").isNotNull())
     hits = ex.join(lex, ex["tok"] == lex["word"])
     v = F.col("valence")
     sign = F.when(v < 0, F.lit(-1.0)).otherwise(F.lit(1.0))

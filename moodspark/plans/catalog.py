@@ -1605,5 +1605,34 @@ def q_runs_table(spark, sf):
     return spark.read.schema(RUN_SCHEMA).parquet(path).select("run", "params", "metrics", "report")
 
 
+_METRICS = ("accuracy_val", "f1_val", "accuracy_test", "f1_test")
+
+
+@query("registry_metrics", f"""
+WITH {S.LABELLED}, {COMPARISON_SQL},
+ro AS (SELECT *, list_position({S.sql_list(list(MODEL_ALPHAS))}, model) AS run_order FROM cmp),
+best AS (SELECT * FROM ro ORDER BY f1_test DESC, run_order LIMIT 1)
+SELECT 'sentiment-best' AS name, v.version, model, {", ".join(f"round({m}, 6) AS {m}" for m in _METRICS)}
+FROM best, (SELECT unnest([1, 2])::BIGINT AS version) v
+""")
+def q_registry_metrics(spark, sf):
+    """SNK5: the registry's entries as columns."""
+    r = q_registry_version(spark, sf)
+    return r.select("name", "version", F.element_at("params", "model_name").alias("model"),
+                    *[r6(F.element_at("metrics", m)).alias(m) for m in _METRICS])
+
+
+@query("runs_metrics", f"""
+WITH {S.LABELLED}, {COMPARISON_SQL}
+SELECT model AS run, CASE model {" ".join(f"WHEN {S.q(m)} THEN {a!r}" for m, a in MODEL_ALPHAS.items())} END::DOUBLE AS alpha,
+  {", ".join(f"round({m}, 6) AS {m}" for m in _METRICS)} FROM cmp
+""")
+def q_runs_metrics(spark, sf):
+    """SNK4: the run log's params and metrics as columns."""
+    r = q_runs_table(spark, sf)
+    return r.select("run", F.element_at("params", "alpha").cast("double").alias("alpha"),
+                    *[r6(F.element_at("metrics", m)).alias(m) for m in _METRICS])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_word_top120(spark, sf_dir)

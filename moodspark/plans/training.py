@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import time
+import uuid
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -446,7 +447,7 @@ def variant_compare(corpus: DataFrame, skip_tuning: bool = False, runs_path: str
             report = evaluate.report_lines(test.select("label", F.col("prediction").cast("int").alias("prediction")))
             log_run(spark, runs_path, name, params,
                     {**met, "train_seconds": secs, "inference_ms": ms,
-                     **({"fallback_rate": fb} if fb is not None else {})}, report)
+                     **({"fallback_rate": fb} if fb is not None else {})}, report, model)
     if export_path and best[1] is not None:
         save_model(best[1], export_path)
     schema = ("variant string, run_order int, f1_val double, f1_test double, inference_ms double, "
@@ -463,6 +464,7 @@ RUN_SCHEMA = TY.StructType([
     TY.StructField("params", TY.MapType(TY.StringType(), TY.StringType())),
     TY.StructField("metrics", TY.MapType(TY.StringType(), TY.DoubleType())),
     TY.StructField("report", TY.ArrayType(TY.StringType())),
+    TY.StructField("model_path", TY.StringType()),
     TY.StructField("ts", TY.TimestampType()),
 ])
 
@@ -472,13 +474,15 @@ def _now() -> _dt.datetime:
 
 
 def log_run(spark: SparkSession, path: str, run: str, params: dict, metrics_: dict,
-            report: DataFrame | None = None) -> None:
+            report: DataFrame | None = None, model: PipelineModel | None = None) -> None:
     """SNK4: append one run to a Parquet table: string params, float metrics only,
-    and the lines of its classification report."""
+    the lines of its classification report and, beside the table, the fitted model."""
     m = {k: v for k, v in metrics_.items() if isinstance(v, float)}
     p = {k: str(v) for k, v in params.items()}
     lines = [r["line"] for r in report.orderBy("line_no").collect()] if report is not None else None
-    spark.createDataFrame([(run, p, m, lines, _now())], RUN_SCHEMA).write.mode("append").parquet(path)
+    # each run's model in a folder of its own, written before the row that names it
+    saved = save_model(model, f"{path.rstrip('/')}-models/{run}-{uuid.uuid4().hex[:12]}") if model is not None else None
+    spark.createDataFrame([(run, p, m, lines, saved, _now())], RUN_SCHEMA).write.mode("append").parquet(path)
 
 
 def save_model(model: PipelineModel, path: str) -> str:

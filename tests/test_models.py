@@ -137,6 +137,7 @@ def test_variants_export_the_best(spark, corpus):
     assert len(rows) == 3
     logged = spark.read.schema(training.RUN_SCHEMA).parquet(runs).collect()
     assert {r["run"] for r in logged} == {r["variant"] for r in rows} and all(len(r["report"]) >= 5 for r in logged)
+    assert all(training.load_model(r["model_path"]).stages for r in logged)
     model = training.load_model(best)
     top = max(rows, key=lambda r: (r["f1_test"], -r["run_order"]))
     f1 = evaluate.summary(training.predict(model, corpus.where(F.col("split") == "test"))).first()["f1_macro"]
