@@ -20,6 +20,7 @@ Features must not be negative (TF-IDF isn't): zeros are below every edge.
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,19 +190,10 @@ def _split_level(tree: Tree, nodes: dict[int, tuple], first: np.ndarray) -> np.n
     return np.array(smaller, np.int64)
 
 
-def grow(blocks: DataFrame, partitions: int, first: np.ndarray, start: np.ndarray, n_rounds: int, depth: int,
-         rate: float) -> tuple[list[list[Tree]], list[float]]:
-    """The trees of each round, and the mean log-loss before each round."""
-    sc = blocks.sparkSession.sparkContext
+def grow(total, first: np.ndarray, start: np.ndarray, n_rounds: int, depth: int, rate: float) -> tuple[list[list[Tree]], list[float]]:
+    """The trees of each round, and the mean log-loss before each round.
+    ``total(rounds, trees, work)`` sums ``work`` over all blocks."""
     k, n_cells = len(start), int(first[-1])
-
-    def total(trees: list[Tree], work) -> np.ndarray:
-        sent = sc.broadcast((rounds, trees))
-        try:
-            return tree_sum(blocks, lambda b, i: work(_Rows(b, i, start, sent.value[0], rate), sent.value[1]), partitions)
-        finally:
-            sent.unpersist()
-
     rounds: list[list[Tree]] = []
     losses = []
     for _ in range(n_rounds):
@@ -212,7 +204,7 @@ def grow(blocks: DataFrame, partitions: int, first: np.ndarray, start: np.ndarra
         for level in range(depth):
             if not any(len(a) for a in asked):
                 break
-            sums = total(trees, lambda rows, trees, a=tuple(asked): rows.histograms(trees, list(a), n_cells))
+            sums = total(rounds, trees, lambda rows, trees, a=tuple(asked): rows.histograms(trees, list(a), n_cells))
             at = 0
             for i, mine in enumerate(asked):
                 m, above = len(mine), nodes[i]
@@ -225,7 +217,7 @@ def grow(blocks: DataFrame, partitions: int, first: np.ndarray, start: np.ndarra
                     parent = (node - 1) // 2
                     nodes[i][4 * parent + 3 - node] = tuple(x - y for x, y in zip(above[parent], nodes[i][node]))
                 asked[i] = _split_level(trees[i], nodes[i], first)
-        sums = total(trees, lambda rows, trees: rows.leaves(trees))
+        sums = total(rounds, trees, lambda rows, trees: rows.leaves(trees))
         losses.append(sums[0] / sums[1])
         per = sums[2:].reshape(k, 2, -1)
         for tree, (r, h) in zip(trees, per):
@@ -234,6 +226,30 @@ def grow(blocks: DataFrame, partitions: int, first: np.ndarray, start: np.ndarra
     return rounds, losses
 
 
+def grow_over(blocks: DataFrame, partitions: int, first: np.ndarray, start: np.ndarray, n_rounds: int, depth: int,
+              rate: float) -> tuple[list[list[Tree]], list[float]]:
+    """``grow`` with a job for each level; blocks of one partition are one task's in any
+    case, so there all levels are one job."""
+    sc = blocks.sparkSession.sparkContext
+    if partitions > 1:
+        def total(rounds: list, trees: list, work) -> np.ndarray:
+            sent = sc.broadcast((rounds, trees))
+            try:
+                return tree_sum(blocks, lambda b, i: work(_Rows(b, i, start, sent.value[0], rate), sent.value[1]), partitions)
+            finally:
+                sent.unpersist()
+
+        return grow(total, first, start, n_rounds, depth, rate)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b, i) for b in batches for i in range(b.num_rows)]
+        grown = grow(lambda rounds, trees, work: sum(work(_Rows(b, i, start, rounds, rate), trees) for b, i in held),
+                     first, start, n_rounds, depth, rate)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(grown)], pa.binary())], ["grown"])
+
+    return pickle.loads(blocks.mapInArrow(run, "grown binary").first().grown)
+
+
 class _BoostingParams(HasFeaturesCol, HasLabelCol):
     maxIter = Param(Params._dummy(), "maxIter", "rounds", typeConverter=TypeConverters.toInt)
     maxDepth = Param(Params._dummy(), "maxDepth", "levels of splits", typeConverter=TypeConverters.toInt)
@@ -265,7 +281,7 @@ class MultiClassBoosting(Estimator, _BoostingParams, DefaultParamsReadable, Defa
         blocks = binned(packed, first, edges).persist()
         try:
             partitions = blocks.rdd.getNumPartitions()
-            rounds, losses = grow(blocks, partitions, first, start, g(self.maxIter), g(self.maxDepth), g(self.stepSize))
+            rounds, losses = grow_over(blocks, partitions, first, start, g(self.maxIter), g(self.maxDepth), g(self.stepSize))
         finally:
             blocks.unpersist()
         feature = np.repeat(np.arange(size), np.diff(first))

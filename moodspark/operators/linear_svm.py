@@ -17,7 +17,10 @@ JVM, works on streams, and saves and loads like any model.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator
 from pyspark.ml.classification import LogisticRegressionModel
@@ -35,7 +38,7 @@ MAX_CLASSES = 1000
 #: Conjugate gradient steps of one Newton step, and halvings of a step, at most.
 MOST_PRODUCTS, MOST_HALVINGS = 100, 30
 #: Rows of a task; a task's sums are a row of weights for each class, so it may be small.
-TASK_ROWS = 500
+TASK_ROWS = 4000
 
 
 def _sides(labels: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -43,18 +46,11 @@ def _sides(labels: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 class _Passes:
-    """Sums over the training rows at given weights, for the problems ``which``."""
+    """Sums over the training rows at given weights, for the problems ``which``;
+    ``total(shared, work)`` adds up ``work(block, *shared)`` over all blocks."""
 
-    def __init__(self, blocks: DataFrame, partitions: int, classes: np.ndarray, C: float):
-        self.blocks, self.partitions, self.classes, self.C = blocks, partitions, classes, C
-        self.sc = blocks.sparkSession.sparkContext
-
-    def _sum(self, shared: tuple, work) -> np.ndarray:
-        sent = self.sc.broadcast(shared)
-        try:
-            return tree_sum(self.blocks, lambda batch, i: work(Block.of(batch, i), *sent.value), self.partitions)
-        finally:
-            sent.unpersist()
+    def __init__(self, total, classes: np.ndarray, C: float):
+        self._sum, self.classes, self.C = total, classes, C
 
     def loss_and_gradient(self, w: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         def work(block: Block, w: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -85,9 +81,31 @@ class _Passes:
         return s + .5 * (moved ** 2).sum(2)
 
 
-def solve(blocks: DataFrame, partitions: int, size: int, classes: np.ndarray, C: float, tol: float, max_iter: int) -> np.ndarray:
+def solve_over(blocks: DataFrame, partitions: int, size: int, classes: np.ndarray, C: float, tol: float, max_iter: int) -> np.ndarray:
+    """``solve`` with a job for each pass; blocks of one partition are one task's in any
+    case, so there all passes are one job."""
+    sc = blocks.sparkSession.sparkContext
+    if partitions > 1:
+        def total(shared: tuple, work) -> np.ndarray:
+            sent = sc.broadcast(shared)
+            try:
+                return tree_sum(blocks, lambda batch, i: work(Block.of(batch, i), *sent.value), partitions)
+            finally:
+                sent.unpersist()
+
+        return solve(total, size, classes, C, tol, max_iter)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [Block.of(b, i) for b in batches for i in range(b.num_rows)]
+        w = solve(lambda shared, work: sum(work(b, *shared) for b in held), size, classes, C, tol, max_iter)
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["w"])
+
+    return np.frombuffer(blocks.mapInArrow(run, "w binary").first().w).reshape(len(classes), size + 1)
+
+
+def solve(total, size: int, classes: np.ndarray, C: float, tol: float, max_iter: int) -> np.ndarray:
     """Weights, a row for each class and the intercept last."""
-    passes = _Passes(blocks, partitions, classes, C)
+    passes = _Passes(total, classes, C)
     k = len(classes)
     w, every = np.zeros((k, size + 1)), np.arange(k)
     loss, grad = passes.loss_and_gradient(w, every)
@@ -154,7 +172,7 @@ class SquaredHingeSVC(Estimator, HasFeaturesCol, HasLabelCol, DefaultParamsReada
                 raise ValueError(f"more than {MAX_CLASSES} classes")
             n = max(2, highest + 1)
             classes = np.arange(1.0, 2.0) if n == 2 else np.arange(float(n))
-            w = solve(blocks, blocks.rdd.getNumPartitions(), about["size"], classes, self.getOrDefault(self.C),
+            w = solve_over(blocks, blocks.rdd.getNumPartitions(), about["size"], classes, self.getOrDefault(self.C),
                       self.getOrDefault(self.tol), self.getOrDefault(self.maxIter))
         finally:
             blocks.unpersist()
