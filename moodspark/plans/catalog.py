@@ -434,6 +434,21 @@ def q_derived_columns(spark, sf):
     return c.select("doc_id", "tweet", "tweet_clean", "tweet_tokens", "tweet_length", "source_dataset")
 
 
+@query("derived_created_at", """
+WITH raw AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' WHEN o_orderkey % 5 = 0 THEN NULL
+  ELSE strftime(o_orderdate::DATE, '%Y-%m-%d') || ' 08:30:' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') END AS said FROM orders)
+SELECT id, strftime(try_cast(said AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS created_at FROM raw
+""")
+def q_derived_created_at(spark, sf):
+    """PRJ11: ``created_at`` of records that bring a time along as text; what isn't one is null."""
+    k = F.col("o_orderkey")
+    said = F.when(k % 7 == 0, "unknown").when(k % 5 == 0, F.lit(None)).otherwise(F.concat(
+        F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd"), F.lit(" 08:30:"), F.lpad((k % 60).cast("string"), 2, "0")))
+    raw = tables.read_table(spark, sf, "orders").select(k.alias("id"), said.alias("said"), F.lit("").alias("tweet"))
+    c = prep.derived_columns(raw, "tweet", "orders", "said")
+    return c.select("id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
 # ---------------------------------------------------------------------------
 # Filters (FLT)
 # ---------------------------------------------------------------------------
