@@ -120,6 +120,10 @@ def _step(words_: Column, i: Column, k: int, known: list[str], context: Context,
                     F.when(idle, 1.0).otherwise(turns).alias("turns"))
 
 
+def _once(value: Column, use) -> Column:
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _turned(valence: Column, steps: Column) -> Column:
     """Steps from the nearest word on, each on what the one before left."""
     return F.aggregate(steps, valence, lambda v, s: (
@@ -138,21 +142,30 @@ def valence_score(df: DataFrame, id_col: str, text_col: str, lexicon_words: Data
                                                 F.col("valence").cast("double").alias("valence")))
     known = listed + [JOIN.join(p.lower().split()) for p in phrases]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col), punctuation(text).alias("_marks"), words(text, idiom_pattern(phrases)).alias("_w"))
-    loud = F.size(F.filter("_w", _upper))
-    rows = rows.withColumn("_shouted", (loud > 0) & (loud < F.size("_w"))).withColumn(
-        "_but", F.coalesce(*[F.nullif(F.array_position(F.transform("_w", F.lower), b), F.lit(0)) for b in context.but], F.lit(0)) - 1
-        if context.but else F.lit(-1))
-    w, shouted, but = F.col("_w"), F.col("_shouted"), F.col("_but")
-    found = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-                     lambda s: _is(s["x"], known) & ~_is(s["x"], context.boosters))
-    hits = F.transform(found, lambda s: F.struct(
-        F.lower(s["x"]).alias("word"),
-        F.when(_upper(s["x"]) & shouted, CAPITALS).otherwise(0.0).alias("loud"),
-        F.when((but < 0) | (s["i"] == but), 1.0).when(s["i"] < but, BEFORE_BUT).otherwise(AFTER_BUT).alias("side"),
-        F.array(*[_step(w, s["i"], k, known, context, shouted) for k in (1, 2, 3)]).alias("steps")))
+
+    def about(w: Column) -> Column:
+        """The words with what is so for the whole text."""
+        loud = F.size(F.filter(w, _upper))
+        first = [F.nullif(F.array_position(F.transform(w, F.lower), b), F.lit(0)) for b in context.but]
+        return F.struct(w.alias("w"), ((loud > 0) & (loud < F.size(w))).alias("shouted"),
+                        (F.coalesce(*first, F.lit(0)) - 1 if first else F.lit(-1)).alias("but"))
+
+    def hits(c: Column) -> Column:
+        w, shouted, but = c["w"], c["shouted"], c["but"]
+        found = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
+                         lambda s: _is(s["x"], known) & ~_is(s["x"], context.boosters))
+        return F.transform(found, lambda s: F.struct(
+            F.lower(s["x"]).alias("word"),
+            F.when(_upper(s["x"]) & shouted, CAPITALS).otherwise(0.0).alias("loud"),
+            F.when((but < 0) | (s["i"] == but), 1.0).when(s["i"] < but, BEFORE_BUT).otherwise(AFTER_BUT).alias("side"),
+            F.array(*[_step(w, s["i"], k, known, context, shouted) for k in (1, 2, 3)]).alias("steps")))
+
+    # a lambda's variable is worked out once a row, whatever uses it
+    rows = df.select(F.col(id_col), punctuation(text).alias("_marks"),
+                     _once(_once(words(text, idiom_pattern(phrases)), about), hits).alias("_hits"))
     # what leaves a row: its marks once, and the words that have a valence
-    hit = rows.select(id_col, F.inline(hits)).join(table, "word")
+    # outer: a plain inline makes the optimizer filter by the hits' number first, working them out twice
+    hit = rows.select(id_col, F.inline_outer("_hits")).where(F.col("word").isNotNull()).join(table, "word")
     v = F.col("valence") + F.when(F.col("valence") > 0, F.col("loud")).otherwise(-F.col("loud"))
     parts = rows.select(id_col, F.lit(0.0).alias("v"), "_marks").unionByName(
         hit.select(id_col, (_turned(v, F.col("steps")) * F.col("side")).alias("v"), F.lit(None).cast("double").alias("_marks")))
