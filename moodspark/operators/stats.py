@@ -8,12 +8,13 @@ rows (one per label/source, or the k words kept).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from moodspark.session import reliable_checkpoint
-
 from moodspark.functions.labels import LABEL_NAMES
+from moodspark.session import reliable_checkpoint
 
 
 def _all():
@@ -145,13 +146,22 @@ def write_with_funnel(df: DataFrame, key: str, order: list[str], stages: list[tu
     """AGG7 while the corpus is written: the rows that pass de-duplication and all stages
     go to ``write(rows)``, and the counts of each step are observed in that same job.
     (A task that runs twice may count twice; the rows written are right in any case.)"""
-    seen = {name: Observation(f"funnel-{name}") for name in ["input", "deduplicated", *[n for n, _ in stages]]}
-    digest = F.unhex(F.sha2(F.col(key).cast("string"), 256))
-    id_col = order[-1]
-    keepers = df.groupBy(digest.alias("_d")).agg(F.min(F.struct(*order)).alias("_k")).select(F.col(f"_k.{id_col}").alias(id_col))
-    rows = df.observe(seen["input"], F.count(F.lit(1)).alias("n")).join(keepers, id_col, "left_semi")
-    rows = rows.observe(seen["deduplicated"], F.count(F.lit(1)).alias("n"))
-    for name, predicate in stages:
-        rows = rows.where(predicate).observe(seen[name], F.count(F.lit(1)).alias("n"))
-    write(rows)
+    spark = df.sparkSession
+    # observed in a session of its own: one that has observed can't be sent to tasks any
+    # more, which some of Spark's models do (OneVsRest)
+    view = f"funnel_{uuid.uuid4().hex}"
+    df.createGlobalTempView(view)
+    try:
+        rows = spark.newSession().table(f"global_temp.{view}")
+        seen = {name: Observation(f"funnel-{name}") for name in ["input", "deduplicated", *[n for n, _ in stages]]}
+        digest = F.unhex(F.sha2(F.col(key).cast("string"), 256))
+        id_col = order[-1]
+        keepers = rows.groupBy(digest.alias("_d")).agg(F.min(F.struct(*order)).alias("_k")).select(F.col(f"_k.{id_col}").alias(id_col))
+        rows = rows.observe(seen["input"], F.count(F.lit(1)).alias("n")).join(keepers, id_col, "left_semi")
+        rows = rows.observe(seen["deduplicated"], F.count(F.lit(1)).alias("n"))
+        for name, predicate in stages:
+            rows = rows.where(predicate).observe(seen[name], F.count(F.lit(1)).alias("n"))
+        write(rows)
+    finally:
+        spark.catalog.dropGlobalTempView(view)
     return {f"n_{name}": int(o.get["n"]) for name, o in seen.items()}
