@@ -25,15 +25,15 @@ def score_stream(spark: SparkSession, model: PipelineModel, source_dir: str, sch
                  text_col: str, keep: list[str], sink_dir: str | None = None,
                  checkpoint_dir: str | None = None, max_files_per_trigger: int | None = None,
                  available_now: bool = True, glob: str | None = None):
-    """Start the scoring query; returns (StreamingQuery, sink_dir)."""
+    """Start the scoring query; returns (StreamingQuery, sink_dir).  ``glob`` names files,
+    or folders of files, in ``source_dir``."""
     sink_dir = sink_dir or scratch_path(spark, "stream-sink")
     checkpoint_dir = checkpoint_dir or scratch_path(spark, "stream-ckpt")
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    src = r.parquet(source_dir)
+    # a pattern of paths finds a table that is a folder, too; braces make a plain name a pattern
+    src = r.parquet(f"{source_dir.rstrip('/')}/{{{glob}}}" if glob else source_dir)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         out = score(model, batch, text_col, keep=keep).withColumn("batch_id", F.lit(batch_id))
