@@ -5,13 +5,14 @@ and a feature's cells are its bins.  Training rows become blocks sorted by cell,
 that the rows above a threshold are one slice.  A round grows a tree for each class,
 level by level; a level is one job in which every block works out its rows' scores
 from the trees so far, their residuals and nodes, and a histogram (sums of residuals
-and counts by class, node and cell) of each split's smaller side; the larger one's is
-the difference.  Histograms add up as a tree of partial sums; the driver picks each
-node's best split.  A leaf's value is one Newton step.
+and counts by class, node and cell) of each open node.  Histograms are cut into chunks
+of whole features and added up chunk by chunk where the chunk is dealt to, which also
+finds each node's best split in it; the driver picks from one candidate a chunk, class
+and node.  A leaf's value is one Newton step.
 
 Nothing is kept on executors but the blocks: scores are worked out anew from the model,
-so a lost executor costs its blocks alone.  A histogram takes 16 bytes for each class,
-open node and cell (features times bins at most, and only bins that occur): the
+so a lost executor costs its blocks alone.  A task's histogram takes 16 bytes for each
+class, open node and cell (features times bins at most, and only bins that occur): the
 vocabulary and ``maxBins`` bound it.
 
 Features must not be negative (TF-IDF isn't): zeros are below every edge.
@@ -42,7 +43,10 @@ from moodspark.session import ship_package
 
 MAX_CLASSES = 100
 BINNED = "n long, labels binary, cells binary, rows binary"
+FOUND = "class int, node long, gain double, low long, high long"
 LEAF = -1
+#: Cells of a chunk of histograms, about: a chunk ends where a feature does.
+CHUNK = 16_384
 
 
 def bin_edges(df: DataFrame, features_col: str, size: int, max_bins: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,20 +141,20 @@ class _Rows:
         self.r = hit - self.p
         self.loss = -np.log(np.maximum(self.p[hit], 1e-300)).sum()
 
-    def histograms(self, trees: list[Tree], open_: list[np.ndarray], n_cells: int) -> np.ndarray:
+    def histograms(self, trees: list[Tree], open_: list[np.ndarray], n_cells: int) -> list[tuple[np.ndarray, ...]]:
+        """For each class: sums of residuals and counts by open node and cell, and by open node."""
         out = []
         for k, (tree, nodes) in enumerate(zip(trees, open_)):
-            slot = np.full(len(tree.low), LEAF)
-            slot[nodes] = np.arange(len(nodes))
+            slot, m = np.full(len(tree.low), LEAF), len(nodes)
+            slot[nodes] = np.arange(m)
             at = slot[tree.nodes(self.n, self.cells, self.rows)]
             inside = at >= 0
             held = at[self.rows]
             place = (held * n_cells + self.cells)[held >= 0]
-            out += [np.bincount(place, self.r[self.rows[held >= 0], k], len(nodes) * n_cells),
-                    np.bincount(place, minlength=len(nodes) * n_cells).astype(float),
-                    np.bincount(at[inside], self.r[inside, k], len(nodes)),
-                    np.bincount(at[inside], minlength=len(nodes)).astype(float)]
-        return np.concatenate(out)
+            out.append((np.bincount(place, self.r[self.rows[held >= 0], k], m * n_cells).reshape(m, n_cells),
+                        np.bincount(place, minlength=m * n_cells).astype(float).reshape(m, n_cells),
+                        np.bincount(at[inside], self.r[inside, k], m), np.bincount(at[inside], minlength=m).astype(float)))
+        return out
 
     def leaves(self, trees: list[Tree]) -> np.ndarray:
         out = [[self.loss, self.n]]
@@ -160,8 +164,8 @@ class _Rows:
         return np.concatenate(out)
 
 
-def best_split(g: np.ndarray, c: np.ndarray, total_g: float, total_c: float, first: np.ndarray) -> tuple[int, int] | None:
-    """The cells above the threshold that lowers the squared error most; the first of equals."""
+def best_split(g: np.ndarray, c: np.ndarray, total_g: float, total_c: float, first: np.ndarray) -> tuple[float, int, int] | None:
+    """The gain and the cells above the threshold that lowers the squared error most; the first of equals."""
     ends = np.repeat(first[1:], np.diff(first))  # a cell's feature's end
     if not len(ends):
         return None
@@ -176,48 +180,77 @@ def best_split(g: np.ndarray, c: np.ndarray, total_g: float, total_c: float, fir
         gain = np.where(ok, above_c * below_c / total_c * (above_g / above_c - below_g / below_c) ** 2, -1)
     # gains that differ by rounding alone are equal
     best = int((gain >= gain.max() * (1 - 1e-9)).argmax())
-    return (best, int(ends[best])) if gain[best] > 1e-12 else None
+    return (float(gain[best]), best, int(ends[best])) if gain[best] > 1e-12 else None
+
+
+def chunk_ends(first: np.ndarray, size: int = CHUNK) -> np.ndarray:
+    """Features at which chunks of about ``size`` cells begin, and the number of features."""
+    ends, at = [0], 0
+    while at < len(first) - 1:
+        at = max(at + 1, int(np.searchsorted(first, first[at] + size, "right")) - 1)
+        ends.append(at)
+    return np.array(ends)
+
+
+def chunk_splits(sums: list[tuple[np.ndarray, ...]], asked: list[np.ndarray], first: np.ndarray, a: int, b: int) -> list[tuple]:
+    """``FOUND`` of the features from ``a`` to ``b``, given the histograms of their cells."""
+    out, own = [], first[a:b + 1] - first[a]
+    for k, (nodes, (g, c, total_g, total_c)) in enumerate(zip(asked, sums)):
+        for j, node in enumerate(nodes):
+            found = best_split(g[j], c[j], total_g[j], total_c[j], own)
+            if found is not None:
+                out.append((k, int(node), found[0], found[1] + int(first[a]), found[2] + int(first[a])))
+    return out
 
 
-def _split_level(tree: Tree, nodes: dict[int, tuple], first: np.ndarray) -> np.ndarray:
-    """Splits a level's nodes in ``tree``; the smaller child of each, to be summed up next."""
-    smaller = []
-    for node, (g, c, total_g, total_c) in nodes.items():
-        found = best_split(g, c, total_g, total_c, first)
-        if found is not None:
-            tree.low[node], tree.high[node] = low, high = found
-            smaller.append(2 * node + (2 if 2 * c[low:high].sum() <= total_c else 1))
-    return np.array(smaller, np.int64)
+def _flat(sums: list[tuple[np.ndarray, ...]], low: int, high: int) -> np.ndarray:
+    return np.concatenate([x for g, c, tg, tc in sums for x in (g[:, low:high].ravel(), c[:, low:high].ravel(), tg, tc)])
 
 
-def grow(total, first: np.ndarray, start: np.ndarray, n_rounds: int, depth: int, rate: float) -> tuple[list[list[Tree]], list[float]]:
+def _shaped(flat: np.ndarray, asked: list[np.ndarray], n_cells: int) -> list[tuple[np.ndarray, ...]]:
+    out, at = [], 0
+    for nodes in asked:
+        m = len(nodes)
+        parts = np.split(flat[at:at + 2 * m * (n_cells + 1)], np.cumsum([m * n_cells, m * n_cells, m]))
+        out.append((parts[0].reshape(m, n_cells), parts[1].reshape(m, n_cells), parts[2], parts[3]))
+        at += 2 * m * (n_cells + 1)
+    return out
+
+
+def _added(parts: Iterator[list[tuple[np.ndarray, ...]]]) -> list[tuple[np.ndarray, ...]]:
+    """The sum of blocks' histograms, in the first one's place."""
+    total = None
+    for part in parts:
+        if total is None:
+            total = part
+        else:
+            for mine, more in zip(total, part):
+                for x, y in zip(mine, more):
+                    x += y
+    return total
+
+
+def grow(splits, leaves, k: int, n_rounds: int, depth: int) -> tuple[list[list[Tree]], list[float]]:
     """The trees of each round, and the mean log-loss before each round.
-    ``total(rounds, trees, work)`` sums ``work`` over all blocks."""
-    k, n_cells = len(start), int(first[-1])
+    ``splits(rounds, trees, asked)`` gives ``FOUND`` of the nodes that each class asks for,
+    by ascending cells; ``leaves(rounds, trees)`` sums ``_Rows.leaves`` over all blocks."""
     rounds: list[list[Tree]] = []
     losses = []
     for _ in range(n_rounds):
         trees = [Tree(depth) for _ in range(k)]
-        # each class's nodes of the level with their histogram: residuals, counts, and totals of both
-        nodes: list[dict[int, tuple]] = [{} for _ in range(k)]
         asked = [np.zeros(1, np.int64) for _ in range(k)]
-        for level in range(depth):
+        for _ in range(depth):
             if not any(len(a) for a in asked):
                 break
-            sums = total(rounds, trees, lambda rows, trees, a=tuple(asked): rows.histograms(trees, list(a), n_cells))
-            at = 0
-            for i, mine in enumerate(asked):
-                m, above = len(mine), nodes[i]
-                g, c = (sums[at + j * m * n_cells:at + (j + 1) * m * n_cells].reshape(m, n_cells) for j in (0, 1))
-                at += 2 * m * n_cells
-                nodes[i] = {int(node): (g[j], c[j], sums[at + j], sums[at + m + j]) for j, node in enumerate(mine)}
-                at += 2 * m
-                # the larger child's sums are the parent's less the smaller one's
-                for node in list(nodes[i]) if level else []:
-                    parent = (node - 1) // 2
-                    nodes[i][4 * parent + 3 - node] = tuple(x - y for x, y in zip(above[parent], nodes[i][node]))
-                asked[i] = _split_level(trees[i], nodes[i], first)
-        sums = total(rounds, trees, lambda rows, trees: rows.leaves(trees))
+            best: dict[tuple, tuple] = {}
+            for c, node, gain, low, high in splits(rounds, trees, asked):
+                # as in a chunk: the first of those that differ by rounding alone
+                if (c, node) not in best or gain * (1 - 1e-9) > best[c, node][0]:
+                    best[c, node] = gain, low, high
+            for (c, node), (_, low, high) in best.items():
+                trees[c].low[node], trees[c].high[node] = low, high
+            asked = [np.array(sorted(x for c, node in best if c == i for x in (2 * node + 1, 2 * node + 2)), np.int64) for i in range(k)]
+        sums = leaves(rounds, trees)
         losses.append(sums[0] / sums[1])
         per = sums[2:].reshape(k, 2, -1)
         for tree, (r, h) in zip(trees, per):
@@ -230,21 +263,69 @@ def grow_over(blocks: DataFrame, partitions: int, first: np.ndarray, start: np.n
               rate: float) -> tuple[list[list[Tree]], list[float]]:
     """``grow`` with a job for each level; blocks of one partition are one task's in any
     case, so there all levels are one job."""
-    sc = blocks.sparkSession.sparkContext
+    sc, k, n_cells = blocks.sparkSession.sparkContext, len(start), int(first[-1])
     if partitions > 1:
-        def total(rounds: list, trees: list, work) -> np.ndarray:
+        ends = chunk_ends(first)
+        shared = sc.broadcast((first, ends))
+
+        def splits(rounds: list, trees: list, asked: list) -> list[tuple]:
             sent = sc.broadcast((rounds, trees))
+
+            def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                first, ends = shared.value
+                rounds, trees = sent.value
+                total = _added(_Rows(b, i, start, rounds, rate).histograms(trees, asked, n_cells)
+                               for b in batches for i in range(b.num_rows))
+                for i, (a, b) in enumerate(zip(ends[:-1], ends[1:]) if total is not None else []):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([i], pa.int32()), pa.array([_flat(total, first[a], first[b]).tobytes()], pa.binary())], ["chunk", "v"])
+
+            def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                first, ends = shared.value
+                total: dict[int, np.ndarray] = {}
+                for batch in batches:
+                    for chunk, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                        v = np.frombuffer(v.as_buffer(), np.float64)
+                        if chunk in total:
+                            total[chunk] += v
+                        else:
+                            total[chunk] = v.copy()
+                found = [x for i, v in total.items() for x in chunk_splits(
+                    _shaped(v, asked, int(first[ends[i + 1]] - first[ends[i]])), asked, first, ends[i], ends[i + 1])]
+                if found:
+                    kinds = (pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)],
+                                                     [f.split()[0] for f in FOUND.split(", ")])
+
             try:
-                return tree_sum(blocks, lambda b, i: work(_Rows(b, i, start, sent.value[0], rate), sent.value[1]), partitions)
+                # a candidate for each chunk, class and node comes to the driver
+                rows = (blocks.mapInArrow(part, "chunk int, v binary").repartition(max(1, min(partitions, len(ends) - 1)), "chunk")
+                        .mapInArrow(add, FOUND).collect())
             finally:
                 sent.unpersist()
+            return sorted((tuple(r) for r in rows), key=lambda r: r[3])
 
-        return grow(total, first, start, n_rounds, depth, rate)
+        def leaves(rounds: list, trees: list) -> np.ndarray:
+            sent = sc.broadcast((rounds, trees))
+            try:
+                return tree_sum(blocks, lambda b, i: _Rows(b, i, start, sent.value[0], rate).leaves(sent.value[1]), partitions)
+            finally:
+                sent.unpersist()
+
+        try:
+            return grow(splits, leaves, k, n_rounds, depth)
+        finally:
+            shared.unpersist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(b, i) for b in batches for i in range(b.num_rows)]
-        grown = grow(lambda rounds, trees, work: sum(work(_Rows(b, i, start, rounds, rate), trees) for b, i in held),
-                     first, start, n_rounds, depth, rate)
+
+        def splits(rounds: list, trees: list, asked: list) -> list[tuple]:
+            total = _added(_Rows(b, i, start, rounds, rate).histograms(trees, asked, n_cells) for b, i in held)
+            return chunk_splits(total, asked, first, 0, len(first) - 1)
+
+        grown = grow(splits, lambda rounds, trees: sum(_Rows(b, i, start, rounds, rate).leaves(trees) for b, i in held),
+                     k, n_rounds, depth)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(grown)], pa.binary())], ["grown"])
 
     return pickle.loads(blocks.mapInArrow(run, "grown binary").first().grown)

@@ -4,6 +4,7 @@ import threading
 import time
 from types import SimpleNamespace
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
 
@@ -40,3 +41,30 @@ def test_stream_reads_tables_of_many_files(spark):
     q, sink = score_stream(spark, model, root, rows.schema, "text", ["conv_id"], glob="conversations.parquet")
     q.awaitTermination()
     assert sorted(r.conv_id for r in spark.read.parquet(sink).collect()) == list(range(20))
+
+
+def test_chunks_hold_whole_features():
+    from moodspark.operators.boosting import chunk_ends
+    first = np.array([0, 3, 3, 9, 10, 14])
+    assert chunk_ends(first, 4).tolist() == [0, 2, 3, 4, 5]
+    assert chunk_ends(first, 100).tolist() == [0, 5]
+    assert chunk_ends(np.array([0])).tolist() == [0]
+
+
+def test_boosting_sends_no_histograms_to_the_driver(spark, monkeypatch):
+    """Over several partitions the driver gets candidates, and chunks don't change the trees."""
+    from pyspark.ml.linalg import Vectors
+
+    from moodspark.operators import boosting
+    rnd = np.random.default_rng(3)
+    rows = [(float(rnd.integers(3)), Vectors.sparse(40, sorted(rnd.choice(40, 8, replace=False).tolist()), (rnd.random(8) + .1).tolist()))
+            for _ in range(200)]
+    df = spark.createDataFrame(rows, ["label", "features"])
+    whole = boosting.MultiClassBoosting(maxIter=3).fit(df.coalesce(1))
+    longest = []
+    add = boosting.tree_sum
+    monkeypatch.setattr(boosting, "tree_sum", lambda *a: longest.append(len(s := add(*a))) or s)
+    monkeypatch.setattr(boosting, "chunk_ends", lambda first, size=30, f=boosting.chunk_ends: f(first, size))
+    cut = boosting.MultiClassBoosting(maxIter=3).fit(df.repartition(4))
+    assert np.allclose(whole.losses, cut.losses) and [t["split"] for r in whole.trees for t in r] == [t["split"] for r in cut.trees for t in r]
+    assert max(longest) == 2 + 3 * 2 * 15
