@@ -207,7 +207,14 @@ def join_tokens(tokens) -> Column:
 def token_count(c) -> Column:
     """Number of white-space separated words of a text (0 for blank/null)."""
     x = F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), rf"[{WS}]+", " "))
-    return F.when(x == "", F.lit(0)).otherwise(F.size(F.split(x, " "))).cast("long")
+    # the text is named once: it may be a whole cleaning chain
+    return F.size(F.array_remove(F.split(x, " "), "")).cast("long")
+
+
+def once(c) -> Column:
+    """``c`` as a generated column: filters on it and expressions over it read its value,
+    where the optimizer would put the expression itself, to be worked out for each."""
+    return F.explode_outer(F.array(_col(c)))
 
 
 def unicode_trim(c) -> Column:

@@ -36,9 +36,11 @@ def non_empty(df: DataFrame, col: str, strip: bool = True) -> DataFrame:
     return df.where(F.length(c) > 0)
 
 
-def min_tokens(df: DataFrame, col: str, n: int = 3) -> DataFrame:
-    """FLT3 / FLT5: at least ``n`` white-space separated words."""
-    return df.where(T.token_count(F.col(col)) >= n)
+def min_tokens(df: DataFrame, col: str, n: int = 3, out: str | None = None) -> DataFrame:
+    """FLT3 / FLT5: at least ``n`` white-space separated words, whose number is kept as ``out``."""
+    if out is None:
+        return df.where(T.token_count(F.col(col)) >= n)
+    return df.select("*", T.once(T.token_count(F.col(col))).alias(out)).where(F.col(out) >= n)
 
 
 def is_retweet(df: DataFrame, text_col: str, flag_col: str = "is_retweet") -> Column:

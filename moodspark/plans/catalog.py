@@ -491,7 +491,7 @@ SELECT doc_id, {S.token_count('tweet_clean')} AS n_words FROM c WHERE {S.token_c
 """)
 def q_short_text_filter(spark, sf):
     c = _tweets(spark, sf).select("doc_id", T.clean_text("tweet").alias("tweet_clean"))
-    return prep.min_tokens(c, "tweet_clean", 3).select("doc_id", T.token_count("tweet_clean").alias("n_words"))
+    return prep.min_tokens(c, "tweet_clean", 3, out="n_words").select("doc_id", "n_words")
 
 
 @query("drop_retweets", f"""

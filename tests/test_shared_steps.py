@@ -68,3 +68,21 @@ def test_boosting_sends_no_histograms_to_the_driver(spark, monkeypatch):
     cut = boosting.MultiClassBoosting(maxIter=3).fit(df.repartition(4))
     assert np.allclose(whole.losses, cut.losses) and [t["split"] for r in whole.trees for t in r] == [t["split"] for r in cut.trees for t in r]
     assert max(longest) == 2 + 3 * 2 * 15
+
+
+def cleanings(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count("(http|www|https)")
+
+
+def test_short_texts_are_cleaned_once(spark, sf_small):
+    from moodspark.plans import catalog
+    assert cleanings(catalog.QUERIES["short_text_filter"](spark, sf_small)) == 1
+
+
+def test_token_count_names_its_text_once(spark):
+    from pyspark.sql import functions as F
+
+    from moodspark.functions import text
+    df = spark.createDataFrame([(None,), ("",), (" \t ",), ("a",), (" a  b c ",)], "t string")
+    assert [r[0] for r in df.select(text.token_count(F.concat("t", F.lit("")))).collect()] == [0, 0, 0, 1, 3]
+    assert df.select(text.token_count(F.concat("t", F.lit(""))))._jdf.queryExecution().analyzed().toString().count("concat(") == 1
