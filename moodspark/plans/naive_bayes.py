@@ -4,7 +4,8 @@ The sums of weights by class and term are the whole model: a smoothing value
 turns them into log-likelihoods, and subtracting a fold's sums gives the model
 without that fold, so models for several smoothing values and all folds come
 from one aggregation.  Class totals (a few numbers) go through the driver; the
-sums are joined to the features by term.
+sums, a row for each term of a bounded vocabulary (and fold), are broadcast to the
+features, so that no task gets a frequent term's.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moodspark.session import reliable_checkpoint
+
 
 def class_sums(weights: DataFrame, classes: list[int], label_col: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
     """``(*by, term, s0, s1, ...)``: the sum of weights of each class's documents."""
@@ -52,7 +55,7 @@ def joint_scores(docs: DataFrame, weights: DataFrame, sums: DataFrame, priors: l
     for name, alpha in alphas.items():
         parts += [(F.sum(F.col("weight") * log_theta(F.col(f"s{i}"), F.lit(total[i]), n_terms, alpha))).alias(f"_{name}{i}")
                   for i in range(k)]
-    found = weights.select(id_col, "term", "weight").join(sums, "term").groupBy(id_col).agg(*parts)
+    found = weights.select(id_col, "term", "weight").join(F.broadcast(sums), "term").groupBy(id_col).agg(*parts)
     out = docs.join(found, id_col, "left")
     scores = [F.array(*[F.coalesce(F.col(f"_{name}{i}"), F.lit(0.0)) + F.lit(priors[i]) for i in range(k)]).alias(name)
               for name in alphas]
@@ -63,7 +66,7 @@ def fold_scores(docs: DataFrame, weights: DataFrame, vocab: DataFrame, classes:
                 id_col: str = "doc_id", label_col: str = "label") -> DataFrame:
     """MOD10: ``docs`` (with ``fold``) with ``scores`` of the model fitted on the other folds."""
     k = len(classes)
-    by_fold = class_sums(weights, classes, label_col, by=("fold",))
+    by_fold = reliable_checkpoint(class_sums(weights, classes, label_col, by=("fold",)))
     whole = by_fold.groupBy("term").agg(*[F.sum(f"s{i}").alias(f"w{i}") for i in range(k)])
     all_total, _ = totals(whole.select("term", *[F.col(f"w{i}").alias(f"s{i}") for i in range(k)]), classes)
     n_terms = vocab.count()
@@ -83,7 +86,8 @@ def fold_scores(docs: DataFrame, weights: DataFrame, vocab: DataFrame, classes:
     left_total = [per_fold({f: all_total[i] - part.get(f, [0.0] * k)[i] for f in folds}) for i in range(k)]
     prior = [per_fold({f: math.log(rest[f][i] / sum(rest[f])) if rest[f][i] else float("-inf") for f in folds}) for i in range(k)]
     # a document's own fold has each of its terms
-    joined = weights.select(id_col, "fold", "term", "weight").join(whole, "term").join(by_fold, ["fold", "term"], "left")
+    joined = weights.select(id_col, "fold", "term", "weight").join(F.broadcast(whole), "term").join(
+        F.broadcast(by_fold), ["fold", "term"], "left")
     found = joined.groupBy(id_col).agg(*[
         F.sum(F.col("weight") * log_theta(left[i], left_total[i], n_terms, alpha)).alias(f"_{i}") for i in range(k)])
     out = docs.join(found, id_col, "left")
