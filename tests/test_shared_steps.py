@@ -85,4 +85,24 @@ def test_token_count_names_its_text_once(spark):
     from moodspark.functions import text
     df = spark.createDataFrame([(None,), ("",), (" \t ",), ("a",), (" a  b c ",)], "t string")
     assert [r[0] for r in df.select(text.token_count(F.concat("t", F.lit("")))).collect()] == [0, 0, 0, 1, 3]
-    assert df.select(text.token_count(F.concat("t", F.lit(""))))._jdf.queryExecution().analyzed().toString().count("concat(") == 1
+    assert df.select(text.token_count(F.concat("t", F.lit(""))).alias("n"))._jdf.queryExecution().analyzed().toString().count("concat(") == 1
+
+
+def test_prepared_texts_are_cleaned_once(spark):
+    from moodspark.plans.training import prepare_corpus
+    df = spark.createDataFrame([(i, f"great vote {i}" if i % 3 else "!!", i % 2) for i in range(30)], "doc_id long, text string, label int")
+    rows = prepare_corpus(df, materialize=False)
+    # the split's ranking and its histogram read the texts once each
+    assert cleanings(rows) == 2 and rows.count() == 20
+
+
+def test_frequent_terms_are_not_shuffled_by_term(spark):
+    from moodspark.operators import features
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(i, ["the", f"w{i % 4}"]) for i in range(40)], "doc_id long, terms array<string>")
+        vocab, _ = features.fit_vocabulary(df, "terms", 1, 1.0, 100)
+        plan = features.tfidf_long(df, "doc_id", "terms", vocab, sublinear=True)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
