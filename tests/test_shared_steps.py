@@ -106,3 +106,24 @@ def test_frequent_terms_are_not_shuffled_by_term(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_long_weights_of_few_occurrences_a_task(spark, monkeypatch):
+    """Tasks go by the occurrences that the caller states; the weights don't depend on them."""
+    from pyspark.sql import functions as F
+
+    from moodspark.operators import features
+    rows = [(i if i % 9 else 3, [f"w{(i * j) % 23}" for j in range(1, 20)]) for i in range(60)] + [(None, ["w1", "w2", "w2"])]
+    df = spark.createDataFrame(rows, "doc_id long, terms array<string>")
+    vocab, _ = features.fit_vocabulary(df, "terms", 1, 1.0, 100)
+    assert features.occurrences(vocab) == sum(len(t) for _, t in rows)
+    monkeypatch.setattr(features, "TASK_OCCURRENCES", 100)
+    many = features.tfidf_long(df, "doc_id", "terms", vocab, sublinear=True, occurs=features.occurrences(vocab))
+    assert many.rdd.getNumPartitions() == -(-sum(len(t) for _, t in rows) // 100)
+    few = features.tfidf_long(df, "doc_id", "terms", vocab, sublinear=True)
+
+    def found(w):
+        return sorted((r.doc_id or -1, r.term, round(r.weight, 9)) for r in w.collect())
+
+    assert found(many) == found(few)
+    assert few.select(F.count("*")).first()[0] > 100
