@@ -205,13 +205,20 @@ def fit_features(train: DataFrame, config=features.NOTEBOOK_CONFIG) -> PipelineM
 # job per iteration; partitions much smaller than this make every iteration
 # scheduling-bound, larger ones limit parallelism.
 ROWS_PER_PARTITION = 20_000
+# Where a pass over a partition is long the partitions are smaller: Spark's forest lays
+# a row out densely (4 bytes a term), and tokens become n-grams and vectors.
+FOREST_ROWS, TOKEN_ROWS = 500, 1000
 
 
-def cache_for_fit(x: DataFrame, n: int | None = None) -> tuple[DataFrame, int]:
-    """Repartition a training set to ``ceil(n / ROWS_PER_PARTITION)`` partitions
+def rows_per_partition(name: str) -> int:
+    return {"forest": FOREST_ROWS, "svm": TOKEN_ROWS}.get(name, ROWS_PER_PARTITION)
+
+
+def cache_for_fit(x: DataFrame, n: int | None = None, rows: int | None = None) -> tuple[DataFrame, int]:
+    """Repartition a training set to partitions of ``rows`` (``ROWS_PER_PARTITION``)
     and cache it; returns (df, rows)."""
     n = x.count() if n is None else n
-    parts = max(1, -(-n // ROWS_PER_PARTITION))
+    parts = max(1, -(-n // (rows or ROWS_PER_PARTITION)))
     y = x.repartition(parts).persist()
     y.count()
     return y, n
@@ -223,7 +230,7 @@ def fit_classifier(name: str, feats: PipelineModel, train: DataFrame) -> tuple[P
     x = feats.transform(train)
     if name == "forest":
         x = balanced_weights(x, "label")
-    x, n = cache_for_fit(x.withColumn("label", F.col("label").cast("double")))
+    x, n = cache_for_fit(x.withColumn("label", F.col("label").cast("double")), rows=rows_per_partition(name))
     try:
         t0 = time.perf_counter()
         m = classifier(name, n).fit(x)
