@@ -127,3 +127,40 @@ def test_long_weights_of_few_occurrences_a_task(spark, monkeypatch):
 
     assert found(many) == found(few)
     assert few.select(F.count("*")).first()[0] > 100
+
+
+def test_term_counts_by_one_row_an_occurrence(spark, monkeypatch):
+    """Documents with and without repeated, null or no terms; terms in too few documents are not kept for the choice."""
+    from moodspark.operators import features
+    rows = [(["a", "b", "a"],), (["b", None, None],), ([],), (None,), (["c", "c"],)]
+    df = spark.createDataFrame(rows, "terms array<string>")
+    found = {r.term: (r.df, r.ctf) for r in features.term_stats(df, "terms", count_docs=True).collect()}
+    assert {k: v for k, v in found.items() if k} == {"a": (1, 2), "b": (2, 2), "c": (1, 2)}
+    assert found[None][0] == 4  # documents that have an array, each once
+    plain = {r.term: (r.df, r.ctf) for r in features.term_stats(df, "terms").where("term is not null").collect()}
+    assert plain == {"a": (1, 2), "b": (2, 2), "c": (1, 2)}
+    kept = []
+    monkeypatch.setattr(features, "reliable_checkpoint", lambda d: kept.extend(d.collect()) or d)
+    vocab, n = features.fit_vocabulary(df, "terms", 2, 1.0, 10)
+    assert n == 4 and [(r.term, r.df, r.ctf) for r in vocab.collect()] == [("b", 2, 2)]
+    assert sorted(str(r.term) for r in kept) == ["None", "b"]
+
+
+def test_long_weights_shuffle_documents(spark, monkeypatch):
+    """Where their number is stated, occurrences are worked out behind the shuffle, from what n-grams are made of."""
+    from moodspark.operators import features
+    df = spark.createDataFrame([(i % 30, [f"w{(i * j) % 11}" for j in range(6)], "x" * 20) for i in range(40)],
+                               "doc_id long, tokens array<string>, text string")
+    monkeypatch.setattr(features, "TASK_OCCURRENCES", 100)
+    terms = features.ngrams("tokens", 2)
+    vocab, _ = features.fit_vocabulary(df.select(terms.alias("terms")), "terms", 1, 1.0, 100)
+    weights = features.tfidf_long(df, "doc_id", terms, vocab, sublinear=True, occurs=features.occurrences(vocab))
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1
+    assert plan.index("Generate explode(_terms") < plan.index("zip_with") < plan.index("Exchange hashpartitioning(doc_id")
+    other = features.tfidf_long(df.select("doc_id", terms.alias("terms")), "doc_id", "terms", vocab, sublinear=True)
+
+    def found(w):
+        return sorted((r.doc_id, r.term, round(r.weight, 9)) for r in w.collect())
+
+    assert found(weights) == found(other)
