@@ -1477,8 +1477,9 @@ def q_modelling_report(spark, sf):
 # ---------------------------------------------------------------------------
 
 def _corpus(spark, sf):
+    """The labelled corpus, split; all rows of the train part are fitted on."""
     from moodspark.plans.training import prepare_corpus
-    return prepare_corpus(tables.labelled_documents(spark, sf))
+    return prepare_corpus(tables.labelled_documents(spark, sf), sample_per_class=None)
 
 
 def _fitted(spark, sf, name, corpus=None):
