@@ -8,7 +8,7 @@ from moodspark.plans import catalog, training
 from moodspark.sources import tables
 
 
-@pytest.mark.parametrize("query", ["train_logreg"])
+@pytest.mark.parametrize("query", ["train_logreg", "train_svm"])
 def test_fits_take_the_whole_train_part(spark, sf_small, monkeypatch, query):
     fitted = []
 
