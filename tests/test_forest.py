@@ -1,8 +1,8 @@
 """MOD4 against a plain restatement, and what it keeps of a row."""
 
 import numpy as np
-import pyarrow as pa
 import pytest
+from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -50,7 +50,7 @@ def plain(x, y, times, weights, draws, depth, seed, tree):
 
 
 def test_trees_equal_a_plain_restatement(spark, monkeypatch):
-    trees, depth, seed = 6, 5, 3
+    trees, depth, seed = 6, 4, 3
     monkeypatch.setattr(forest, "CHUNK_BYTES", 9 * 20)  # here rows are laid out 20 at a time
     _, _, df = data(spark)
     first, edges = bin_edges(df, "features", 9, 31)
@@ -76,9 +76,9 @@ def test_trees_equal_a_plain_restatement(spark, monkeypatch):
 
 def test_learns_saves_and_refuses(spark):
     x, y, df = data(spark, n=300)
-    model = RandomForest(numTrees=30, maxDepth=12, seed=1).fit(df)
+    model = RandomForest(numTrees=30, maxDepth=6, seed=1).fit(df)
     scored = model.transform(df)
-    assert scored.where("prediction = label").count() > 270
+    assert scored.where("prediction = label").count() > 230
     path = scratch_path(spark, "forest")
     model.write().save(path)
     again = RandomForestModel.load(path).transform(df)
@@ -88,7 +88,7 @@ def test_learns_saves_and_refuses(spark):
     with pytest.raises(ValueError):
         RandomForest(weightCol="weight").fit(df.withColumn("weight", F.rand(1)))
     one = df.where("label = 1")
-    assert {r.prediction for r in RandomForest().fit(one).transform(one).collect()} == {1.0}
+    assert {r.prediction for r in RandomForest(maxDepth=1).fit(one).transform(one).collect()} == {1.0}
 
 
 def test_wide_rows_stay_sparse(spark):
@@ -107,3 +107,19 @@ def test_wide_rows_stay_sparse(spark):
     size_of = sum(sum(len(v) for v in r[1:]) for r in held[0].collect())
     assert size_of < 200 * (20 * 5 + 8 + 2 + 16)
     assert model.transform(df).where("prediction <> label").count() == 0
+
+
+def test_logistic_regression_has_many_tasks(spark, monkeypatch):
+    rows = [(i, i % 3, [f"w{i % 3}", f"w{i % 7}"], "train") for i in range(90)]
+    train = spark.createDataFrame(rows, "doc_id long, label int, tokens array<string>, split string").persist()
+    seen = []
+
+    class Looking:
+        def fit(self, df):
+            seen.append(df.rdd.getNumPartitions())
+            return NaiveBayes().fit(df)
+
+    monkeypatch.setattr(training, "LOGREG_ROWS", 20)
+    monkeypatch.setattr(training, "classifier", lambda name, n: Looking())
+    training.fit_classifier("logreg", training.fit_features(train), train)
+    assert seen == [5]
